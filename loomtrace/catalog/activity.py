@@ -1,14 +1,24 @@
 """Event-stream queries: windows, recovery, grounding, active time, rhythm."""
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from loomtrace.catalog.registry import Tables, query
 from loomtrace.operators import aggregates as A, joins as J, sequence as S
 
-DAY = F.to_date("ts")
-KEY = F.get_json_object("props", "$.k").cast("bigint")
-HOUR_CHUNK = F.date_trunc("hour", F.col("ts"))
+
+def day():
+    return F.to_date("ts")
+
+
+def key():
+    return F.get_json_object("props", "$.k").cast("bigint")
+
+
+def hour_chunk():
+    return F.date_trunc("hour", F.col("ts"))
+
+
 MONTH_SQL = "strftime(ts, '%Y-%m')"
 
 
@@ -112,7 +122,7 @@ def _(t: Tables):
     ev = t.events
     is_error = F.col("event_type") == "error"
     hits = S.fires_after(ev.select("user_id", "event_type", "ts", "event_id"), ["user_id"], ["ts", "event_id"],
-                         HOUR_CHUNK, is_error, ~is_error)
+                         hour_chunk(), is_error, ~is_error)
     marks = (ev.select("user_id", is_error.cast("int").alias("e"), F.lit(0).alias("r"))
              .unionByName(hits.select("user_id", F.lit(0).alias("e"), F.lit(1).alias("r"))))
     return marks.groupBy("user_id").agg(F.sum("e").cast("bigint").alias("errors"),
@@ -130,7 +140,7 @@ FROM s GROUP BY 1""")
 def _(t: Tables):
     ev = t.events.select("user_id", "event_type", "ts", "event_id", F.date_format("ts", "yyyy-MM").alias("month"))
     et = F.col("event_type")
-    hits = S.fires_after(ev, ["user_id"], ["ts", "event_id"], HOUR_CHUNK, et == "view", et == "purchase")
+    hits = S.fires_after(ev, ["user_id"], ["ts", "event_id"], hour_chunk(), et == "view", et == "purchase")
     per = (ev.filter(et.isin("purchase", "view")).select("month", "user_id", (et == "purchase").cast("int").alias("w"), F.lit(0).alias("g"))
            .unionByName(hits.select("month", "user_id", F.lit(0).alias("w"), F.lit(1).alias("g")))
            .groupBy("month", "user_id").agg(F.max("w").alias("w"), F.sum("g").alias("g")))
@@ -152,7 +162,7 @@ SELECT CASE WHEN later = 0 THEN 'nothing_after' WHEN ok_later > 0 THEN 'retried_
        CAST(count(*) AS BIGINT) AS n
 FROM f WHERE NOT ok GROUP BY 1""")
 def _(t: Tables):
-    e = t.events.select("user_id", "ts", "event_id", (KEY % 5).alias("tool"),
+    e = t.events.select("user_id", "ts", "event_id", (key() % 5).alias("tool"),
                         (F.col("event_type") != "error").alias("ok"))
     c = J.recovery_classes(e, ["user_id"], "tool", "ok", ["ts", "event_id"])
     return c.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
@@ -165,8 +175,8 @@ WITH e AS (SELECT user_id, ts, event_id, event_type, CAST(json_extract(props, '$
      r AS (SELECT user_id, epoch, path, count(*) AS depth FROM e WHERE event_type <> 'purchase' GROUP BY 1, 2, 3)
 SELECT depth, CAST(count(*) AS BIGINT) AS runs FROM r GROUP BY 1""")
 def _(t: Tables):
-    e = t.events.select("user_id", "ts", "event_id", "event_type", (KEY % 6).alias("path"))
-    runs = S.edit_runs(e, ["user_id"], ["ts", "event_id"], HOUR_CHUNK, F.col("event_type") == "purchase", "path")
+    e = t.events.select("user_id", "ts", "event_id", "event_type", (key() % 6).alias("path"))
+    runs = S.edit_runs(e, ["user_id"], ["ts", "event_id"], hour_chunk(), F.col("event_type") == "purchase", "path")
     return runs.groupBy("depth").agg(F.count(F.lit(1)).alias("runs"))
 
 
@@ -192,7 +202,7 @@ SELECT event_id, user_id, round(last_value(CASE WHEN event_type = 'purchase' THE
 FROM events""")
 def _(t: Tables):
     e = t.events.select("event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("value")).alias("p"))
-    c = S.carry_forward(e, ["user_id"], ["ts", "event_id"], HOUR_CHUNK, "p", "carried")
+    c = S.carry_forward(e, ["user_id"], ["ts", "event_id"], hour_chunk(), "p", "carried")
     return c.select("event_id", "user_id", F.round("carried", 2).alias("carried"))
 
 
@@ -204,14 +214,14 @@ def _(t: Tables):
 
 
 @query("timeline_sample", """
-WITH o AS (SELECT user_id, to_days(0) AS z, CAST(ts AS DATE) AS d, min_by(event_id, (ts, event_id)) AS event_id,
+WITH o AS (SELECT user_id, CAST(ts AS DATE) AS d, min_by(event_id, (ts, event_id)) AS event_id,
                   min(ts) AS ts FROM events GROUP BY user_id, CAST(ts AS DATE)),
      r AS (SELECT user_id % 4 AS owner, event_id,
                   row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS i,
                   count(*) OVER (PARTITION BY user_id % 4) AS n FROM o)
 SELECT owner, event_id FROM r WHERE i % greatest(1, n // 60) = 0 AND i // greatest(1, n // 60) < 60""")
 def _(t: Tables):
-    first = (t.events.groupBy("user_id", DAY.alias("d"))
+    first = (t.events.groupBy("user_id", day().alias("d"))
              .agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min("ts").alias("ts"))
              .select((F.col("user_id") % 4).alias("owner"), "event_id", "ts"))
     return J.timeline_sample(first, ["owner"], ["ts", "event_id"], F.to_date("ts")).select("owner", "event_id")
@@ -226,7 +236,7 @@ FROM k WHERE last_w > first_k GROUP BY 1""")
 def _(t: Tables):
     e = t.events.select("user_id", "ts", "event_id", "event_type")
     et = F.col("event_type")
-    g = J.grounding_positions(e, ["user_id"], ["ts", "event_id"], HOUR_CHUNK, et == "view", et == "purchase", et)
+    g = J.grounding_positions(e, ["user_id"], ["ts", "event_id"], hour_chunk(), et == "view", et == "purchase", et)
     return g.groupBy(F.least("position", F.lit(11)).cast("bigint").alias("position")).agg(
         F.count(F.lit(1)).alias("sessions"))
 
@@ -235,7 +245,7 @@ def _(t: Tables):
 WITH e AS (SELECT user_id, date_trunc('hour', ts) AS turn, count(*) FILTER (event_type = 'signup') AS n FROM events GROUP BY 1, 2)
 SELECT user_id, CAST(count(*) FILTER (n >= 2) AS BIGINT) AS parallel_turns FROM e GROUP BY 1""")
 def _(t: Tables):
-    per = t.events.groupBy("user_id", HOUR_CHUNK.alias("turn")).agg(A.count_if(F.col("event_type") == "signup").alias("n"))
+    per = t.events.groupBy("user_id", hour_chunk().alias("turn")).agg(A.count_if(F.col("event_type") == "signup").alias("n"))
     return per.groupBy("user_id").agg(A.count_if(F.col("n") >= 2).alias("parallel_turns"))
 
 
@@ -253,7 +263,7 @@ WITH c AS (SELECT user_id % 5 AS owner, CAST(json_extract(props, '$.k') AS BIGIN
      r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY n DESC, f) AS rank FROM c)
 SELECT owner, project, n, CAST(sessions AS BIGINT) AS sessions, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12""")
 def _(t: Tables):
-    e = t.events.select((F.col("user_id") % 5).alias("owner"), KEY.alias("project"), "user_id", "event_id")
+    e = t.events.select((F.col("user_id") % 5).alias("owner"), key().alias("project"), "user_id", "event_id")
     per = e.groupBy("owner", "project", "user_id").agg(F.count(F.lit(1)).alias("c"), F.min("event_id").alias("f"))
     agg = per.groupBy("owner", "project").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("sessions"), F.min("f").alias("f"))
     return A.rank_counts(agg, ["owner"], 12, "n", ["f"]).drop("f")
@@ -269,7 +279,7 @@ SELECT user_id, round(45 * least(CASE WHEN prompts > 0 THEN calls / prompts ELSE
      + 20 * (1 - least(6.0 * questions / greatest(prompts, 1), 1)), 4) AS autonomy FROM a""")
 def _(t: Tables):
     et = F.col("event_type")
-    a = t.events.groupBy("user_id", DAY.alias("d")).agg(
+    a = t.events.groupBy("user_id", day().alias("d")).agg(
         A.count_if(et.isin("click", "view", "purchase")).alias("calls"), A.count_if(et == "error").alias("prompts"),
         A.count_if(et == "signup").alias("delegate"), A.count_if(F.col("value") > 120).alias("sched"),
         A.count_if(F.col("value") < 1).alias("questions"))

@@ -96,10 +96,9 @@ def rank_counts(counts: DataFrame, owner: list[str], k: int, n: str, ties: list[
 
 def share_of_total(df: DataFrame, owner: list[str], name: str, measures: dict[str, Column]) -> DataFrame:
     """Measures per name and their share of the owner's total, rounded to 3 places."""
-    agg = df.groupBy(*owner, name).agg(*[c.alias(m) for m, c in measures.items()])
-    total = agg.groupBy(*owner).agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
-    j = agg.join(total, owner) if owner else agg.join(F.broadcast(total), F.lit(True))
-    return j.select(*owner, name, *measures, *[
+    agg = df.groupBy(*owner, name).agg(*[c.alias(m) for m, c in measures.items()]).withColumn("__all", F.lit(0))
+    total = agg.groupBy(*owner, "__all").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
+    return agg.join(total, owner + ["__all"]).select(*owner, name, *measures, *[
         F.when(F.col(f"__t_{m}") != 0, F.bround(F.col(m) / F.col(f"__t_{m}"), 3)).otherwise(0.0).alias(f"{m}_pct")
         for m in measures])
 
