@@ -14,14 +14,9 @@ def contains_any(c: Column, needles: list[str]) -> Column:
 
 
 def lookup(key: Column, table: dict[str, str], default: Column) -> Column:
-    """Fixed alias table as a CASE; tables here have a few dozen rows."""
-    by_target: dict[str, list[str]] = {}
-    for k, v in table.items():
-        by_target.setdefault(v, []).append(k)
-    expr = None
-    for target, keys in by_target.items():
-        expr = F.when(key.isin(keys), target) if expr is None else expr.when(key.isin(keys), target)
-    return expr.otherwise(default)
+    """Fixed alias table as a constant map; the key is evaluated once."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
 
 
 # ---- names -------------------------------------------------------------------------
