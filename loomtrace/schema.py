@@ -72,3 +72,15 @@ def tool_block(name, input_json, tool_use_id=None):
 def result_block(is_error, tool_use_id=None):
     return block(type=F.lit("tool_result"), is_error=is_error, error_flag=F.coalesce(is_error, F.lit(False)),
                  **({"tool_use_id": tool_use_id} if tool_use_id is not None else {}))
+
+
+def emit(df: DataFrame, keep: list, *choices: tuple) -> DataFrame:
+    """One pass from rows to events: every choice (condition, columns) that holds makes one event.
+
+    The input is read and parsed once however many kinds of events a row can produce.
+    """
+    names = [n for n in EVENTS if any(n in cols for _, cols in choices)]
+    options = [F.when(F.coalesce(cond, F.lit(False)), F.struct(*[
+        (cols[n] if n in cols else F.lit(None)).cast(EVENTS[n]).alias(n) for n in names])) for cond, cols in choices]
+    kept = F.filter(F.array(*options), lambda e: e.isNotNull())
+    return df.select(*keep, F.explode(kept).alias("__e")).select("*", "__e.*").drop("__e")

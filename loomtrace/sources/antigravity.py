@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomtrace import dims
 from loomtrace.functions import paths as P, tools as T
 from loomtrace.operators import sequence as S
-from loomtrace.schema import BLOCK, canonical, result_block, text_block, thinking_block, tool_block
+from loomtrace.schema import BLOCK, canonical, emit, result_block, text_block, thinking_block, tool_block
 from loomtrace.sources import files as R
 from loomtrace.sources.inputs import canonical_input, parse, with_fields
 
@@ -59,13 +59,13 @@ def normalize_steps(steps: DataFrame, source: str = "antigravity") -> DataFrame:
     keep = ["tenant_id", F.lit(source).alias("source"), F.col("conversation").alias("file_path"), F.col("conversation").alias("session_id"),
             "cwd", F.col("idx").cast("bigint").alias("ordinal"), "ts"]
     typ = F.col("step_type")
-    user = s.filter((typ == 14) & txt.isNotNull()).select(*keep, F.lit("user").alias("type"), "text")
     skill = F.when(F.col("name") == "Read", loaded_skill(F.from_json("input", "file_path string")["file_path"]))
-    said = s.filter((typ == 15) & ((F.size(content) > 0) | used)).select(
-        *keep, F.lit("assistant").alias("type"), "model", content.alias("content"), usage.alias("usage"), skill.alias("attribution_skill"))
-    result = s.filter((typ == 17) | typ.isin(dims.ANTIGRAVITY_RESULT_STEPS)).select(
-        *keep, F.lit("user").alias("type"), F.array(result_block(typ == 17)).alias("content"))
-    return canonical(user.unionByName(said, True).unionByName(result, True))
+    return canonical(emit(
+        s, keep,
+        ((typ == 14) & txt.isNotNull(), {"type": F.lit("user"), "text": F.col("text")}),
+        ((typ == 15) & ((F.size(content) > 0) | used), {"type": F.lit("assistant"), "model": F.col("model"), "content": content,
+                                                       "usage": usage, "attribution_skill": skill}),
+        ((typ == 17) | typ.isin(dims.ANTIGRAVITY_RESULT_STEPS), {"type": F.lit("user"), "content": F.array(result_block(typ == 17))})))
 
 
 # ---- IDE export --------------------------------------------------------------------
@@ -104,7 +104,6 @@ def normalize_export(docs: DataFrame, tenant: Column, source: str = "antigravity
     keep = ["tenant_id", F.lit(source).alias("source"), "file_path", "session_id", "cwd", "ordinal", "ts"]
     items = F.coalesce(F.try_variant_get(s, "$.userInput.items", "array<variant>"), F.array().cast("array<variant>"))
     prompt = F.array_join(F.filter(F.transform(items, lambda i: R.non_empty(R.get(i, "$.text"))), lambda x: x.isNotNull()), "\n")
-    user = e.filter((F.col("t") == "USER_INPUT") & (F.trim(prompt) != "")).select(*keep, F.lit("user").alias("type"), prompt.alias("text"))
 
     spec = F.try_variant_get(s, "$.codeAction.actionSpec", "map<string,variant>")
     inner = F.coalesce(F.try_variant_get(s, "$.codeAction.actionSpec.createFile", "variant"),
@@ -130,13 +129,15 @@ def normalize_export(docs: DataFrame, tenant: Column, source: str = "antigravity
              .when(F.col("t") == "MCP_TOOL", tool_block(mcp, aliased_args(F.col("margs"))))
              .when(F.col("t") == "LIST_DIRECTORY", tool_block(F.lit("Glob"), F.lit("{}")))
              .when(F.col("t").isin("GREP_SEARCH", "FIND"), tool_block(F.lit("Grep"), js("query", query))))
-    said = e.withColumn("b", block).filter("b is not null").select(
-        *keep, F.lit("assistant").alias("type"), F.array("b").alias("content"), F.when(is_view, loaded_skill(seen)).alias("attribution_skill"))
     code = R.get(s, "$.runCommand.exitCode").try_cast("bigint")
     failed = ((F.col("t") == "RUN_COMMAND") & F.coalesce(code != 0, F.lit(False))) | (
         (F.col("t") == "MCP_TOOL") & F.coalesce(R.get(s, "$.status").contains("ERROR"), F.lit(False))) | (F.col("t") == "ERROR_MESSAGE")
-    errors = e.filter(failed).select(*keep, F.lit(1).alias("sub"), F.lit("user").alias("type"), F.array(result_block(F.lit(True))).alias("content"))
-    return canonical(user.unionByName(said, True).unionByName(errors, True))
+    e = e.withColumn("b", block)
+    return canonical(emit(
+        e, keep,
+        ((F.col("t") == "USER_INPUT") & (F.trim(prompt) != ""), {"type": F.lit("user"), "text": prompt}),
+        (F.col("b").isNotNull(), {"type": F.lit("assistant"), "content": F.array("b"), "attribution_skill": F.when(is_view, loaded_skill(seen))}),
+        (failed, {"sub": F.lit(1), "type": F.lit("user"), "content": F.array(result_block(F.lit(True)))})))
 
 
 def index_summary(index: DataFrame, first: str, last: str, since: str | None = None, until: str | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomtrace import dims
 from loomtrace.functions import text as X, tools as T
 from loomtrace.operators import sequence as S
-from loomtrace.schema import canonical, result_block, text_block, thinking_block, tool_block
+from loomtrace.plans.tables import materialize
+from loomtrace.schema import canonical, emit, result_block, text_block, thinking_block, tool_block
 from loomtrace.sources import files as R
 from loomtrace.sources.inputs import with_fields
 
@@ -226,53 +227,61 @@ def calls_of(rows: DataFrame) -> DataFrame:
         "call_id", F.when(F.col("sec").isNull(), F.col("call_id"))).drop("sec", "a")
 
 
-def normalize(lines: DataFrame, tenant: Column, source: Column | None = None) -> DataFrame:
+def normalize(lines: DataFrame, tenant: Column, source: Column | None = None, work: str | None = None) -> DataFrame:
+    """Rollout lines to events.
+
+    Model, usage, links and calls each read the parsed rows; with a work folder the rows
+    are parsed once, written, and read back by column.
+    """
     source = F.lit("codex") if source is None else source
     raw = rows_of(lines, tenant, source)
+    if work:
+        raw = materialize(raw, f"{work}/rollout_rows")
     meta = file_meta(raw)
     rows = with_model(raw)
+    if work:
+        rows = materialize(rows, f"{work}/rollout_rows_with_model")
     p = F.col("p")
     item = rows.filter("rtype = 'response_item'").withColumn("pt", R.get(p, "$.type"))
-    text = R.joined_texts(p, "$.content")
-    msg = item.filter("pt = 'message'").withColumn("txt", text).withColumn("role", R.get(p, "$.role"))
-    user = msg.filter((F.col("role") == "user") & (F.col("txt") != "") & ~X.is_codex_injected(F.col("txt"))).select(
-        *FILE, "ordinal", "ts", F.lit("user").alias("type"), F.col("txt").alias("text"))
-    said = msg.filter("role = 'assistant'").select(
-        *FILE, "ordinal", "ts", F.lit("assistant").alias("type"), "model",
-        F.filter(F.array(text_block(R.non_empty(F.col("txt")))), lambda b: b["text"].isNotNull()).alias("content"))
-    thought = item.filter("pt = 'reasoning'").select(
-        *FILE, "ordinal", "ts", F.lit("assistant").alias("type"), "model",
-        F.array(thinking_block(F.coalesce(R.non_empty(text), R.get(p, "$.summary"), F.lit("")))).alias("content"))
+    # the output of a call is an object or the JSON text of one
+    item = item.withColumn("o", F.when(F.col("pt") == "function_call_output", F.coalesce(
+        F.when(R.kind(p, "$.output") == "STRING", F.try_parse_json(R.get(p, "$.output"))), F.try_variant_get(p, "$.output", "variant"))))
+    pt, o, call_id = F.col("pt"), F.col("o"), R.get(p, "$.call_id")
+    said = item.withColumn("txt", F.when(pt.isin("message", "reasoning"), R.joined_texts(p, "$.content"))).withColumn("role", R.get(p, "$.role"))
+    txt, role = F.col("txt"), F.col("role")
+    success = F.when(R.kind(o, "$.success") == "BOOLEAN", ~R.get(o, "$.success", "boolean"))
+    model = {"type": F.lit("assistant"), "model": F.col("model")}
+    plain = emit(
+        said, [*FILE, "ordinal", "ts"],
+        ((pt == "message") & (role == "user") & (txt != "") & ~X.is_codex_injected(txt), {"type": F.lit("user"), "text": txt}),
+        ((pt == "message") & (role == "assistant"), {**model, "content": F.filter(
+            F.array(text_block(R.non_empty(txt))), lambda b: b["text"].isNotNull())}),
+        (pt == "reasoning", {**model, "content": F.array(thinking_block(F.coalesce(R.non_empty(txt), R.get(p, "$.summary"), F.lit(""))))}),
+        (pt == "function_call_output", {"type": F.lit("user"), "content": F.array(result_block(success, call_id))}))
     calls = calls_of(rows)
     # identities of spawned agents come from the matching call output
-    out_json = F.coalesce(F.when(R.kind(p, "$.output") == "STRING", F.try_parse_json(R.get(p, "$.output"))),
-                          F.try_variant_get(p, "$.output", "variant"))
-    outputs = item.filter("pt = 'function_call_output'").withColumn("o", out_json).withColumn("call_id", R.get(p, "$.call_id"))
-    o = F.col("o")
+    outputs = item.filter("pt = 'function_call_output'").withColumn("call_id", call_id)
     ident = outputs.filter(R.kind(o).startswith("OBJECT") & F.col("call_id").isNotNull()).groupBy(*FILE, "call_id").agg(
         F.max_by(F.struct(R.first_of(R.get(o, "$.agent_id"), R.get(o, "$.task_name")).alias("identity"),
                           R.non_empty(R.get(o, "$.submission_id")).alias("submission")), "ordinal").alias("out"))
-    plain = calls.filter("name <> 'Agent'")
+    direct = calls.filter("name <> 'Agent'")
     agent = S.join_keys(calls.filter("name = 'Agent'"), ident, FILE + ["call_id"])
     inp = F.try_parse_json("input")
     identity = F.coalesce(F.col("out.identity"), R.first_of(R.get(inp, "$.target"), R.get(inp, "$.task_name")))
     merged = with_fields(F.col("input"), {"_routing_identity": identity, "_routing_turn_id": F.col("out.submission")})
     agent = agent.withColumn("input", merged).drop("out")
-    used = plain.unionByName(agent).select(
+    used = direct.unionByName(agent).select(
         *FILE, "ordinal", F.col("part").alias("sub"), "ts",
         F.lit("assistant").alias("type"), "model", F.array(tool_block(F.col("name"), F.col("input"), F.col("call_id"))).alias("content"))
-    success = F.when(R.kind(o, "$.success") == "BOOLEAN", ~R.get(o, "$.success", "boolean"))
-    results = outputs.select(*FILE, "ordinal", "ts", F.lit("user").alias("type"),
-                             F.array(result_block(success, F.col("call_id"))).alias("content"))
-    ev = user
-    for part in (said, thought, used, results, usage_events(rows, meta), routing_links(rows, meta, calls)):
+    ev = plain
+    for part in (used, usage_events(rows, meta), routing_links(rows, meta, calls)):
         ev = ev.unionByName(part, allowMissingColumns=True)
     # a file without a human prompt is an empty seed and contributes nothing
-    seeded = user.filter(F.trim("text") != "").select(*FILE).distinct()
+    seeded = plain.filter("type = 'user' and trim(text) <> ''").select(*FILE).distinct()
     ev = ev.join(seeded, FILE, "left_semi")
     ev = S.join_keys(ev, meta.select(*FILE, "session_id", "cwd", "is_sidechain"), FILE)
     return canonical(ev)
 
 
-def read(spark: SparkSession, paths, tenant: str = "local", since: str | None = None) -> DataFrame:
-    return normalize(R.lines(spark, paths, since), F.lit(tenant))
+def read(spark: SparkSession, paths, tenant: str = "local", since: str | None = None, work: str | None = None) -> DataFrame:
+    return normalize(R.lines(spark, paths, since), F.lit(tenant), work=work)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomtrace import dims
 from loomtrace.functions import text as X, tools as T
 from loomtrace.operators import joins as J, sequence as S
-from loomtrace.schema import BLOCK, canonical, result_block, text_block, thinking_block, tool_block
+from loomtrace.schema import BLOCK, canonical, emit, result_block, text_block, thinking_block, tool_block
 from loomtrace.sources import files as R
 from loomtrace.sources.inputs import canonical_input, content_blocks, parse, with_fields
 
@@ -101,32 +101,32 @@ def normalize_jsonl(lines: DataFrame, tenant: Column, source: Column | None = No
     r = lines.select(tenant.alias("tenant_id"), source.alias("source"), "file_path", "ordinal", "mtime", F.try_parse_json("value").alias("v"))
     is_obj = F.coalesce(R.kind(v).startswith("OBJECT"), F.lit(False))
     role = R.get(v, "$.role")
-    raw = R.joined_texts(v, "$.message.content")
-    blocks = content_blocks(v, "$.message.content", resolve)
-    r = r.select("*", (~is_obj).alias("bad"), role.alias("role"), clean_prompt(raw).alias("prompt"), attached_skills(raw).alias("injected_skills"),
-                 F.when(role == "assistant", blocks).alias("blocks"),
-                 R.iso(F.coalesce(R.get(v, "$.timestamp"), R.get(v, "$.message.timestamp"))).alias("own_ts"))
+    # which row speaks first is decided from the part types alone, so this second reading is cheap
+    parts = F.coalesce(F.try_variant_get(v, "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
+    visible = (F.exists(parts, lambda b: R.get(b, "$.type").isin("thinking", "toolCall", "tool_use") | (
+        (R.get(b, "$.type") == "text") & R.truthy(b, "$.text"))) | ((R.kind(v, "$.message.content") == "STRING") & R.truthy(v, "$.message.content")))
+    r = r.select("*", is_obj.alias("ok"), role.alias("role"), R.joined_texts(v, "$.message.content").alias("raw"), visible.alias("visible"))
+    r = r.withColumn("prompt", F.when(F.col("role") == "user", clean_prompt(F.col("raw")))).withColumn(
+        "skills", F.when(F.col("role") == "user", attached_skills(F.col("raw"))))
+    is_user = (F.col("role") == "user") & ((F.col("prompt") != "") | (F.size("skills") > 0))
+    first = r.filter(is_user | ((F.col("role") == "assistant") & F.col("visible"))).groupBy(*FILE).agg(F.min("ordinal").alias("first"))
+    r = S.join_keys(r, first, FILE)
+    r = r.withColumn("blocks", F.when(F.col("role") == "assistant", content_blocks(v, "$.message.content", resolve)))
     said = F.filter("blocks", lambda b: b["type"] != "tool_result")
     results = F.filter("blocks", lambda b: b["type"] == "tool_result")
-    is_user = (F.col("role") == "user") & ((F.col("prompt") != "") | (F.size("injected_skills") > 0))
-    speaks = is_user | ((F.col("role") == "assistant") & (F.size(said) > 0))
-    first = r.filter(speaks).groupBy(*FILE).agg(F.min("ordinal").alias("first"))
-    r = S.join_keys(r, first, FILE)
+    own_ts = R.iso(F.coalesce(R.get(v, "$.timestamp"), R.get(v, "$.message.timestamp")))
     side = F.replace("file_path", F.lit("\\"), F.lit("/")).contains("/subagents/")
-    missing = F.col("own_ts").isNull()
-    keep = [*FILE, "ordinal", F.coalesce("own_ts", "mtime").alias("ts"), path_session(F.col("file_path")).alias("session_id"),
-            side.alias("is_sidechain"), (missing & F.coalesce(F.col("ordinal") > F.col("first"), F.lit(False))).alias("synth_ts")]
-    user = r.filter(is_user).select(*keep, F.lit("user").alias("type"), F.col("prompt").alias("text"), "injected_skills")
-    bot = r.filter((F.col("role") == "assistant") & (F.size(said) > 0)).select(
-        *keep, F.lit("assistant").alias("type"), R.non_empty(R.get(v, "$.message.model")).alias("model"), said.alias("content"))
-    res = r.filter((F.col("role") == "assistant") & (F.size(results) > 0)).select(
-        *keep, F.lit(1).alias("sub"), F.lit("user").alias("type"), results.alias("content"))
-    ended = r.filter(F.col("role").isNull() & (R.get(v, "$.type") == "turn_ended") & F.lower(R.get(v, "$.status")).isin("error", "failed")).select(
-        *keep, F.lit("system").alias("type"), F.lit(True).alias("api_error"))
-    bad = r.filter("bad").select(*FILE, "ordinal", "bad")
-    ev = user
-    for part in (bot, res, ended, bad):
-        ev = ev.unionByName(part, True)
+    late = F.coalesce(F.col("ordinal") > F.col("first"), F.lit(False))
+    keep = [*FILE, "ordinal", path_session(F.col("file_path")).alias("session_id"), side.alias("is_sidechain")]
+    stamp = {"ts": F.coalesce(own_ts, F.col("mtime")), "synth_ts": own_ts.isNull() & late}
+    ended = F.col("role").isNull() & (R.get(v, "$.type") == "turn_ended") & F.lower(R.get(v, "$.status")).isin("error", "failed")
+    ev = emit(
+        r, keep,
+        (is_user, {**stamp, "type": F.lit("user"), "text": F.col("prompt"), "injected_skills": F.col("skills")}),
+        (F.size(said) > 0, {**stamp, "type": F.lit("assistant"), "model": R.non_empty(R.get(v, "$.message.model")), "content": said}),
+        (F.size(results) > 0, {**stamp, "sub": F.lit(1), "type": F.lit("user"), "content": results}),
+        (ended, {**stamp, "type": F.lit("system"), "api_error": F.lit(True)}),
+        (~F.col("ok"), {"bad": F.lit(True)}))
     return canonical(ev)
 
 
@@ -168,14 +168,16 @@ def normalize_kv(kv: DataFrame, source: str = "cursor") -> DataFrame:
     raw_text = F.coalesce(R.non_empty(F.array_join(F.filter(F.transform("content", lambda x: x["text"]), lambda x: x.isNotNull()), "\n")), text, F.lit(""))
     keep = ["tenant_id", F.lit(source).alias("source"), F.concat(F.lit("kv:"), "session_id").alias("file_path"), "session_id",
             F.col("ordinal").cast("bigint").alias("ordinal"), "ts", F.lit(False).alias("is_sidechain")]
-    user = b.filter("btype = '1'").select(*keep, F.lit("user").alias("type"), clean_prompt(raw_text).alias("text"),
-                                          attached_skills(raw_text).alias("injected_skills")).filter("text <> '' or size(injected_skills) > 0")
     usage = F.when(has_tok, F.struct(tin.alias("input"), tout.alias("output"), F.lit(0).cast("bigint").alias("cache_read"), F.lit(0).cast("bigint").alias("cache_creation")))
-    bot = b.filter((F.col("btype") == "2") & ((F.size("content") > 0) | has_tok)).select(
-        *keep, F.lit("assistant").alias("type"), F.coalesce("model", F.when(has_tok, "cursor")).alias("model"), "content", usage.alias("usage"))
-    res = b.filter("btype = '2' and failed is not null").select(
-        *keep, F.lit(1).alias("sub"), F.lit("user").alias("type"), F.array(result_block(F.col("failed"))).alias("content"))
-    return canonical(user.unionByName(bot, True).unionByName(res, True))
+    b = b.withColumn("raw_text", F.when(F.col("btype") == "1", raw_text)).withColumn("prompt", clean_prompt(F.col("raw_text"))).withColumn(
+        "skills", attached_skills(F.col("raw_text"))).withColumn("has_tok", has_tok)
+    bot = F.col("btype") == "2"
+    return canonical(emit(
+        b, keep,
+        ((F.col("btype") == "1") & ((F.col("prompt") != "") | (F.size("skills") > 0)), {"type": F.lit("user"), "text": F.col("prompt"), "injected_skills": F.col("skills")}),
+        (bot & ((F.size("content") > 0) | F.col("has_tok")), {"type": F.lit("assistant"), "model": F.coalesce("model", F.when(F.col("has_tok"), "cursor")),
+                                                             "content": F.col("content"), "usage": usage}),
+        (bot & F.col("failed").isNotNull(), {"sub": F.lit(1), "type": F.lit("user"), "content": F.array(result_block(F.col("failed")))})))
 
 
 # ---- the two copies ----------------------------------------------------------------
@@ -229,7 +231,9 @@ def resolve_servers(events: DataFrame, servers: DataFrame) -> DataFrame:
 
 def prefer_store(jsonl: DataFrame, kv: DataFrame) -> DataFrame:
     """Union of both copies: the store wins, its sessions take workspace and edit texts from
-    the JSONL twin; subagent files exist only as JSONL and are kept."""
+    the JSONL twin; subagent files exist only as JSONL and are kept.
+
+    Both inputs are read several times here; pass written tables, not unread transcripts."""
     ids = kv.select("tenant_id", "session_id").distinct()
     root = F.col("is_sidechain") == F.lit(False)
     twins = jsonl.filter(root).join(ids, ["tenant_id", "session_id"], "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomtrace.functions import tools as T
-from loomtrace.schema import BLOCK, canonical, result_block, text_block, thinking_block
+from loomtrace.schema import BLOCK, canonical, emit, result_block, text_block, thinking_block
 from loomtrace.sources import files as R
 from loomtrace.sources.inputs import call_blocks
 
@@ -35,8 +35,8 @@ def normalize(docs: DataFrame, tenant: Column, source: Column | None = None) ->
     e = base.withColumn("ts", R.iso(R.get(m, "$.timestamp"))).withColumn(
         "role", R.first_of(R.get(m, "$.type"), R.get(m, "$.role"))).withColumn("txt", R.joined_texts(m, "$.content"))
     keep = ["tenant_id", "source", "file_path", "session_id", "cwd", "ordinal", "ts"]
-    user = e.filter((F.col("role") == "user") & (F.col("txt") != "")).select(*keep, F.lit("user").alias("type"), F.col("txt").alias("text"))
-    bot = e.filter(F.col("role").isin("gemini", "model", "assistant"))
+    is_user = (F.col("role") == "user") & (F.col("txt") != "")
+    is_bot = F.col("role").isin("gemini", "model", "assistant")
 
     def thought(t: Column) -> Column:
         s, desc = F.coalesce(R.get(t, "$.subject"), F.lit("")), F.coalesce(R.get(t, "$.description"), F.lit(""))
@@ -53,16 +53,18 @@ def normalize(docs: DataFrame, tenant: Column, source: Column | None = None) ->
                            F.array().cast(f"array<{BLOCK}>")),
                        call_blocks(named))
     n = lambda k: R.count_int(R.get(m, f"$.tokens.{k}"))
-    said = bot.select(*keep, F.lit("assistant").alias("type"), R.non_empty(R.get(m, "$.model")).alias("model"), content.alias("content"),
-                      F.struct(n("input").alias("input"), (n("output") + n("thoughts")).alias("output"), n("cached").alias("cache_read"),
-                               F.lit(0).cast("bigint").alias("cache_creation")).alias("usage"))
+    usage = F.struct(n("input").alias("input"), (n("output") + n("thoughts")).alias("output"), n("cached").alias("cache_read"),
+                     F.lit(0).cast("bigint").alias("cache_creation"))
 
     def failed(c: Column) -> Column:
         return (F.lower(F.coalesce(R.get(c, "$.status"), F.lit(""))) == "error") | R.truthy(c, "$.result[0].functionResponse.response.error")
 
-    results = bot.filter(F.size(calls(m)) > 0).select(
-        *keep, F.lit(1).alias("sub"), F.lit("user").alias("type"), F.transform(objects, lambda c: result_block(failed(c))).alias("content"))
-    return canonical(user.unionByName(said, True).unionByName(results, True))
+    results = F.transform(objects, lambda c: result_block(failed(c)))
+    return canonical(emit(
+        e, keep,
+        (is_user, {"type": F.lit("user"), "text": F.col("txt")}),
+        (is_bot, {"type": F.lit("assistant"), "model": R.non_empty(R.get(m, "$.model")), "content": content, "usage": usage}),
+        (is_bot & (F.size(calls(m)) > 0), {"sub": F.lit(1), "type": F.lit("user"), "content": results})))
 
 
 def read(spark: SparkSession, paths, tenant: str = "local", since: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomtrace.functions import tools as T
-from loomtrace.schema import canonical, result_block, text_block, thinking_block, tool_block
+from loomtrace.schema import canonical, emit, result_block, text_block, thinking_block, tool_block
 from loomtrace.sources import files as R
 from loomtrace.sources.inputs import canonical_input, parse
 
@@ -93,15 +93,16 @@ def assemble(sessions: DataFrame, messages: DataFrame, parts: DataFrame, source:
     texts = F.filter(F.transform(ps, lambda x: x["txt"]), lambda t: t.isNotNull())
     summary = F.filter(F.array(R.non_empty(R.get(v, "$.summary.title")), R.non_empty(R.get(v, "$.summary.body"))), lambda t: t.isNotNull())
     prompt = F.array_join(F.when(F.size(texts) > 0, texts).otherwise(summary), "\n")
-    user = m.filter((R.get(v, "$.role") == "user") & (prompt != "")).select(*keep, F.lit(0).alias("k"), F.lit("user").alias("type"), prompt.alias("text"))
-    bot = m.filter(R.get(v, "$.role") == "assistant")
+    role = R.get(v, "$.role")
     blocks = F.filter(F.transform(ps, lambda x: x["block"]), lambda b: b.isNotNull())
     results = F.filter(F.transform(ps, lambda x: x["result"]), lambda b: b.isNotNull())
-    said = bot.select(*keep, F.lit(0).alias("k"), F.lit("assistant").alias("type"), R.non_empty(R.get(v, "$.modelID")).alias("model"), blocks.alias("content"))
-    outcome = bot.filter(F.size(results) > 0).select(*keep, F.lit(1).alias("k"), F.lit("user").alias("type"), results.alias("content"))
-    ev = user.unionByName(said, True).unionByName(outcome, True)
+    ev = emit(
+        m, keep,
+        ((role == "user") & (prompt != ""), {"sub": F.lit(0), "type": F.lit("user"), "text": prompt}),
+        (role == "assistant", {"sub": F.lit(0), "type": F.lit("assistant"), "model": R.non_empty(R.get(v, "$.modelID")), "content": blocks}),
+        ((role == "assistant") & (F.size(results) > 0), {"sub": F.lit(1), "type": F.lit("user"), "content": results}))
     # messages created in the same millisecond are told apart by their store key
-    sub = (F.pmod(F.xxhash64("tie"), F.lit(1 << 29)) * 2 + F.col("k")).cast("int")
+    sub = (F.pmod(F.xxhash64("tie"), F.lit(1 << 29)) * 2 + F.col("sub")).cast("int")
     return canonical(ev.withColumn("sub", sub))
 
 

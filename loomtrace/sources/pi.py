@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomtrace.operators import sequence as S
-from loomtrace.schema import canonical, result_block
+from loomtrace.schema import canonical, emit, result_block
 from loomtrace.sources import files as R
 from loomtrace.sources.inputs import content_blocks, resolve_common
 
@@ -24,13 +24,13 @@ def normalize(lines: DataFrame, tenant: Column, source: Column | None = None) ->
         "ts", F.coalesce(R.iso(R.get(v, "$.timestamp")), R.millis(R.get(v, "$.message.timestamp"))))
     text = R.joined_texts(v, "$.message.content")
     keep = [*FILE, "ordinal", "ts"]
-    user = m.filter((F.col("role") == "user") & (text != "")).select(*keep, F.lit("user").alias("type"), text.alias("text"))
-    said = m.filter("role = 'assistant'").select(
-        *keep, F.lit("assistant").alias("type"), R.non_empty(R.get(v, "$.message.model")).alias("model"),
-        content_blocks(v, "$.message.content", resolve_common).alias("content"))
-    result = m.filter("role = 'toolResult'").select(
-        *keep, F.lit("user").alias("type"), F.array(result_block(R.truthy(v, "$.message.isError"))).alias("content"))
-    ev = user.unionByName(said, True).unionByName(result, True)
+    role = F.col("role")
+    ev = emit(
+        m, keep,
+        ((role == "user") & (text != ""), {"type": F.lit("user"), "text": text}),
+        (role == "assistant", {"type": F.lit("assistant"), "model": R.non_empty(R.get(v, "$.message.model")),
+                               "content": content_blocks(v, "$.message.content", resolve_common)}),
+        (role == "toolResult", {"type": F.lit("user"), "content": F.array(result_block(R.truthy(v, "$.message.isError")))}))
     ev = S.join_keys(ev, head, FILE)
     return canonical(ev.withColumn("session_id", F.coalesce("h.id", R.base_id(F.col("file_path")))).withColumn("cwd", F.col("h.cwd")))
 

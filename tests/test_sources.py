@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from loomtrace.plans.tables import materialize
 from loomtrace.sources import antigravity, canonical, codex, cursor, files, gemini, history, opencode, pi
 
 
@@ -71,7 +72,7 @@ def test_rollout_usage_deltas_by_model_and_month(spark, tmp_path):
         tok("2026-01-30T00:00:03Z", 100, 40, 10, 5), tok("2026-01-30T00:00:04Z", 150, 60, 20, 5),
         {"type": "turn_context", "payload": {"model": "B"}},
         tok("2026-01-31T00:00:00Z", 200, 60, 30, 5), tok("2026-02-01T00:00:00Z", 260, 80, 40, 5)])
-    df = codex.read(spark, p)
+    df = materialize(codex.read(spark, p, work=str(tmp_path / "w")), str(tmp_path / "out"))
     u = {(r.model, r.ts.strftime("%Y-%m")): (r.usage.input, r.usage.cache_read, r.usage.output) for r in df.filter("is_usage_only").collect()}
     assert u == {("A", "2026-01"): (90, 60, 25), ("B", "2026-01"): (50, 0, 10), ("B", "2026-02"): (40, 20, 10)}
     assert events(df.filter("type='user'"), "text", "session_id", "cwd", "is_sidechain") == [("do it", "c1", "/w", False)]
@@ -90,7 +91,7 @@ def test_rollout_tools_results_and_child_links(spark, tmp_path):
         {"type": "response_item", "payload": {"type": "function_call", "name": "spawn_agent", "arguments": json.dumps({"task_name": "q"}), "call_id": "c3"}},
         {"type": "response_item", "payload": {"type": "function_call_output", "call_id": "c3", "output": {"agent_id": "z9", "submission_id": "s7"}}},
         {"type": "event_msg", "payload": {"type": "task_complete", "turn_id": "t1"}}])
-    df = codex.read(spark, p)
+    df = materialize(codex.read(spark, p, work=str(tmp_path / "w")), str(tmp_path / "out"))
     calls = [(r.b.name, json.loads(r.b.input)) for r in df.select("ordinal", "sub", F.explode("content").alias("b")).filter("b.type='tool_use'").orderBy("ordinal", "sub").collect()]
     assert [c[0] for c in calls] == ["Edit", "Edit", "Bash", "mcp__db_bot__get_x", "Agent"]
     assert calls[0][1] == {"file_path": "a.py", "new_string": "y\n", "old_string": "x\n"} and calls[2][1] == {"command": "ls && pytest"}
@@ -108,7 +109,7 @@ def test_rollout_tools_results_and_child_links(spark, tmp_path):
 def test_rollout_without_prompt_is_skipped(spark, tmp_path):
     p = rollout(tmp_path, "seed.jsonl", [{"type": "session_meta", "payload": {"id": "e"}},
                                          {"type": "response_item", "payload": {"type": "message", "role": "user", "content": "whats 2+2?"}}])
-    assert codex.read(spark, p).count() == 0
+    assert codex.read(spark, p, work=str(tmp_path / "w")).count() == 0
 
 
 def test_document_transcript(spark, tmp_path):
@@ -173,7 +174,7 @@ def test_editor_copies_complement_each_other(spark, tmp_path):
         {"role": "assistant", "message": {"content": [{"type": "tool_use", "name": "plugin-atl-search", "input": {}}, {"type": "tool_use", "name": "Read", "input": {"path": "/Users/u/r/b.py"}}]}},
         {"type": "turn_ended", "status": "error"}])
     sub = jl(base / "c1" / "subagents" / "k.jsonl", [{"role": "user", "message": {"content": "child"}}])
-    jsonl = cursor.read_jsonl(spark, [p, q, sub])
+    jsonl = materialize(cursor.read_jsonl(spark, [p, q, sub]), str(tmp_path / "w1"))
     got = events(jsonl.filter("file_path like '%c2.jsonl'"), "type", "synth_ts", "api_error")
     assert got == [("user", False, False), ("assistant", True, False), ("system", True, True)]
     u = jsonl.filter("file_path like '%c1.jsonl' and type='user'").first()
@@ -187,7 +188,7 @@ def test_editor_copies_complement_each_other(spark, tmp_path):
         ("local", "bubbleId:c1:b1", json.dumps({"createdAt": "2026-01-05T00:00:00Z", "text": "fix it"})),
         ("local", "bubbleId:c1:b2", json.dumps({"createdAt": "2026-01-05T00:00:09Z", "toolFormerData": {"name": "search_replace", "params": json.dumps({"relativeWorkspacePath": "a.py"}), "status": "error"}, "tokenCount": {"inputTokens": 4, "outputTokens": 1}}))],
         "tenant_id string, key string, value string")
-    both = cursor.prefer_store(jsonl, cursor.normalize_kv(kv))
+    both = materialize(cursor.prefer_store(jsonl, materialize(cursor.normalize_kv(kv), str(tmp_path / "w2"))), str(tmp_path / "w3"))
     assert both.filter("session_id='c1' and not is_sidechain and file_path like '%jsonl'").count() == 0
     bot = both.filter("session_id='c1' and type='assistant'").first()
     inp = spark.createDataFrame([(bot.content[0].input,)], "j string").select(F.from_json("j", "new_string string, file_path string").alias("s")).first().s
