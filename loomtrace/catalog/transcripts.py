@@ -1 +1,167 @@
-"""Queries."""
+"""Whole jobs over transcripts that are derived from the event table.
+
+The given tables hold no transcripts, so each event becomes one transcript event: clicks
+read files, plan or run commands, views query a knowledge server, purchases edit a file,
+sign-ups prompt or dispatch an agent, errors are failed tool results.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from loomtrace.catalog.registry import Tables, query
+from loomtrace.operators import aggregates as A
+from loomtrace.plans import facts as FX, ordered as O, stats as ST
+from loomtrace.plans.tables import materialize, work_dir
+from loomtrace.schema import BLOCK, canonical, result_block, tool_block
+
+SOURCES = ["claude", "codex", "cursor", "gemini"]
+MODELS = ["claude-opus-4-7", "claude-sonnet-4-5", "gpt-5.4", "gpt-5-mini"]
+
+
+def transcripts(t: Tables) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    et, u = F.col("event_type"), F.col("user_id")
+    pick = lambda vals, i: F.element_at(F.array(*[F.lit(v) for v in vals]), (i % len(vals) + 1).cast("int"))
+    src = pick(SOURCES, u)
+    path = F.concat(F.lit("src/m"), (k % 20).cast("string"), F.lit(".py"))
+    js = lambda **kw: F.to_json(F.struct(*[c.alias(n) for n, c in kw.items()]))
+    read = tool_block(F.lit("Read"), js(file_path=path))
+    test = tool_block(F.lit("Bash"), js(command=F.lit("pytest -q && git commit -m x")))
+    todo = tool_block(F.lit("TodoWrite"), js(todos=F.array(*[F.struct(F.concat(F.lit(f"step {i} "), k.cast("string")).alias("content")) for i in range(3)])))
+    ask = tool_block(F.lit("mcp__memory__search_notes"), js(query=path))
+    edit = tool_block(F.lit("Edit"), js(file_path=path, old_string=F.lit("a"), new_string=F.repeat(F.lit("x\n"), k % 40 + 1)))
+    agent = tool_block(F.lit("Agent"), js(subagent_type=F.when(k % 8 == 0, "planner").otherwise("worker")))
+    click = F.when(k % 10 == 0, test).when(k % 10 == 1, todo).otherwise(read)
+    dispatch = (et == "signup") & (k % 4 == 0)
+    tool = F.when(et == "click", click).when(et == "view", ask).when(et == "purchase", edit).when(dispatch, agent)
+    is_error = et == "error"
+    content = F.when(is_error, F.array(result_block(F.lit(True)))).when(tool.isNotNull(), F.array(tool))
+    return canonical(t.events.select(
+        F.concat(F.lit("dev"), (u % 5).cast("string")).alias("tenant_id"), src.alias("source"),
+        F.concat(F.lit("/t/"), src, F.lit("/u"), u.cast("string"), F.lit(".jsonl")).alias("file_path"), F.col("event_id").alias("ordinal"),
+        F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), u.cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
+        F.concat(F.lit("/repo"), (u % 3).cast("string")).alias("cwd"), F.lit(False).alias("is_sidechain"),
+        F.when(is_error | ((et == "signup") & ~dispatch), "user").otherwise("assistant").alias("type"),
+        F.when(tool.isNotNull(), pick(MODELS, k)).alias("model"),
+        F.when((et == "signup") & ~dispatch, F.concat(F.lit("please build item "), k.cast("string"))).alias("text"), content.cast(f"array<{BLOCK}>").alias("content")))
+
+
+# the same mapping for SQL
+T = """
+WITH t AS (SELECT event_id AS o, ts, strftime(ts, '%Y-%m') AS month, 'dev' || (user_id % 5) AS tenant_id, user_id AS u,
+    ['claude','codex','cursor','gemini'][CAST(user_id % 4 + 1 AS INT)] AS source, 'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS session_id,
+    CAST(json_extract(props, '$.k') AS INT) AS k, event_type AS et FROM events),
+ c AS (SELECT *, CASE WHEN et = 'click' THEN CASE WHEN k % 10 = 0 THEN 'Bash' WHEN k % 10 = 1 THEN 'TodoWrite' ELSE 'Read' END
+    WHEN et = 'view' THEN 'mcp' WHEN et = 'purchase' THEN 'Edit' WHEN et = 'signup' AND k % 4 = 0 THEN 'Agent' WHEN et = 'error' THEN 'error' ELSE 'prompt' END AS tool FROM t)"""
+
+
+def prepared(t: Tables):
+    w = work_dir(t.spark)
+    b = materialize(FX.base(transcripts(t)), f"{w}/base")
+    return b, materialize(FX.tool_calls(b), f"{w}/tool_calls"), FX.tool_results(b)
+
+
+@query("monthly_habits", T + """,
+ p AS (SELECT *, lag(tool) OVER (PARTITION BY u, session_id ORDER BY o) AS prev FROM c WHERE tool <> 'prompt')
+SELECT month, CAST(count(*) FILTER (tool NOT IN ('error', 'prompt')) AS BIGINT) AS tool_calls,
+  CAST(count(*) FILTER (tool = 'prompt') AS BIGINT) AS prompts,
+  round(count(*) FILTER (tool IN ('Read', 'mcp')) / (count(*) FILTER (tool IN ('Bash', 'Edit', 'Agent')) - count(*) FILTER (tool = 'Agent' AND k % 8 = 0)), 6) AS explore_to_doing,
+  round((SELECT count(*) FROM p WHERE p.month = c.month AND prev = 'error' AND tool <> 'error') / count(*) FILTER (tool = 'error'), 6) AS error_recovery
+FROM c GROUP BY 1""")
+def _(t: Tables):
+    b = FX.base(transcripts(t))
+    calls = FX.tool_calls(b)
+    results = FX.tool_results(b)
+    rec = FX.recovered(calls, results)
+    n = lambda **kw: [kw.get(c, F.lit(0)).cast("bigint").alias(c) for c in ("calls", "explore", "raw", "dispatch", "prompts", "errors", "recovered")]
+    one, cat = F.lit(1), F.col("category")
+    parts = (calls.select("month", *n(calls=one, explore=(cat == "explore").cast("int"), raw=cat.isin("produce", "execute", "delegate").cast("int"),
+                                      dispatch=F.col("plan_dispatch").cast("int")))
+             .unionByName(FX.prompts(b).filter("not bare_command").select("month", *n(prompts=one)))
+             .unionByName(results.filter("error_flag").select("month", *n(errors=one)))
+             .unionByName(rec.select("month", *n(recovered=one))))
+    s = parts.groupBy("month").agg(*[F.sum(c).alias(c) for c in ("calls", "explore", "raw", "dispatch", "prompts", "errors", "recovered")])
+    from loomtrace.operators.joins import adjusted_doing
+    return s.select("month", F.col("calls").alias("tool_calls"), "prompts",
+                    F.round(F.col("explore") / adjusted_doing(F.col("raw"), F.col("dispatch")), 6).alias("explore_to_doing"),
+                    F.round(F.col("recovered") / F.col("errors"), 6).alias("error_recovery"))
+
+
+@query("session_eligibility", T + """,
+ w AS (SELECT *, CASE WHEN tool = 'Edit' THEN k % 40 + 2 ELSE 0 END AS loc, min(CASE WHEN tool = 'Edit' THEN o END) OVER (PARTITION BY tenant_id, source, session_id) AS cut FROM c),
+ s AS (SELECT tenant_id, source, session_id, count(DISTINCT CASE WHEN tool = 'Edit' THEN k % 20 END) AS files, sum(loc) AS churn,
+    count(DISTINCT CASE WHEN tool = 'Read' THEN k % 20 END) + count(*) FILTER (tool IN ('Edit', 'mcp', 'Bash', 'Agent')) AS substantive,
+    count(DISTINCT CASE WHEN tool = 'Read' THEN k % 20 END) + count(*) FILTER (tool IN ('Edit', 'mcp', 'Bash')) AS own,
+    coalesce(bool_or((cut IS NULL OR o < cut) AND tool IN ('Read', 'mcp')), false) AS ev,
+    coalesce(bool_or((cut IS NULL OR o < cut) AND (tool = 'TodoWrite' OR (tool = 'Agent' AND k % 8 = 0))), false) AS planned FROM w GROUP BY 1, 2, 3)
+SELECT tenant_id, source, CAST(count(*) FILTER (files > 0 AND (files >= 2 OR churn >= 80 OR substantive >= 10)) AS BIGINT) AS eligible,
+  CAST(count(*) FILTER (files > 0 AND (files >= 2 OR churn >= 80 OR substantive >= 10) AND ev) AS BIGINT) AS evidence,
+  CAST(count(*) FILTER (files > 0 AND (files >= 2 OR churn >= 80 OR substantive >= 10) AND planned) AS BIGINT) AS planned_intra,
+  CAST(count(*) FILTER (files > 0 AND (files >= 3 OR own >= 20)) AS BIGINT) AS orchestratable
+FROM s GROUP BY 1, 2""")
+def _(t: Tables):
+    b, calls, results = prepared(t)
+    s, _ = O.session_facts(calls, FX.outcomes(results))
+    return s.groupBy("tenant_id", "source").agg(
+        A.count_if(F.col("eligible")).alias("eligible"), A.count_if(F.col("eligible") & F.col("evidence_before")).alias("evidence"),
+        A.count_if(F.col("eligible") & F.col("planned_intra")).alias("planned_intra"), A.count_if(F.col("orchestratable")).alias("orchestratable"))
+
+
+@query("iteration_runs", T + """,
+ e AS (SELECT *, sum(CASE WHEN tool = 'Bash' THEN 1 ELSE 0 END) OVER (PARTITION BY u, session_id ORDER BY o) AS ep FROM c),
+ r AS (SELECT tenant_id, u, session_id, ep, k % 20 AS p, count(*) AS depth, arg_max(month, o) AS month FROM e WHERE tool = 'Edit' GROUP BY ALL)
+SELECT tenant_id, month, depth, CAST(count(*) AS BIGINT) AS runs FROM r GROUP BY ALL""")
+def _(t: Tables):
+    r = FX.edit_runs(FX.tool_calls(FX.base(transcripts(t))))
+    return r.groupBy("tenant_id", "month", "depth").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query("grounded_sessions", T + """,
+ g AS (SELECT *, lag(tool) OVER (PARTITION BY u, session_id ORDER BY o) AS prev FROM c WHERE tool IN ('mcp', 'Edit'))
+SELECT tenant_id, source, CAST(count(DISTINCT session_id) FILTER (tool = 'Edit') AS BIGINT) AS write_sessions,
+  CAST(count(DISTINCT session_id) FILTER (tool = 'Edit' AND prev = 'mcp') AS BIGINT) AS grounded FROM g GROUP BY 1, 2""")
+def _(t: Tables):
+    b = FX.base(transcripts(t))
+    rows = FX.grounding_rows(b, FX.tool_calls(b))
+    hit = FX.grounded(rows).select("tenant_id", "source", "session_id", F.lit(0).alias("w"), F.lit(1).alias("g"))
+    per = (rows.filter("write or arm").select("tenant_id", "source", "session_id", F.col("write").cast("int").alias("w"), F.lit(0).alias("g")).unionByName(hit)
+           .groupBy("tenant_id", "source", "session_id").agg(F.max("w").alias("w"), F.max("g").alias("g")))
+    return per.groupBy("tenant_id", "source").agg(F.sum("w").cast("bigint").alias("write_sessions"), F.sum("g").cast("bigint").alias("grounded"))
+
+
+@query("name_usage", T + """,
+ n AS (SELECT tenant_id, source, month, o, CASE tool WHEN 'mcp' THEN 'mcp__memory__search_notes' ELSE tool END AS name FROM c WHERE tool NOT IN ('error', 'prompt')),
+ g AS (SELECT tenant_id, name, count(*) AS n, min(o) AS f FROM n GROUP BY 1, 2)
+SELECT tenant_id, name, n, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY n DESC, name) AS INTEGER) AS rank FROM g""")
+def _(t: Tables):
+    b = FX.base(transcripts(t))
+    calls = FX.tool_calls(b)
+    names = ST.name_counts(b, calls, FX.skill_uses(b, calls)).filter("kind = 'tool'")
+    g = names.groupBy("tenant_id", "name").agg(F.sum("n").alias("n"))
+    return A.rank_counts(g, ["tenant_id"], 100, "n", ["name"])
+
+
+INPUT_COLUMNS = ["total_sessions", "prompts", "tool_calls", "assistant_turns", "tool_errors", "recovered", "cat_explore", "cat_produce", "cat_execute", "cat_delegate",
+                 "cat_plan", "planning_dispatch", "mcp_calls", "lines_added", "lines_removed", "test_runs", "commits", "tool_distinct", "model_distinct", "server_distinct",
+                 "delegating_sessions", "plan_sessions", "planning_eligible", "active_days", "polite_prompts"]
+
+
+@query("scoring_input_counters", T + f""",
+ x AS (SELECT c.*, lag(tool) OVER (PARTITION BY u, session_id ORDER BY o) AS prev_any FROM c),
+ p AS (SELECT o, lag(tool) OVER (PARTITION BY u, session_id ORDER BY o) AS prev FROM c WHERE tool <> 'prompt'),
+ y AS (SELECT x.*, p.prev, unnest([1, 2, 3, 4]) AS g FROM x LEFT JOIN p ON p.o = x.o),
+ z AS (SELECT *, CASE WHEN g IN (1, 3) THEN '*' ELSE source END AS g_source, CASE WHEN g IN (1, 2) THEN '*' ELSE month END AS g_month FROM y)
+SELECT tenant_id, g_source, g_month, CAST(count(DISTINCT session_id) AS BIGINT) AS total_sessions, count(*) FILTER (tool = 'prompt') AS prompts,
+ count(*) FILTER (tool NOT IN ('error', 'prompt')) AS tool_calls, count(*) FILTER (tool NOT IN ('error', 'prompt')) AS assistant_turns, count(*) FILTER (tool = 'error') AS tool_errors,
+ count(*) FILTER (tool NOT IN ('error', 'prompt') AND prev = 'error') AS recovered, count(*) FILTER (tool IN ('Read', 'mcp')) AS cat_explore, count(*) FILTER (tool = 'Edit') AS cat_produce,
+ count(*) FILTER (tool = 'Bash') AS cat_execute, count(*) FILTER (tool = 'Agent') AS cat_delegate, count(*) FILTER (tool = 'TodoWrite') AS cat_plan,
+ count(*) FILTER (tool = 'Agent' AND k % 8 = 0) AS planning_dispatch, count(*) FILTER (tool = 'mcp') AS mcp_calls,
+ CAST(coalesce(sum(k % 40 + 1) FILTER (tool = 'Edit'), 0) AS BIGINT) AS lines_added, count(*) FILTER (tool = 'Edit') AS lines_removed,
+ count(*) FILTER (tool = 'Bash') AS test_runs, count(*) FILTER (tool = 'Bash') AS commits, count(DISTINCT tool) FILTER (tool NOT IN ('error', 'prompt')) AS tool_distinct,
+ count(DISTINCT k % 4) FILTER (tool NOT IN ('error', 'prompt')) AS model_distinct, count(DISTINCT 1) FILTER (tool = 'mcp') AS server_distinct,
+ count(DISTINCT session_id) FILTER (tool = 'Agent') AS delegating_sessions, count(DISTINCT session_id) FILTER (tool = 'TodoWrite' OR (tool = 'Agent' AND k % 8 = 0)) AS plan_sessions,
+ count(DISTINCT session_id) FILTER (source <> 'gemini') AS planning_eligible, count(DISTINCT CAST(ts AS DATE)) AS active_days, count(*) FILTER (tool = 'prompt') AS polite_prompts
+FROM z GROUP BY 1, 2, 3""")
+def _(t: Tables):
+    wide = ST.scoring_inputs(transcripts(t), work_dir(t.spark))
+    return wide.select("tenant_id", "g_source", "g_month", *[F.col(c).cast("bigint").alias(c) for c in INPUT_COLUMNS])

@@ -154,29 +154,39 @@ def activity_buckets(df: DataFrame, keys: list[str], ts: str, width_s: int) -> D
             .agg(F.min(us).alias("__lo"), F.max(us).alias("__hi")))
 
 
-def _active_rows(df: DataFrame, keys: list[str], ts: str, cap_s: int) -> DataFrame:
+def merge_buckets(buckets: DataFrame, keys: list[str]) -> DataFrame:
+    """Bring buckets to a coarser key (e.g. from source and month up to the tenant)."""
+    return buckets.groupBy(*keys, "__b").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+
+
+def with_tail(buckets: DataFrame, keys: list[str], cap_s: int) -> DataFrame:
+    """Active time after each bucket: the capped gap to the key's next bucket."""
     w = Window.partitionBy(*keys).orderBy("__b")
-    b = activity_buckets(df, keys, ts, cap_s)
     gap = F.lead("__lo").over(w) - F.col("__hi")
-    return b.withColumn("__tail", F.coalesce(F.least(gap, F.lit(cap_s * US)), F.lit(0)))
+    return buckets.withColumn("__tail", F.coalesce(F.least(gap, F.lit(cap_s * US)), F.lit(0)))
 
 
 def capped_duration(df: DataFrame, keys: list[str], ts: str, cap_s: int = 600) -> DataFrame:
     """Seconds of activity per key: consecutive gaps, each capped."""
-    rows = _active_rows(df, keys, ts, cap_s)
-    return rows.groupBy(*keys).agg(
+    return duration_of_buckets(activity_buckets(df, keys, ts, cap_s), keys, cap_s)
+
+
+def duration_of_buckets(buckets: DataFrame, keys: list[str], cap_s: int = 600) -> DataFrame:
+    return with_tail(buckets, keys, cap_s).groupBy(*keys).agg(
         (F.sum(F.col("__hi") - F.col("__lo") + F.col("__tail")) / F.lit(float(US))).alias("active_s"))
 
 
 def active_union(df: DataFrame, owner: list[str], session: list[str], ts: str,
                  cap_s: int = 600) -> DataFrame:
-    """Seconds covered by the union of all sessions' active intervals, per owner.
+    """Seconds covered by the union of all sessions' active intervals, per owner."""
+    return union_of_buckets(activity_buckets(df, owner + session, ts, cap_s), owner, session, cap_s)
 
-    An interval is shorter than two caps, so it is cut at fixed slot borders and the union
-    is taken per (owner, slot); the sum over slots is exactly the global union.
-    """
+
+def union_of_buckets(buckets: DataFrame, owner: list[str], session: list[str], cap_s: int = 600) -> DataFrame:
+    """An interval is shorter than two caps, so it is cut at fixed slot borders and the union
+    is taken per (owner, slot); the sum over slots is exactly the global union."""
     slot = cap_s * US
-    iv = (_active_rows(df, owner + session, ts, cap_s)
+    iv = (with_tail(buckets, owner + session, cap_s)
           .select(*owner, F.col("__lo").alias("s"), (F.col("__hi") + F.col("__tail")).alias("e")))
     cut = (iv.withColumn("slot", F.explode(F.sequence(F.floor(F.col("s") / F.lit(slot)),
                                                       F.floor(F.col("e") / F.lit(slot)))))
@@ -194,10 +204,13 @@ def active_union(df: DataFrame, owner: list[str], session: list[str], ts: str,
 def longest_burst(df: DataFrame, owner: list[str], session: list[str], ts: str,
                   gap_s: int = 1800, cap_s: int = 600) -> DataFrame:
     """Longest stretch of one session without a gap above `gap_s`, in seconds, per owner."""
+    return burst_of_buckets(activity_buckets(df, owner + session, ts, min(gap_s, cap_s)), owner, session, gap_s)
+
+
+def burst_of_buckets(buckets: DataFrame, owner: list[str], session: list[str], gap_s: int = 1800) -> DataFrame:
     keys = owner + session
     w = Window.partitionBy(*keys).orderBy("__b")
-    b = activity_buckets(df, keys, ts, min(gap_s, cap_s))
-    b = b.withColumn("__new", F.when(F.col("__lo") - F.lag("__hi").over(w) > gap_s * US, 1).otherwise(0))
+    b = buckets.withColumn("__new", F.when(F.col("__lo") - F.lag("__hi").over(w) > gap_s * US, 1).otherwise(0))
     b = b.withColumn("__run", F.sum("__new").over(w))
     runs = b.groupBy(*keys, "__run").agg((F.max("__hi") - F.min("__lo")).alias("__len"))
     return runs.groupBy(*owner).agg((F.max("__len") / F.lit(float(US))).alias("longest_s"))

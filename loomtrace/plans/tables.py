@@ -5,17 +5,22 @@ lost executor costs one stage and not the whole chain, and later plans stay smal
 """
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, override: str | None = None) -> str:
-    """Shared folder for written stages: the cluster's checkpoint folder, else the override."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or override
+    """New folder for written stages below the cluster's shared checkpoint folder.
+
+    Only a local session without that setting falls back to a temporary folder.
+    """
+    base = override or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder, or pass one")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="loomtrace-")
     return f"{base.rstrip('/')}/loomtrace-{uuid.uuid4().hex[:12]}"
 
 
