@@ -1,7 +1,7 @@
 """Tool-call classifiers."""
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -10,7 +10,7 @@ from loomtrace import dims
 
 def contains_any(c: Column, needles: list[str]) -> Column:
     """True when any needle occurs anywhere in the text (substring match on purpose)."""
-    return F.coalesce(reduce(lambda a, b: a | b, [c.contains(n) for n in needles]), F.lit(False))
+    return F.coalesce(c.rlike("|".join(re.escape(n) for n in needles)), F.lit(False))
 
 
 def lookup(key: Column, table: dict[str, str], default: Column) -> Column:

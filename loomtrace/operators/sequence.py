@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomtrace.plans.tables import materialize
+
 US = 1_000_000
 
 
@@ -226,7 +228,7 @@ def nth_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_order: li
 
 
 def consume_once(artifacts: DataFrame, executions: DataFrame, keys: list[str], exec_id: list[str],
-                 t: str, window_s: float, group_rows: int = 4096) -> DataFrame:
+                 t: str, window_s: float, group_rows: int = 4096, work: str | None = None) -> DataFrame:
     """Credit executions with the earliest unused artifact of the last `window_s` seconds.
 
     Executions claim in time order and an artifact credits one execution.  With artifacts
@@ -239,7 +241,10 @@ def consume_once(artifacts: DataFrame, executions: DataFrame, keys: list[str], e
     Clamps compose into clamps, so groups of at most `group_rows` executions are reduced to
     one clamp each, the few group clamps are scanned per key, and every group is then
     replayed from its own start value.
+
+    Each step reads its input more than once; with a work folder the steps are written.
     """
+    keep = (lambda df, name: materialize(df, f"{work}/{name}")) if work else (lambda df, name: df)
     big = 1e18
     eid = F.struct(*[F.col(c) for c in exec_id])
     art = artifacts.select(*keys, F.col(t).cast("double").alias("__t"), F.lit(0).alias("__kind"),
@@ -247,10 +252,10 @@ def consume_once(artifacts: DataFrame, executions: DataFrame, keys: list[str], e
     hi = executions.select(*keys, F.col(t).cast("double").alias("__t"), F.lit(1).alias("__kind"), eid.alias("__id"))
     lo = executions.select(*keys, (F.col(t).cast("double") - F.lit(float(window_s))).alias("__t"),
                            F.lit(-1).alias("__kind"), eid.alias("__id"))
-    seq = art.unionByName(hi).unionByName(lo)
+    seq = keep(art.unionByName(hi).unionByName(lo), "credit_rows")
     day = F.when(F.col("__t") > big, F.lit(1 << 40)).otherwise(F.floor(F.col("__t") / 86400.0))
     order = ["__t", "__kind", "__id"]
-    seq = running_sum(seq, keys, order, day, F.when(F.col("__kind") == 0, 1).otherwise(0), "__arts")
+    seq = keep(running_sum(seq, keys, order, day, F.when(F.col("__kind") == 0, 1).otherwise(0), "__arts"), "credit_seen")
     seq = running_sum(seq, keys, order, day, F.when(F.col("__kind") == 1, 1).otherwise(0), "__n")
     ex = (seq.filter("__kind != 0").groupBy(*keys, "__id").agg(
         F.max(F.when(F.col("__kind") == 1, F.col("__arts"))).alias("R"),
@@ -258,6 +263,7 @@ def consume_once(artifacts: DataFrame, executions: DataFrame, keys: list[str], e
         F.max(F.when(F.col("__kind") == 1, F.col("__n"))).alias("n")))
     ex = ex.select(*keys, "__id", "n", "L", "R", (F.col("L") + 1 - F.col("n")).alias("lo"),
                    (F.col("R") - F.col("n")).alias("hi"), F.floor(F.col("n") / group_rows).alias("__g"))
+    ex = keep(ex, "credit_bounds")
     # one clamp per group of executions
     def clamp(acc: Column, x: Column) -> Column:
         def f(v):

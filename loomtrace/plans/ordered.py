@@ -71,7 +71,7 @@ def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None
     return s, artifacts
 
 
-def credit_plans(sessions: DataFrame, artifacts: DataFrame, scope: list[str]) -> DataFrame:
+def credit_plans(sessions: DataFrame, artifacts: DataFrame, scope: list[str], work: str | None = None) -> DataFrame:
     """Planned flag per session: own plan, or the earliest unused plan of the same directory
     within the look-back window.
 
@@ -87,6 +87,6 @@ def credit_plans(sessions: DataFrame, artifacts: DataFrame, scope: list[str]) ->
     credit = S.consume_once(
         pool.select(*scope, "cwd", "t"),
         pending.select(*scope, F.col("first_cwd").alias("cwd"), "source", "session_id", F.col("first_write").alias("t")),
-        scope + ["cwd"], ["source", "session_id"], "t", float(C["WINDOW"]))
+        scope + ["cwd"], ["source", "session_id"], "t", float(C["WINDOW"]), work=work)
     out = S.join_keys(sessions, credit.drop("cwd"), key)
     return out.withColumn("planned", F.col("eligible") & (F.col("planned_intra") | F.coalesce("credited", F.lit(False)))).drop("credited")

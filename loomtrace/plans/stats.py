@@ -226,15 +226,15 @@ def days(b: DataFrame) -> DataFrame:
     return g.groupBy(*GRAIN).agg(F.count(F.lit(1)).alias("active_days"), F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"), span.cast("bigint").alias("span_days"))
 
 
-def ordered_counts(calls: DataFrame, results: DataFrame, sm: DataFrame) -> DataFrame:
+def ordered_counts(calls: DataFrame, results: DataFrame, sm: DataFrame, work: str) -> DataFrame:
     """Eligible, planned, evidence, tested and orchestratable sessions per grain.
 
     Month grains use only that month's calls of a session, so they are derived on their own
     and are not a roll-up of the window facts.
     """
     out = FX.outcomes(results)
-    win, art = O.session_facts(calls, out)
-    mon, mart = O.session_facts(calls, out, ["month"])
+    win, art = (materialize(d, f"{work}/ordered_window_{i}") for i, d in enumerate(O.session_facts(calls, out)))
+    mon, mart = (materialize(d, f"{work}/ordered_month_{i}") for i, d in enumerate(O.session_facts(calls, out, ["month"])))
     none = F.lit(None).cast("string").alias("month")
 
     def grains(w: DataFrame, m: DataFrame) -> DataFrame:
@@ -242,8 +242,8 @@ def ordered_counts(calls: DataFrame, results: DataFrame, sm: DataFrame) -> DataF
         b = at_grains(m, "month").filter("g_month <> '*'").drop("month")
         return a.unionByName(b)
 
-    s, a = grains(win, mon), grains(art, mart)
-    s = O.credit_plans(s, a, GRAIN)
+    s = materialize(grains(win, mon), f"{work}/ordered_sessions")
+    s = materialize(O.credit_plans(s, grains(art, mart), GRAIN, work), f"{work}/ordered_credited")
     disp = at_grains(sm.filter("dispatches > 0 and session_id is not null").select("tenant_id", "source", "month", "session_id")).select(
         *GRAIN, "session_id").distinct().withColumn("delegated", F.lit(True))
     base = s.groupBy(*GRAIN).agg(
@@ -276,7 +276,7 @@ def scoring_inputs(events: DataFrame, work: str, git: DataFrame | None = None) -
     p2, k2 = RT.linked_spawns(b, calls)
     routing = RT.routing_measure(p1.unionByName(p2), k1.unionByName(k2), sm.select("tenant_id", "source").distinct()).withColumn("g_month", F.lit("*"))
     parts = [counters(sm), name_measures(names_at_grains(names)), scoreable_models(names), session_types(calls), activity(b),
-             depths(FX.edit_runs(calls)), prompt_lengths(prompts), days(b), ordered_counts(calls, results, sm), routing]
+             depths(FX.edit_runs(calls)), prompt_lengths(prompts), days(b), ordered_counts(calls, results, sm, work), routing]
     if git is not None:
         parts.append(git_at_grains(git))
     written = [materialize(p, f"{work}/part_{i}") for i, p in enumerate(parts)]
