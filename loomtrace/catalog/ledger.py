@@ -50,7 +50,7 @@ WITH d AS (SELECT o_custkey % 20 AS owner, l_orderkey, count(*) FILTER (l_return
            FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)
 SELECT owner, median(n) FILTER (n > 0) AS fanout_median, CAST(max(n) AS BIGINT) AS max_session_fanout,
        CAST(count(*) FILTER (n > 0) AS BIGINT) AS delegating_sessions,
-       round(count(*) FILTER (n >= 2) / count(*) FILTER (n > 0), 3) AS parallel_session_share
+       round_even(count(*) FILTER (n >= 2) / count(*) FILTER (n > 0), 3) AS parallel_session_share
 FROM d GROUP BY 1 HAVING count(*) FILTER (n > 0) > 0""")
 def _(t: Tables):
     j = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
@@ -137,7 +137,7 @@ def _(t: Tables):
 WITH s AS (SELECT source, lang, count(*) AS prompts, sum(n_chars) AS chars FROM documents GROUP BY 1, 2),
      t AS (SELECT lang, sum(prompts) AS p, sum(chars) AS c FROM s GROUP BY 1)
 SELECT lang, source, CAST(prompts AS BIGINT) AS prompts, CAST(chars AS BIGINT) AS chars,
-       round(prompts / p, 3) AS prompts_pct, round(chars / c, 3) AS chars_pct FROM s JOIN t USING (lang)""")
+       round_even(prompts / p, 3) AS prompts_pct, round_even(chars / c, 3) AS chars_pct FROM s JOIN t USING (lang)""")
 def _(t: Tables):
     return A.share_of_total(t.documents, ["lang"], "source",
                             {"prompts": F.count(F.lit(1)), "chars": F.sum("n_chars")})
@@ -164,7 +164,7 @@ WITH x AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month, l_orderkey AS
 SELECT month, CASE WHEN indexed = 0 THEN 'unknown' WHEN available = 0 THEN 'insufficient'
        WHEN available < indexed THEN 'partial' ELSE 'complete' END AS flag,
        CASE WHEN indexed > 0 THEN CAST(indexed AS BIGINT) END AS indexed, CAST(available AS BIGINT) AS available,
-       CASE WHEN indexed > 0 THEN round(available / indexed, 3) END AS coverage,
+       CASE WHEN indexed > 0 THEN round_even(available / indexed, 3) END AS coverage,
        CAST(available - CASE WHEN indexed > 0 THEN overlap ELSE 0 END AS BIGINT) AS transcript_only FROM b""")
 def _(t: Tables):
     x = t.lineitem.filter(F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp")).select(

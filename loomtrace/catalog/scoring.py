@@ -8,7 +8,7 @@ from loomtrace import dims
 from loomtrace.catalog.registry import Tables, query
 from loomtrace.functions import tools as T
 from loomtrace.operators import planning as P
-from loomtrace.plans import combine as CB, score as SC
+from loomtrace.plans import audit as AU, combine as CB, score as SC
 
 # signal -> aggregate over line items of the owner's orders (valid in Spark SQL and DuckDB)
 SIGNALS = {
@@ -98,10 +98,10 @@ AXES_SQL = INPUTS_SQL + f""",
   {{'axis': 'Token economy', 'v': least(1.0, cli_total / (cli_total + mcp_calls) / 0.7::DOUBLE)}}]) AS x FROM q)"""
 
 
-@query("axis_values", AXES_SQL + " SELECT owner, source, x.axis AS axis, round(x.v, 6) AS value FROM a WHERE x.v IS NOT NULL")
+@query("axis_values", AXES_SQL + " SELECT owner, source, x.axis AS axis, round(x.v, 9) AS value FROM a WHERE x.v IS NOT NULL")
 def _(t: Tables):
     d = SC.axis_values(inputs(t)).select("owner", F.col("g_source").alias("source"), F.explode("axes").alias("a"))
-    return d.filter("a.value is not null").select("owner", "source", F.col("a.axis").alias("axis"), F.round("a.value", 6).alias("value"))
+    return d.filter("a.value is not null").select("owner", "source", F.col("a.axis").alias("axis"), F.round("a.value", 9).alias("value"))
 
 
 _PILLARS = "CASE x.axis " + " ".join(f"WHEN '{a}' THEN '{p}'" for p, a, _ in dims.QUOTIENT_AXES) + " END"
@@ -114,11 +114,11 @@ WEIGHTS_SQL = AXES_SQL + f""",
  w AS (SELECT *, CAST(w0 + CASE WHEN last = 1 THEN 100 - sum(w0) OVER (PARTITION BY owner, source, pillar) ELSE 0 END AS INT) AS weight FROM r)"""
 
 
-@query("pillar_rescale", WEIGHTS_SQL + " SELECT owner, source, pillar, axis, weight, round(weight * v, 4) AS points FROM w")
+@query("pillar_rescale", WEIGHTS_SQL + " SELECT owner, source, pillar, axis, weight, round(weight * v, 8) AS points FROM w")
 def _(t: Tables):
     s = SC.quotient(inputs(t), ["owner", "g_source"])
     a = SC.axis_scores(s, ["owner", "g_source"])
-    return a.select("owner", F.col("g_source").alias("source"), "pillar", "axis", "weight", F.round(F.col("weight") * F.col("normalized_score"), 4).alias("points"))
+    return a.select("owner", F.col("g_source").alias("source"), "pillar", "axis", "weight", F.round(F.col("weight") * F.col("normalized_score"), 8).alias("points"))
 
 
 @query("quotient_scores")
@@ -196,7 +196,7 @@ def _(t: Tables):
 
 
 @query("tool_rate_diagnostic", INPUTS_SQL + """
-SELECT owner, source, m.metric AS metric, CAST(m.c AS BIGINT) AS count, round(m.c / tool_calls, 6) AS per_call, CAST(least(100, round_even(m.c / tool_calls * 100 / m.t, 0)) AS INTEGER) AS pct
+SELECT owner, source, m.metric AS metric, CAST(m.c AS BIGINT) AS count, round_even(m.c / tool_calls, 6) AS per_call, CAST(least(100, round_even(m.c / tool_calls * 100 / m.t, 0)) AS INTEGER) AS pct
 FROM (SELECT *, unnest([{'metric': 'skills_total', 'c': skill_total, 't': 0.009::DOUBLE}, {'metric': 'review_skills', 'c': review_skills, 't': 0.004::DOUBLE}, {'metric': 'compounding_writes', 'c': compounding, 't': 0.0018::DOUBLE}]) AS m FROM i)""")
 def _(t: Tables):
     d = SC.tool_rate_diagnostic(with_rest(inputs(t)), ["owner", "g_source"]).filter(F.col("metric").isin("skills_total", "review_skills", "compounding_writes"))
@@ -281,3 +281,22 @@ def _(t: Tables):
 def _(t: Tables):
     """Every scored row carries the fingerprint of the constants it was scored with."""
     return inputs(t).groupBy("g_source").agg(F.count(F.lit(1)).alias("rows")).withColumn("fingerprint", SC.fingerprint())
+
+
+@query("score_disclosures")
+def _(t: Tables):
+    keep = ["owner", "g_source"]
+    return AU.disclosures(SC.quotient(inputs(t), keep), keep)
+
+
+@query("unscored_axes", AXES_SQL + """
+SELECT owner, source, x.axis AS axis FROM a WHERE x.v IS NULL UNION ALL SELECT owner, source, 'Steering leverage' FROM i""")
+def _(t: Tables):
+    u = AU.unscored_axes(SC.quotient(inputs(t), ["owner", "g_source"]), ["owner", "g_source"])
+    return u.withColumnRenamed("g_source", "source")
+
+
+@query("saturation_points")
+def _(t: Tables):
+    i = inputs(t)
+    return AU.saturation_threshold(i, ["owner", "g_source"], "cli_total", 16)

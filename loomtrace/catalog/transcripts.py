@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomtrace.catalog.registry import Tables, query
 from loomtrace.operators import aggregates as A
-from loomtrace.plans import facts as FX, ordered as O, stats as ST
+from loomtrace.plans import audit as AU, facts as FX, ordered as O, score as SC, stats as ST
 from loomtrace.plans.tables import materialize, work_dir
 from loomtrace.schema import BLOCK, canonical, result_block, tool_block
 
@@ -165,3 +165,61 @@ FROM z GROUP BY 1, 2, 3""")
 def _(t: Tables):
     wide = ST.scoring_inputs(transcripts(t), work_dir(t.spark))
     return wide.select("tenant_id", "g_source", "g_month", *[F.col(c).cast("bigint").alias(c) for c in INPUT_COLUMNS])
+
+
+def thinking(b: DataFrame, owner: list[str]) -> DataFrame:
+    n = F.coalesce(F.size(F.filter("content", lambda c: c["type"] == "thinking")), F.lit(0))
+    return b.groupBy(*owner).agg(F.sum(n).cast("bigint").alias("thinking_blocks"))
+
+
+@query("audit_fingerprint", T + """
+SELECT tenant_id, count(*) AS tool_calls, CAST(count(DISTINCT session_id) AS BIGINT) AS sessions, 0.0::DOUBLE AS sidechain_share
+FROM c WHERE tool NOT IN ('error', 'prompt') GROUP BY 1""")
+def _(t: Tables):
+    calls = FX.tool_calls(FX.base(transcripts(t)))
+    return AU.corpus_fingerprint(calls, ["tenant_id"], F.col("ordinal"))[0]
+
+
+@query("audit_cli_mcp", T + """
+SELECT tenant_id, CAST(CASE WHEN count(*) FILTER (tool = 'Bash') > 0 THEN 2 ELSE 0 END AS BIGINT) AS clis_distinct,
+ CAST(CASE WHEN count(*) FILTER (tool = 'mcp') > 0 THEN 1 ELSE 0 END AS BIGINT) AS servers_distinct, 2 * count(*) FILTER (tool = 'Bash') AS cli_calls,
+ count(*) FILTER (tool = 'mcp') AS mcp_calls, round(2 * count(*) FILTER (tool = 'Bash') / (2 * count(*) FILTER (tool = 'Bash') + count(*) FILTER (tool = 'mcp')), 9) AS cli_share FROM c GROUP BY 1""")
+def _(t: Tables):
+    r = AU.cli_mcp_recount(FX.tool_calls(FX.base(transcripts(t))), ["tenant_id"])
+    return r.withColumn("cli_share", F.round("cli_share", 9))
+
+
+@query("audit_profile", T + """
+SELECT tenant_id, count(*) AS tool_calls, CAST(count(DISTINCT u % 3) AS BIGINT) AS project_roots, round(count(*) FILTER (tool IN ('Read', 'mcp')) / count(*), 9) AS explore_share,
+ round(count(*) FILTER (tool IN ('Read', 'mcp')) / count(*) FILTER (tool IN ('Edit', 'Bash', 'Agent')), 9) AS explore_to_doing FROM c WHERE tool NOT IN ('error', 'prompt') GROUP BY 1""")
+def _(t: Tables):
+    b = FX.base(transcripts(t))
+    r = AU.comparison_profile(FX.tool_calls(b), thinking(b, ["tenant_id"]), ["tenant_id"])
+    return r.select("tenant_id", "tool_calls", "project_roots", F.round("explore_share", 9).alias("explore_share"), F.round("explore_to_doing", 9).alias("explore_to_doing"))
+
+
+@query("audit_task_tools", T + " SELECT tenant_id, 'TodoWrite' AS name, count(*) AS n FROM c WHERE tool = 'TodoWrite' GROUP BY 1")
+def _(t: Tables):
+    return AU.task_tools(FX.tool_calls(FX.base(transcripts(t))), ["tenant_id"])
+
+
+@query("test_outcomes", T + """,
+ e AS (SELECT *, min(CASE WHEN tool = 'Edit' THEN o END) OVER (PARTITION BY tenant_id, source, session_id) AS cut FROM c)
+SELECT tenant_id, CAST(count(DISTINCT source || session_id) FILTER (tool = 'Bash' AND o > cut) AS BIGINT) AS tested_later,
+ CAST(count(DISTINCT source || session_id) FILTER (tool = 'Bash') AS BIGINT) AS tested FROM e GROUP BY 1""")
+def _(t: Tables):
+    calls = FX.tool_calls(FX.base(transcripts(t))).select(*FX.SESSION, "ordinal", "is_write", "file_class", "runs_tests")
+    cut = calls.groupBy(*FX.SESSION).agg(F.min(F.when(F.col("is_write") & (F.col("file_class") == "code"), F.col("ordinal"))).alias("cut"),
+                                         F.max(F.when(F.col("runs_tests"), F.col("ordinal"))).alias("last_test"))
+    return cut.groupBy("tenant_id").agg(A.count_if(F.col("last_test") > F.col("cut")).alias("tested_later"), A.count_if(F.col("last_test").isNotNull()).alias("tested"))
+
+
+@query("developer_scores")
+def _(t: Tables):
+    """The whole job: transcripts to facts, scoring inputs and scores at every grain."""
+    w = work_dir(t.spark)
+    wide = ST.scoring_inputs(transcripts(t), w)
+    keep = ST.GRAIN
+    q = materialize(SC.quotient(wide, keep), f"{w}/quotient")
+    card = SC.scorecard(wide, keep).select(*keep, "execution", "planning", "engineering")
+    return q.join(card, keep).select(*keep, "quotient", "tier", "execution", "planning", "engineering", F.transform("pillars", lambda p: p["score"]).alias("pillar_scores"))

@@ -1,8 +1,6 @@
 """Scalar scoring expressions: saturation, rates with evidence, weighted means, rounding."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 
@@ -35,9 +33,21 @@ def rate(x: Column, calls: Column, target: float, floor: float = 1.0) -> Column:
     )
 
 
-def _live(value: Column, cap_ok: Column | None) -> Column:
-    ok = value.isNotNull()
-    return ok if cap_ok is None else (ok & F.coalesce(cap_ok, F.lit(False)))
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once: it is bound as a lambda variable.
+
+    Repeating a large expression multiplies the plan; a bound variable does not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _terms(terms: list[tuple[float | Column, Column, Column | None]]) -> Column:
+    """Live terms as an array of (w, v)."""
+    rows = []
+    for w, v, cap in terms:
+        wc = w if isinstance(w, Column) else F.lit(float(w))
+        rows.append(F.struct(wc.cast("double").alias("w"), (v if cap is None else F.when(cap, v)).cast("double").alias("v")))
+    return F.filter(F.array(*rows), lambda t: t["v"].isNotNull())
 
 
 def wsum(terms: list[tuple[float | Column, Column, Column | None]]) -> Column:
@@ -46,31 +56,19 @@ def wsum(terms: list[tuple[float | Column, Column, Column | None]]) -> Column:
     A term is (weight, value, capability column or None); NULL values and missing
     capabilities drop out and the remaining weights are renormalised.
     """
-    num, den = [], []
-    for w, v, cap in terms:
-        wc = w if isinstance(w, Column) else F.lit(float(w))
-        live = _live(v, cap)
-        num.append(F.when(live, wc * v).otherwise(F.lit(0.0)))
-        den.append(F.when(live, wc).otherwise(F.lit(0.0)))
-    total = reduce(lambda a, b: a + b, den)
-    return F.when(total > 0, reduce(lambda a, b: a + b, num) / total)
+    def mean(live: Column) -> Column:
+        s = F.aggregate(live, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")), lambda a, t: F.struct(
+            (a["n"] + t["w"] * t["v"]).alias("n"), (a["d"] + t["w"]).alias("d")))
+        return let(s, lambda x: F.when(x["d"] > 0, x["n"] / x["d"]))
+    return let(_terms(terms), mean)
 
 
 def wsum_disclosure(terms: list[tuple[float, Column, Column | None]]) -> Column:
     """{scored, total, weight_scored} when a term was dropped, else NULL."""
-    lives = [_live(v, cap) for _, v, cap in terms]
-    scored = reduce(lambda a, b: a + b, [F.when(l, 1).otherwise(0) for l in lives])
     configured = float(sum(w for w, _, _ in terms))
-    kept = reduce(lambda a, b: a + b, [
-        F.when(l, F.lit(float(w))).otherwise(F.lit(0.0)) for l, (w, _, _) in zip(lives, terms)
-    ])
-    return F.when(
-        scored < len(terms),
-        F.struct(
-            scored.cast("int").alias("scored"), F.lit(len(terms)).alias("total"),
-            F.bround(kept / F.lit(configured), 4).alias("weight_scored"),
-        ),
-    )
+    return let(_terms(terms), lambda live: F.when(F.size(live) < len(terms), F.struct(
+        F.size(live).alias("scored"), F.lit(len(terms)).alias("total"),
+        F.bround(F.aggregate(live, F.lit(0.0), lambda a, t: a + t["w"]) / F.lit(configured), 4).alias("weight_scored"))))
 
 
 def ratio(n: Column, d: Column, empty: float | None = 0.0) -> Column:

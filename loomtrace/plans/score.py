@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtrace import dims
-from loomtrace.functions.numbers import clamp01, ratio, rate, sat, tier, wsum, wsum_disclosure
+from loomtrace.functions.numbers import clamp01, let, ratio, rate, sat, tier, wsum, wsum_disclosure
 
 C = dims.QUOTIENT_CONSTANTS
 G = dims.SCORECARD_CONSTANTS
@@ -123,32 +123,43 @@ def axis_values(df: DataFrame) -> DataFrame:
 
 def weigh(axes: Column) -> Column:
     """Live axes of one pillar with weights rescaled to 100; the last live axis takes the remainder."""
-    live = F.filter(axes, lambda a: a["value"].isNotNull())
-    total = F.aggregate(live, F.lit(0), lambda s, a: s + a["base_weight"])
-    rounded = F.transform(live, lambda a: F.bround(a["base_weight"] * F.lit(100.0) / total, 0).cast("int"))
-    rest = F.lit(100) - F.aggregate(rounded, F.lit(0), lambda s, x: s + x)
-    n = F.size(live)
-    weights = F.transform(rounded, lambda x, i: F.when(i == n - 1, x + rest).otherwise(x))
-    return F.transform(F.arrays_zip(live.alias("a"), weights.alias("w")), lambda z: F.struct(
-        z["a"]["pillar"].alias("pillar"), z["a"]["axis"].alias("axis"), z["a"]["base_weight"].alias("base_weight"), z["w"].alias("weight"),
-        z["a"]["value"].alias("normalized_score"), F.bround(z["w"] * z["a"]["value"], 1).alias("score"), z["a"]["partial_terms"].alias("partial_terms")))
+    def scaled(live: Column) -> Column:
+        total = F.aggregate(live, F.lit(0), lambda s, a: s + a["base_weight"])
+        rounded = let(total, lambda t: F.transform(live, lambda a: F.bround(a["base_weight"] * F.lit(100.0) / t, 0).cast("int")))
+        return let(rounded, lambda r: F.transform(live, lambda a, i: out(a, F.get(r, i) + F.when(
+            i == F.size(live) - 1, F.lit(100) - F.aggregate(r, F.lit(0), lambda s, x: s + x)).otherwise(0))))
+
+    def out(a: Column, weight: Column) -> Column:
+        return let(weight, lambda w: F.struct(
+            a["pillar"].alias("pillar"), a["axis"].alias("axis"), a["base_weight"].alias("base_weight"), w.alias("weight"),
+            a["value"].alias("normalized_score"), F.bround(w * a["value"], 1).alias("score"), a["partial_terms"].alias("partial_terms")))
+
+    return let(F.filter(axes, lambda a: a["value"].isNotNull()), scaled)
+
+
+def pillars_of(axes: Column) -> Column:
+    """Pillars with weighed axes, score and the names of the axes that do not apply."""
+    def one(axs: Column, name: str, weight: int) -> Column:
+        mine = F.filter(axs, lambda a: a["pillar"] == name)
+        return let(F.struct(weigh(mine).alias("w"), F.transform(F.filter(mine, lambda a: a["value"].isNull()), lambda a: a["axis"]).alias("na")), lambda x: F.struct(
+            F.lit(name).alias("pillar"), F.lit(weight).alias("weight"),
+            F.bround(F.aggregate(x["w"], F.lit(0.0), lambda s, a: s + a["score"]), 1).alias("score"), x["w"].alias("axes"), x["na"].alias("not_applicable")))
+    return let(axes, lambda axs: F.array(*[one(axs, n, w) for n, w in dims.PILLAR_WEIGHTS.items()]))
 
 
 def quotient(inputs: DataFrame, keep: list[str]) -> DataFrame:
     """keep + axes, pillars, total and tier of every row."""
     d = axis_values(inputs)
-    for p in dims.PILLAR_WEIGHTS:
-        d = d.withColumn(f"__{p}", F.filter("axes", lambda a, p=p: a["pillar"] == p))
-        d = d.withColumn(f"__w_{p}", weigh(F.col(f"__{p}")))
-    pillars = [F.struct(
-        F.lit(p).alias("pillar"), F.lit(w).alias("weight"),
-        F.bround(F.aggregate(F.col(f"__w_{p}"), F.lit(0.0), lambda s, a: s + a["score"]), 1).alias("score"), F.col(f"__w_{p}").alias("axes"),
-        F.transform(F.filter(F.col(f"__{p}"), lambda a: a["value"].isNull()), lambda a: a["axis"]).alias("not_applicable"))
-        for p, w in dims.PILLAR_WEIGHTS.items()]
-    d = d.select(*keep, F.array(*pillars).alias("pillars"), F.when(F.col("sidechain_label_state") != "measured", "unmeasured_sidechain_labels").when(
-        F.lit(not C["STEERING_LEVERAGE_BAND_VALIDATED"]), "withheld_unvalidated_band").otherwise("scored").alias("steering_state"))
-    total = F.bround(F.aggregate("pillars", F.lit(0.0), lambda s, p: s + p["weight"] / F.lit(100.0) * p["score"]), 0).cast("int")
-    return d.withColumn("quotient", total).withColumn("tier", tier(F.col("quotient"), dims.TIERS)).withColumn("score_contract_id", F.lit(dims.CONTRACT_ID))
+    steering = F.when(F.col("sidechain_label_state") != "measured", "unmeasured_sidechain_labels").when(
+        F.lit(not C["STEERING_LEVERAGE_BAND_VALIDATED"]), "withheld_unvalidated_band").otherwise("scored")
+
+    def total(ps: Column) -> Column:
+        return F.struct(ps.alias("pillars"), F.bround(F.aggregate(
+            ps, F.lit(0.0), lambda s, p: s + p["weight"] / F.lit(100.0) * p["score"]), 0).cast("int").alias("quotient"))
+
+    d = d.select(*keep, steering.alias("steering_state"), let(pillars_of(F.col("axes")), total).alias("__q"))
+    return d.select(*keep, "steering_state", F.col("__q.pillars").alias("pillars"), F.col("__q.quotient").alias("quotient"),
+                    tier(F.col("__q.quotient"), dims.TIERS).alias("tier"), F.lit(dims.CONTRACT_ID).alias("score_contract_id"))
 
 
 def axis_scores(scored: DataFrame, keep: list[str]) -> DataFrame:
