@@ -79,7 +79,7 @@ def _(t: Tables):
 _GAPS = """
 WITH g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events),
      d AS (SELECT user_id, epoch_us(ts) AS s,
-                  epoch_us(ts) + least(epoch_us(nxt) - epoch_us(ts), 600000000) AS e FROM g)"""
+                  CASE WHEN nxt IS NOT NULL THEN epoch_us(ts) + least(epoch_us(nxt) - epoch_us(ts), 600000000) END AS e FROM g)"""
 
 
 @query("capped_gap_durations", _GAPS + """

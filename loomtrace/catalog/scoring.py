@@ -80,7 +80,6 @@ def _mean(*terms: tuple[str, str]) -> str:
 
 
 _HAS = lambda c: f"list_contains(caps, '{c}')"
-_ELIG = lambda c: f"CASE WHEN eligible >= 5 THEN {c} / eligible END"
 AXES_SQL = INPUTS_SQL + f""",
  q AS (SELECT *, {_mean(('0.4', 'least(1.0, subagent_distinct / 8)'), ('0.4', 'least(1.0, fanout / 5)'), ('0.2', "CASE WHEN max_session_types >= 3 THEN 1.0 WHEN max_session_types >= 1 THEN 0.6 WHEN agent_calls > 0 OR subagent_distinct > 0 THEN NULL ELSE 0.0 END"))} AS oq,
     CASE WHEN orchestratable > 0 THEN least(1.0, delegated_orchestratable / orchestratable / 0.78::DOUBLE) END AS ofr, 0.3::DOUBLE * least(1.0, orchestratable / 5) AS ow FROM i),
@@ -89,7 +88,7 @@ AXES_SQL = INPUTS_SQL + f""",
   {{'axis': 'Skill fluency', 'v': CASE WHEN {_HAS('skills')} OR {_HAS('skill_reads')} THEN {_mean(('0.4', 'least(1.0, skill_distinct / 40)'), ('0.3', _rate('skill_total', '0.009')), ('0.3', 'CASE WHEN skill_total > 5 THEN 1.0 ELSE 0.6 END'))} END}},
   {{'axis': 'Tool command (MCP + CLI)', 'v': {_mean(('0.4', 'least(1.0, server_distinct / 15)'), ('0.4', 'least(1.0, cli_distinct / 40)'))}}},
   {{'axis': 'Discipline', 'v': {_mean(('0.4', f"CASE WHEN {_HAS('planning_signal')} AND planning_eligible >= 5 THEN least(1.0, planning_sessions / planning_eligible / 0.3::DOUBLE) END"), ('0.2', 'CASE WHEN eligible >= 5 THEN least(1.0, planned / eligible / 0.5::DOUBLE) END'))}}},
-  {{'axis': 'Verification', 'v': {_mean(('0.5', f"least(1.0, {_ELIG('test_covered')})"), ('0.5', f"CASE WHEN {_HAS('skill_reads')} THEN {_rate('review_skills', '0.004')} END"))}}},
+  {{'axis': 'Verification', 'v': {_mean(('0.5', "CASE WHEN eligible >= 5 THEN least(1.0, test_covered / eligible) END"), ('0.5', f"CASE WHEN {_HAS('skill_reads')} THEN {_rate('review_skills', '0.004')} END"))}}},
   {{'axis': 'Grounding', 'v': least(1.0, CASE WHEN doing > 0 THEN explore / doing ELSE 0.0 END)}},
   {{'axis': 'Context Intelligence', 'v': CASE WHEN eligible >= 5 THEN least(1.0, evidence / eligible / 0.6::DOUBLE) END}},
   {{'axis': 'Compounding', 'v': {_mean(('0.6', _rate('compounding', '0.0018')), ('0.4', f"CASE WHEN {_HAS('skill_reads')} THEN CASE WHEN compounding > 0 THEN 1.0 ELSE 0.6 END END"))}}},

@@ -69,9 +69,7 @@ SELECT month, CAST(count(*) FILTER (tool NOT IN ('error', 'prompt')) AS BIGINT)
   round((SELECT count(*) FROM p WHERE p.month = c.month AND prev = 'error' AND tool <> 'error') / count(*) FILTER (tool = 'error'), 6) AS error_recovery
 FROM c GROUP BY 1""")
 def _(t: Tables):
-    b = FX.base(transcripts(t))
-    calls = FX.tool_calls(b)
-    results = FX.tool_results(b)
+    b, calls, results = prepared(t)
     rec = FX.recovered(calls, results)
     n = lambda **kw: [kw.get(c, F.lit(0)).cast("bigint").alias(c) for c in ("calls", "explore", "raw", "dispatch", "prompts", "errors", "recovered")]
     one, cat = F.lit(1), F.col("category")
@@ -121,8 +119,8 @@ def _(t: Tables):
 SELECT tenant_id, source, CAST(count(DISTINCT session_id) FILTER (tool = 'Edit') AS BIGINT) AS write_sessions,
   CAST(count(DISTINCT session_id) FILTER (tool = 'Edit' AND prev = 'mcp') AS BIGINT) AS grounded FROM g GROUP BY 1, 2""")
 def _(t: Tables):
-    b = FX.base(transcripts(t))
-    rows = FX.grounding_rows(b, FX.tool_calls(b))
+    b, calls, _ = prepared(t)
+    rows = FX.grounding_rows(b, calls)
     hit = FX.grounded(rows).select("tenant_id", "source", "session_id", F.lit(0).alias("w"), F.lit(1).alias("g"))
     per = (rows.filter("write or arm").select("tenant_id", "source", "session_id", F.col("write").cast("int").alias("w"), F.lit(0).alias("g")).unionByName(hit)
            .groupBy("tenant_id", "source", "session_id").agg(F.max("w").alias("w"), F.max("g").alias("g")))

@@ -5,7 +5,8 @@ from pyspark.sql import Column, functions as F
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Bring into [0, 1]; NULL stays NULL (least and greatest would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def sat(x: Column, target: float) -> Column:

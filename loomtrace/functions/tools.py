@@ -96,10 +96,10 @@ def mcp_subcategory(server: Column, tool: Column) -> Column:
     return expr.otherwise("other")
 
 
-def is_knowledge_write(server: Column, tool: Column) -> Column:
+def is_knowledge_write(server: Column, tool: Column, subcategory: Column | None = None) -> Column:
     t = F.lower(F.coalesce(tool, F.lit("")))
     return (
-        (mcp_subcategory(server, tool) == "knowledge")
+        ((mcp_subcategory(server, tool) if subcategory is None else subcategory) == "knowledge")
         & ~contains_any(F.lower(server), dims.MCP_FETCH_ONLY_SERVERS)
         & ~contains_any(t, dims.MCP_INSPECT_HINTS)
         & contains_any(t, dims.MCP_WRITE_HINTS)

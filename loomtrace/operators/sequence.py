@@ -162,10 +162,13 @@ def merge_buckets(buckets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_tail(buckets: DataFrame, keys: list[str], cap_s: int) -> DataFrame:
-    """Active time after each bucket: the capped gap to the key's next bucket."""
+    """Active time after each bucket: the capped gap to the key's next bucket, 0 after the last.
+
+    (`least` skips NULL, so the last bucket needs its own case.)
+    """
     w = Window.partitionBy(*keys).orderBy("__b")
     gap = F.lead("__lo").over(w) - F.col("__hi")
-    return buckets.withColumn("__tail", F.coalesce(F.least(gap, F.lit(cap_s * US)), F.lit(0)))
+    return buckets.withColumn("__tail", F.when(gap.isNull(), 0).otherwise(F.least(gap, F.lit(cap_s * US))))
 
 
 def capped_duration(df: DataFrame, keys: list[str], ts: str, cap_s: int = 600) -> DataFrame:

@@ -78,7 +78,7 @@ def tool_calls(b: DataFrame) -> DataFrame:
     step = lambda x: X.strip_blank(F.coalesce(F.when(x.startswith("{"), first_of(F.get_json_object(x, "$.content"), F.get_json_object(x, "$.step"))).otherwise(x), F.lit("")))
     persist = first_of(*[i[k] for k in ("memory_id", "topic_key", "id", "entity", "name")])
     t = t.select(
-        "*", T.mcp_subcategory(F.col("server"), F.col("mcp_tool")).alias("subcategory"), added.alias("added"), removed.alias("removed"),
+        "*", F.when(F.col("server").isNotNull(), T.mcp_subcategory(F.col("server"), F.col("mcp_tool"))).alias("subcategory"), added.alias("added"), removed.alias("removed"),
         P.join_cwd(F.col("cwd"), F.col("target")).alias("abs_target"), (is_bash & X.runs_tests(cmd)).alias("runs_tests"),
         (is_bash & X.runs_knowledge(cmd)).alias("runs_knowledge"), (is_bash & X.writes_file(cmd)).alias("shell_write"),
         (is_bash & cmd.contains("git commit")).alias("is_commit"), F.when(shell, X.cli_heads(cmd)).alias("clis"),
@@ -96,11 +96,11 @@ def tool_calls(b: DataFrame) -> DataFrame:
     discrete = F.concat(F.filter(F.array("own_skill"), lambda s: s.isNotNull()),
                         F.when(F.col("source") != "claude", F.coalesce("shell_skills", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
     t = t.select(
-        "*", P.change_target(F.col("abs_target")).alias("file_class"), discrete.alias("discrete_skills"),
+        "*", F.when(F.col("abs_target") == "", "other").otherwise(P.change_target(F.col("abs_target"))).alias("file_class"), discrete.alias("discrete_skills"),
         (knowledge_mcp | F.col("runs_knowledge")).alias("knowledge"),
         (F.coalesce(T.is_plan_skill(F.when(name == "Skill", i["skill"])), F.lit(False)) | F.coalesce(T.is_plan_skill(agent_type), F.lit(False))
          ).alias("plan_dispatch"),
-        F.coalesce(has_server & T.is_knowledge_write(F.col("server"), F.col("mcp_tool")), F.lit(False)).alias("knowledge_write"),
+        F.coalesce(T.is_knowledge_write(F.col("server"), F.col("mcp_tool"), sub), F.lit(False)).alias("knowledge_write"),
         (F.col("is_write") & P.is_compounding(F.col("edit_path"))).alias("compounding"))
     skill_arm = F.exists("discrete_skills", lambda s: T.is_knowledge_skill(s)) | (F.col("dispatch") & T.is_knowledge_skill(F.col("subagent_type")))
     plan_any = (F.col("plan_dispatch") | F.coalesce(T.is_plan_skill(F.col("attribution_skill")), F.lit(False))
