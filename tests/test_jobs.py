@@ -182,3 +182,23 @@ def test_stream_appends_once_and_finds_bursts(spark, tmp_path):
     back = spark.read.parquet(dst)
     assert back.count() == 2
     assert [(r.events, r.active_s) for r in live.session_bursts(back).collect()] == [(2, 60.0)]
+
+
+def test_stored_payload_replays_to_the_same_score(spark):
+    from loomtrace.plans import combine
+    from loomtrace.sinks import payloads
+    one = row(spark).withColumn("tenant_id", F.lit("t")).withColumn("g_month", F.lit("*"))
+    inputs = one.withColumn("g_source", F.lit("claude")).unionByName(one.withColumn("g_source", F.lit("*")))
+    names = spark.createDataFrame([("t", "claude", "*", k, n, c, i) for i, (k, n, c) in enumerate([
+        ("skill", "writing-plans", 4), ("skill", 'odd "name"', 2), ("model", "a", 80), ("model", "b", 20)])],
+        "tenant_id string, g_source string, g_month string, kind string, name string, n long, first_seen int")
+    scored = SC.quotient(inputs, ["tenant_id", "g_source", "g_month"])
+    doc = payloads.payload_rows(inputs, scored, names, "2026-01-01", "2026-02-01")
+    body = json.loads(doc.first().payload)
+    window = body["scoring_inputs_by_source"]["claude"]["window"]
+    assert body["context"]["window_months"] == 1 and window["stack"]["skills_all"] == [["writing-plans", 4], ['odd "name"', 2]]
+    want = SC.quotient(inputs.filter("g_source = 'claude'").withColumn("review_skills", F.lit(0)).withColumn("compounding_skills", F.lit(True)), ["tenant_id"]).first()
+    got = combine.replay(doc, ["tenant_id"]).first()
+    assert (got.reject_reason, got.exactness, got.quotient, got.tier) == (None, "exact", want.quotient, want.tier)
+    keep, big = payloads.split_by_budget(doc)
+    assert keep.count() == 1 and big.count() == 0
