@@ -28,6 +28,8 @@ from loomtrace.llm import base, tokens
 
 END = 2
 _FLUSH = 1 << 22
+_FACTS = "part int, doc_id long, place long, local long, size long, bits int"
+_FACTS_ARROW = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("local", pa.int64()), ("size", pa.int64()), ("bits", pa.int32())])
 
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
@@ -81,13 +83,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
             yield b"".join(held)
 
         _save(folder, f"ids-{part:06d}.bin", chunks())
-        for i in range(0, len(ids), 50_000):
-            yield pa.RecordBatch.from_pydict({"part": [part] * len(ids[i:i + 50_000]), "doc_id": ids[i:i + 50_000], "place": list(range(i, min(i + 50_000, len(ids)))), "local": starts[i:i + 50_000], "size": [b - a for a, b in zip(starts[i:i + 50_000], [*starts[i + 1:i + 50_001], *([at] if i + 50_000 >= len(ids) else [])], strict=True)], "bits": [8 * encoder.kind.itemsize] * len(ids[i:i + 50_000])})
+        sizes = np.diff(np.array([*starts, at], np.int64)).tolist()
+        rows = ({"part": part, "doc_id": ids[i], "place": i, "local": starts[i], "size": sizes[i], "bits": 8 * encoder.kind.itemsize} for i in range(len(ids)))
+        yield from base.batched(rows, _FACTS_ARROW)
 
-    schema = "part int, doc_id long, place long, local long, size long, bits int"
     parts = parts or base.partitions(spark)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    facts = base.materialize(ordered.mapInArrow(encode, schema), f"{folder}/facts")
+    facts = base.materialize(ordered.mapInArrow(encode, _FACTS), f"{folder}/facts")
     sizes = facts.groupBy("part").agg(F.sum("size").alias("n_tokens"), F.count("*").alias("n_docs"), F.max("bits").alias("bits"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     manifest = base.materialize(sizes.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), f"{folder}/manifest")
