@@ -5,13 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import base, best_fit_packing, bpe, quality_rules, sharding, substring_dedup, token_files
+from loomtrace.llm import base, best_fit_packing, bpe, line_dedup, minhash, quality_rules, sharding, substring_dedup, token_files
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(base.documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(base.documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(base.documents(spark, sf_dir))
 
@@ -20,6 +24,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(base.documents(spark, sf_dir))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.label(base.documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(base.documents(spark, sf_dir))
 
@@ -32,6 +40,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(base.documents(spark, sf_dir))
 
 
-_ALL = (op1_substring_dedup, op5_quality_rules, op6_token_files, op8_best_fit_packing, op9_sharding, op10_bpe)
+_ALL = (op1_substring_dedup, op4_line_dedup, op5_quality_rules, op6_token_files, op7_minhash, op8_best_fit_packing, op9_sharding, op10_bpe)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
