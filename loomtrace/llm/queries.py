@@ -5,13 +5,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import base, best_fit_packing, bpe, line_dedup, minhash, quality_rules, sharding, substring_dedup, token_files
+from loomtrace.llm import base, best_fit_packing, bpe, learned_partitions, line_dedup, minhash, quality_rules, sharding, substring_dedup, token_files, url_filter
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(base.documents(spark, sf_dir))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(base.table(spark, sf_dir, "pages"))
+
+
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(base.table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(base.documents(spark, sf_dir))
 
@@ -40,6 +48,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(base.documents(spark, sf_dir))
 
 
-_ALL = (op1_substring_dedup, op4_line_dedup, op5_quality_rules, op6_token_files, op7_minhash, op8_best_fit_packing, op9_sharding, op10_bpe)
+_ALL = (op1_substring_dedup, op2_url_filter, op3_learned_partitions, op4_line_dedup, op5_quality_rules, op6_token_files, op7_minhash, op8_best_fit_packing, op9_sharding, op10_bpe)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL}
