@@ -2,17 +2,22 @@
 
 The word-level BPE's normalizer and splitter never join characters across ASCII white space, and
 added tokens hold none, so a text's ids are the ids of its white-space chunks one after another
-(tests hold this against whole-text encoding). Chunks are remembered up to a fixed number.
+(tests hold this against whole-text encoding). The most recent chunks are remembered up to a fixed number.
 """
 from __future__ import annotations
 
+import sys
+import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from loomtrace.llm import base
+
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -26,36 +31,80 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+_CLOSING = b".,!?;:"
+
+
+def printed_bytes() -> list[str]:
+    """One printable character per byte: itself where printable, else the next free one from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+_PRINTED = dict(enumerate(printed_bytes()))
+assert sys.byteorder == "little"  # ids are kept as they lie in files
+
+
 class Encoder:
     """Texts to arrays of token ids."""
 
-    limit = 200_000
+    limit = 150_000
 
     def __init__(self, path: str):
-        self.tokens, self.memo = tokenizer(path), {}
+        self.tokens = tokenizer(path)
         self.tokens.no_truncation()
         self.tokens.no_padding()
         self.kind = np.dtype("<u2" if self.tokens.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        new = sorted(chunks.difference(self.memo))
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = sorted(chunks)
-        for chunk, e in zip(new, self.tokens.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self.memo[chunk] = np.array(e.ids, self.kind).tobytes()
+        self.chunks, self.pieces = base.Memo(self.limit), base.Memo(self.limit)
+
+    @staticmethod
+    def _letters(core: bytes) -> bytes | None:
+        """The normalised form of a run of letters; NULL for anything else. The splitter keeps such a run whole."""
+        if core.isalpha():  # ASCII letters only
+            return core.lower()
+        if core.isascii():
+            return None
+        s = core.decode()
+        if not s.isalpha() or not unicodedata.is_normalized("NFC", s):
+            return None
+        s = "".join(c.lower() for c in s) if "Σ" in s else s.lower()
+        return s.encode() if s.isalpha() else None
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Letters and the closing marks behind them are always split, so either is encoded once for many chunks."""
+        split, runs = [], set()
+        for c in chunks:
+            core = c.rstrip(_CLOSING)
+            word = self._letters(core)
+            if word is None:
+                split.append((c, c, b""))
+            else:
+                runs.add(word)
+                split.append((c, word, c[len(core):]))
+        rest, code = [], self.kind.char
+        todo = self.pieces.missing({p for row in split for p in row[1:] if p})
+        known = self.pieces.new
+        for p in todo:
+            if p in runs:
+                known[p] = array(code, [t.id for t in self.tokens.model.tokenize(p.decode("latin-1").translate(_PRINTED))]).tobytes()
+            else:
+                rest.append(p)
+        if rest:
+            for p, e in zip(rest, self.tokens.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
+                known[p] = array(code, e.ids).tobytes()
+        for c, word, closing in split:
+            self.chunks.new[c] = known[word] + known[closing] if closing else known[word]
 
     def ids(self, text: bytes | None, end: int | None = None) -> np.ndarray:
         """Ids of one whole text, then `end`."""
         chunks = (text or b"").split()
         parts = []
-        for i in range(0, len(chunks), 100_000):  # a very long text is encoded piece by piece, all of it
-            part = chunks[i:i + 100_000]
-            try:
-                parts.append(b"".join(map(self.memo.__getitem__, part)))
-            except KeyError:
-                self._learn(set(part))
-                parts.append(b"".join(map(self.memo.__getitem__, part)))
+        for i in range(0, len(chunks), 50_000):  # a very long text is encoded piece by piece, all of it
+            part = chunks[i:i + 50_000]
+            todo = self.chunks.missing(set(part))
+            if todo:
+                self._learn(todo)
+            parts.append(b"".join(map(self.chunks.new.__getitem__, part)))
         if end is not None:
             parts.append(np.array([end], self.kind).tobytes())
         return np.frombuffer(b"".join(parts), self.kind)
