@@ -15,15 +15,43 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S27, _S31, _S33 = np.uint64(27), np.uint64(31), np.uint64(33)
 
 
+class Memo:
+    """What was computed for the most recent keys: two generations of bounded size, so frequent keys stay."""
+
+    def __init__(self, limit: int):
+        self.new, self.old, self.limit = {}, {}, limit
+
+    def missing(self, keys: set) -> list:
+        """Keys to compute and put into `new`; all others of `keys` are there afterwards."""
+        if len(self.new) >= self.limit:
+            self.new, self.old = {}, self.new
+        todo = []
+        for k in keys.difference(self.new):
+            v = self.old.get(k)
+            if v is None:
+                todo.append(k)
+            else:
+                self.new[k] = v
+        return todo
+
+
 class WordHashes(dict):
-    """Word bytes to 64-bit hash. The memo is emptied at a fixed size, so memory stays bounded."""
+    """Word bytes to 64-bit hash; two generations of bounded size."""
+
+    limit = 250_000
 
-    limit = 400_000
+    def __init__(self):
+        super().__init__()
+        self.old: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        h = self.old.get(word)
+        if h is None:
+            h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Byte-level BPE with word ends, over a contiguous array of ranks.
 
-A short word keeps its part boundaries and the ranks of adjacent parts in two plain lists. The
-smallest rank is found by a scan, its boundary deleted, and the ranks beside it looked up anew.
+A short word keeps its parts (by id) and, for each boundary between two of them, the rank of joining
+them, in two plain lists. The smallest rank is found by a scan, its boundary deleted, and the ranks
+of the boundaries beside it looked up anew.
 Words beyond `SHORT` parts, where repeated scans would be quadratic, take the same merges from a
 heap. Ranks, vocabulary and added tokens come from the vocabulary file.
 
@@ -18,6 +19,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,101 +35,95 @@ SHORT = 200
 _NONE = 1 << 60
 
 
-def _letters() -> list[str]:
-    """One printable character per byte: itself where printable, else the next free one from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class RankArrayBPE:
-    limit = 200_000
+    limit = 150_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
-        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
+        vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in {**self.vocab, **self.added}.items()}
+        self.names = {i: t for t, i in {**vocab, **self.added}.items()}
+        self.shift = max(self.names).bit_length()
+        self.ranks = {vocab[a] << self.shift | vocab[b]: r for r, (a, b) in enumerate(model["merges"])}
+        self.joined = [vocab[a + b] for a, b in model["merges"]]  # by rank
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")  # fixed value: the file's own pattern
         self.blank = regex.compile(r"\p{White_Space}+")
-        self.letters = _letters()
-        self.memo: dict[bytes, bytes] = {}
+        letters = tokens.printed_bytes()
+        self.inner, self.last = [vocab[c] for c in letters], [vocab[c + self.end] for c in letters]
+        self.chunks, self.words = base.Memo(self.limit), base.Memo(self.limit)
 
-    def merge(self, parts: list[str]) -> list[str]:
+    def merge(self, parts: list[int]) -> list[int]:
         return self._scan(parts) if len(parts) <= SHORT else self._heap(parts)
 
-    def _scan(self, parts: list[str]) -> list[str]:
-        word, bounds = "".join(parts), [0]
-        for p in parts:
-            bounds.append(bounds[-1] + len(p))
-
-        def rank(i: int) -> int:
-            if i < 0 or i + 2 >= len(bounds):
-                return _NONE
-            a, b, c = bounds[i:i + 3]
-            return self.ranks.get((word[a:b], word[b:c]), _NONE)
-
-        ranks = [rank(i) for i in range(len(parts) - 1)]
+    def _scan(self, parts: list[int]) -> list[int]:
+        rank, shift, parts = self.ranks.get, self.shift, list(parts)
+        ranks = [rank(a << shift | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (least := min(ranks)) < _NONE:
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
+            parts[i] = self.joined[least]
+            del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank(i)
+                ranks[i] = rank(parts[i] << shift | parts[i + 1], _NONE)
             if i:
-                ranks[i - 1] = rank(i - 1)
-        return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                ranks[i - 1] = rank(parts[i - 1] << shift | parts[i], _NONE)
+        return parts
 
-    def _heap(self, parts: list[str]) -> list[str]:
+    def _heap(self, parts: list[int]) -> list[int]:
         parts, n = list(parts), len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, str, str]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (r := self.ranks.get((parts[i], parts[after[i]]))) is not None:
+            if i >= 0 and after[i] < n and (r := self.ranks.get(parts[i] << self.shift | parts[after[i]])) is not None:
                 heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j >= n or parts[j] != b:  # one of them was merged meanwhile
                 continue
-            parts[i], parts[j] = a + b, ""
+            parts[i], parts[j] = self.joined[r], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(before[i])
             offer(i)
-        return [p for p in parts if p]
+        return [p for p in parts if p >= 0]
+
+    def _word(self, word: str) -> bytes:
+        """One split-off word, remembered."""
+        if self.words.missing({word}):
+            raw = word.encode()
+            self.words.new[word] = array("I", self.merge([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])).tobytes()
+        return self.words.new[word]
 
     def _chunk(self, chunk: bytes) -> bytes:
-        ids: list[int] = []
+        if chunk.isalpha():  # ASCII letters are one word in lower case
+            return self._word(chunk.lower().decode())
+        ids: list[bytes] = []
         for part in self.special.split(chunk.decode()):
             if part in self.added:
-                ids.append(self.added[part])
+                ids.append(np.array([self.added[part]], "<u4").tobytes())
                 continue
-            part = self.blank.sub(" ", unicodedata.normalize("NFC", part))
-            for piece in self.pieces.findall("".join(c.lower() for c in part)):
-                symbols = [self.letters[b] for b in piece.encode()]
-                symbols[-1] += self.end
-                ids += [self.vocab[s] for s in self.merge(symbols)]
-        return np.array(ids, "<u4").tobytes()
+            if not part.isascii():
+                part = self.blank.sub(" ", unicodedata.normalize("NFC", part))
+            lower = part.lower() if part.isascii() else "".join(c.lower() for c in part)
+            ids += map(self._word, self.pieces.findall(lower))
+        return b"".join(ids)
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """Ids of one whole text. Chunks between ASCII white space are independent and remembered."""
-        out, memo = [], self.memo
-        for chunk in (text or b"").split():
-            ids = memo.get(chunk)
-            if ids is None:
-                if len(memo) >= self.limit:
-                    memo.clear()
-                memo[chunk] = ids = self._chunk(chunk)
-            out.append(ids)
+        chunks, out = (text or b"").split(), []
+        for i in range(0, len(chunks), 50_000):
+            part = chunks[i:i + 50_000]
+            for c in self.chunks.missing(set(part)):
+                self.chunks.new[c] = self._chunk(c)
+            out.append(b"".join(map(self.chunks.new.__getitem__, part)))
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
