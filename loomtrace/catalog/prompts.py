@@ -220,7 +220,7 @@ def _(t: Tables):
 
 
 _RUN = "(?i)" + dims.COMMAND_START + "(" + "|".join(dims.TEST_RUNNERS) + ")(" + dims.COMMAND_END + ")"
-_KNOW = "(?i)" + dims.COMMAND_START + "(" + "|".join(dims.KNOWLEDGE_COMMANDS) + ")(" + dims.COMMAND_END + ")"
+_KNOW = "(?i)" + dims.COMMAND_START + "(" + dims.KNOWLEDGE_COMMANDS + ")(" + dims.COMMAND_END + ")"
 
 
 @query("shell_tests", COMMANDS_SQL + f" SELECT doc_id, regexp_matches(cmd, {q(_RUN)}) AS tests, regexp_matches(cmd, {q(_KNOW)}) AS knowledge FROM c")

@@ -298,4 +298,4 @@ def _(t: Tables):
 @query("saturation_points")
 def _(t: Tables):
     i = inputs(t)
-    return AU.saturation_threshold(i, ["owner", "g_source"], "cli_total", 16)
+    return AU.saturation_threshold(i, ["owner", "g_source"], "cli_total")

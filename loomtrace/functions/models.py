@@ -7,7 +7,7 @@ from loomtrace import dims
 
 
 def _cap(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def pretty(model: Column) -> Column:
@@ -23,7 +23,7 @@ def pretty(model: Column) -> Column:
     plain = F.forall(versions, lambda v: v.rlike(r"^\d+$"))
     version = F.when((F.size(versions) >= 2) & plain, F.array_join(F.slice(versions, 1, 2), ".")).otherwise(
         F.coalesce(F.get(versions, F.lit(0)), F.lit("")))
-    extra = F.array_join(F.transform(F.slice(words, 2, 100), _cap), " ")
+    extra = F.array_join(F.transform(F.slice(words, 2, F.size(words)), _cap), " ")
     joined = F.array_join(F.filter(F.array(name, version, extra), lambda t: t != ""), " ")
     return (
         F.when(low == "default", "Cursor Auto")

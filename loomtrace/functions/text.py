@@ -67,7 +67,7 @@ def runs_tests(c: Column) -> Column:
 
 
 def runs_knowledge(c: Column) -> Column:
-    pattern = ("(?i)" + dims.COMMAND_START + "(" + "|".join(dims.KNOWLEDGE_COMMANDS) + ")(?="
+    pattern = ("(?i)" + dims.COMMAND_START + "(" + dims.KNOWLEDGE_COMMANDS + ")(?="
                + dims.COMMAND_END + ")")
     return F.coalesce(c.rlike(pattern), F.lit(False))
 
@@ -81,11 +81,9 @@ def cli_heads(c: Column) -> Column:
     parts = F.split(c, dims.SHELL_SPLIT_PATTERN)
 
     def head(part: Column) -> Column:
-        # drop assignments in front; the first token left is the head
-        rest = F.regexp_replace(part, r"^\s*(?:(?!-)[^\s=]*=\S*\s+)*", "")
-        token = F.regexp_extract(rest, r"^(\S+)", 1)
-        only_assignments = token.contains("=") & ~token.startswith("-")
-        return F.when(only_assignments, F.lit("")).otherwise(F.element_at(F.split(token, "/"), -1))
+        # the first token that is no assignment; nothing but assignments: none
+        tokens = F.filter(F.split(part, r"\s+"), lambda t: (t != "") & (~t.contains("=") | t.startswith("-")))
+        return F.coalesce(F.element_at(F.split(F.get(tokens, F.lit(0)), "/"), -1), F.lit(""))
 
     heads = F.transform(parts, head)
     return F.filter(heads, lambda h: h.isin(dims.KNOWN_CLIS))

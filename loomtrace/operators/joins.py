@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtrace.operators import sequence as S
 from loomtrace.operators.aggregates import count_if
@@ -152,7 +152,7 @@ def nested_coverage(sessions: DataFrame, repo: str, day: str, tests: str, pushes
                                count_if(n4).alias("or_same_day"))
 
 
-def repo_churn(numstat: DataFrame, tenant: list[str], since: str | None = None, until: str | None = None, top: int = 12) -> DataFrame:
+def repo_churn(numstat: DataFrame, tenant: list[str], since: str | None = None, until: str | None = None) -> DataFrame:
     """Insertions, deletions and commits per repository identity.
 
     Clones share root commits: identity is the sorted root list, else the remote, else the
@@ -180,6 +180,13 @@ def repo_churn(numstat: DataFrame, tenant: list[str], since: str | None = None,
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("insertions", "deletions", "commits")])
 
 
+def top_repos(repos: DataFrame, tenant: list[str], top: int = 12) -> DataFrame:
+    """The report's list: per tenant the repositories with most changed lines. Totals come from all of them."""
+    order = Window.partitionBy(*tenant).orderBy(F.desc(F.col("insertions") + F.col("deletions")), F.desc("commits"), "repo", "ident")
+    changed = repos.filter((F.col("insertions") > 0) | (F.col("deletions") > 0) | (F.col("commits") > 0))
+    return changed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
 def churn_totals(repos: DataFrame, tenant: list[str]) -> DataFrame:
     return repos.groupBy(*tenant).agg(
         F.count(F.lit(1)).alias("repos_seen"),

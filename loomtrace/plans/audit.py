@@ -100,15 +100,24 @@ def unscored_axes(scored: DataFrame, keep: list[str]) -> DataFrame:
     return scored.select(*keep, F.explode(F.array_except(declared, have)).alias("axis"))
 
 
-def saturation_threshold(inputs: DataFrame, keep: list[str], signal: str, steps: int = 64) -> DataFrame:
-    """Smallest fraction of a signal, on a fixed grid, that still scores what the full signal scores.
+def saturation_threshold(inputs: DataFrame, keep: list[str], signal: str, steps: int = 256, rounds: int = 6) -> DataFrame:
+    """Smallest fraction of a signal that still scores what the full signal scores, to 1 / steps^rounds.
 
-    The grid is a literal array per row, so the search is one pass and needs no join.
+    Scores rise with the signal, so each round keeps the one interval in which the full score is
+    reached and cuts it again; the defaults end at 3.6e-15. The points of a round are a literal
+    array per row: one pass and no join. Rounds are written tables, so plans stay small.
     """
     from loomtrace.plans.score import quotient
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / F.lit(float(steps)))
-    cut = inputs.withColumn("fraction", F.explode(grid)).withColumn(signal, F.col(signal) * F.col("fraction"))
+    from loomtrace.plans.tables import materialize, work_dir
+    work = work_dir(inputs.sparkSession)
     points = F.transform(F.flatten(F.transform("pillars", lambda p: p["axes"])), lambda a: F.bround(a["normalized_score"], 6))
-    s = quotient(cut, keep + ["fraction"]).select(*keep, "fraction", points.alias("points"))
-    g = s.groupBy(*keep).agg(F.max_by("points", "fraction").alias("full"), F.collect_list(F.struct("fraction", "points")).alias("arms"))
-    return g.select(*keep, F.array_min(F.transform(F.filter("arms", lambda a: a["points"] == F.col("full")), lambda a: a["fraction"])).alias("saturated_at"))
+    spans = inputs.select(*keep).distinct().withColumn("low", F.lit(0.0)).withColumn("high", F.lit(1.0))
+    for k in range(rounds):
+        cuts = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.when(i == steps, F.col("high")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (i / F.lit(float(steps)))))
+        arms = inputs.join(spans, keep).select("*", F.explode(F.array_distinct(cuts)).alias("fraction")).drop("low", "high")
+        scored = quotient(arms.withColumn(signal, F.col(signal) * F.col("fraction")), [*keep, "fraction"]).select(*keep, "fraction", points.alias("points"))
+        g = scored.groupBy(*keep).agg(F.max_by("points", "fraction").alias("full"), F.collect_list(F.struct("fraction", "points")).alias("arms"))
+        high = F.array_min(F.transform(F.filter("arms", lambda a: a["points"] == F.col("full")), lambda a: a["fraction"]))
+        g = g.withColumn("high", high).withColumn("low", F.coalesce(F.array_max(F.transform(F.filter("arms", lambda a: a["fraction"] < F.col("high")), lambda a: a["fraction"])), F.col("high")))
+        spans = materialize(g.select(*keep, "low", "high"), f"{work}/round_{k}")
+    return spans.select(*keep, F.col("high").alias("saturated_at"))

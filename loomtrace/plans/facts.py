@@ -7,7 +7,7 @@ from loomtrace import dims
 from loomtrace.functions import paths as P, text as X, tools as T
 from loomtrace.operators import aggregates as A, joins as J, sequence as S
 from loomtrace.schema import TOOL_INPUT
-from loomtrace.sources.files import first_of, non_empty
+from loomtrace.sources.files import chunk, first_of, non_empty
 
 KEY = ["tenant_id", "source", "file_path", "ordinal", "sub"]
 ORDER = ["ordinal", "sub", "block_pos"]
@@ -15,10 +15,6 @@ THREAD = ["tenant_id", "source", "file_path", "session_id"]
 SESSION = ["tenant_id", "source", "session_id"]
 
 
-def chunk() -> Column:
-    return F.shiftright(F.col("ordinal"), 16)
-
-
 def base(events: DataFrame) -> DataFrame:
     """Readable events with month and the planning eligibility of each event."""
     e = events.filter(~F.col("bad"))

@@ -39,7 +39,7 @@ def tool_key(name: Column) -> Column:
 def flat_mcp(key: Column) -> Column:
     """mcp_server_tool keys: the first part is the server, the rest the tool."""
     parts = F.filter(F.split(F.regexp_replace(key, "^mcp_*", ""), "_"), lambda p: p != "")
-    tool = F.array_join(F.slice(parts, 2, 100), "_")
+    tool = F.array_join(F.slice(parts, 2, F.size(parts)), "_")
     head = F.coalesce(F.get(parts, F.lit(0)), F.lit("tool"))
     return F.when(F.size(parts) >= 2, F.concat(F.lit("mcp__"), T.canonical_server(head, tool), F.lit("__"), tool)).otherwise(
         F.concat(F.lit("mcp__cursor__"), head))
@@ -259,7 +259,7 @@ def backfill_edits(kv: DataFrame, twins: DataFrame) -> DataFrame:
         need = rows.filter(blank(F.col("b"))).withColumn("name", F.col("b.name"))
         order = ["file_path", "ordinal", "sub", "pos"]
         paired = S.nth_pairs(need, source.select(*keys, *[F.col(c).alias(f"t_{c}") for c in order], "twin"), keys, order, [f"t_{c}" for c in order],
-                             F.shiftright("ordinal", 16), F.struct("t_file_path", F.shiftright("t_ordinal", 16)))
+                             R.chunk(), F.struct("t_file_path", R.chunk("t_ordinal")))
         b, twin = F.col("b"), F.col("twin")
         fields = {k: F.when(text(b, k).isNull(), F.get_json_object(twin, f"$.{k}")) for k in ("file_path", "new_string", "old_string", "content")}
         merged = with_fields(F.col("b.input"), fields)

@@ -3,10 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# ordinal = split offset in the high bits, row number inside the split in the low 27 bits
-ROW_BITS = 27
-MAX_FILE_BYTES = 1 << 36
-
 
 def modified_since(df: DataFrame, since: str | None, mtime: str = "mtime") -> DataFrame:
     """Drop files last written before the window: they cannot hold events inside it."""
@@ -16,20 +12,22 @@ def modified_since(df: DataFrame, since: str | None, mtime: str = "mtime") -> Da
 def lines(spark: SparkSession, paths: str | list[str], since: str | None = None) -> DataFrame:
     """Non-blank lines with file_path, mtime and an ordinal that follows the file's order.
 
-    Files stay splittable.  Rows of one split come in file order inside one partition, so
-    (split offset, running row id) orders a file without a shuffle; both are packed into
-    one BIGINT and a guard fails the job when a value would not fit.
+    Files stay splittable and nothing is shuffled: the ordinal is the offset of the split plus the
+    running row of the partition. A line takes a byte at least, so the rows of a split end before the
+    offset of the next one; a full split is always alone in its partition, and only the last,
+    shorter one of a file shares it. So ordinals rise strictly, whatever the size of a file.
+    That needs Spark's usual packing: spark.sql.files.maxPartitionNum, which puts full splits together, must be unset.
     """
+    if spark.conf.get("spark.sql.files.maxPartitionNum", None):
+        raise ValueError("unset spark.sql.files.maxPartitionNum: line order needs one full split per partition")
     raw = spark.read.text(paths if isinstance(paths, list) else [paths]).select(
         "value", F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").alias("mtime"),
         F.col("_metadata.file_block_start").alias("__start"))
     raw = modified_since(raw, since)
-    numbered = raw.withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    fits = (F.col("__row") < F.lit(1 << ROW_BITS)) & (F.col("__start") < F.lit(MAX_FILE_BYTES))
-    ordinal = F.when(fits, F.shiftleft(F.col("__start"), ROW_BITS).bitwiseOR(F.col("__row"))).otherwise(
-        F.raise_error(F.lit("split too large for a line ordinal; lower spark.sql.files.maxPartitionBytes")).cast("bigint"))
-    return (numbered.withColumn("ordinal", ordinal).filter(F.trim("value") != "")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordinal = F.col("__start") + row + F.when(F.col("__start") > 0, 1).otherwise(0)
+    return (raw.withColumn("ordinal", ordinal).filter(F.trim("value") != "")
             .select("file_path", "mtime", "ordinal", "value"))
 
 
@@ -52,10 +50,9 @@ def base_id(path: Column) -> Column:
     return F.element_at(F.split(F.element_at(F.split(path, "/"), -1), r"\."), 1)
 
 
-def chunk() -> Column:
+def chunk(ordinal: str = "ordinal") -> Column:
     """At most 65 536 lines of one file."""
-    return F.shiftright(F.col("ordinal"), 16)
-
+    return F.shiftright(F.col(ordinal), 16)
 
 # ---- JSON access -------------------------------------------------------------------
 def get(v: Column, path: str, typ: str = "string") -> Column:

@@ -85,3 +85,33 @@ def test_weighted_means_drop_and_renormalise(spark):
     r = df.select(N.rate(F.lit(1), F.lit(100), .009).alias("thin"), N.rate(F.lit(9), F.lit(1000), .009).alias("full"), N.rate(F.lit(0), F.lit(0), .009).alias("zero"),
                   N.rate(F.lit(1), F.lit(None).cast("int"), .009).alias("absent")).first()
     assert (r.thin, r.full, r.zero, r.absent) == (None, 1.0, 0.0, None)
+
+
+def test_long_names_and_commands_are_read_whole(spark):
+    """No part of a name is cut, and long commands do not overflow the matcher."""
+    from loomtrace.functions import models as M, text as X
+    from loomtrace.sources import cursor
+    long_word, parts = "x" * 3000, [f"p{i}" for i in range(301)]
+    calls = ["node " + "word " * 20000 + "--test", "node " + "word " * 20000, "gradle " + "a " * 20000 + ":m:sub:test", "sbt " + "b " * 20000 + "it:testOnly", "gradle :test", "gradle compileTestJava", "mvn " + "-q " * 20000 + "verify; ls",
+             "node a; b --test", "A=1 " * 20000 + "git status", "A=1 " * 5000]
+    df = spark.createDataFrame([(long_word + "-opus", "mcp_" + "_".join(parts), c) for c in calls], "m string, k string, c string")
+    rows = df.select(M.pretty(df.m).alias("m"), cursor.flat_mcp(df.k).alias("k"), X.runs_tests(df.c).alias("t"), X.cli_heads(df.c).alias("h")).collect()
+    assert rows[0].m == "X" + "x" * 2999 + " Opus" and rows[0].k == "mcp__p0__" + "_".join(parts[1:])
+    assert [r.t for r in rows] == [True, False, True, True, False, False, True, False, False, False]
+    assert rows[8].h == ["git"] and rows[9].h == []
+
+
+def test_line_order_holds_for_any_split_size(spark, tmp_path):
+    from loomtrace.sources import files
+    for n in range(6):
+        (tmp_path / f"{n}.txt").write_text("\n\n\n" * n + "".join(f"{i}\n\n" for i in range(700 + 37 * n)))
+    for size in ("64", "1000", "7000", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            rows = files.lines(spark, str(tmp_path)).orderBy("file_path", "ordinal").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [int(r.value) for r in rows] == [i for n in range(6) for i in range(700 + 37 * n)]
+        assert len({(r.file_path, r.ordinal) for r in rows}) == len(rows)
