@@ -2,14 +2,14 @@
 
 1. One pass gives each document its set size, a 128-bit hash of the set, 160 MinHash values and 40
    band keys of 4 values. Documents of one set hash are one class; only its smallest doc_id goes on.
-2. Classes that share a band key meet. First each meets only the smallest class of the bucket (a
-   star, so a group of thousands gives thousands of pairs). The pairs' signatures are compared 32
+2. Classes that share a band key meet. First each meets one other only: the class that is the smallest
+   of most of its buckets (a group of thousands gives thousands of pairs). The pairs' signatures are compared 32
    values at a time; with m of n equal, similarity has a Beta posterior under a uniform prior, and a
    pair whose posterior of reaching the threshold falls below `MISS` is dropped. Survivors are
-   verified on their full shingle sets, best estimate first, and linked classes become components.
+   verified on their full shingle sets, and linked classes become components.
 3. Buckets that still hold several components compare all their classes of different components,
    block against block, by the same bounds; only survivors leave a block. They are verified the same
-   way. Pairs inside a component cannot change the result and are never formed.
+   way, the best estimate of each class first and then those still apart. Pairs inside a component cannot change the result and are never formed.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^40 < 3e-7.
 
@@ -212,11 +212,13 @@ def label(docs: DataFrame) -> DataFrame:
         sided = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
         return sided.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune, "a long, b long, score int")
 
-    stars = met.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links.settle(base.materialize(bounded(stars), f"{work}/stars"))
+    # one partner each: the smallest class of most of its buckets; step 3 meets all others
+    votes = met.filter("node <> least").groupBy(F.col("node").alias("b"), F.col("least").alias("a")).agg(F.count("*").alias("n"))
+    stars = votes.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    links.confirm(base.materialize(bounded(base.materialize(stars, f"{work}/stars")), f"{work}/star_pairs"))
 
     labelled = met.join(links.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("members")).filter("l1 <> l2 and members > 2")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("members")).filter("l1 <> l2")
     open_ = labelled.join(mixed.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -224,7 +226,7 @@ def label(docs: DataFrame) -> DataFrame:
     sent = sent.select("bucket", "band", "node", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
     crossed = sent.join(sigs, "node").groupBy("bucket", "lo", "hi").applyInArrow(_cross, "a long, b long, score int")
-    tested = stars.withColumn("tested", F.lit(True))
+    tested = spark.read.parquet(f"{work}/stars").withColumn("tested", F.lit(True))
     crossed = base.materialize(crossed.join(tested, ["a", "b"], "left").filter("tested is null").drop("tested"), f"{work}/crossed")
     if not crossed.isEmpty():
         links.settle(crossed)
