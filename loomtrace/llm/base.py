@@ -38,7 +38,7 @@ class Memo:
 class WordHashes(dict):
     """Word bytes to 64-bit hash; two generations of bounded size."""
 
-    limit = 250_000
+    limit = 150_000
 
     def __init__(self):
         super().__init__()
@@ -91,13 +91,14 @@ def text_bytes(column) -> list[bytes | None]:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples; strings as bytes. One batch is held at a time."""
-    for batch in batches:
-        columns = []
-        for name in names:
-            c = batch.column(name)
-            columns.append(text_bytes(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist())
-        yield from zip(*columns, strict=True)
+    """Rows of Arrow batches as tuples; strings as bytes. Some hundred rows are held as Python values at a time."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            batch, columns = whole.slice(i, 256), []
+            for name in names:
+                c = batch.column(name)
+                columns.append(text_bytes(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist())
+            yield from zip(*columns, strict=True)
 
 
 def batched(rows: Iterator[dict], schema: pa.Schema, most: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

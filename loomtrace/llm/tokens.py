@@ -48,7 +48,7 @@ assert sys.byteorder == "little"  # ids are kept as they lie in files
 class Encoder:
     """Texts to arrays of token ids."""
 
-    limit = 150_000
+    limit = 80_000
 
     def __init__(self, path: str):
         self.tokens = tokenizer(path)
