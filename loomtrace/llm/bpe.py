@@ -36,7 +36,7 @@ _NONE = 1 << 60
 
 
 class RankArrayBPE:
-    limit = 150_000
+    limit = 80_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

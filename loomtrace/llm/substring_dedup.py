@@ -4,7 +4,7 @@ A passage of W words that also occurs in another document holds, there, one alig
 B = W // 2 words whatever its alignment. So the non-overlapping blocks of every document are the
 index, and every rolling window of B words of every document probes it:
 
-1. *Anchors.* Documents are read in batches of about a million words. A batch sends each bucket of
+1. *Anchors.* Documents are read in batches of some hundred thousand words. A batch sends each bucket of
    the hash space one packed row: four bytes per window, its place as a difference, a bit for
    "aligned block" and a bit for "next document". Windows that a batch holds in several documents
    are settled inside the batch and sent once, so a passage of a third of all rows costs one
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loomtrace.llm import base
 
 WINDOW = 50
-BATCH_WORDS = 1_000_000
+BATCH_WORDS, BUCKET_WORDS = 600_000, 1_000_000
 _SENT = "grp int, batch long, kind int, blob binary"
 _SENT_ARROW = pa.schema([("grp", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 _BACK = "batch long, kind int, blob binary"
@@ -279,7 +279,7 @@ def find(docs: DataFrame, window: int = WINDOW, work: str | None = None) -> tupl
     """
     spark = docs.sparkSession
     work = base.work_dir(spark, work)
-    buckets = max(4 * base.partitions(spark), base.text_size(docs) // (6 * BATCH_WORDS))
+    buckets = max(4 * base.partitions(spark), base.text_size(docs) // (6 * BUCKET_WORDS))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     sent = docs.mapInArrow(_probe(window, buckets), _SENT)
     back = sent.groupBy("grp").applyInArrow(_match_blocks, _BACK)
