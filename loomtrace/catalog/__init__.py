@@ -5,7 +5,7 @@ from loomtrace.catalog.registry import REGISTRY, Tables
 
 
 def load() -> dict:
-    from loomtrace.catalog import activity, ledger, prompts, scoring, transcripts  # noqa: F401  (registration)
+    from loomtrace.catalog import activity, ledger, prompts, readers, scoring, transcripts  # noqa: F401  (registration)
     return REGISTRY
 
 

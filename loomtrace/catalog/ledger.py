@@ -106,7 +106,7 @@ def _(t: Tables):
 
 @query("plan_credit", """
 WITH RECURSIVE
- a AS (SELECT o_custkey % 50 AS cwd, epoch(o_orderdate) + o_orderkey % 97 AS t FROM orders WHERE o_orderstatus = 'O'),
+ a AS (SELECT o_custkey % 50 AS cwd, epoch(o_orderdate) + o_orderkey % 97 AS t FROM orders WHERE o_orderstatus <> 'F'),
  e AS (SELECT o_custkey % 50 AS cwd, o_orderkey AS id, epoch(o_orderdate) + o_orderkey % 89 AS t FROM orders WHERE o_orderstatus = 'F'),
  b AS (SELECT e.cwd, e.id, row_number() OVER (PARTITION BY e.cwd ORDER BY e.t, e.id) AS n,
         (SELECT count(*) FROM a WHERE a.cwd = e.cwd AND a.t < e.t - 259200) AS lo,
@@ -120,17 +120,16 @@ SELECT id, ok AS credited FROM w""")
 def _(t: Tables):
     o = t.orders.select((F.col("o_custkey") % 50).alias("cwd"), F.col("o_orderkey").alias("id"), "o_orderstatus",
                         F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s"))
-    a = o.filter("o_orderstatus = 'O'").select("cwd", (F.col("s") + F.col("id") % 97).alias("t"))
+    a = o.filter("o_orderstatus <> 'F'").select("cwd", (F.col("s") + F.col("id") % 97).alias("t"))
     e = o.filter("o_orderstatus = 'F'").select("cwd", "id", (F.col("s") + F.col("id") % 89).alias("t"))
     return S.consume_once(a, e, ["cwd"], ["id"], "t", 72 * 3600).select("id", "credited")
 
 
 @query("low_volume_sources", """
-SELECT source, CAST(count(DISTINCT doc_id) AS BIGINT) AS sessions FROM documents WHERE n_chars > 2000
+SELECT source, CAST(count(DISTINCT doc_id) AS BIGINT) AS sessions FROM documents
 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10""")
 def _(t: Tables):
-    d = t.documents.filter("n_chars > 2000").select("source", "doc_id")
-    return A.admitted_sources(d, [], "source", "doc_id", 10)
+    return A.admitted_sources(t.documents.select("source", "doc_id"), [], "source", "doc_id", 10)
 
 
 @query("usage_shares", """
@@ -156,7 +155,7 @@ def _(t: Tables):
 
 
 @query("coverage_months", """
-WITH x AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month, l_orderkey AS sid FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-01-01'),
+WITH x AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month, l_orderkey AS sid FROM lineitem),
      i AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey AS sid FROM orders),
      b AS (SELECT coalesce(x.month, i.month) AS month, count(x.sid) AS available, count(i.sid) AS indexed,
                   count(CASE WHEN x.sid IS NOT NULL AND i.sid IS NOT NULL THEN 1 END) AS overlap
@@ -167,15 +166,14 @@ SELECT month, CASE WHEN indexed = 0 THEN 'unknown' WHEN available = 0 THEN 'insu
        CASE WHEN indexed > 0 THEN round_even(available / indexed, 3) END AS coverage,
        CAST(available - CASE WHEN indexed > 0 THEN overlap ELSE 0 END AS BIGINT) AS transcript_only FROM b""")
 def _(t: Tables):
-    x = t.lineitem.filter(F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp")).select(
+    x = t.lineitem.select(
         F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_orderkey").alias("sid"))
     i = t.orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderkey").alias("sid"))
     return A.month_coverage(x, i, [], "month", "sid")
 
 
 @query("backfill_plan", f"""
-WITH s AS (SELECT o_custkey % 200 AS owner, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders
-           WHERE o_orderdate < TIMESTAMP '2001-06-01' AND o_orderdate >= TIMESTAMP '2001-03-01' AND o_custkey % 3 <> 0 GROUP BY 1, 2),
+WITH s AS (SELECT o_custkey % 200 AS owner, CASE WHEN o_custkey % 200 % 7 <> 0 AND (o_custkey % 200 % 3 <> 0 OR o_orderdate < TIMESTAMP '2001-05-01') THEN strftime(o_orderdate, '%Y-%m') END AS month, count(*) AS n FROM orders GROUP BY 1, 2),
      o AS (SELECT DISTINCT o_custkey % 200 AS owner FROM orders),
      p AS (SELECT owner, max(CASE WHEN month = '2001-05' THEN n END) AS pn, count(month) AS known FROM s GROUP BY 1),
      q AS (SELECT o.owner, coalesce(known, 0) AS known, pn, CASE WHEN o.owner % 2 = 0 THEN o.owner % 3 END AS producible FROM o LEFT JOIN p USING (owner))
@@ -186,22 +184,22 @@ UNION ALL SELECT owner, '2001-05', CASE WHEN pn IS NULL THEN 'gap'
   FROM q WHERE known > 0 AND (pn IS NULL OR (pn % 2 = 1 AND producible IS NOT NULL) OR (producible IS NOT NULL AND producible > pn % 3))""")
 def _(t: Tables):
     o = t.orders.select((F.col("o_custkey") % 200).alias("owner"), "o_orderdate", "o_custkey")
-    d = F.col("o_orderdate")
-    s = (o.filter((d < F.lit("2001-06-01").cast("timestamp")) & (d >= F.lit("2001-03-01").cast("timestamp")) & (F.col("o_custkey") % 3 != 0))
-         .groupBy("owner", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n")))
-    own = F.col("owner")
-    stored = o.select("owner").distinct().join(s, "owner", "left").select(
+    own, d = F.col("owner"), F.col("o_orderdate")
+    # some owners have no stored month, some none of the last ones; every order counts
+    month = F.when((own % 7 != 0) & ((own % 3 != 0) | (d < F.lit("2001-05-01").cast("timestamp"))), F.date_format(d, "yyyy-MM"))
+    s = o.groupBy("owner", month.alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    stored = s.select(
         "owner", "month", F.when(F.col("n") % 2 == 0, "19:19:19").otherwise("18:18:18").alias("score_contract_id"),
         (F.col("n") % 3).alias("stored_rank"), F.when(own % 2 == 0, own % 3).alias("producible_rank"))
     return P.backfill_plan(stored, ["owner"], TODAY)
 
 
 @query("gap_months", f"""
-WITH l AS (SELECT o_custkey AS owner, strftime(max(o_orderdate), '%Y-%m') AS last FROM orders WHERE o_orderdate < TIMESTAMP '2001-06-01' GROUP BY 1),
+WITH l AS (SELECT o_custkey AS owner, strftime(max(o_orderdate), '%Y-%m') AS last FROM orders GROUP BY 1),
      m AS (SELECT strftime(unnest(generate_series(TIMESTAMP '2000-07-01', TIMESTAMP '2001-06-01', INTERVAL 1 MONTH)), '%Y-%m') AS month)
 SELECT owner, month, CASE WHEN month = '2001-06' THEN 'current' ELSE 'gap' END AS reason FROM l, m WHERE month > last OR month = '2001-06'""")
 def _(t: Tables):
-    s = t.orders.filter(F.col("o_orderdate") < F.lit("2001-06-01").cast("timestamp")).select(
+    s = t.orders.select(
         F.col("o_custkey").alias("owner"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     return P.gap_months(s, ["owner"], "month", TODAY)
 
@@ -268,9 +266,9 @@ def _(t: Tables):
 @query("delegated_sessions", """
 SELECT c_nationkey, CAST(count(*) AS BIGINT) AS orchestratable,
        CAST(count(*) FILTER (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')) AS BIGINT) AS delegated
-FROM customer WHERE c_acctbal > 0 GROUP BY 1""")
+FROM customer GROUP BY 1""")
 def _(t: Tables):
-    c = t.customer.filter("c_acctbal > 0").select("c_custkey", "c_nationkey")
+    c = t.customer.select("c_custkey", "c_nationkey")
     d = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     hit = c.join(d, "c_custkey", "left_semi").withColumn("d", F.lit(1)).select("c_custkey", "d")
     return c.join(hit, "c_custkey", "left").groupBy("c_nationkey").agg(
@@ -279,22 +277,22 @@ def _(t: Tables):
 
 @query("set_change", """
 WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01'),
-     b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01' AND o_orderdate < TIMESTAMP '1999-01-01')
+     b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01')
 SELECT o_custkey, 'new' AS change FROM b WHERE o_custkey NOT IN (SELECT * FROM a)
 UNION ALL SELECT o_custkey, 'closed' FROM a WHERE o_custkey NOT IN (SELECT * FROM b)""")
 def _(t: Tables):
     o, d = t.orders, F.col("o_orderdate")
     cut = F.lit("1998-06-01").cast("timestamp")
-    return J.set_change(o.filter(d < cut), o.filter((d >= cut) & (d < F.lit("1999-01-01").cast("timestamp"))), ["o_custkey"])
+    return J.set_change(o.filter(d < cut), o.filter(d >= cut), ["o_custkey"])
 
 
 @query("nth_pairs", """
-WITH a AS (SELECT o_custkey, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O'),
+WITH a AS (SELECT o_custkey, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F'),
      b AS (SELECT o_custkey, o_orderkey AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F')
 SELECT a.o_custkey, x, y FROM a LEFT JOIN b ON a.o_custkey = b.o_custkey AND a.n = b.n""")
 def _(t: Tables):
     o = t.orders
-    a = o.filter("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("x"))
+    a = o.filter("o_orderstatus <> 'F'").select("o_custkey", F.col("o_orderkey").alias("x"))
     b = o.filter("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("y"))
     chunk = 4096
     return S.nth_pairs(a, b, ["o_custkey"], ["x"], ["y"], F.floor(F.col("x") / chunk), F.floor(F.col("y") / chunk))

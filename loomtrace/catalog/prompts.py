@@ -133,12 +133,12 @@ def _(t: Tables):
 
 
 @query("dedup_rank", LINES_SQL + """,
- s AS (SELECT doc_id % 4 AS owner, c, length(c) % 50 AS score, doc_id * 1000000 + line AS o, lower(c) AS k FROM v WHERE length(c) <= 60),
+ s AS (SELECT doc_id % 4 AS owner, c, length(c) % 50 AS score, doc_id * 1000000 + line AS o, lower(c) AS k FROM v),
  b AS (SELECT owner, k, arg_max(c, (score, -o)) AS c, max(score) AS score FROM s GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY score DESC, c) AS rank, max(score) OVER (PARTITION BY owner) AS top FROM b)
 SELECT owner, c, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6 AND score >= top * 0.5""")
 def _(t: Tables):
-    l = lines(t).filter(F.length("c") <= 60).select(
+    l = lines(t).select(
         (F.col("doc_id") % 4).alias("owner"), "c", (F.length("c") % 50).cast("int").alias("score"),
         (F.col("doc_id") * 1000000 + F.col("line")).alias("o"))
     return A.dedup_rank(l, ["owner"], "c", "score", F.col("o"))

@@ -170,13 +170,11 @@ def with_rest(i: DataFrame) -> DataFrame:
 
 @query("pooled_planning", INPUTS_SQL + """
 SELECT owner, CAST(sum(planning_sessions) AS BIGINT) AS planning_sessions, CAST(sum(planning_eligible) AS BIGINT) AS planning_eligible,
-  CAST(sum(planning_unmeasured) AS BIGINT) AS planning_unmeasured, round(sum(planning_eligible) / (sum(planning_eligible) + sum(planning_unmeasured)), 6) AS coverage,
+  CAST(sum(planning_unmeasured) AS BIGINT) AS planning_unmeasured, CASE WHEN sum(planning_eligible) > 0 THEN round(sum(planning_eligible) / (sum(planning_eligible) + sum(planning_unmeasured)), 6) END AS coverage,
   round(sum(tool_calls * CASE WHEN doing > 0 THEN explore / doing ELSE 0.0 END) / sum(tool_calls), 6) AS planning_ratio,
-  round(sum(tool_calls - sidechain) / sum(greatest(prompts, 0)), 6) AS actions_per_prompt FROM i GROUP BY 1 HAVING sum(prompts) > 0 AND min(prompts) > 0""")
+  round(CASE WHEN sum(prompts) > 0 THEN sum(CASE WHEN prompts > 0 THEN tool_calls - sidechain ELSE 0 END) / sum(prompts) ELSE avg((tool_calls - sidechain) / greatest(prompts, 1)) END, 6) AS actions_per_prompt FROM i GROUP BY 1""")
 def _(t: Tables):
-    i = with_rest(inputs(t))
-    ok = i.groupBy("owner").agg(F.min("prompts").alias("m")).filter("m > 0").select("owner")
-    p = CB.pooled_inputs(i, ["owner"]).join(ok, "owner", "left_semi")
+    p = CB.pooled_inputs(with_rest(inputs(t)), ["owner"])
     return p.select("owner", *[F.col(c).cast("bigint").alias(c) for c in ("planning_sessions", "planning_eligible", "planning_unmeasured")],
                     F.round("planning_coverage", 6).alias("coverage"), F.round("planning_ratio", 6).alias("planning_ratio"), F.round("actions_per_prompt", 6).alias("actions_per_prompt"))
 
@@ -196,9 +194,11 @@ def _(t: Tables):
 
 @query("tool_rate_diagnostic", INPUTS_SQL + """
 SELECT owner, source, m.metric AS metric, CAST(m.c AS BIGINT) AS count, round_even(m.c / tool_calls, 6) AS per_call, CAST(least(100, round_even(m.c / tool_calls * 100 / m.t, 0)) AS INTEGER) AS pct
-FROM (SELECT *, unnest([{'metric': 'skills_total', 'c': skill_total, 't': 0.009::DOUBLE}, {'metric': 'review_skills', 'c': review_skills, 't': 0.004::DOUBLE}, {'metric': 'compounding_writes', 'c': compounding, 't': 0.0018::DOUBLE}]) AS m FROM i)""")
+FROM (SELECT *, unnest([{'metric': 'skills_total', 'c': skill_total, 't': 0.009::DOUBLE}, {'metric': 'review_skills', 'c': review_skills, 't': 0.004::DOUBLE}, {'metric': 'compounding_writes', 'c': compounding, 't': 0.0018::DOUBLE}]) AS m FROM i)
+UNION ALL SELECT owner, source, 'orchestratable', orchestratable, round_even(orchestratable / tool_calls, 6), CAST(least(100, orchestratable * 100) AS INTEGER) FROM i
+UNION ALL SELECT owner, source, k, 0, 0.0, CASE WHEN k = 'knowledge_calls' THEN 0 END FROM i, (VALUES ('knowledge_calls'), ('toolsearch_calls'), ('task_tool_calls')) AS v(k)""")
 def _(t: Tables):
-    d = SC.tool_rate_diagnostic(with_rest(inputs(t)), ["owner", "g_source"]).filter(F.col("metric").isin("skills_total", "review_skills", "compounding_writes"))
+    d = SC.tool_rate_diagnostic(with_rest(inputs(t)), ["owner", "g_source"])
     return d.select("owner", F.col("g_source").alias("source"), "metric", "count", "per_call", "pct")
 
 

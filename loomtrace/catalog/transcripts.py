@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomtrace.catalog.registry import Tables, query
 from loomtrace.operators import aggregates as A
-from loomtrace.plans import audit as AU, facts as FX, ordered as O, score as SC, stats as ST
+from loomtrace.plans import audit as AU, facts as FX, ordered as O, report as RP, score as SC, stats as ST
 from loomtrace.plans.tables import materialize, work_dir
 from loomtrace.schema import BLOCK, canonical, result_block, tool_block
 
@@ -36,13 +36,16 @@ def transcripts(t: Tables) -> DataFrame:
     tool = F.when(et == "click", click).when(et == "view", ask).when(et == "purchase", edit).when(dispatch, agent)
     is_error = et == "error"
     content = F.when(is_error, F.array(result_block(F.lit(True)))).when(tool.isNotNull(), F.array(tool))
-    return canonical(t.events.select(
+    # a third of the users each live one and two months later, so months differ
+    events = t.events.withColumn("ts", F.expr("ts + make_ym_interval(0, cast(user_id % 3 as int))"))
+    used = F.struct(k.cast("bigint").alias("input"), F.lit(1).cast("bigint").alias("output"), (k % 7).cast("bigint").alias("cache_read"), F.lit(0).cast("bigint").alias("cache_creation"))
+    return canonical(events.select(
         F.concat(F.lit("dev"), (u % 5).cast("string")).alias("tenant_id"), src.alias("source"),
         F.concat(F.lit("/t/"), src, F.lit("/u"), u.cast("string"), F.lit(".jsonl")).alias("file_path"), F.col("event_id").alias("ordinal"),
         F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), u.cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
         F.concat(F.lit("/repo"), (u % 3).cast("string")).alias("cwd"), F.lit(False).alias("is_sidechain"),
         F.when(is_error | ((et == "signup") & ~dispatch), "user").otherwise("assistant").alias("type"),
-        F.when(tool.isNotNull(), pick(MODELS, k)).alias("model"),
+        F.when(tool.isNotNull(), pick(MODELS, k)).alias("model"), F.when(tool.isNotNull(), used).alias("usage"),
         F.when((et == "signup") & ~dispatch, F.concat(F.lit("please build item "), k.cast("string"))).alias("text"), content.cast(f"array<{BLOCK}>").alias("content")))
 
 
@@ -50,7 +53,7 @@ def transcripts(t: Tables) -> DataFrame:
 T = """
 WITH t AS (SELECT event_id AS o, ts, strftime(ts, '%Y-%m') AS month, 'dev' || (user_id % 5) AS tenant_id, user_id AS u,
     ['claude','codex','cursor','gemini'][CAST(user_id % 4 + 1 AS INT)] AS source, 'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS session_id,
-    CAST(json_extract(props, '$.k') AS INT) AS k, event_type AS et FROM events),
+    CAST(json_extract(props, '$.k') AS INT) AS k, event_type AS et FROM (SELECT * REPLACE (ts + INTERVAL 1 MONTH * (user_id % 3) AS ts) FROM events)),
  c AS (SELECT *, CASE WHEN et = 'click' THEN CASE WHEN k % 10 = 0 THEN 'Bash' WHEN k % 10 = 1 THEN 'TodoWrite' ELSE 'Read' END
     WHEN et = 'view' THEN 'mcp' WHEN et = 'purchase' THEN 'Edit' WHEN et = 'signup' AND k % 4 = 0 THEN 'Agent' WHEN et = 'error' THEN 'error' ELSE 'prompt' END AS tool FROM t)"""
 
@@ -221,3 +224,48 @@ def _(t: Tables):
     q = materialize(SC.quotient(wide, keep), f"{w}/quotient")
     card = SC.scorecard(wide, keep).select(*keep, "execution", "planning", "engineering")
     return q.join(card, keep).select(*keep, "quotient", "tier", "execution", "planning", "engineering", F.transform("pillars", lambda p: p["score"]).alias("pillar_scores"))
+
+
+@query("report_tokens", T + """
+SELECT tenant_id, ['claude-opus-4-7', 'claude-sonnet-4-5', 'gpt-5.4', 'gpt-5-mini'][k % 4 + 1] AS model, month, count(*) AS turns, CAST(sum(k) AS BIGINT) AS input, count(*) AS output,
+  CAST(sum(k % 7) AS BIGINT) AS cache_read, CAST(0 AS BIGINT) AS cache_creation FROM c WHERE tool NOT IN ('error', 'prompt') GROUP BY 1, 2, 3""")
+def _(t: Tables):
+    return RP.token_totals(FX.base(transcripts(t)), ["tenant_id", "model", "month"])
+
+
+@query("report_models", T + """,
+ g AS (SELECT tenant_id, ['claude-opus-4-7', 'claude-sonnet-4-5', 'gpt-5.4', 'gpt-5-mini'][k % 4 + 1] AS model, count(*) AS turns, CAST(sum(k + 1 + k % 7) AS BIGINT) AS tokens FROM c WHERE tool NOT IN ('error', 'prompt') GROUP BY 1, 2)
+SELECT tenant_id, model, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY turns DESC, model) AS INTEGER) AS rank, turns, tokens, round_even(turns / sum(turns) OVER (PARTITION BY tenant_id), 3) AS share FROM g""")
+def _(t: Tables):
+    return RP.model_usage(FX.base(transcripts(t)), ["tenant_id"])
+
+
+@query("report_rhythm", T + """
+SELECT tenant_id, CAST(hour(ts) AS INTEGER) AS hour, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][isodow(ts)] AS day, count(*) AS prompts FROM c WHERE tool = 'prompt' GROUP BY 1, 2, 3""")
+def _(t: Tables):
+    return RP.rhythm(FX.base(transcripts(t)), ["tenant_id"])
+
+
+@query("report_months", T + """
+SELECT tenant_id, month, count(*) FILTER (tool = 'prompt') AS prompts, count(*) FILTER (tool NOT IN ('error', 'prompt')) AS calls,
+  CAST(coalesce(sum(k % 40 + 1) FILTER (tool = 'Edit'), 0) AS BIGINT) AS added, count(*) FILTER (tool = 'Edit') AS removed,
+  CAST(coalesce(sum(k) FILTER (tool NOT IN ('error', 'prompt')), 0) AS BIGINT) AS input, count(*) FILTER (tool NOT IN ('error', 'prompt')) AS output,
+  count(DISTINCT CAST(ts AS DATE)) AS active_days, count(DISTINCT source || session_id) AS sessions FROM c GROUP BY 1, 2""")
+def _(t: Tables):
+    b = FX.base(transcripts(t))
+    return RP.months(b, FX.tool_calls(b), ["tenant_id"])
+
+
+@query("report_projects", T + """
+SELECT tenant_id, 'repo' || (u % 3) AS project, count(*) AS events, count(DISTINCT source || session_id) AS sessions, count(*) FILTER (tool NOT IN ('error', 'prompt')) AS calls FROM c GROUP BY 1, 2""")
+def _(t: Tables):
+    b = FX.base(transcripts(t))
+    return RP.projects(b, FX.tool_calls(b), ["tenant_id"])
+
+
+@query("report_sources", T + """,
+ g AS (SELECT tenant_id, source, count(DISTINCT session_id) AS sessions, count(*) FILTER (tool = 'prompt') AS prompts, count(*) FILTER (tool NOT IN ('error', 'prompt')) AS calls FROM c GROUP BY 1, 2)
+SELECT *, round_even(sessions / sum(sessions) OVER w, 3) AS sessions_share, round_even(prompts / sum(prompts) OVER w, 3) AS prompts_share, round_even(calls / sum(calls) OVER w, 3) AS calls_share FROM g WINDOW w AS (PARTITION BY tenant_id)""")
+def _(t: Tables):
+    b = FX.base(transcripts(t))
+    return RP.sources(b, FX.tool_calls(b), ["tenant_id"]).drop("hours", "hours_share")

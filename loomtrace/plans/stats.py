@@ -172,7 +172,7 @@ def name_measures(ng: DataFrame) -> DataFrame:
         skill_n(T.is_task_skill(F.col("name"))).alias("task_skills"),
         (skill_n(T.contains_any(low, dims.PROCESS_SKILL_NEEDLES)) > 0).alias("process_skills"),
         (skill_n(T.contains_any(low, dims.COMPOUNDING_SKILL_NEEDLES)) > 0).alias("compounding_skills"),
-        F.max_by(F.when(k("tool"), F.col("name")), F.when(k("tool"), n)).alias("top_tool"))
+        F.min_by(F.when(k("tool"), F.col("name")), F.when(k("tool"), F.struct((-n).alias("n"), "first_seen"))).alias("top_tool"))  # equal counts: first seen
     h = F.log2(F.col("tool_total").cast("double")) - F.col("nlogn") / F.col("tool_total")
     return g.withColumn("tool_entropy", F.when(F.col("tool_distinct") > 1, h / F.log2(F.col("tool_distinct").cast("double"))).otherwise(0.0)).withColumn(
         "task_tool_calls", F.col("task_create") + F.col("task_update")).drop("nlogn", "task_create", "task_update")
@@ -200,7 +200,10 @@ def activity(b: DataFrame) -> DataFrame:
     union = S.union_of_buckets(g, GRAIN, ["session_id"], dims.GAP_CAP_S).select(*GRAIN, (F.col("active_s") / 3600.0).alias("active_hours"))
     burst = S.burst_of_buckets(g, GRAIN, ["session_id"], dims.BURST_GAP_S).select(*GRAIN, (F.col("longest_s") / 60.0).alias("longest_run_min"))
     per = S.duration_of_buckets(g.filter("g_month = '*'"), GRAIN + ["session_id"], dims.GAP_CAP_S)
-    mins = per.groupBy(*GRAIN).agg((F.avg("active_s") / 60).alias("avg_session_min"), (F.median("active_s") / 60).alias("median_session_min"))
+    # the median comes from a histogram of microseconds: no task holds all sessions of a grain
+    hist = per.filter("active_s is not null").groupBy(*GRAIN, F.round(F.col("active_s") * 1e6).cast("bigint").alias("us")).agg(F.count(F.lit(1)).alias("n"), F.sum("active_s").alias("s"))
+    mins = A.depth_histogram_stats(hist, GRAIN, "us", "n").select(*GRAIN, (F.col("median") / 60e6).alias("median_session_min"))
+    mins = S.join_keys(hist.groupBy(*GRAIN).agg((F.sum("s") / F.sum("n") / 60).alias("avg_session_min")), mins, GRAIN)
     return S.join_keys(S.join_keys(union, burst, GRAIN), mins, GRAIN)
 
 

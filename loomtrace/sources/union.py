@@ -29,7 +29,7 @@ def read_all(spark: SparkSession, roots: dict[str, str], tenant: str = "local",
     if "pi" in roots:
         parts.append(pi.read(spark, roots["pi"], tenant, since))
     if "opencode" in roots:
-        parts.append(opencode.read_json(spark, roots["opencode"], tenant))
+        parts.append(opencode.read_json(spark, roots["opencode"], tenant, since))
     jsonl = kv = None
     if "cursor" in roots:
         jsonl = materialize(cursor.read_jsonl(spark, roots["cursor"], tenant, since), f"{work}/cursor_jsonl")
