@@ -114,6 +114,10 @@ def batched(rows: Iterator[dict], schema: pa.Schema, most: int = 4096, most_byte
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+#: DuckDB expression: words of a text.
+SQL_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -247,3 +247,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with all columns, one document of each component (the smallest doc_id)."""
     gone = label(docs).filter("not kept").select(F.col("doc_id").alias(base.fresh(docs, "gone"))).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == gone[gone.columns[0]], "left_anti")
+
+
+#: label() in SQL, for doc_ids that occur once.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {base.SQL_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[p:p + {WORDS - 1}], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {WORDS - 2}, 2))) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(node, other) AS (SELECT x, x FROM e UNION SELECT node, y FROM reach JOIN e ON other = x),
+m AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON node = doc_id
+"""

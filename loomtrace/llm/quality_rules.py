@@ -130,7 +130,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     return judged.select(*[F.col(new).alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
-_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_WORDS = base.SQL_WORDS
 #: The same results in SQL.
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),

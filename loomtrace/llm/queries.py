@@ -50,4 +50,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_substring_dedup, op2_url_filter, op3_learned_partitions, op4_line_dedup, op5_quality_rules, op6_token_files, op7_minhash, op8_best_fit_packing, op9_sharding, op10_bpe)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op2_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL, "op7_minhash": minhash.SQL, "op9_sharding": sharding.SQL}

@@ -57,3 +57,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, per_range: i
     first = F.expr(f"(cast(place * {shards} div {max(total, 1)} as bigint) * {total} + {shards - 1}) div {shards}")
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), (F.col("place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
                        F.when(F.col("source") != "", F.expr("substr(source, 2)")).alias("source"))
+
+
+#: assign() in SQL; the table of the checksum is built from its polynomial.
+SQL = f"""
+WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+a AS (SELECT doc_id, source, coalesce('=' || source, '') AS s, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) AS text_crc32 FROM documents, bits),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id, text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY s) AS n FROM a),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank * 2 + 1)::DOUBLE / (n * 2)::DOUBLE, s, rank) - 1 AS place, count(*) OVER () AS total FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * {SHARDS} // total)::INTEGER AS shard, place - ((place * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INTEGER AS grown_shard, source FROM p
+"""

@@ -346,3 +346,16 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = docs.join(cuts, (F.col("doc_id").cast("long") == cuts[cuts.columns[0]]) & (F.xxhash64("text") == cuts[key]), "left")
     cut = F.when(F.col(starts).isNotNull(), shorten("text", starts)).otherwise(F.col("text"))
     return joined.withColumn("text", cut).select(*docs.columns)
+
+
+#: digest() in SQL.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {base.SQL_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+k AS (SELECT r, doc_id, p, md5(array_to_string(ws[p:p + {WINDOW - 1}], ' ')) AS k FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS p FROM d)),
+f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+hit AS (SELECT r, p FROM k JOIN f USING (k) WHERE first < doc_id),
+gone AS (SELECT r, list(DISTINCT q) AS qs FROM (SELECT r, unnest(range(p, p + {WINDOW})) AS q FROM hit) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN qs IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
