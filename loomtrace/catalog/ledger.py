@@ -97,7 +97,7 @@ SELECT l_returnflag, CAST(sum(delta) AS BIGINT) AS total, CAST(count(*) AS BIGIN
 def _(t: Tables):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     li = t.lineitem.select("l_orderkey", "l_returnflag", "l_quantity", *order)
-    chunk = F.floor(F.col("l_linenumber") / 4)
+    chunk = F.floor(F.col("l_linenumber") / 65536)
     cum = S.running_sum(li, ["l_orderkey"], order, chunk, F.col("l_quantity"), "cum")
     d = S.previous_value(cum, ["l_orderkey"], order, chunk, "cum", "prev")
     delta = F.greatest(F.col("cum") - F.coalesce("prev", F.lit(0.0)), F.lit(0.0))

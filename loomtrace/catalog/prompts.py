@@ -103,7 +103,30 @@ def _(t: Tables):
     return prompts(t).select("conv_id", "turn", Q.typo_score(F.col("c")).alias("typos"))
 
 
-@query("prompt_heat")
+# every separator twice: neighbouring words then each have their own borders to consume
+DOUBLED = r"regexp_replace(c, '([^\p{L}\p{N}\p{M}_])', '\1\1', 'g')"
+
+
+def times(words) -> str:
+    """How often one of the words occurs."""
+    spelled = uword(words).replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?")
+    return f"len(regexp_extract_all({DOUBLED}, {q('(?i)' + B + '(' + spelled + ')' + E)}))"
+
+
+WORDS = f"len({TOKENS})"
+LETTERS = r"len(regexp_extract_all(c, '\p{L}'))"
+CAPS = rf"CASE WHEN {LETTERS} = 0 THEN 0.0::DOUBLE ELSE len(regexp_extract_all(c, '\p{{Lu}}'))::DOUBLE / {LETTERS} END"
+BANGS = "len(regexp_extract_all(c, '[!?]'))"
+SHOUTS = f"len(regexp_extract_all({DOUBLED}, {q(B + '[A-Z]{3,}' + E)}))"
+HEAT = (f"({CAPS} * 2.5::DOUBLE + greatest(0, 9 - {WORDS}) * 0.5::DOUBLE + least({SHOUTS}, 4) * 0.4::DOUBLE + least({times(dims.RAGE_WORDS)}, 3) * 0.5::DOUBLE"
+        f" + least({BANGS}, 5) * 0.3::DOUBLE)")
+CRYPTIC = (f"({TYPO} * 1.0::DOUBLE + {times(dims.VAGUE_WORDS)} * 0.55::DOUBLE + CASE WHEN c = lower(c) THEN 0.5::DOUBLE ELSE 0 END"
+           f" + CASE WHEN regexp_matches(c, '[.?!]') THEN 0 ELSE 0.35::DOUBLE END + greatest(0, 7 - {WORDS}) * 0.25::DOUBLE"
+           f" + CASE WHEN regexp_matches(c, {q('(?i)' + dims.EMOTICON_PATTERN)}) THEN 1.6::DOUBLE ELSE 0 END + CASE WHEN {times(dims.FEELING_WORDS)} > 0 THEN 1.3::DOUBLE ELSE 0 END)")
+
+
+@query("prompt_heat", PROMPTS_SQL + f""" SELECT conv_id, turn, round({HEAT} + CASE WHEN turn % 24 BETWEEN 2 AND 5 THEN 1.8::DOUBLE ELSE 0 END, 6) AS heat,
+  {SAFE} AND {LETTERS} >= 6 AND {WORDS} <= 16 AND ({times(dims.RAGE_WORDS)} > 0 OR {BANGS} >= 2) AND {HEAT} >= 2 AS candidate FROM v""")
 def _(t: Tables):
     p = prompts(t)
     return p.select("conv_id", "turn", F.round(Q.heat_score(F.col("c"), (F.col("turn") % 24).cast("int")), 6).alias("heat"),
@@ -118,7 +141,9 @@ def _(t: Tables):
     return prompts(t).select("conv_id", "turn", F.round(Q.caps_ratio(c), 6).alias("caps"), Q.bang_count(c).alias("bangs"))
 
 
-@query("prompt_cryptic")
+@query("prompt_cryptic", PROMPTS_SQL + f""" SELECT conv_id, turn, round({CRYPTIC}, 6) AS score, {SAFE} AND {WORDS} BETWEEN 3 AND 14
+  AND len(regexp_extract_all(lower(c), '[a-z'']+')) > 0 AND len(list_filter(regexp_extract_all(lower(c), '[a-z'']+'), lambda x: NOT list_contains({lst(dims.FILLER_WORDS)}, x))) > 0
+  AND {CRYPTIC} >= 1.8 AS candidate FROM v""")
 def _(t: Tables):
     return prompts(t).select("conv_id", "turn", F.round(Q.cryptic_score(F.col("c")), 6).alias("score"),
                              Q.cryptic_candidate(F.col("c")).alias("candidate"))
@@ -288,7 +313,9 @@ def _(t: Tables):
         .groupBy("server", "sub", "category", "knowledge_write").agg(F.count(F.lit(1)).alias("calls"))
 
 
-@query("payload_budget")
+@query("payload_budget", """
+WITH d AS (SELECT strlen(json_object('doc_id', doc_id, 'text', text, 'lang', lang, 'source', source)::VARCHAR) AS n FROM documents)
+SELECT n >= 8192 AS rejected, count(*) AS documents, CAST(max(n) AS INTEGER) AS largest FROM d GROUP BY 1""")
 def _(t: Tables):
     j = F.to_json(F.struct("doc_id", "text", "lang", "source"))
     d = t.documents.select("doc_id", F.octet_length(j).alias("bytes"), planning.over_budget(j, 8192).alias("rejected"))

@@ -2,6 +2,8 @@
 group) and source, so every scored row grows with the given tables."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from loomtrace import dims
@@ -40,11 +42,31 @@ OWNER = "o_custkey % 150"
 SOURCE_SQL = "[" + ", ".join(f"'{s}'" for s in dims.SOURCES) + "][CAST(o_custkey % 8 + 1 AS INT)]"
 
 
+def per_order(expr: str) -> tuple[str, str]:
+    """A signal as an aggregate of one order's lines, and the aggregate of those ({} stands for it).
+
+    Distinct orders become one flag per order, distinct small residues one bit each, so no row is
+    multiplied for a distinct count.
+    """
+    if m := re.fullmatch(r"count\(DISTINCT o_orderkey\)(?: FILTER \(WHERE (.*)\))?", expr):
+        return f"max(CASE WHEN {m[1] or 'true'} THEN 1 ELSE 0 END)", "sum({})"
+    if m := re.fullmatch(r"count\(DISTINCT (.+ % \d+)\)", expr):
+        return f"bit_or(shiftleft(1L, CAST({m[1]} AS INT)))", "CAST(bit_count(bit_or({})) AS BIGINT)"
+    if m := re.fullmatch(r"count\(DISTINCT (l_returnflag)\)", expr):
+        return f"bit_or(shiftleft(1L, ascii({m[1]}) % 64))", "CAST(bit_count(bit_or({})) AS BIGINT)"
+    if m := re.fullmatch(r"(max\(.+?\))(.*)", expr):
+        return m[1], "max({})" + m[2]
+    if m := re.fullmatch(r"CAST\((sum\(.+?\)) AS BIGINT\)(.*)", expr):
+        return m[1], "CAST(sum({}) AS BIGINT)" + m[2]
+    return expr, "sum({})"
+
+
 def inputs(t: Tables) -> DataFrame:
     j = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     src = F.element_at(F.array(*[F.lit(s) for s in dims.SOURCES]), (F.col("o_custkey") % 8 + 1).cast("int"))
-    g = j.groupBy(F.expr(OWNER).alias("owner"), src.alias("g_source")).agg(*[F.expr(e).alias(c) for c, e in SIGNALS.items()])
-    return finish(g)
+    two = {c: per_order(e) for c, e in SIGNALS.items()}
+    orders = j.groupBy("l_orderkey", F.expr(OWNER).alias("owner"), src.alias("g_source")).agg(*[F.expr(e).alias(c) for c, (e, _) in two.items()])
+    return finish(orders.groupBy("owner", "g_source").agg(*[F.expr(e.format(f"`{c}`")).alias(c) for c, (_, e) in two.items()]))
 
 
 def finish(g: DataFrame) -> DataFrame:
@@ -225,10 +247,13 @@ def _(t: Tables):
     p = h.groupBy("user_id").agg(F.max_by("h", F.struct("n", (-F.col("f")).alias("f"))).alias("peak"))
     wd = F.weekday("ts")
     from loomtrace.operators.aggregates import count_if
-    d = t.events.groupBy("user_id").agg(count_if(wd >= 5).alias("we"), count_if(wd < 5).alias("wd"), F.avg("value").alias("av"), F.median("value").alias("md"),
+    d = t.events.groupBy("user_id").agg(count_if(wd >= 5).alias("we"), count_if(wd < 5).alias("wd"), F.avg("value").alias("av"),
                                         count_if(F.col("event_type") == "signup").alias("polite"), F.count(F.lit(1)).alias("prompts"),
                                         count_if((F.col("event_type") == "error") & (F.col("value") > 100)).alias("q"))
-    return SC.persona(d.join(p, "user_id"), ["user_id"], "peak", "we", "wd", "av", "md", "polite", "prompts", "q")
+    from loomtrace.operators.aggregates import depth_stats
+    # the median comes from a histogram of values
+    md = depth_stats(t.events.filter("value is not null").select("user_id", "value"), ["user_id"], "value").select("user_id", F.col("median").alias("md"))
+    return SC.persona(d.join(p, "user_id").join(md, "user_id"), ["user_id"], "peak", "we", "wd", "av", "md", "polite", "prompts", "q")
 
 
 def payloads(t: Tables) -> DataFrame:

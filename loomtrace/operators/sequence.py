@@ -22,13 +22,17 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
+#: Key columns that every event has: plain equality lets a join reuse the partitioning below it.
+NEVER_NULL = {"tenant_id", "source", "g_source", "file_path", "store", "kind"}
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on keys where NULL equals NULL, keeping the left copy of the keys."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                            *[c for c in right.columns if c not in keys])
     cond = None
     for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        c = F.col(k) == F.col(f"__r_{k}") if k in NEVER_NULL else F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         cond = c if cond is None else cond & c
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
