@@ -59,8 +59,9 @@ WITH t AS (SELECT event_id AS o, ts, strftime(ts, '%Y-%m') AS month, 'dev' || (u
 
 
 def prepared(t: Tables):
+    """Events as they are derived (never written again) and the call facts, written once."""
     w = work_dir(t.spark)
-    b = materialize(FX.base(transcripts(t)), f"{w}/base")
+    b = FX.base(transcripts(t))
     return b, materialize(FX.tool_calls(b), f"{w}/tool_calls"), FX.tool_results(b)
 
 
@@ -102,7 +103,7 @@ SELECT tenant_id, source, CAST(count(*) FILTER (files > 0 AND (files >= 2 OR chu
 FROM s GROUP BY 1, 2""")
 def _(t: Tables):
     b, calls, results = prepared(t)
-    s, _ = O.session_facts(calls, FX.outcomes(results))
+    s, _ = O.session_facts(calls, FX.outcomes(results), work=work_dir(t.spark))
     return s.groupBy("tenant_id", "source").agg(
         A.count_if(F.col("eligible")).alias("eligible"), A.count_if(F.col("eligible") & F.col("evidence_before")).alias("evidence"),
         A.count_if(F.col("eligible") & F.col("planned_intra")).alias("planned_intra"), A.count_if(F.col("orchestratable")).alias("orchestratable"))

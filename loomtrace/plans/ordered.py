@@ -8,6 +8,7 @@ from loomtrace.functions import paths as P
 from loomtrace.operators import sequence as S
 from loomtrace.operators.aggregates import count_if
 from loomtrace.plans.facts import SESSION
+from loomtrace.plans.tables import materialize
 
 C = dims.QUOTIENT_CONSTANTS
 EVIDENCE = ["Read", "Grep", "Glob", "NotebookRead"]
@@ -17,12 +18,14 @@ def _far() -> Column:
     return F.lit(float("inf"))
 
 
-def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None = None, work: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(session rows, plan artifacts).
 
     `extra` adds a scope column to the session key (the month, for month-scoped facts).
     Order is (time, file position); undated calls come last.  The first code write is a
     minimum, everything else a conditional aggregate against it, so no session is sorted.
+    With a work folder the marked calls (a few narrow columns) are written once and read by the
+    three reductions; without one each of them joins again.
     """
     key = SESSION + (extra or [])
     t = F.when(F.col("ts").isNotNull(), F.unix_micros("ts") / 1e6).otherwise(_far())
@@ -35,9 +38,16 @@ def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None
     first = c.groupBy(*key).agg(F.min(F.when(F.col("code"), F.col("pos"))).alias("cut"),
                                 F.min_by("cwd", F.when(F.col("code"), F.col("pos"))).alias("first_cwd"))
     j = S.join_keys(c, first.select(*key, "cut"), key)
-    j = S.join_keys(j, outcomes.withColumnRenamed("errored", "__err"), [*SESSION, "tool_use_id"])
-    before = F.col("cut").isNull() | (F.col("pos") < F.col("cut"))
-    tested = F.col("runs_tests") & (F.col("pos") > F.col("cut")) & (F.col("__err") == F.lit(False))
+    # outcomes matter for calls that ran tests only
+    checked = S.join_keys(j.filter("runs_tests"), outcomes.withColumnRenamed("errored", "__err"), [*SESSION, "tool_use_id"])
+    j = checked.unionByName(j.filter("not coalesce(runs_tests, false)").withColumn("__err", F.lit(None).cast("boolean")))
+    j = j.select(*key, "path", "pos", "t", "cwd", "code", "substantive", "evidence", "category", "loc", "knowledge", "plan_skill", "is_write", "plan_file",
+                 F.when(F.col("name").isin(dims.STEP_TOOLS), F.col("steps")).alias("steps"),
+                 (F.col("cut").isNull() | (F.col("pos") < F.col("cut"))).alias("before"),
+                 F.coalesce(F.col("runs_tests") & (F.col("pos") > F.col("cut")) & (F.col("__err") == F.lit(False)), F.lit(False)).alias("tested"))
+    if work:
+        j = materialize(j, f"{work}/marked_calls_{'_'.join(extra or ['all'])}")
+    before = F.col("before")
     # targets are counted once each: reduce to one row per (session, path) first
     by_path = j.groupBy(*key, "path").agg(
         count_if(F.col("code")).alias("code_n"), F.max(F.col("substantive") & F.col("evidence")).alias("read"),
@@ -45,14 +55,14 @@ def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None
         count_if(F.col("substantive") & ~F.col("evidence") & (F.col("category") != "delegate")).alias("own_n"),
         F.sum(F.when(F.col("code"), F.coalesce("loc", F.lit(0))).otherwise(0)).alias("churn"),
         F.max(before & (F.col("evidence") | F.col("knowledge"))).alias("ev"), F.max(before & F.col("plan_skill")).alias("plan_skill"),
-        F.max(F.coalesce(tested, F.lit(False))).alias("tested"))
+        F.max("tested").alias("tested"))
     s = by_path.groupBy(*key).agg(
         count_if((F.col("code_n") > 0) & (F.col("path") != "")).alias("code_files"), F.sum("code_n").alias("code_writes"), F.sum("churn").alias("code_churn"),
         (F.sum("sub_n") + count_if(F.col("read"))).alias("substantive"), (F.sum("own_n") + count_if(F.col("read"))).alias("own_substantive"),
         F.max("ev").alias("evidence_before"), F.max("plan_skill").alias("plan_skill"), F.max("tested").alias("ran_test"))
     s = S.join_keys(s, first.select(*key, F.col("cut.t").alias("first_write"), "first_cwd"), key)
     # third distinct step before the first code write
-    steps = (j.filter(before & F.col("name").isin(dims.STEP_TOOLS)).select(*key, "pos", "cwd", F.explode("steps").alias("step"))
+    steps = (j.filter(before & F.col("steps").isNotNull()).select(*key, "pos", "cwd", F.explode("steps").alias("step"))
              .groupBy(*key, "step").agg(F.min(F.struct("pos", "cwd")).alias("p")))
     w = Window.partitionBy(*key).orderBy("p", "step")
     third = (steps.withColumn("n", F.row_number().over(w)).filter(F.col("n") == C["PLAN_MIN_STEPS"])

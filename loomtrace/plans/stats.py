@@ -236,8 +236,8 @@ def ordered_counts(calls: DataFrame, results: DataFrame, sm: DataFrame, work: st
     and are not a roll-up of the window facts.
     """
     out = FX.outcomes(results)
-    win, art = (materialize(d, f"{work}/ordered_window_{i}") for i, d in enumerate(O.session_facts(calls, out)))
-    mon, mart = (materialize(d, f"{work}/ordered_month_{i}") for i, d in enumerate(O.session_facts(calls, out, ["month"])))
+    win, art = (materialize(d, f"{work}/ordered_window_{i}") for i, d in enumerate(O.session_facts(calls, out, work=work)))
+    mon, mart = (materialize(d, f"{work}/ordered_month_{i}") for i, d in enumerate(O.session_facts(calls, out, ["month"], work)))
     none = F.lit(None).cast("string").alias("month")
 
     def grains(w: DataFrame, m: DataFrame) -> DataFrame:
