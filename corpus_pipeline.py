@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    work, docs = base.work_dir(spark), base.documents(spark, sf_dir)
+    work, docs = base.new_work(spark), base.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = base.materialize(stage(spark, docs, sf_dir), f"{work}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

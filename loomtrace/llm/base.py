@@ -118,6 +118,12 @@ def batched(rows: Iterator[dict], schema: pa.Schema, most: int = 4096, most_byte
 SQL_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one task exchanges with Python at a time, whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -127,7 +133,14 @@ def text_size(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def new_work(spark: SparkSession, folder: str | None = None) -> str:
+    """A folder for an operator's written tables; batches to Python are bounded from here on."""
+    small_batches(spark)
+    return work_dir(spark, folder)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents")
 
 

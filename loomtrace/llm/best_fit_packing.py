@@ -92,7 +92,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """All pieces with sequence_id and offset, gapless from 0 within each sequence."""
     spark = docs.sparkSession
-    work = base.work_dir(spark)
+    work = base.new_work(spark)
     cut = base.materialize(pieces(docs, capacity, end, with_ids=with_ids), f"{work}/pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     per_chunk = min(50_000, max(256, sum(counts.values()) // (8 * base.partitions(spark))))

@@ -188,7 +188,7 @@ def _rank(top: int):
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score of the `top` nearest found for rows whose id meets `is_query` (a function of the id column)."""
     spark = vectors.sparkSession
-    work = base.work_dir(spark)
+    work = base.new_work(spark)
     used = _usable(vectors, id_col, vector_col)
     sizes = used.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:

@@ -112,7 +112,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deletions(docs: DataFrame) -> DataFrame:
     """doc_id, key (xxhash64 of the text), gone: arrays of line places to delete; NULL array: all lines."""
-    work = base.work_dir(docs.sparkSession)
+    work = base.new_work(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     read = base.materialize(docs.mapInArrow(_read, _LINES).filter("n_lines > 0"), f"{work}/lines")
     classes = read.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "key")).alias("first"))
@@ -167,10 +167,10 @@ def remove(docs: DataFrame) -> DataFrame:
     """`docs` with all columns, deleted lines gone from `text`; documents that lose all their lines go."""
     joined, found, gone = _joined(docs)
 
-    @F.pandas_udf("string")
-    def shorten(texts, hits, places):
-        out = [without(t.encode(), None if p is None else list(p))[0].decode() if h is True and t is not None else t for t, h, p in zip(texts, hits, places, strict=True)]
-        return texts.__class__(out, dtype=object)
+    @F.arrow_udf("string")
+    def shorten(texts: pa.Array, hits: pa.Array, places: pa.Array) -> pa.Array:
+        rows = zip(base.text_bytes(texts), hits.to_pylist(), places.to_pylist(), strict=True)
+        return pa.array([without(t, p)[0].decode() if h and t is not None else None for t, h, p in rows], pa.string())
 
     new = base.fresh(docs, "line_text")
     cut = joined.withColumn(new, F.when(F.col(found), shorten("text", F.coalesce(F.col(found), F.lit(False)), gone)).otherwise(F.col("text")))

@@ -190,7 +190,7 @@ class _Links:
 def label(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    work = base.work_dir(spark)
+    work = base.new_work(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     signed = base.materialize(docs.mapInArrow(_sign, _SIGNED), f"{work}/signed")
     used = signed.filter("s1 is not null")

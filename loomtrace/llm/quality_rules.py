@@ -115,15 +115,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """Kept documents with all their columns; failing lines are gone from `text`. No shuffle."""
-    @F.pandas_udf("string")
-    def cleaned(texts):
+    base.small_batches(docs.sparkSession)
+
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
         memo, out = base.WordHashes(), []
-        for t in texts:
-            t = (t or "").encode()
+        for t in base.text_bytes(texts):
+            t = t or b""
             n, _, _, _, rep = measures(t, memo)
             left, lost = clean(t)
             out.append(left.decode() if verdict(n, rep, lost)[1] else None)
-        return texts.__class__(out, dtype=object)
+        return pa.array(out, pa.string())
 
     new = base.fresh(docs, "cleaned")
     judged = docs.withColumn(new, cleaned("text")).filter(F.col(new).isNotNull())

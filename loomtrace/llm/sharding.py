@@ -39,7 +39,7 @@ def _ranked(df: DataFrame, group: list[str], at: str, ranges: str, order: list[s
 
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, per_range: int = PER_RANGE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text, source)."""
-    work = base.work_dir(docs.sparkSession)
+    work = base.new_work(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"),
                        (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))

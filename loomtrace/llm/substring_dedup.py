@@ -278,7 +278,7 @@ def find(docs: DataFrame, window: int = WINDOW, work: str | None = None) -> tupl
     cuts: doc_id, key, starts: the word places (unsigned 32-bit) where a repeated window starts.
     """
     spark = docs.sparkSession
-    work = base.work_dir(spark, work)
+    work = base.new_work(spark, work)
     buckets = max(4 * base.partitions(spark), base.text_size(docs) // (6 * BUCKET_WORDS))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     sent = docs.mapInArrow(_probe(window, buckets), _SENT)
@@ -339,9 +339,10 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key, starts = base.fresh(docs, "cut_key"), base.fresh(docs, "cut_starts")
     cuts = cuts.select(F.col("doc_id").alias(base.fresh(docs, "cut_doc")), F.col("key").alias(key), F.col("starts").alias(starts))
 
-    @F.pandas_udf("string")
-    def shorten(text, places):
-        return text.where(places.isna(), [cut_text(t.encode(), list(p), window).decode() if p is not None else t for t, p in zip(text, places, strict=True)])
+    @F.arrow_udf("string")
+    def shorten(texts: pa.Array, places: pa.Array) -> pa.Array:
+        rows = zip(base.text_bytes(texts), places.to_pylist(), strict=True)
+        return pa.array([None if p is None or t is None else cut_text(t, p, window).decode() for t, p in rows], pa.string())
 
     joined = docs.join(cuts, (F.col("doc_id").cast("long") == cuts[cuts.columns[0]]) & (F.xxhash64("text") == cuts[key]), "left")
     cut = F.when(F.col(starts).isNotNull(), shorten("text", starts)).otherwise(F.col("text"))

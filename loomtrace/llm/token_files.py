@@ -46,7 +46,10 @@ def _save(folder: str, name: str, chunks: Iterator[bytes]) -> None:
     with store.open_output_stream(own) as out:
         for c in chunks:
             out.write(c)
-    store.move(own, f"{root}/{name}")
+    if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+        store.move(own, f"{root}/{name}")
+    else:  # another attempt of the same part was first
+        store.delete_file(own)
 
 
 def _load(folder: str, name: str, kind: np.dtype) -> np.ndarray:
@@ -126,7 +129,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def digest(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Write `docs`, read the files back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    folder = base.work_dir(spark, folder)
+    folder = base.new_work(spark, folder)
     write(docs, folder)
     names = spark.read.parquet(f"{folder}/facts").select("part", "place", "doc_id")
     return read(spark, folder).join(names, ["part", "place"]).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -84,7 +84,7 @@ def _ruled(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> Da
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, component (smallest canonical form of the aliases) of pages (page_id, url, html)."""
     spark = pages.sparkSession
-    work = base.work_dir(spark)
+    work = base.new_work(spark)
     tied = base.materialize(links(pages), f"{work}/links")
     own = pages.select("page_id", "url")
     urls = own.select("url").unionByName(tied.select(F.col("target").alias("url"))).filter("url is not null").distinct()
