@@ -1,8 +1,8 @@
 """Connected components by alternating large and small stars, on written edge tables.
 
 Every round is two aggregations and two joins; nothing is collected per node, so a star with a
-third of all edges is a partial minimum and a join that the engine may split. Rounds end when the
-edge set does not change, which takes about the logarithm of the longest chain.
+third of all edges is a partial minimum and a join that the engine may split. Rounds end when all
+edges form stars around the smallest nodes, which takes about the logarithm of the longest chain.
 """
 from __future__ import annotations
 
@@ -21,15 +21,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Every node has one edge, to a node that has none itself."""
+    n, nodes = pairs.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == nodes and pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def label(edges: DataFrame, work: str) -> DataFrame:
     """(node, label) with label = smallest reachable node, for nodes that have an edge to another node."""
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    pairs, before, k = base.materialize(pairs, f"{work}/edges_0"), None, 0
-    while True:
-        mark = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.xxhash64("v", "u") % (1 << 40))).first())
-        if mark == before or mark[0] == 0:
-            break
-        before, k = mark, k + 1
+    pairs, k = base.materialize(pairs, f"{work}/edges_0"), 0
+    while not _stars(pairs):
+        k += 1
         big = base.materialize(_star(pairs, True), f"{work}/large_{k}")
         pairs = base.materialize(_star(big, False), f"{work}/edges_{k}")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -8,8 +8,9 @@
    pair whose posterior of reaching the threshold falls below `MISS` is dropped. Survivors are
    verified on their full shingle sets, and linked classes become components.
 3. Buckets that still hold several components compare all their classes of different components,
-   block against block, by the same bounds; only survivors leave a block. They are verified the same
-   way, the best estimate of each class first and then those still apart. Pairs inside a component cannot change the result and are never formed.
+   block against block, by the same bounds; only survivors leave a block. First each class leaves with
+   its best survivor only, which is verified and joins most of a large group; then all survivors
+   between classes still apart leave and are verified, the best of each first. Pairs inside a component cannot change the result and are never formed.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^40 < 3e-7.
 
@@ -114,26 +115,41 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive)), pa.array(same[alive])], schema=_PAIR)
 
 
-def _cross(table: pa.Table) -> pa.Table:
-    """One block pair of one bucket: pairs of different components that survive. A pair that shares an earlier band is left to that band's bucket."""
-    side = np.array(table.column("side").to_pylist(), np.int8)
-    node, lab, band = (table.column(c).to_numpy() for c in ("node", "label", "band"))
-    sig = _matrix(table.column("sig"))
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
-    out_a, out_b, out_s = [], [], []
-    for i in left:
-        to = right[(lab[right] != lab[i]) & (node[right] > node[i] if side[i] == 2 else node[right] != node[i])]
-        if len(to):
+def _cross(best_only: bool):
+    def cross(table: pa.Table) -> pa.Table:
+        """One block pair of one bucket: pairs of different components that survive; with best_only one for each class.
+
+        All pairs: a pair that shares an earlier band is left to that band's bucket.
+        """
+        side = np.array(table.column("side").to_pylist(), np.int8)
+        node, lab, band = (table.column(c).to_numpy() for c in ("node", "label", "band"))
+        sig = _matrix(table.column("sig"))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
+        out, top, partner = [np.empty((3, 0), np.int64)], np.full(len(node), -1), np.full(len(node), -1)
+        for i in left:
+            to = right[(lab[right] != lab[i]) & (node[right] > node[i] if side[i] == 2 else node[right] != node[i])]
             alive, same = _survive(np.broadcast_to(sig[i], (len(to), _VALUES)), sig[to])
+            if not len(alive):
+                continue
+            if best_only:
+                other, score = to[alive], same[alive]
+                better = score > top[other]
+                top[other[better]], partner[other[better]] = score[better], i
+                k = score.argmax()
+                if score[k] > top[i]:
+                    top[i], partner[i] = score[k], other[k]
+                continue
             k = band[i] * ROWS
-            if k and len(alive):
+            if k:
                 eq = (sig[to[alive], :k] == sig[i, :k]).reshape(len(alive), band[i], ROWS).all(axis=2).any(axis=1)
                 alive = alive[~eq]
-            out_a.append(np.minimum(node[i], node[to[alive]]))
-            out_b.append(np.maximum(node[i], node[to[alive]]))
-            out_s.append(same[alive])
-    none = np.empty(0, np.int64)
-    return pa.table([pa.array(np.concatenate([none, *out_a])), pa.array(np.concatenate([none, *out_b])), pa.array(np.concatenate([none, *out_s]).astype(np.int32))], schema=_PAIR)
+            out.append(np.stack([np.minimum(node[i], node[to[alive]]), np.maximum(node[i], node[to[alive]]), same[alive]]))
+        if best_only:
+            has = np.flatnonzero(partner >= 0)
+            out.append(np.stack([np.minimum(node[has], node[partner[has]]), np.maximum(node[has], node[partner[has]]), top[has]]))
+        a, b, score = np.concatenate(out, axis=1)
+        return pa.table([pa.array(a), pa.array(b), pa.array(score.astype(np.int32))], schema=_PAIR)
+    return cross
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,22 +230,30 @@ def label(docs: DataFrame) -> DataFrame:
 
     # one partner each: the smallest class of most of its buckets; step 3 meets all others
     votes = met.filter("node <> least").groupBy(F.col("node").alias("b"), F.col("least").alias("a")).agg(F.count("*").alias("n"))
-    stars = votes.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    stars = votes.groupBy("b").agg(F.max_by("a", F.struct("n", (-F.col("a")).alias("x"))).alias("a")).select("a", "b")
     links.confirm(base.materialize(bounded(base.materialize(stars, f"{work}/stars")), f"{work}/star_pairs"))
 
-    labelled = met.join(links.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("members")).filter("l1 <> l2")
-    open_ = labelled.join(mixed.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = open_.select("bucket", "band", "node", "label", "block", other)
-    sent = sent.select("bucket", "band", "node", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                       F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    crossed = sent.join(sigs, "node").groupBy("bucket", "lo", "hi").applyInArrow(_cross, "a long, b long, score int")
-    tested = spark.read.parquet(f"{work}/stars").withColumn("tested", F.lit(True))
-    crossed = base.materialize(crossed.join(tested, ["a", "b"], "left").filter("tested is null").drop("tested"), f"{work}/crossed")
-    if not crossed.isEmpty():
-        links.settle(crossed)
+    def crossing(best_only: bool) -> DataFrame:
+        """Surviving pairs of classes that share a bucket and lie in different components."""
+        labelled = met.join(links.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("members")).filter("l1 <> l2")
+        open_ = labelled.join(mixed.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket")
+        open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        sent = open_.select("bucket", "band", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        sent = sent.select("bucket", "band", "node", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                           F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
+        return sent.join(sigs, "node").groupBy("bucket", "lo", "hi").applyInArrow(_cross(best_only), "a long, b long, score int")
+
+    ends = F.explode(F.array("a", "b")).alias("node")
+    best = crossing(True).select("a", "b", "score", ends).groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("score", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("p"))
+    best = base.materialize(best.select("p.a", "p.b").distinct(), f"{work}/best")
+    if not best.isEmpty():
+        links.confirm(best)
+        tested = spark.read.parquet(f"{work}/stars").unionByName(best).distinct().withColumn("tested", F.lit(True))
+        crossed = crossing(False).join(tested, ["a", "b"], "left").filter("tested is null").drop("tested")
+        crossed = base.materialize(crossed, f"{work}/crossed")
+        if not crossed.isEmpty():
+            links.settle(crossed)
 
     # rows of one doc_id are one document: their classes meet
     several = rows.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).filter("u <> v")
