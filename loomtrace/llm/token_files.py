@@ -132,4 +132,5 @@ def digest(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = base.new_work(spark, folder)
     write(docs, folder)
     names = spark.read.parquet(f"{folder}/facts").select("part", "place", "doc_id")
-    return read(spark, folder).join(names, ["part", "place"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # the planner would take the rows read for as few as the files and broadcast them
+    return read(spark, folder).hint("merge").join(names, ["part", "place"]).select("doc_id", "start", "n_tokens", "ids_crc32")
