@@ -78,7 +78,7 @@ def _ruled(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> Da
     fits = below.join(table, "suffix").filter(F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("suffix", "rule_path")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), F.length("suffix").alias("m"), rule.alias("rule"), "decision")).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select("host", "path", "best.rule", "best.decision")
+    return urls.join(best.hint("merge"), ["host", "path"], "left").select("host", "path", "best.rule", "best.decision")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES) -> DataFrame:
@@ -93,13 +93,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
     ruled = base.materialize(_ruled(urls.select("host", "path").distinct(), rules), f"{work}/ruled")
     edges = tied.select(canonical_form(F.col("url")).alias("u"), canonical_form(F.col("target")).alias("v")).filter("u is not null and v is not null")
     labels = components.label(edges, f"{work}/components")
-    nodes = urls.filter("node is not null").join(ruled, ["host", "path"]).groupBy("node").agg(F.max(F.col("decision") == "block").alias("blocked"))
-    nodes = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
+    nodes = urls.filter("node is not null").join(ruled.hint("merge"), ["host", "path"]).groupBy("node").agg(F.max(F.col("decision") == "block").alias("blocked"))
+    nodes = nodes.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("label", "node"))
     hit = nodes.groupBy("component").agg(F.coalesce(F.max("blocked"), F.lit(False)).alias("reached"))
     # a decision per url, then one join of the pages: a url that a third of the pages share is one row here
-    decided = urls.join(ruled, ["host", "path"]).join(nodes.select("node", "component"), "node", "left").join(hit, "component", "left")
+    # all of these grow with the pages and none is broadcast, however small the planner takes them to be
+    decided = urls.join(ruled.hint("merge"), ["host", "path"]).join(nodes.select("node", "component").hint("merge"), "node", "left").join(hit.hint("merge"), "component", "left")
     decided = decided.select("url", "host", "path", "rule", F.coalesce("decision", F.when(F.coalesce("reached", F.lit(False)), "block").otherwise("allow")).alias("verdict"), "component")
-    out = own.join(decided, "url", "left")
+    out = own.join(decided.hint("merge"), "url", "left")
     return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "component")
 
 
