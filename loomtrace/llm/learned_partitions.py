@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fitting uses a bounded sample (`SAMPLE` distinct vectors, smallest hash of the id first): its exact
+Fitting uses a bounded sample (`SAMPLE` distinct vectors, smallest hash of the id first) in one task: its exact
 10-nearest-neighbour graph is cut into equal parts by recursive spectral bisection, then refined by
 capacity-bound label propagation; a small network learns, for a vector, how its neighbours spread over the parts.
 The number of parts a query visits is the smallest that finds `AIM` of the true neighbours of held-out
@@ -17,6 +17,7 @@ vec_id and vector count once, and a query never finds its own vec_id; fewer cand
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,8 +61,10 @@ def neighbour_graph(x: np.ndarray, k: int = TOP) -> np.ndarray:
     """Exact k nearest neighbours within a bounded sample."""
     k, out = min(k, len(x) - 1), []
     square = (x * x).sum(axis=1)
-    for i in range(0, len(x), 512):
-        d = square - 2 * x[i:i + 512] @ x.T
+    for i in range(0, len(x), 128):
+        d = x[i:i + 128] @ x.T
+        d *= -2
+        d += square
         d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
         out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
     return np.concatenate(out)
@@ -197,11 +200,18 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     least = used.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(f"nth <= {top + 1}")
     entries = base.materialize(least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), f"{work}/entries")  # at most top + 1 ids
     total = entries.count()
-    drawn = entries.withColumn("at", F.xxhash64(F.element_at("ids", 1))).orderBy("at", F.element_at("ids", 1)).limit(SAMPLE).select("v").toArrow()  # bounded by SAMPLE
+    drawn = entries.withColumn("at", F.xxhash64(F.element_at("ids", 1))).orderBy("at", F.element_at("ids", 1)).limit(SAMPLE).select("v")
     parts = 1
     while parts * 2 <= min(MOST_PARTS, total // PER_PART, SAMPLE // 64):
         parts *= 2
-    router = fit(_stack(drawn.column("v")), parts)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One task holds the sample, at most SAMPLE vectors; the driver gets the weights only."""
+        held = [_stack(b.column("v")) for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_pydict({"router": [pickle.dumps(fit(np.concatenate(held), parts))]})
+
+    router = pickle.loads(bytes(drawn.repartition(1).mapInArrow(train, "router binary").first()["router"]))
 
     def routed(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
