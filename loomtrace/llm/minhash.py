@@ -60,6 +60,11 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _short(values: np.ndarray) -> bytes:
+    """16 mixed bits of each value: minima of large sets lie near 0, so their top bits coincide without the values being equal."""
+    return base.mix(values, np.zeros_like(values)).astype("<u2").tobytes()
+
+
 def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
     """Fewest of n equal values with which the posterior of the threshold is not below `miss`.
 
@@ -97,7 +102,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = values.reshape(BANDS, ROWS)
                 keys = base.mix(base.mix(base.mix(parts[:, 0], parts[:, 1]), base.mix(parts[:, 2], parts[:, 3])), salt)
                 whole = [int(base.mix(s, s + np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 2)]
-                row |= {"s1": whole[0], "s2": whole[1], "bands": keys.astype(np.int64).tolist(), "sig": (values >> np.uint64(48)).astype("<u2").tobytes()}
+                row |= {"s1": whole[0], "s2": whole[1], "bands": keys.astype(np.int64).tolist(), "sig": _short(values)}
             yield row
 
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
@@ -119,11 +124,13 @@ def _cross(best_only: bool):
     def cross(table: pa.Table) -> pa.Table:
         """One block pair of one bucket: pairs of different components that survive; with best_only one for each class.
 
-        All pairs: a pair that shares an earlier band is left to that band's bucket.
+        All pairs: a pair that shares an earlier band is left to that band's bucket. What decides is the
+        64-bit keys by which buckets are formed (`bands`); the short values of `sig` only rule pairs out.
         """
         side = np.array(table.column("side").to_pylist(), np.int8)
         node, lab, band = (table.column(c).to_numpy() for c in ("node", "label", "band"))
         sig = _matrix(table.column("sig"))
+        keys = None if best_only else np.concatenate([c.flatten().to_numpy() for c in table.column("bands").chunks]).reshape(-1, BANDS)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
         out, top, partner = [np.empty((3, 0), np.int64)], np.full(len(node), -1), np.full(len(node), -1)
         for i in left:
@@ -139,10 +146,9 @@ def _cross(best_only: bool):
                 if score[k] > top[i]:
                     top[i], partner[i] = score[k], other[k]
                 continue
-            k = band[i] * ROWS
+            k = band[i]
             if k:
-                eq = (sig[to[alive], :k] == sig[i, :k]).reshape(len(alive), band[i], ROWS).all(axis=2).any(axis=1)
-                alive = alive[~eq]
+                alive = alive[~(keys[to[alive], :k] == keys[i, :k]).any(axis=1)]
             out.append(np.stack([np.minimum(node[i], node[to[alive]]), np.maximum(node[i], node[to[alive]]), same[alive]]))
         if best_only:
             has = np.flatnonzero(partner >= 0)
@@ -242,7 +248,8 @@ def label(docs: DataFrame) -> DataFrame:
         sent = open_.select("bucket", "band", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         sent = sent.select("bucket", "band", "node", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                            F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-        return sent.join(sigs, "node").groupBy("bucket", "lo", "hi").applyInArrow(_cross(best_only), "a long, b long, score int")
+        kept = sigs if best_only else reps.select(F.col("doc_id").alias("node"), "sig", "bands")
+        return sent.join(kept, "node").groupBy("bucket", "lo", "hi").applyInArrow(_cross(best_only), "a long, b long, score int")
 
     ends = F.explode(F.array("a", "b")).alias("node")
     best = crossing(True).select("a", "b", "score", ends).groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("score", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("p"))

@@ -2,6 +2,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomtrace.llm import base, bpe, line_dedup, minhash, quality_rules, substring_dedup, tokens
@@ -107,6 +108,35 @@ def test_minhash_crosses_components_in_blocks(spark, monkeypatch):
     assert corpus.ordered(minhash.label(docs).collect()) == corpus.ordered(corpus.near_groups(table))
 
 
+def test_minhash_pairs_of_long_texts_leave_one_bucket():
+    """Every surviving pair that shares a band leaves exactly one bucket, also where the minima of large sets have equal top bits."""
+    r = np.random.default_rng(5)
+    met = 0
+    for _ in range(24):
+        word = [f"w{i}" for i in range(20000)]
+        texts = [" ".join(word)]
+        for i in r.integers(20000, size=560):
+            word[i] = f"n{i}"
+        texts.append(" ".join(word))
+        rows = pa.RecordBatch.from_pylist([{"doc_id": i, "key": i, "text": t} for i, t in enumerate(texts)])
+        a, b = pa.Table.from_batches(minhash._sign(iter([rows]))).to_pylist()
+        if not len(minhash._survive(*(np.frombuffer(x["sig"], "<u2").reshape(1, -1) for x in (a, b)))[0]):
+            continue
+        left = 0
+        shared = [k for k in range(minhash.BANDS) if a["bands"][k] == b["bands"][k]]
+        for k in shared:
+            left += minhash._cross(False)(pa.Table.from_pylist([{"node": i, "label": i, "band": k, "side": 2, "sig": x["sig"], "bands": x["bands"]} for i, x in enumerate((a, b))])).num_rows
+        assert left == (len(shared) > 0)
+        met += left
+    assert met > 15
+
+
+def test_short_values_of_large_sets_differ():
+    r = np.random.default_rng(6)
+    x, y = (np.frombuffer(minhash._short(minhash.signature(r.integers(0, 1 << 63, 200_000, np.uint64))), "<u2") for _ in range(2))
+    assert (x == y).sum() <= 2  # sets without a common element
+
+
 def test_pruning_bound_keeps_the_threshold():
     assert minhash.least_matches(32) < 24 and minhash.least_matches(160) < 120
     assert [minhash.least_matches(n) for n in (32, 64, 96, 128, 160)] == sorted(minhash.least_matches(n) for n in (32, 64, 96, 128, 160))
