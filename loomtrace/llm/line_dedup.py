@@ -3,7 +3,9 @@
 Documents overlap if they share a rare line (found in at most `RARE` different documents, five
 words or more) or two adjacent lines (ten words or more, however frequent: large groups of near
 copies share them). Each document is paired with the earliest holder of each such line or line
-pair, so the number of pairs is at most the number of lines, whatever the size of a group. Pairs
+pair, so the number of pairs is at most the number of lines, whatever the size of a group. Where a
+shared line is still there afterwards, its document meets the next holders that have the line once,
+one a round, and after `ROUNDS` rounds all other earlier holders at a time: no holder stays untried. Pairs
 are aligned by patience diff on line hashes, and the aligned common blocks go from the later one
 (greater doc_id). Documents with equal line sequences are not paired: of each such class only the
 earliest takes part, and the others lose all their lines to it.
@@ -31,7 +33,9 @@ from loomtrace.llm import base
 
 RARE = 64
 LINE_WORDS, PAIR_WORDS = 5, 10
-_LINES = "doc_id long, key long, n_lines long, s1 long, s2 long, lines binary, single array<long>, double array<long>"
+_LINES = "doc_id long, key long, n_lines long, s1 long, s2 long, lines binary, words binary, single array<long>, double array<long>"
+_OPEN = "doc_id long, key long, h array<long>, once array<long>"
+ROUNDS = 3
 
 
 def split_lines(text: bytes) -> list[bytes]:
@@ -42,24 +46,30 @@ def _line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little") | 1
 
 
+def _runs(f: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start places and hashes of runs of lines that reach `PAIR_WORDS`: a line with the one after it."""
+    at = np.flatnonzero((w[:-1] + w[1:]) >= PAIR_WORDS)
+    return at, base.mix(f[at], f[at + 1])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the lines with a word; 0 stands for a line without one."""
     def rows() -> Iterator[dict]:
         for doc_id, key, text in base.rows_of(batches, "doc_id", "key", "text"):
-            row = {"doc_id": doc_id, "key": key, "n_lines": 0, "s1": None, "s2": None, "lines": b"", "single": [], "double": []}
+            row = {"doc_id": doc_id, "key": key, "n_lines": 0, "s1": None, "s2": None, "lines": b"", "words": b"", "single": [], "double": []}
             stripped = [x.strip() for x in split_lines(text or b"")]
             words = np.array([len(x.split()) for x in stripped])
             h = np.array([_line_hash(x) if x else 0 for x in stripped], np.uint64)
             full = np.flatnonzero(h)
             if len(full) and doc_id is not None:
                 f, w = h[full], words[full]
-                pairs = base.mix(f[:-1], f[1:])[(w[:-1] + w[1:]) >= PAIR_WORDS]
+                pairs = _runs(f, w)[1]
                 digest = hashlib.blake2b(f.tobytes(), digest_size=16).digest()
-                row |= {"n_lines": len(full), "s1": int.from_bytes(digest[:8], "little", signed=True), "s2": int.from_bytes(digest[8:], "little", signed=True), "lines": h.tobytes(),
+                row |= {"n_lines": len(full), "s1": int.from_bytes(digest[:8], "little", signed=True), "s2": int.from_bytes(digest[8:], "little", signed=True), "lines": h.tobytes(), "words": words.astype("<u4").tobytes(),
                         "single": np.unique(f[w >= LINE_WORDS]).view(np.int64).tolist(), "double": np.unique(pairs).view(np.int64).tolist()}
             yield row
 
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("lines", pa.binary()), ("single", pa.list_(pa.int64())), ("double", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("lines", pa.binary()), ("words", pa.binary()), ("single", pa.list_(pa.int64())), ("double", pa.list_(pa.int64()))])
     return base.batched(rows(), schema, 2000)
 
 
@@ -110,6 +120,24 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return base.batched(rows(), pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("gone", pa.binary())]))
 
 
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long lines that are still there in some place (`h`), and the anchors of their document (`once`).
+
+    Patience aligns nothing of two documents unless they share their first line, their last line or a line
+    that both hold once: documents without a common anchor need not meet.
+    """
+    def rows() -> Iterator[dict]:
+        for doc_id, key, lines, words, gone in base.rows_of(batches, "doc_id", "key", "lines", "words", "gone"):
+            h, w = np.frombuffer(lines, np.uint64), np.frombuffer(words, "<u4")
+            still = h != 0
+            f = h[still]
+            still[np.frombuffer(b"".join(gone or []), "<u4")] = False
+            values, n = np.unique(f, return_counts=True)
+            ends = base.mix(f[[0, -1]], np.array([1, 2], np.uint64))
+            yield {"doc_id": doc_id, "key": key, "h": np.unique(h[still & (w >= LINE_WORDS)]).view(np.int64).tolist(), "once": np.concatenate([values[n == 1], ends]).view(np.int64).tolist()}
+    return base.batched(rows(), pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h", pa.list_(pa.int64())), ("once", pa.list_(pa.int64()))]), 1000)
+
+
 def deletions(docs: DataFrame) -> DataFrame:
     """doc_id, key (xxhash64 of the text), gone: arrays of line places to delete; NULL array: all lines."""
     work = base.new_work(docs.sparkSession)
@@ -118,7 +146,7 @@ def deletions(docs: DataFrame) -> DataFrame:
     classes = read.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     firsts = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "s1", "s2")
     copies = read.join(firsts.select("s1", "s2", F.col("doc_id").alias("first_id")), ["s1", "s2"]).filter("doc_id > first_id").select("doc_id", "key", F.lit(None).cast("binary").alias("gone")).distinct()
-    reps = base.materialize(read.join(firsts, ["doc_id", "key", "s1", "s2"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "lines", "single", "double"), f"{work}/reps")
+    reps = base.materialize(read.join(firsts, ["doc_id", "key", "s1", "s2"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "lines", "words", "single", "double"), f"{work}/reps")
     held = (reps.select("doc_id", "key", F.explode("single").alias("h"), F.lit(0).alias("kind"))
             .unionByName(reps.select("doc_id", "key", F.explode("double").alias("h"), F.lit(1).alias("kind"))))
     early = (held.groupBy("kind", "h").agg(F.min(F.struct("doc_id", "key")).alias("early"), F.count("*").alias("df"))
@@ -126,7 +154,45 @@ def deletions(docs: DataFrame) -> DataFrame:
     pairs = held.join(early, ["kind", "h"]).filter("doc_id > early.doc_id").select(F.col("doc_id").alias("late"), F.col("key").alias("late_key"), F.col("early.doc_id").alias("early"), F.col("early.key").alias("early_key")).distinct()
     late = reps.select(F.col("doc_id").alias("late"), F.col("key").alias("late_key"), F.col("lines").alias("late_lines"))
     first = reps.select(F.col("doc_id").alias("early"), F.col("key").alias("early_key"), F.col("lines").alias("early_lines"))
-    aligned = pairs.join(late, ["late", "late_key"]).join(first, ["early", "early_key"]).select("late", "late_key", "early_lines", "late_lines").mapInArrow(_align, "doc_id long, key long, gone binary")
+    names = ["late", "late_key", "early", "early_key"]
+
+    def align(pairs: DataFrame, name: str) -> DataFrame:
+        met = pairs.join(late, ["late", "late_key"]).join(first, ["early", "early_key"])
+        return base.materialize(met.select("late", "late_key", "early_lines", "late_lines").mapInArrow(_align, "doc_id long, key long, gone binary"), f"{work}/{name}")
+
+    def still(aligned: DataFrame, name: str) -> DataFrame:
+        """Lines with several holders that are not deleted everywhere in a document, with the document's anchors."""
+        gone = aligned.groupBy("doc_id", "key").agg(F.collect_set("gone").alias("gone"))
+        left = reps.join(gone, ["doc_id", "key"], "left").select("doc_id", "key", "lines", "words", "gone").mapInArrow(_open, _OPEN)
+        return base.materialize(left, f"{work}/{name}")
+
+    tried = base.materialize(pairs, f"{work}/pairs_0")
+    aligned = align(tried, "aligned_0")
+    shared = held.filter("kind = 0").groupBy("h").agg(F.count("*").alias("df")).filter(f"df > 1 and df <= {RARE}").select("h")
+    anchors = None
+    for n in range(1, ROUNDS + 2):
+        left = still(aligned, f"left_{n}")
+        anchors = left.select("doc_id", "key", "once") if anchors is None else anchors
+        open_ = left.select("doc_id", "key", F.explode("h").alias("h")).join(shared, "h")
+        holders = held.filter("kind = 0").drop("kind").join(open_.select("h").distinct(), "h")
+        if n <= ROUNDS:  # the earliest holder that has the line once and comes after those of the rounds before
+            once = anchors.select("doc_id", "key", F.explode("once").alias("h"))
+            holders = holders.join(once, ["doc_id", "key", "h"])
+            if n > 1:
+                holders = holders.join(reached, "h", "left").filter("reached is null or doc_id > reached").drop("reached")
+            step = holders.groupBy("h").agg(F.min(F.struct("doc_id", "key")).alias("e"))
+            step = base.materialize(step, f"{work}/step_{n}")
+            found = open_.join(step, "h").filter("doc_id > e.doc_id").select(F.col("doc_id").alias("late"), F.col("key").alias("late_key"), F.col("e.doc_id").alias("early"), F.col("e.key").alias("early_key"))
+            now = step.select("h", F.col("e.doc_id").alias("reached"))
+            reached = now if n == 1 else base.materialize(now.unionByName(reached).groupBy("h").agg(F.max("reached").alias("reached")), f"{work}/reached_{n}")
+        else:  # every other earlier holder with a common anchor
+            a = holders.join(anchors, ["doc_id", "key"]).select("h", F.col("doc_id").alias("early"), F.col("key").alias("early_key"), F.col("once").alias("once_a"))
+            b = open_.join(anchors, ["doc_id", "key"]).select("h", F.col("doc_id").alias("late"), F.col("key").alias("late_key"), F.col("once").alias("once_b"))
+            found = b.join(a, (b["h"] == a["h"]) & (F.col("late") > F.col("early")) & F.arrays_overlap("once_a", "once_b")).select(*names)
+        new = base.materialize(found.select(*names).distinct().join(tried, names, "left_anti"), f"{work}/pairs_{n}")
+        if new.isEmpty():
+            continue
+        aligned, tried = aligned.unionByName(align(new, f"aligned_{n}")), tried.unionByName(new)
     return aligned.unionByName(copies).groupBy("doc_id", "key").agg(F.when(F.bool_or(F.col("gone").isNotNull()), F.collect_set("gone")).alias("gone"))
 
 

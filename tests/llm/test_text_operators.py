@@ -198,6 +198,30 @@ def test_line_dedup_remove_drops_emptied_documents(docs, table):
     assert out.columns == docs.columns and sorted(repr(r.doc_id) for r in out.collect()) == want
 
 
+def _left(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    return {r.doc_id: r.n_lines - r.n_removed for r in line_dedup.digest(docs).collect()}
+
+
+def test_line_dedup_meets_later_holders(spark):
+    """The earliest holder cannot align the line, another one can: a repeated line, and an index page in another order."""
+    x, *s = [f"line {i} of several words here" for i in range(40)]
+    index = [f"{s[0]}", s[9], s[8], s[7], s[6], s[5], f"{s[1]}"]
+    texts = ["\n".join(t) for t in ([s[10], x, s[11], x, s[12]], [s[13], x, s[14]], [s[15], x, s[16]], index, [s[17], *s[5:10], s[18]], [s[19], *s[5:10], s[20]],
+                                     [s[21], x, s[22], x, s[23]])]
+    left = _left(spark, texts)
+    assert left[3] == 2 and left[6] == 2 and left[7] == 5
+
+
+def test_line_dedup_tries_every_holder(spark):
+    """Seven holders with the shared lines in an order of their own come before the one that aligns."""
+    p, q = "first line of five words", "second line of five words"
+    texts = ["\n".join([f"own head of holder {i} x", q, f"own middle of holder {i} x", p, f"own tail of holder {i} x"]) for i in range(7)]
+    texts = [*(t.replace(q, "\n".join([q, "mid line of five words", q])) for t in texts), f"a lone head of words\n{p}\nmid part of five words\n{q}\na lone tail of words",
+             f"b lone head of words\n{p}\nother mid of five words\n{q}\nb lone tail of words"]
+    assert _left(spark, texts)[9] == 3
+
+
 def test_bpe_equals_the_library(docs, table):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokens.vocabulary_path())
