@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a rare line (found in at most `RARE` different documents, five
-words or more) or two adjacent lines (ten words or more, however frequent: large groups of near
-copies share them). Each document is paired with the earliest holder of each such line or line
+Documents overlap if they share a line of five words or more or a run of adjacent lines, as many as
+reach ten words. Lines found in at most `RARE` different documents and runs come first, since large
+groups of near copies share runs; more frequent lines that this leaves in place come in the rounds after it. Each document is paired with the earliest holder of each such line or line
 pair, so the number of pairs is at most the number of lines, whatever the size of a group. Where a
 shared line is still there afterwards, its document meets the next holders that have the line once,
 one a round, and after `ROUNDS` rounds all other earlier holders at a time: no holder stays untried. Pairs
@@ -46,10 +46,16 @@ def _line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little") | 1
 
 
-def _runs(f: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start places and hashes of runs of lines that reach `PAIR_WORDS`: a line with the one after it."""
-    at = np.flatnonzero((w[:-1] + w[1:]) >= PAIR_WORDS)
-    return at, base.mix(f[at], f[at + 1])
+def _runs(f: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start places, hashes and lines of the shortest runs of two lines or more that reach `PAIR_WORDS`."""
+    h, total, reach = f.copy(), w.astype(np.int64), np.ones(len(f), np.int64)
+    for k in range(1, min(PAIR_WORDS, len(f))):  # every line has a word
+        on = np.flatnonzero((total[:len(f) - k] < PAIR_WORDS) | (k == 1))
+        h[on] = base.mix(h[on], f[on + k])
+        total[on] += w[on + k]
+        reach[on] += 1
+    at = np.flatnonzero((total >= PAIR_WORDS) & (reach > 1))
+    return at, h[at], reach[at]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +127,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Long lines that are still there in some place (`h`), and the anchors of their document (`once`).
+    """Long lines that are still there in some place, runs of which a short line is (`h`), and what their document holds once (`once`, the anchors).
 
     Patience aligns nothing of two documents unless they share their first line, their last line or a line
     that both hold once: documents without a common anchor need not meet.
@@ -130,11 +136,16 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, key, lines, words, gone in base.rows_of(batches, "doc_id", "key", "lines", "words", "gone"):
             h, w = np.frombuffer(lines, np.uint64), np.frombuffer(words, "<u4")
             still = h != 0
-            f = h[still]
+            f, v = h[still], w[still]
+            at, runs, reach = _runs(f, v)
+            full = np.flatnonzero(still)
             still[np.frombuffer(b"".join(gone or []), "<u4")] = False
             values, n = np.unique(f, return_counts=True)
+            below = np.concatenate([[0], np.cumsum(still[full] & (v < LINE_WORDS))])
+            open_runs = runs[below[at + reach] > below[at]]
+            of_run, m = np.unique(runs, return_counts=True)
             ends = base.mix(f[[0, -1]], np.array([1, 2], np.uint64))
-            yield {"doc_id": doc_id, "key": key, "h": np.unique(h[still & (w >= LINE_WORDS)]).view(np.int64).tolist(), "once": np.concatenate([values[n == 1], ends]).view(np.int64).tolist()}
+            yield {"doc_id": doc_id, "key": key, "h": np.unique(np.concatenate([h[still & (w >= LINE_WORDS)], open_runs])).view(np.int64).tolist(), "once": np.concatenate([values[n == 1], of_run[m == 1], ends]).view(np.int64).tolist()}
     return base.batched(rows(), pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h", pa.list_(pa.int64())), ("once", pa.list_(pa.int64()))]), 1000)
 
 
@@ -161,20 +172,20 @@ def deletions(docs: DataFrame) -> DataFrame:
         return base.materialize(met.select("late", "late_key", "early_lines", "late_lines").mapInArrow(_align, "doc_id long, key long, gone binary"), f"{work}/{name}")
 
     def still(aligned: DataFrame, name: str) -> DataFrame:
-        """Lines with several holders that are not deleted everywhere in a document, with the document's anchors."""
+        """Lines and runs that are not deleted everywhere in a document, with the document's anchors."""
         gone = aligned.groupBy("doc_id", "key").agg(F.collect_set("gone").alias("gone"))
         left = reps.join(gone, ["doc_id", "key"], "left").select("doc_id", "key", "lines", "words", "gone").mapInArrow(_open, _OPEN)
         return base.materialize(left, f"{work}/{name}")
 
     tried = base.materialize(pairs, f"{work}/pairs_0")
     aligned = align(tried, "aligned_0")
-    shared = held.filter("kind = 0").groupBy("h").agg(F.count("*").alias("df")).filter(f"df > 1 and df <= {RARE}").select("h")
+    shared = held.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
     anchors = None
     for n in range(1, ROUNDS + 2):
         left = still(aligned, f"left_{n}")
         anchors = left.select("doc_id", "key", "once") if anchors is None else anchors
         open_ = left.select("doc_id", "key", F.explode("h").alias("h")).join(shared, "h")
-        holders = held.filter("kind = 0").drop("kind").join(open_.select("h").distinct(), "h")
+        holders = held.drop("kind").join(open_.select("h").distinct(), "h")
         if n <= ROUNDS:  # the earliest holder that has the line once and comes after those of the rounds before
             once = anchors.select("doc_id", "key", F.explode("once").alias("h"))
             holders = holders.join(once, ["doc_id", "key", "h"])

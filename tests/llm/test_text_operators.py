@@ -222,6 +222,25 @@ def test_line_dedup_tries_every_holder(spark):
     assert _left(spark, texts)[9] == 3
 
 
+def test_line_dedup_has_no_cut_for_frequent_or_short_lines(spark):
+    """A passage in one line goes whatever the number of its holders; lists of short lines meet."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    n = line_dedup.RARE + 6
+    texts = [f"own head number {i} of words\n{passage}\nown tail number {i} of words" for i in range(n)]
+    verse = [f"item {i}" for i in range(30)]
+    texts += ["\n".join(verse), "\n".join([*verse[:12], "changed", *verse[13:]])]
+    left = _left(spark, texts)
+    assert left[1] == 3 and {left[i] for i in range(2, n + 1)} == {2}
+    assert left[n + 1] == 30 and left[n + 2] == 1
+
+
+def test_runs_are_the_shortest_that_reach_the_words():
+    f = np.array([11, 12, 13, 14, 15, 16], np.uint64)
+    at, _, reach = line_dedup._runs(f, np.array([12, 1, 4, 5, 2, 2]))
+    assert (at.tolist(), reach.tolist()) == ([0, 1, 2], [2, 3, 3])
+    assert len(line_dedup._runs(f[:1], np.array([30]))[0]) == 0
+
+
 def test_bpe_equals_the_library(docs, table):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokens.vocabulary_path())
