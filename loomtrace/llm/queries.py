@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import base, best_fit_packing, bpe, learned_partitions, line_dedup, minhash, quality_rules, sharding, substring_dedup, token_files, url_filter
+from loomtrace.llm import base, best_fit_packing, bpe, learned_partitions, line_dedup, minhash, quality_rules, sharding, substring_dedup, token_files, turn_repair, url_filter
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(base.documents(spark, sf_dir))
 
 
-_ALL = (op1_substring_dedup, op2_url_filter, op3_learned_partitions, op4_line_dedup, op5_quality_rules, op6_token_files, op7_minhash, op8_best_fit_packing, op9_sharding, op10_bpe)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digest(base.table(spark, sf_dir, "conversations"))
+
+
+_ALL = (op1_substring_dedup, op2_url_filter, op3_learned_partitions, op4_line_dedup, op5_quality_rules, op6_token_files, op7_minhash, op8_best_fit_packing, op9_sharding, op10_bpe, op11_turn_repair)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op2_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL, "op7_minhash": minhash.SQL, "op9_sharding": sharding.SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op2_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL, "op7_minhash": minhash.SQL, "op9_sharding": sharding.SQL, "op11_turn_repair": turn_repair.SQL}
