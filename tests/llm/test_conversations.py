@@ -6,9 +6,10 @@ import zlib
 from collections import defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pytest
 
-from loomtrace.llm import turn_repair
+from loomtrace.llm import prefix_trie, turn_repair
 
 SCHEMA = "conv_id long, turn long, role string, text string, there boolean, nth long, shard long"
 
@@ -118,3 +119,68 @@ def test_repaired_turns_and_nothing(spark):
     assert got == [(1, 0, "user", "Hi.", "R"), (1, 1, "assistant", "Yes.", "K")]
     empty = spark.createDataFrame([], SCHEMA)
     assert turn_repair.digest(empty).count() == 0 and turn_repair.repair(empty).count() == 0
+
+
+def _trie(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v, key=lambda x: (*x[:3], hashlib.md5(f"{len(x[2].encode())}:{x[2]}{x[3]}".encode()).digest()))] for c, v in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        donor = c - (c % 5 if c >= 0 else -(-c % 5))
+        built[c] = tuple(own.get(donor, [])[:h] + turns[h:])
+    members = defaultdict(list)
+    for c, path in built.items():
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+    out = []
+    for node, ids in members.items():
+        below = [x for x in members if x[:len(node)] == node]
+        ends = ",".join(map(str, sorted(c for c in ids if len(built[c]) == len(node))))
+        saved = sum((len(members[x]) - 1) * len(x[-1][1].encode()) for x in below if x)
+        leaves = sum(not any(len(y) == len(x) + 1 and y[:-1] == x for y in members) for x in below)
+        children = sum(len(x) == len(node) + 1 for x in below)
+        out.append((min(ids), len(node), min(members[node[:-1]]) if node else None, len(ids), children, leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed,per_shard", [(1, 10 ** 6), (2, 7), (3, 40)])
+def test_trie_equals_prefix_sets(spark, seed, per_shard):
+    r = random.Random(seed)
+    rows = [(c, None if r.random() < 0.02 else t, r.choice(["user", "assistant", None]) if t else "user", r.choice(["a", "bé", "", None])) for c in range(-7, 75) for t in range(r.randint(1, 11))]
+    rows += [(c, t, "user", "same") for c in range(200, 240) for t in range(12)]  # copies
+    rows += [rows[3], rows[3], (None, 1, "user", "x"), (10 ** 15, None, None, None)]
+    df = spark.createDataFrame([(*x, False, 3, 4) for x in rows], SCHEMA).repartition(4)
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    got = sorted((tuple(x) for x in prefix_trie.digest(df, per_shard).select(*names).collect()), key=repr)
+    assert got == _trie(rows)
+
+
+def test_trie_of_nothing(spark):
+    assert prefix_trie.digest(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert prefix_trie.digest(spark.createDataFrame([(None, 1, "user", "x", True, 1, 1)], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_find_close_and_leaves(seed):
+    r = random.Random(seed)
+    opens, depth = [True], 1
+    while depth:
+        step = len(opens) < 3000 and r.random() < 0.55 or len(opens) < 5
+        opens.append(step)
+        depth += 1 if step else -1
+    tree, at, stack, close = prefix_trie.Parentheses(np.array(opens)), [], [], {}
+    for i, o in enumerate(opens):
+        if o:
+            stack.append(i)
+            at.append(i)
+        else:
+            close[stack.pop()] = i
+    at = np.array(at)
+    got = tree.find_close(at)
+    assert got.tolist() == [close[i] for i in at]
+    leaf = [sum(opens[k] and not opens[k + 1] for k in range(a, close[a])) for a in at]
+    assert tree.leaves(at, got).tolist() == leaf
