@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import base, best_fit_packing, bpe, learned_partitions, line_dedup, minhash, prefix_trie, quality_rules, sharding, substring_dedup, token_files, turn_repair, url_filter
+from loomtrace.llm import base, best_fit_packing, bpe, learned_partitions, line_dedup, minhash, pii_spans, prefix_trie, quality_rules, sharding, substring_dedup, token_files, turn_repair, url_filter
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,14 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digest(base.table(spark, sf_dir, "conversations"))
 
 
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans.digest(base.documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(base.table(spark, sf_dir, "conversations"))
 
 
-_ALL = (op1_substring_dedup, op2_url_filter, op3_learned_partitions, op4_line_dedup, op5_quality_rules, op6_token_files, op7_minhash, op8_best_fit_packing, op9_sharding, op10_bpe, op11_turn_repair, op13_prefix_trie)
+_ALL = (op1_substring_dedup, op2_url_filter, op3_learned_partitions, op4_line_dedup, op5_quality_rules, op6_token_files, op7_minhash, op8_best_fit_packing, op9_sharding, op10_bpe, op11_turn_repair, op12_pii_spans, op13_prefix_trie)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op2_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL, "op7_minhash": minhash.SQL, "op9_sharding": sharding.SQL, "op11_turn_repair": turn_repair.SQL, "op13_prefix_trie": prefix_trie.SQL}
