@@ -66,7 +66,7 @@ def neighbour_graph(x: np.ndarray, k: int = TOP) -> np.ndarray:
         d *= -2
         d += square
         d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(d, k - 1, axis=1)[:, :k].copy())  # a view would keep the whole block
     return np.concatenate(out)
 
 
