@@ -32,7 +32,7 @@ TOP = 10
 SAMPLE = 16_384
 PER_PART = 512
 MOST_PARTS = 256
-AIM = 0.95
+AIM = 0.97
 BLOCK, QUERY_BLOCK = 4096, 1024
 HIDDEN, EPOCHS = 128, 25
 
