@@ -101,6 +101,21 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*columns, strict=True)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of a stream sorted by integer keys, cut between groups, and the first row of each group. A group is held whole."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        first = runs(*(batch.column(k).to_numpy(zero_copy_only=False) for k in keys)) if batch.num_rows else np.empty(0, np.int64)
+        if len(first) > 1:
+            yield batch.slice(0, first[-1]), first[:-1]
+            batch = batch.slice(first[-1])
+        held = batch
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
 def batched(rows: Iterator[dict], schema: pa.Schema, most: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Dicts to Arrow batches of bounded rows and bytes of binary values."""
     held, size = [], 0

@@ -1,22 +1,23 @@
 """Near duplicates by MinHash with sequential Bayesian verification.
 
 1. One pass gives each document its set size, a 128-bit hash of the set, 160 MinHash values and 40
-   band keys of 4 values. Documents of one set hash are one class; only its smallest doc_id goes on.
+   band keys of 4 values. Documents of one set hash are one class, a node with the text of its smallest doc_id.
 2. Classes that share a band key meet. First each meets one other only: the class that is the smallest
    of most of its buckets (a group of thousands gives thousands of pairs). The pairs' signatures are compared 32
    values at a time; with m of n equal, similarity has a Beta posterior under a uniform prior, and a
    pair whose posterior of reaching the threshold falls below `MISS` is dropped. Survivors are
    verified on their full shingle sets, and linked classes become components.
-3. Buckets that still hold several components compare all their classes of different components,
-   block against block, by the same bounds; only survivors leave a block. First each class leaves with
-   its best survivor only, which is verified and joins most of a large group; then all survivors
-   between classes still apart leave and are verified, the best of each first. Pairs inside a component cannot change the result and are never formed.
+3. Buckets that still hold several components compare all their classes of different components, block
+   against block, by the same bounds. A first pass keeps the members that have a survivor at all; a second one
+   gets their texts, verifies survivors on full sets, best first, joins what it confirms and skips what is joined
+   already. A block emits the links of a spanning forest, fewer than it has members, never its pairs.
+   Blocks of one component are not paired with each other.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^40 < 3e-7.
 
 Defined results: texts without a word (NULL too) have an empty set and are linked with nothing;
-fewer words than a shingle make one shingle; rows of one doc_id are one document (linked); rows
-without doc_id take part in nothing, component NULL, and are kept.
+fewer words than a shingle make one shingle; rows of one doc_id are one document (linked), also with
+different texts, each of which links it; rows without doc_id take part in nothing, component NULL, and are kept.
 """
 from __future__ import annotations
 
@@ -35,7 +36,8 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS, STEP = 40, 4, 32
 MISS = 1e-6
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+SMALL = 64  # groups up to this size form their pairs at once
 _VALUES = BANDS * ROWS
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.int32())])
 
@@ -120,42 +122,115 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive)), pa.array(same[alive])], schema=_PAIR)
 
 
-def _cross(best_only: bool):
-    def cross(table: pa.Table) -> pa.Table:
-        """One block pair of one bucket: pairs of different components that survive; with best_only one for each class.
-
-        All pairs: a pair that shares an earlier band is left to that band's bucket. What decides is the
-        64-bit keys by which buckets are formed (`bands`); the short values of `sig` only rule pairs out.
-        """
-        side = np.array(table.column("side").to_pylist(), np.int8)
-        node, lab, band = (table.column(c).to_numpy() for c in ("node", "label", "band"))
-        sig = _matrix(table.column("sig"))
-        keys = None if best_only else np.concatenate([c.flatten().to_numpy() for c in table.column("bands").chunks]).reshape(-1, BANDS)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
-        out, top, partner = [np.empty((3, 0), np.int64)], np.full(len(node), -1), np.full(len(node), -1)
-        for i in left:
-            to = right[(lab[right] != lab[i]) & (node[right] > node[i] if side[i] == 2 else node[right] != node[i])]
-            alive, same = _survive(np.broadcast_to(sig[i], (len(to), _VALUES)), sig[to])
-            if not len(alive):
-                continue
-            if best_only:
-                other, score = to[alive], same[alive]
-                better = score > top[other]
-                top[other[better]], partner[other[better]] = score[better], i
-                k = score.argmax()
-                if score[k] > top[i]:
-                    top[i], partner[i] = score[k], other[k]
-                continue
-            k = band[i]
-            if k:
-                alive = alive[~(keys[to[alive], :k] == keys[i, :k]).any(axis=1)]
-            out.append(np.stack([np.minimum(node[i], node[to[alive]]), np.maximum(node[i], node[to[alive]]), same[alive]]))
-        if best_only:
-            has = np.flatnonzero(partner >= 0)
-            out.append(np.stack([np.minimum(node[has], node[partner[has]]), np.maximum(node[has], node[partner[has]]), top[has]]))
-        a, b, score = np.concatenate(out, axis=1)
-        return pa.table([pa.array(a), pa.array(b), pa.array(score.astype(np.int32))], schema=_PAIR)
-    return cross
+@lru_cache(maxsize=SMALL + 1)
+def _pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+class _Block:
+    """Rows of whole groups; a group is a block with itself (side 2) or two blocks (sides 0 and 1)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.node, self.label, self.side = (batch.column(c).to_numpy() for c in ("node", "label", "side"))
+        self.sig = _matrix(batch.column("sig"))
+
+    def met(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of rows are to be compared."""
+        return (self.label[i] != self.label[j]) & (self.node[i] != self.node[j]) & ((self.side[i] == 2) | (self.side[i] != self.side[j]))
+
+    def survivors(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        alive, same = _survive(self.sig[i], self.sig[j])
+        return i[alive], j[alive], same[alive]
+
+    def small(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of many small groups, some thousands at a time."""
+        left, right, held = [], [], 0
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            i, j = _pairs_of(b - a)
+            left.append(i + a)
+            right.append(j + a)
+            held += len(i)
+            if held > 20_000:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+        if held:
+            yield np.concatenate(left), np.concatenate(right)
+
+    def large(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of one large group, row by row."""
+        for i in range(a, b - 1):
+            j = np.arange(i + 1, b)
+            yield np.full(len(j), i), j
+
+
+_NEEDED = "bucket long, lo long, hi long, side int, node long, label long, sig binary"
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of groups (bucket, lo, hi) that have a surviving partner of another component there.
+
+    A pair that shares an earlier band is left to that band's bucket: what decides is the 64-bit keys by
+    which buckets are formed (`bands`).
+    """
+    for batch, starts in base.whole_groups(batches, "bucket", "lo", "hi"):
+        block, ends = _Block(batch), np.append(starts[1:], batch.num_rows)
+        band, keys = batch.column("band").to_numpy(), batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        needed = np.zeros(batch.num_rows, bool)
+
+        def look(i: np.ndarray, j: np.ndarray, block=block, band=band, keys=keys, needed=needed) -> None:
+            ok = block.met(i, j)
+            i, j = i[ok], j[ok]
+            if len(i):
+                ok = ~((keys[i] == keys[j]) & (np.arange(BANDS) < band[i][:, None])).any(axis=1)
+                i, j, _ = block.survivors(i[ok], j[ok])
+                needed[i] = needed[j] = True
+
+        few = ends - starts <= SMALL
+        for i, j in block.small(starts[few], ends[few]):
+            look(i, j)
+        for a, b in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
+            for i, j in block.large(a, b):
+                look(i, j)
+        take = pa.array(np.flatnonzero(needed))
+        yield pa.RecordBatch.from_arrays([batch.column(c.split()[0]).take(take) for c in _NEEDED.split(", ")], [c.split()[0] for c in _NEEDED.split(", ")])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of each group that join its components: a spanning forest."""
+    memo = base.WordHashes()
+    for batch, starts in base.whole_groups(batches, "bucket", "lo", "hi"):
+        block, ends = _Block(batch), np.append(starts[1:], batch.num_rows)
+        texts, u, v = batch.column("text"), [], []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            sets: dict[int, np.ndarray] = {}
+            up = {x: x for x in block.label[a:b].tolist()}
+
+            def root(x: int, up=up) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            def full(k: int, sets=sets, texts=texts) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(texts[k].as_py().encode(), memo)
+                return sets[k]
+
+            for i, j in block.small(np.array([a]), np.array([b])) if b - a <= SMALL else block.large(a, b):
+                ok = block.met(i, j)
+                i, j, same = block.survivors(i[ok], j[ok])
+                best = np.argsort(-same, kind="stable")
+                for x, y in zip(i[best].tolist(), j[best].tolist(), strict=True):
+                    p, q = root(int(block.label[x])), root(int(block.label[y]))
+                    if p != q and _linked(full(x), full(y)):
+                        up[q] = p
+                        u.append(block.node[x])
+                        v.append(block.node[y])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,46 +242,44 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, a in enumerate(a_ids.to_pylist()):
             if a != last:
                 last, held = a, shingles(a_texts[i], memo)
-            other = shingles(b_texts[i], memo)
-            both = len(np.intersect1d(held, other, assume_unique=True))
-            if 100 * both >= PERCENT * (len(held) + len(other) - both):
+            if _linked(held, shingles(b_texts[i], memo)):
                 keep.append(i)
         take = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([a_ids.take(take), b_ids.take(take)], ["u", "v"])
 
 
-class _Links:
-    """Components of classes as links are confirmed."""
-
-    def __init__(self, texts: DataFrame, work: str):
-        self.texts, self.work, self.round = texts, work, 0
-        self.labels: DataFrame | None = None  # node, label
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose classes lie in different components so far."""
-        if self.labels is None:
-            return pairs
-        for side in ("a", "b"):
-            pairs = pairs.join(self.labels.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}")), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-        return pairs.filter("of_a <> of_b").drop("of_a", "of_b")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Verify pairs and merge what they link."""
-        self.round += 1
-        work = f"{self.work}/round_{self.round}"
-        text_a, text_b = (self.texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-        met = pairs.select("a", "b").join(text_b, "b").join(text_a, "a").sortWithinPartitions("a")
-        links = base.materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "u long, v long"), f"{work}/links")
-        edges = links if self.labels is None else links.unionByName(self.labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        self.labels = base.materialize(components.label(edges, work), f"{work}/labels")
-
-    def settle(self, pairs: DataFrame) -> None:
-        """The best partner of each class first, then what is still apart."""
-        best = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("score"), "a"))).filter("nth = 1")
-        self.confirm(best)
-        rest = base.materialize(self.apart(pairs), f"{self.work}/rest_{self.round}")
-        if not rest.isEmpty():
-            self.confirm(rest)
+def _grouped(met: DataFrame, labels: DataFrame, weights: DataFrame, work: str) -> DataFrame:
+    """Members of buckets that hold several components, once for each group (bucket, lo, hi) in which they are compared.
+
+    A bucket of up to `BLOCK` members and `BLOCK_SHINGLES` shingles is one group. A larger one is cut into blocks: a
+    component of a block's size or more has its own ones, the others share. Two blocks are a group unless
+    they are of one component.
+    """
+    labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(weights, "node")
+    sizes = labelled.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).filter("l1 <> l2")
+    size = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    sizes = sizes.select("bucket", size.alias("blocks"))
+    open_ = base.materialize(labelled.join(sizes, "bucket").select("bucket", "band", "node", "label", "n_shingles", "blocks"), f"{work}/open")
+    names = ["bucket", "band", "node", "label"]
+    small = open_.filter("blocks = 1").select(*names, F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(2).alias("side"))
+
+    many = open_.filter("blocks > 1")
+    per = many.groupBy("bucket", "label").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES).alias("share"))
+    per = per.withColumn("own", F.when(F.col("share") >= 1, F.ceil("share").cast("int")))
+    # (label, number) of each block; blocks that components share have no label
+    cut = per.groupBy("bucket").agg(F.collect_list(F.when(F.col("own").isNotNull(), F.struct(F.col("label").alias("of"), F.col("own").alias("n")))).alias("owners"),
+                                    F.ceil(F.coalesce(F.sum(F.when(F.col("own").isNull(), F.col("share"))), F.lit(0.0))).cast("int").alias("common"))
+    number = lambda of, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(of.alias("of"), i.alias("n")))
+    listed = F.flatten(F.transform("owners", lambda o: number(o["of"], o["n"])))
+    common = F.when(F.col("common") > 0, number(F.lit(None).cast("long"), F.col("common"))).otherwise(F.array().cast("array<struct<of:bigint,n:int>>"))
+    cut = cut.select("bucket", "common", F.concat(listed, common).alias("all"))
+    placed = many.join(per.select("bucket", "label", "own"), ["bucket", "label"]).join(cut, "bucket")
+    mine = F.when(F.col("own").isNotNull(), F.struct(F.col("label").alias("of"), (F.pmod(F.xxhash64("node"), F.col("own")) + 1).cast("int").alias("n"))).otherwise(
+        F.struct(F.lit(None).cast("long").alias("of"), (F.pmod(F.xxhash64("label"), F.col("common")) + 1).cast("int").alias("n")))
+    sent = placed.withColumn("mine", mine).select(*names, "mine", F.explode("all").alias("other")).filter("mine.of is null or other.of is null or mine.of <> other.of")
+    a, b = F.xxhash64("mine.of", "mine.n"), F.xxhash64("other.of", "other.n")
+    large = sent.select(*names, F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.when(F.col("mine").eqNullSafe(F.col("other")), 2).when(a < b, 0).otherwise(1).alias("side"))
+    return small.unionByName(large)
 
 
 def label(docs: DataFrame) -> DataFrame:
@@ -216,59 +289,47 @@ def label(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     signed = base.materialize(docs.mapInArrow(_sign, _SIGNED), f"{work}/signed")
     used = signed.filter("s1 is not null")
-    first = used.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    classes = first.select("s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("rep_key"))
-    rows = base.materialize(used.select("doc_id", "key", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "rep"), f"{work}/rows")
-    reps = used.join(classes.select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("key"), "s1", "s2"), ["doc_id", "key", "s1", "s2"]).dropDuplicates(["doc_id"])
-    reps = base.materialize(reps.select("doc_id", "key", "bands", "sig"), f"{work}/reps")
-    entries = reps.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
+    classes = used.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("s1", "s2", "first.doc_id", "first.key")
+    reps = used.join(classes, ["doc_id", "key", "s1", "s2"])
+    # a doc_id with several texts may be the smallest of several classes: all but one get a number of their own
+    of_id = Window.partitionBy("doc_id")
+    reps = reps.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("s1"))).withColumn("nth", F.dense_rank().over(of_id.orderBy("key"))).filter("copy = 1")
+    node = F.when(F.col("nth") == 1, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "key", "s1"))
+    reps = base.materialize(reps.select(node.alias("node"), "doc_id", "key", "s1", "s2", "n_shingles", "bands", "sig"), f"{work}/reps")
+    rows = base.materialize(used.select("doc_id", "s1", "s2").join(reps.select("node", "s1", "s2"), ["s1", "s2"]).select("doc_id", "node"), f"{work}/rows")
+    entries = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("bucket", "least")
     met = base.materialize(entries.join(shared, "bucket"), f"{work}/met")  # members of buckets with two classes or more
-    near = met.select("node").distinct()
-    ids = reps.select("doc_id", "key").join(near.withColumnRenamed("node", "doc_id"), "doc_id")
-    texts = base.materialize(docs.join(ids, ["doc_id", "key"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), f"{work}/texts")
-    sigs = reps.select(F.col("doc_id").alias("node"), "sig")
-    links = _Links(texts, work)
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        sided = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        return sided.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune, "a long, b long, score int")
+    ids = reps.select("doc_id", "key", "node").join(met.select("node").distinct(), "node")
+    texts = base.materialize(docs.join(ids, ["doc_id", "key"]).dropDuplicates(["node"]).select("node", "text"), f"{work}/texts")
+    sigs = reps.select("node", "sig")
 
     # one partner each: the smallest class of most of its buckets; step 3 meets all others
     votes = met.filter("node <> least").groupBy(F.col("node").alias("b"), F.col("least").alias("a")).agg(F.count("*").alias("n"))
     stars = votes.groupBy("b").agg(F.max_by("a", F.struct("n", (-F.col("a")).alias("x"))).alias("a")).select("a", "b")
-    links.confirm(base.materialize(bounded(base.materialize(stars, f"{work}/stars")), f"{work}/star_pairs"))
-
-    def crossing(best_only: bool) -> DataFrame:
-        """Surviving pairs of classes that share a bucket and lie in different components."""
-        labelled = met.join(links.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("members")).filter("l1 <> l2")
-        open_ = labelled.join(mixed.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket")
-        open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        sent = open_.select("bucket", "band", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        sent = sent.select("bucket", "band", "node", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                           F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-        kept = sigs if best_only else reps.select(F.col("doc_id").alias("node"), "sig", "bands")
-        return sent.join(kept, "node").groupBy("bucket", "lo", "hi").applyInArrow(_cross(best_only), "a long, b long, score int")
-
-    ends = F.explode(F.array("a", "b")).alias("node")
-    best = crossing(True).select("a", "b", "score", ends).groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("score", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("p"))
-    best = base.materialize(best.select("p.a", "p.b").distinct(), f"{work}/best")
-    if not best.isEmpty():
-        links.confirm(best)
-        tested = spark.read.parquet(f"{work}/stars").unionByName(best).distinct().withColumn("tested", F.lit(True))
-        crossed = crossing(False).join(tested, ["a", "b"], "left").filter("tested is null").drop("tested")
-        crossed = base.materialize(crossed, f"{work}/crossed")
-        if not crossed.isEmpty():
-            links.settle(crossed)
+    sided = stars.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    pairs = base.materialize(sided.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune, "a long, b long, score int"), f"{work}/stars")
+    text_a, text_b = (texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
+    sorted_pairs = pairs.select("a", "b").join(text_b, "b").join(text_a, "a").sortWithinPartitions("a")
+    links = base.materialize(sorted_pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "u long, v long"), f"{work}/star_links")
+    labels = base.materialize(components.label(links, f"{work}/stars_joined"), f"{work}/star_labels")
+
+    keys = ["bucket", "lo", "hi"]
+    grouped = _grouped(met, labels, reps.select("node", "n_shingles"), work)
+    screened = grouped.join(reps.select("node", "sig", "bands"), "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_screen, _NEEDED)
+    screened = base.materialize(screened, f"{work}/screened")
+    forest = screened.join(texts, "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_forest, "u long, v long")
+    forest = base.materialize(forest, f"{work}/forest")
 
     # rows of one doc_id are one document: their classes meet
-    several = rows.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).filter("u <> v")
-    joined = rows.join(several.select("doc_id", "v"), "doc_id").select(F.col("rep").alias("u"), "v").filter("u <> v")
-    if not joined.isEmpty():
-        edges = joined.unionByName(links.labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        links.labels = base.materialize(components.label(edges, f"{work}/one_id"), f"{work}/one_id/labels")
-    found = rows.join(links.labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component_id"))
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).filter("u <> v")
+    joined = base.materialize(rows.join(several.select("doc_id", "v"), "doc_id").select(F.col("node").alias("u"), "v").filter("u <> v"), f"{work}/one_id")
+    edges = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(forest).unionByName(joined)
+    labels = base.materialize(components.label(edges, f"{work}/joined"), f"{work}/labels")
+    placed = rows.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    if not joined.isEmpty():  # labels may be numbers that are no doc_id
+        placed = placed.join(placed.groupBy("label").agg(F.min("doc_id").alias("least")), "label").select("doc_id", F.col("least").alias("label"))
+    found = placed.groupBy("doc_id").agg(F.min("label").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

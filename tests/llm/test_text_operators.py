@@ -125,12 +125,43 @@ def test_minhash_pairs_of_long_texts_leave_one_bucket():
         left = 0
         shared = [k for k in range(minhash.BANDS) if a["bands"][k] == b["bands"][k]]
         for k in shared:
-            left += minhash._cross(False)(pa.Table.from_pylist([{"node": i, "label": i, "band": k, "side": 2, "sig": x["sig"], "bands": x["bands"]} for i, x in enumerate((a, b))])).num_rows
+            rows = [{"bucket": 1, "lo": 0, "hi": 0, "node": i, "label": i, "band": k, "side": 2, "sig": x["sig"], "bands": x["bands"]} for i, x in enumerate((a, b))]
+            left += sum(out.num_rows for out in minhash._screen(iter([pa.RecordBatch.from_pylist(rows)]))) // 2
         assert left == (len(shared) > 0)
         met += left
     assert met > 15
 
 
+def test_minhash_one_id_with_two_texts_links_both(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    table = [(1, a), (1, b), (5, a + " more"), (6, b + " more"), (7, "else " + a.replace("a", "q")), (7, b), (8, " ".join(f"h{i}" for i in range(9)))]
+    got = {(r.doc_id, r.component_id) for r in minhash.label(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (7, 1), (8, 8)}
+
+
+def test_minhash_a_group_leaves_its_block_as_a_forest(spark):
+    """All pairs of a group survive, some of them are no links: fewer links than members come out, and they join what brute force joins."""
+    r = np.random.default_rng(2)
+    whole, texts = [f"w{i}" for i in range(300)], []
+    for _ in range(90):
+        w = list(whole)
+        for i in r.integers(300, size=r.integers(1, 12)):
+            w[i] = f"n{r.integers(1 << 30)}"
+        texts.append(" ".join(w))
+    signed = pa.Table.from_batches(minhash._sign(iter([pa.RecordBatch.from_pylist([{"doc_id": i, "key": i, "text": t} for i, t in enumerate(texts)])]))).to_pylist()
+    rows = [{"bucket": 1, "lo": 0, "hi": 0, "node": i, "label": i, "side": 2, "sig": x["sig"], "text": t} for i, (x, t) in enumerate(zip(signed, texts, strict=True))]
+    cut = [pa.RecordBatch.from_pylist(rows[i:i + 7]) for i in range(0, 90, 7)]
+    links = pa.Table.from_batches(minhash._forest(iter(cut))).to_pylist()
+    want = {i: c for i, _, c, _ in corpus.near_groups(list(enumerate(texts)))}
+    up = {i: i for i in want}
+    for x in links:
+        assert want[x["u"]] == want[x["v"]]
+        a, b = up[x["u"]], up[x["v"]]
+        assert a != b
+        up = {k: (a if v == b else v) for k, v in up.items()}
+    assert len(set(up.values())) == len(set(want.values())) and 0 < len(links) < 90
+
+
 def test_short_values_of_large_sets_differ():
     r = np.random.default_rng(6)
     x, y = (np.frombuffer(minhash._short(minhash.signature(r.integers(0, 1 << 63, 200_000, np.uint64))), "<u2") for _ in range(2))
