@@ -1,14 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a line of five words or more or a run of adjacent lines, as many as
-reach ten words. Lines found in at most `RARE` different documents and runs come first, since large
-groups of near copies share runs; more frequent lines that this leaves in place come in the rounds after it. Each document is paired with the earliest holder of each such line or line
-pair, so the number of pairs is at most the number of lines, whatever the size of a group. Where a
-shared line is still there afterwards, its document meets the next holders that have the line once,
-one a round, and after `ROUNDS` rounds all other earlier holders at a time: no holder stays untried. Pairs
-are aligned by patience diff on line hashes, and the aligned common blocks go from the later one
-(greater doc_id). Documents with equal line sequences are not paired: of each such class only the
-earliest takes part, and the others lose all their lines to it.
+Documents overlap if they share a line of five words or more, or a run of adjacent lines, as many as reach ten
+words. Each document is paired with the earliest holder of each line or run that it shares, whatever the
+number of holders, so there are at most as many pairs as shared lines. A pair is aligned by patience diff, and the
+aligned common blocks go from the later document (greater doc_id). A shared line
+or run that the later document has once and the diff leaves out, since it was moved or the other repeats it, is a
+block of its own and goes as well. Documents with equal line sequences are not paired: of each such class only the earliest takes
+part, and the others lose all their lines to it.
+
+An earliest holder is sent once to each task that aligns with it, not once to each of its pairs; a holder that
+very many documents meet is dealt over tasks.
 
 Lines are compared without white space at their ends; lines without a word are never aligned, and
 go with the removed lines around them only if nothing of the document is left.
@@ -31,11 +32,9 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm import base
 
-RARE = 64
 LINE_WORDS, PAIR_WORDS = 5, 10
-_LINES = "doc_id long, key long, n_lines long, s1 long, s2 long, lines binary, words binary, single array<long>, double array<long>"
-_OPEN = "doc_id long, key long, h array<long>, once array<long>"
-ROUNDS = 3
+PER_TASK = 4096  # pairs that meet one copy of their earliest holder
+_LINES = "doc_id long, key long, n_lines long, s1 long, s2 long, lines binary, words binary, shared array<long>"
 
 
 def split_lines(text: bytes) -> list[bytes]:
@@ -62,7 +61,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the lines with a word; 0 stands for a line without one."""
     def rows() -> Iterator[dict]:
         for doc_id, key, text in base.rows_of(batches, "doc_id", "key", "text"):
-            row = {"doc_id": doc_id, "key": key, "n_lines": 0, "s1": None, "s2": None, "lines": b"", "words": b"", "single": [], "double": []}
+            row = {"doc_id": doc_id, "key": key, "n_lines": 0, "s1": None, "s2": None, "lines": b"", "words": b"", "shared": []}
             stripped = [x.strip() for x in split_lines(text or b"")]
             words = np.array([len(x.split()) for x in stripped])
             h = np.array([_line_hash(x) if x else 0 for x in stripped], np.uint64)
@@ -72,10 +71,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs = _runs(f, w)[1]
                 digest = hashlib.blake2b(f.tobytes(), digest_size=16).digest()
                 row |= {"n_lines": len(full), "s1": int.from_bytes(digest[:8], "little", signed=True), "s2": int.from_bytes(digest[8:], "little", signed=True), "lines": h.tobytes(), "words": words.astype("<u4").tobytes(),
-                        "single": np.unique(f[w >= LINE_WORDS]).view(np.int64).tolist(), "double": np.unique(pairs).view(np.int64).tolist()}
+                        "shared": np.unique(np.concatenate([f[w >= LINE_WORDS], pairs])).view(np.int64).tolist()}
             yield row
 
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("lines", pa.binary()), ("words", pa.binary()), ("single", pa.list_(pa.int64())), ("double", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("lines", pa.binary()), ("words", pa.binary()), ("shared", pa.list_(pa.int64()))])
     return base.batched(rows(), schema, 2000)
 
 
@@ -114,39 +113,66 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of the later document that an earlier one holds in the same alignment."""
-    def rows() -> Iterator[dict]:
-        for doc_id, key, early, late in base.rows_of(batches, "late", "late_key", "early_lines", "late_lines"):
-            a, b = (np.frombuffer(x, np.uint64) for x in (early, late))
-            fa, fb = np.flatnonzero(a), np.flatnonzero(b)
-            hit = sorted(j for _, j in patience(a[fa].tolist(), b[fb].tolist()))
-            if hit:
-                yield {"doc_id": doc_id, "key": key, "gone": fb[hit].astype("<u4").tobytes()}
-    return base.batched(rows(), pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("gone", pa.binary())]))
-
+class _Early:
+    """Lines of an earliest holder, by value."""
+
+    def __init__(self, lines: bytes):
+        f = np.frombuffer(lines, np.uint64)
+        self.lines = f[f != 0]
+        self.order = np.argsort(self.lines, kind="stable")
+        self.sorted = self.lines[self.order]
+
+    def among(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of its lines that are among `values` (distinct), in order, and which values it holds."""
+        low, high = np.searchsorted(self.sorted, values), np.searchsorted(self.sorted, values, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.sort(self.order[at]), n > 0
+
+
+def _shortened(lines: np.ndarray, places: np.ndarray, gap: int) -> tuple[list[int], list[int]]:
+    """The lines at `places` and where they are; other lines between them become one line that nobody shares."""
+    out, at, last = [], [], -1
+    for p, x in zip([*places.tolist(), len(lines)], [*lines[places].tolist(), None], strict=True):
+        if p > last + 1:
+            gap -= 1
+            out.append(gap)
+            at.append(-1)
+        if x is not None:
+            out.append(x)
+            at.append(p)
+        last = p
+    return out, at
+
+
+def aligned(early: _Early, lines: np.ndarray, words: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Places of a later document's lines (all with a word) that go: aligned ones, and the lines and runs it has once and has `shared` with this holder."""
+    values, of, times = np.unique(lines, return_inverse=True, return_counts=True)
+    places, has = early.among(values)
+    theirs, _ = _shortened(early.lines, places, 0)
+    own, at_own = _shortened(lines, np.flatnonzero(has[of]), -1 << 62)
+    gone = np.isin(lines, shared) & (times[of] == 1)
+    at, run, reach = _runs(lines, words)
+    _, of_run, times = np.unique(run, return_inverse=True, return_counts=True)
+    for k in np.flatnonzero(np.isin(run, shared) & (times[of_run] == 1)):
+        gone[at[k]:at[k] + reach[k]] = True
+    gone[[at_own[j] for _, j in patience(theirs, own)]] = True
+    return np.flatnonzero(gone)
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Long lines that are still there in some place, runs of which a short line is (`h`), and what their document holds once (`once`, the anchors).
 
-    Patience aligns nothing of two documents unless they share their first line, their last line or a line
-    that both hold once: documents without a common anchor need not meet.
-    """
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stream in which each holder comes before its pairs: places to delete from the later documents."""
     def rows() -> Iterator[dict]:
-        for doc_id, key, lines, words, gone in base.rows_of(batches, "doc_id", "key", "lines", "words", "gone"):
-            h, w = np.frombuffer(lines, np.uint64), np.frombuffer(words, "<u4")
-            still = h != 0
-            f, v = h[still], w[still]
-            at, runs, reach = _runs(f, v)
-            full = np.flatnonzero(still)
-            still[np.frombuffer(b"".join(gone or []), "<u4")] = False
-            values, n = np.unique(f, return_counts=True)
-            below = np.concatenate([[0], np.cumsum(still[full] & (v < LINE_WORDS))])
-            open_runs = runs[below[at + reach] > below[at]]
-            of_run, m = np.unique(runs, return_counts=True)
-            ends = base.mix(f[[0, -1]], np.array([1, 2], np.uint64))
-            yield {"doc_id": doc_id, "key": key, "h": np.unique(np.concatenate([h[still & (w >= LINE_WORDS)], open_runs])).view(np.int64).tolist(), "once": np.concatenate([values[n == 1], of_run[m == 1], ends]).view(np.int64).tolist()}
-    return base.batched(rows(), pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h", pa.list_(pa.int64())), ("once", pa.list_(pa.int64()))]), 1000)
+        early = None
+        for doc_id, key, lines, words, shared in base.rows_of(batches, "late", "late_key", "lines", "words", "shared"):
+            if doc_id is None:
+                early = _Early(lines)
+                continue
+            h = np.frombuffer(lines, np.uint64)
+            full = np.flatnonzero(h)
+            gone = aligned(early, h[full], np.frombuffer(words, "<u4")[full], np.array(shared, np.int64).view(np.uint64))
+            yield {"doc_id": doc_id, "key": key, "gone": full[gone].astype("<u4").tobytes()}
+    return base.batched(rows(), pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("gone", pa.binary())]))
 
 
 def deletions(docs: DataFrame) -> DataFrame:
@@ -157,54 +183,22 @@ def deletions(docs: DataFrame) -> DataFrame:
     classes = read.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     firsts = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "s1", "s2")
     copies = read.join(firsts.select("s1", "s2", F.col("doc_id").alias("first_id")), ["s1", "s2"]).filter("doc_id > first_id").select("doc_id", "key", F.lit(None).cast("binary").alias("gone")).distinct()
-    reps = base.materialize(read.join(firsts, ["doc_id", "key", "s1", "s2"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "lines", "words", "single", "double"), f"{work}/reps")
-    held = (reps.select("doc_id", "key", F.explode("single").alias("h"), F.lit(0).alias("kind"))
-            .unionByName(reps.select("doc_id", "key", F.explode("double").alias("h"), F.lit(1).alias("kind"))))
-    early = (held.groupBy("kind", "h").agg(F.min(F.struct("doc_id", "key")).alias("early"), F.count("*").alias("df"))
-             .filter(f"df > 1 and (kind = 1 or df <= {RARE})").select("kind", "h", "early"))
-    pairs = held.join(early, ["kind", "h"]).filter("doc_id > early.doc_id").select(F.col("doc_id").alias("late"), F.col("key").alias("late_key"), F.col("early.doc_id").alias("early"), F.col("early.key").alias("early_key")).distinct()
-    late = reps.select(F.col("doc_id").alias("late"), F.col("key").alias("late_key"), F.col("lines").alias("late_lines"))
-    first = reps.select(F.col("doc_id").alias("early"), F.col("key").alias("early_key"), F.col("lines").alias("early_lines"))
-    names = ["late", "late_key", "early", "early_key"]
-
-    def align(pairs: DataFrame, name: str) -> DataFrame:
-        met = pairs.join(late, ["late", "late_key"]).join(first, ["early", "early_key"])
-        return base.materialize(met.select("late", "late_key", "early_lines", "late_lines").mapInArrow(_align, "doc_id long, key long, gone binary"), f"{work}/{name}")
-
-    def still(aligned: DataFrame, name: str) -> DataFrame:
-        """Lines and runs that are not deleted everywhere in a document, with the document's anchors."""
-        gone = aligned.groupBy("doc_id", "key").agg(F.collect_set("gone").alias("gone"))
-        left = reps.join(gone, ["doc_id", "key"], "left").select("doc_id", "key", "lines", "words", "gone").mapInArrow(_open, _OPEN)
-        return base.materialize(left, f"{work}/{name}")
-
-    tried = base.materialize(pairs, f"{work}/pairs_0")
-    aligned = align(tried, "aligned_0")
-    shared = held.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
-    anchors = None
-    for n in range(1, ROUNDS + 2):
-        left = still(aligned, f"left_{n}")
-        anchors = left.select("doc_id", "key", "once") if anchors is None else anchors
-        open_ = left.select("doc_id", "key", F.explode("h").alias("h")).join(shared, "h")
-        holders = held.drop("kind").join(open_.select("h").distinct(), "h")
-        if n <= ROUNDS:  # the earliest holder that has the line once and comes after those of the rounds before
-            once = anchors.select("doc_id", "key", F.explode("once").alias("h"))
-            holders = holders.join(once, ["doc_id", "key", "h"])
-            if n > 1:
-                holders = holders.join(reached, "h", "left").filter("reached is null or doc_id > reached").drop("reached")
-            step = holders.groupBy("h").agg(F.min(F.struct("doc_id", "key")).alias("e"))
-            step = base.materialize(step, f"{work}/step_{n}")
-            found = open_.join(step, "h").filter("doc_id > e.doc_id").select(F.col("doc_id").alias("late"), F.col("key").alias("late_key"), F.col("e.doc_id").alias("early"), F.col("e.key").alias("early_key"))
-            now = step.select("h", F.col("e.doc_id").alias("reached"))
-            reached = now if n == 1 else base.materialize(now.unionByName(reached).groupBy("h").agg(F.max("reached").alias("reached")), f"{work}/reached_{n}")
-        else:  # every other earlier holder with a common anchor
-            a = holders.join(anchors, ["doc_id", "key"]).select("h", F.col("doc_id").alias("early"), F.col("key").alias("early_key"), F.col("once").alias("once_a"))
-            b = open_.join(anchors, ["doc_id", "key"]).select("h", F.col("doc_id").alias("late"), F.col("key").alias("late_key"), F.col("once").alias("once_b"))
-            found = b.join(a, (b["h"] == a["h"]) & (F.col("late") > F.col("early")) & F.arrays_overlap("once_a", "once_b")).select(*names)
-        new = base.materialize(found.select(*names).distinct().join(tried, names, "left_anti"), f"{work}/pairs_{n}")
-        if new.isEmpty():
-            continue
-        aligned, tried = aligned.unionByName(align(new, f"aligned_{n}")), tried.unionByName(new)
-    return aligned.unionByName(copies).groupBy("doc_id", "key").agg(F.when(F.bool_or(F.col("gone").isNotNull()), F.collect_set("gone")).alias("gone"))
+    reps = base.materialize(read.join(firsts, ["doc_id", "key", "s1", "s2"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "lines", "words", "shared"), f"{work}/reps")
+    held = reps.select("doc_id", "key", F.explode("shared").alias("h"))
+    early = held.groupBy("h").agg(F.min(F.struct("doc_id", "key")).alias("e"), F.count("*").alias("holders")).filter("holders > 1").select("h", "e")
+    pairs = held.join(early, "h").filter("doc_id > e.doc_id").groupBy(F.col("doc_id").alias("late"), F.col("key").alias("late_key"), "e").agg(F.collect_list("h").alias("shared"))  # at most the lines of one document
+    pairs = base.materialize(pairs.select("late", "late_key", F.col("e.doc_id").alias("early"), F.col("e.key").alias("early_key"), "shared"), f"{work}/pairs")
+    tasks = base.materialize(pairs.groupBy("early", "early_key").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("tasks")), f"{work}/tasks")
+    many = tasks.filter("tasks > 1")
+    part = F.when(F.col("tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64("late", "late_key"), "tasks")).cast("int")
+    names = ["early", "early_key", "part", "late", "late_key", "lines", "words", "shared"]
+    late = pairs.join(many, ["early", "early_key"], "left").withColumn("part", part).join(reps.select(F.col("doc_id").alias("late"), F.col("key").alias("late_key"), "lines", "words"), ["late", "late_key"]).select(*names)
+    none = F.lit(None).cast("long")
+    first = tasks.join(reps.select(F.col("doc_id").alias("early"), F.col("key").alias("early_key"), "lines", "words"), ["early", "early_key"])
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).withColumns({"late": none, "late_key": none, "shared": F.array().cast("array<long>")}).select(*names)
+    met = late.unionByName(first).repartition("early", "early_key", "part").sortWithinPartitions("early", "early_key", "part", F.asc_nulls_first("late"))
+    found = met.select("late", "late_key", "lines", "words", "shared").mapInArrow(_align, "doc_id long, key long, gone binary")
+    return found.unionByName(copies).groupBy("doc_id", "key").agg(F.when(F.bool_or(F.col("gone").isNotNull()), F.collect_set("gone")).alias("gone"))
 
 
 def without(text: bytes, gone: list[bytes] | None) -> tuple[bytes, int, int]:

@@ -193,18 +193,27 @@ def _lines_left(table):
         else:
             seqs[seq] = i
             reps.append((i, list(seq)))
-    holders: dict = {}
-    for i, seq in reps:
-        for x in set(seq):
+    def anchors(seq):
+        """Every anchor with its places: long lines, and shortest runs of two lines or more that reach the words."""
+        found: dict = {}
+        for p, x in enumerate(seq):
             if len(x.split()) >= line_dedup.LINE_WORDS:
-                holders.setdefault((0, x), []).append(i)
-        for x in set(zip(seq, seq[1:], strict=False)):
-            if len((x[0] + " " + x[1]).split()) >= line_dedup.PAIR_WORDS:
-                holders.setdefault((1, x), []).append(i)
-    lines = dict(reps)
-    pairs = {(v[0], b) for k, v in holders.items() if len(v) > 1 and (k[0] or len(v) <= line_dedup.RARE) for b in v[1:]}
-    for a, b in pairs:
-        gone.setdefault(b, set()).update(j for _, j in line_dedup.patience(lines[a], lines[b]))
+                found.setdefault((x,), []).append([p])
+            for q in range(p + 2, len(seq) + 1):
+                if len(" ".join(seq[p:q]).split()) >= line_dedup.PAIR_WORDS:
+                    found.setdefault(tuple(seq[p:q]), []).append(list(range(p, q)))
+                    break
+        return found
+
+    lines, of = dict(reps), {i: anchors(seq) for i, seq in reps}
+    for b, seq in reps:
+        for k, places in of[b].items():
+            a = next(i for i, _ in reps if k in of[i])
+            if a >= b:
+                continue
+            gone.setdefault(b, set()).update(j for _, j in line_dedup.patience(lines[a], seq))
+            if len(places) == 1:
+                gone[b].update(places[0])
     out = []
     for row in table:
         text = row[1] or ""
@@ -234,6 +243,22 @@ def _left(spark, texts):
     return {r.doc_id: r.n_lines - r.n_removed for r in line_dedup.digest(docs).collect()}
 
 
+def test_line_dedup_does_not_depend_on_the_number_of_holders(spark):
+    """A frequent line beside a short one goes with it, and alone, for 3 holders as for 65."""
+    for n in (3, 64, 65):
+        frequent = "a line that very many documents hold"
+        texts = ["\n".join([f"own head of document {i} here", "ok", frequent, f"own tail of document {i} here"]) for i in range(n)]
+        left = _left(spark, texts)
+        assert left[1] == 4 and {left[i] for i in range(2, n + 1)} == {2}
+
+
+def test_line_dedup_sends_a_frequent_holder_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PER_TASK", 3)
+    texts = ["\n".join(["the line that all of them share", f"own {i} words of this document"]) for i in range(40)]
+    left = _left(spark, texts)
+    assert left.pop(1) == 2 and set(left.values()) == {1}
+
+
 def test_line_dedup_meets_later_holders(spark):
     """The earliest holder cannot align the line, another one can: a repeated line, and an index page in another order."""
     x, *s = [f"line {i} of several words here" for i in range(40)]
@@ -256,7 +281,7 @@ def test_line_dedup_tries_every_holder(spark):
 def test_line_dedup_has_no_cut_for_frequent_or_short_lines(spark):
     """A passage in one line goes whatever the number of its holders; lists of short lines meet."""
     passage = " ".join(f"p{i}" for i in range(60))
-    n = line_dedup.RARE + 6
+    n = 70
     texts = [f"own head number {i} of words\n{passage}\nown tail number {i} of words" for i in range(n)]
     verse = [f"item {i}" for i in range(30)]
     texts += ["\n".join(verse), "\n".join([*verse[:12], "changed", *verse[13:]])]
