@@ -35,9 +35,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.Encoder(vocabulary)
 
+        def encoded() -> Iterator[tuple]:
+            for batch in batches:
+                ids, bounds = encoder.batch(batch.column("text"), end)
+                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    yield doc_id, ids[a:b]
+
         def rows() -> Iterator[dict]:
-            for doc_id, text in base.rows_of(batches, "doc_id", "text"):
-                ids = encoder.ids(text, end)
+            for doc_id, ids in encoded():
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start:start + capacity]
                     row = {"doc_id": doc_id, "piece": k, "start": start, "length": len(part), "ids_crc32": tokens.crc32(part)}

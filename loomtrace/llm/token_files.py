@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from loomtrace.llm import base, tokens
 
 END = 2
-_FLUSH = 1 << 22
 _FACTS = "part int, doc_id long, place long, local long, size long, bits int"
 _FACTS_ARROW = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("local", pa.int64()), ("size", pa.int64()), ("bits", pa.int32())])
 
@@ -72,18 +71,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
 
         def chunks() -> Iterator[bytes]:
             nonlocal at
-            held, size = [], 0
-            for doc_id, text in base.rows_of(batches, "doc_id", "text"):
-                out = encoder.ids(text, end)
-                ids.append(doc_id)
-                starts.append(at)
+            for batch in batches:
+                out, bounds = encoder.batch(batch.column("text"), end)
+                ids.extend(batch.column("doc_id").to_pylist())
+                starts.extend((bounds[:-1] + at).tolist())
                 at += len(out)
-                held.append(out.tobytes())
-                size += len(held[-1])
-                if size >= _FLUSH:
-                    yield b"".join(held)
-                    held, size = [], 0
-            yield b"".join(held)
+                yield out.tobytes()
 
         _save(folder, f"ids-{part:06d}.bin", chunks())
         sizes = np.diff(np.array([*starts, at], np.int64)).tolist()

@@ -2,18 +2,21 @@
 
 The word-level BPE's normalizer and splitter never join characters across ASCII white space, and
 added tokens hold none, so a text's ids are the ids of its white-space chunks one after another
-(tests hold this against whole-text encoding). The most recent chunks are remembered up to a fixed number.
+(tests hold this against whole-text encoding). Arrow splits the texts of a batch and numbers their distinct
+chunks; ids are found once for each of these and put together by number. Plain words are remembered, the most
+recent ones up to a fixed number.
 """
 from __future__ import annotations
 
 import sys
-import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from loomtrace.llm import base
@@ -31,7 +34,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-_CLOSING = b".,!?;:"
+#: A run of letters that are one code point each in either case and in NFC, and the closing marks behind it:
+#: the splitter keeps the letters whole and cuts off the marks.
+_WORD = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,!?;:]*$"
+_CLOSING = ".,!?;:"
 
 
 def printed_bytes() -> list[str]:
@@ -45,69 +51,75 @@ _PRINTED = dict(enumerate(printed_bytes()))
 assert sys.byteorder == "little"  # ids are kept as they lie in files
 
 
+def _runs(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches of `flat`, one after another."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Texts to arrays of token ids."""
 
-    limit = 80_000
+    limit = 120_000
 
     def __init__(self, path: str):
         self.tokens = tokenizer(path)
         self.tokens.no_truncation()
         self.tokens.no_padding()
         self.kind = np.dtype("<u2" if self.tokens.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks, self.pieces = base.Memo(self.limit), base.Memo(self.limit)
-
-    @staticmethod
-    def _letters(core: bytes) -> bytes | None:
-        """The normalised form of a run of letters; NULL for anything else. The splitter keeps such a run whole."""
-        if core.isalpha():  # ASCII letters only
-            return core.lower()
-        if core.isascii():
-            return None
-        s = core.decode()
-        if not s.isalpha() or not unicodedata.is_normalized("NFC", s):
-            return None
-        s = "".join(c.lower() for c in s) if "Σ" in s else s.lower()
-        return s.encode() if s.isalpha() else None
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Letters and the closing marks behind them are always split, so either is encoded once for many chunks."""
-        split, runs = [], set()
-        for c in chunks:
-            core = c.rstrip(_CLOSING)
-            word = self._letters(core)
-            if word is None:
-                split.append((c, c, b""))
-            else:
-                runs.add(word)
-                split.append((c, word, c[len(core):]))
-        rest, code = [], self.kind.char
-        todo = self.pieces.missing({p for row in split for p in row[1:] if p})
-        known = self.pieces.new
-        for p in todo:
-            if p in runs:
-                known[p] = array(code, [t.id for t in self.tokens.model.tokenize(p.decode("latin-1").translate(_PRINTED))]).tobytes()
-            else:
-                rest.append(p)
-        if rest:
-            for p, e in zip(rest, self.tokens.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
-                known[p] = array(code, e.ids).tobytes()
-        for c, word, closing in split:
-            self.chunks.new[c] = known[word] + known[closing] if closing else known[word]
+        self.words = base.Memo(self.limit)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case runs of letters."""
+        code, tokenize = self.kind.char, self.tokens.model.tokenize
+        for w in self.words.missing(set(words)):
+            self.words.new[w] = array(code, [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_PRINTED))]).tobytes()
+        return [self.words.new[w] for w in words]
+
+    def _of_others(self, chunks: list[str]) -> list[bytes]:
+        code = self.kind.char
+        return [array(code, e.ids).tobytes() for e in self.tokens.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _flat(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all parts together, and where each starts and how long it is."""
+        length = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        return np.frombuffer(b"".join(parts), self.kind), np.cumsum(length) - length, length
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks."""
+        plain = pc.match_substring_regex(chunks, _WORD).to_numpy(zero_copy_only=False)
+        lower = pc.utf8_lower(chunks.filter(pa.array(plain)))
+        word = pc.utf8_rtrim(lower, characters=_CLOSING)
+        mark = pc.utf8_slice_codeunits(pc.replace_substring_regex(lower, "^[^.,!?;:]+", " "), 1).dictionary_encode()
+        word = word.dictionary_encode()
+        others = chunks.filter(pa.array(~plain)).to_pylist()
+        words, marks = word.dictionary.to_pylist(), mark.dictionary.to_pylist()
+        flat, start, length = self._flat([*self._of_words(words), *self._of_others([*marks, *others])])
+        first, second = np.empty(len(chunks), np.int64), np.full(len(chunks), -1)
+        first[plain], second[plain] = word.indices.to_numpy(), mark.indices.to_numpy() + len(words)
+        first[~plain] = np.arange(len(others)) + len(words) + len(marks)
+        pairs = np.stack([first, second], axis=1).ravel()
+        sizes = np.where(pairs < 0, 0, length[pairs])
+        whole = sizes.reshape(-1, 2).sum(axis=1)
+        return _runs(flat, start[pairs], sizes), np.cumsum(whole) - whole, whole
+
+    def batch(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a string column one after another, each with `end`, and their bounds."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        flat, start, length = self._distinct(coded.dictionary.cast(pa.large_string()))
+        at = coded.indices.to_numpy()
+        if end is not None:  # one more chunk at the end of each text
+            flat, start, length = np.append(flat, np.array([end], self.kind)), np.append(start, len(flat)), np.append(length, 1)
+            at = np.insert(at.astype(np.int64), bounds[1:], len(start) - 1)
+            bounds = bounds + np.arange(len(bounds))
+        size = length[at]
+        return _runs(flat, start[at], size), np.concatenate([[0], np.cumsum(size)])[bounds]
 
     def ids(self, text: bytes | None, end: int | None = None) -> np.ndarray:
         """Ids of one whole text, then `end`."""
-        chunks = (text or b"").split()
-        parts = []
-        for i in range(0, len(chunks), 50_000):  # a very long text is encoded piece by piece, all of it
-            part = chunks[i:i + 50_000]
-            todo = self.chunks.missing(set(part))
-            if todo:
-                self._learn(todo)
-            parts.append(b"".join(map(self.chunks.new.__getitem__, part)))
-        if end is not None:
-            parts.append(np.array([end], self.kind).tobytes())
-        return np.frombuffer(b"".join(parts), self.kind)
+        return self.batch(pa.array([text], pa.binary()).cast(pa.string()), end)[0]
 
 
 def crc32(ids: np.ndarray) -> int:

@@ -325,7 +325,7 @@ def test_chunked_encoding_equals_whole_texts(table):
     e = tokens.Encoder(tokens.vocabulary_path())
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    e.chunks.limit = e.pieces.limit = 50  # both memos change generation in between
+    e.words.limit = 50  # the memo changes generation in between
     for row in table:
         want = t.encode(row[1] or "", add_special_tokens=False).ids
         got = e.ids(None if row[1] is None else row[1].encode(), 2)
@@ -335,3 +335,14 @@ def test_chunked_encoding_equals_whole_texts(table):
 def test_empty_tables_give_empty_results(nothing):
     for f in (substring_dedup.digest, substring_dedup.remove, quality_rules.digest, quality_rules.filter_documents, minhash.label, minhash.keep_one, line_dedup.digest, line_dedup.remove, bpe.digest):
         assert f(nothing).count() == 0
+
+
+def test_batches_of_texts_equal_single_texts(table):
+    e = tokens.Encoder(tokens.vocabulary_path())
+    texts = [row[1] for row in table] + ["", None, "  ", "É;; ÀÉ.x ÿ Ÿ ß ẞ µm Ω İi ΑΣ. á é.", "don't stop.", " x\x1cy \x85 z", "a,b.c;", "\n.\n,"]
+    ids, bounds = e.batch(pa.array([None, *texts]).slice(1), 0)
+    assert len(bounds) == len(texts) + 1 and bounds[0] == 0
+    for k, t in enumerate(texts):
+        want = tokens.tokenizer(tokens.vocabulary_path()).encode(t or "", add_special_tokens=False).ids
+        assert ids[bounds[k]:bounds[k + 1]].tolist() == [*want, 0]
+    assert [len(x) for x in e.batch(pa.array([], pa.string()), 0)] == [0, 1]
