@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomtrace.plans.tables import materialize
+from loomtrace.plans.tables import materialize, work_dir
 
 US = 1_000_000
 
@@ -234,8 +234,55 @@ def nth_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_order: li
     return join_keys(l, r, keys + ["__n"]).drop("__n")
 
 
+def tree_scan(rows: DataFrame, keys: list[str], n: str, payload: list[str], unit: Column, compose, state: Column, apply, step, result: str,
+              work: str, group_rows: int = 512) -> DataFrame:
+    """Replay a recurrence over the rows 1, 2, … (`n`) of each key, in groups that many tasks share.
+
+    The rows' transitions compose: `compose(acc, row)` extends the composition `acc` (it starts as `unit`) by a
+    row, or by the composition of a lower level. Groups of at most `group_rows` rows are composed, then
+    groups of groups; a key's top list is one element for `group_rows`^2 rows. From the top, every level
+    turns its entry state into those of the level below with `apply(state, composition)`. Last, each group runs
+    `step(state, row)` -> (new state, value) from its own entry.
+
+    Returns keys, payload and `result`.
+    """
+    item = F.struct(F.col(n).alias("n"), *payload)
+    base = rows.withColumn("__g", F.floor((F.col(n) - 1) / group_rows).cast("bigint"))
+    groups = base.groupBy(*keys, "__g").agg(F.array_sort(F.collect_list(item)).alias("__rows"))
+    groups = materialize(groups.withColumn("__f", F.aggregate("__rows", unit, compose)), f"{work}/scan_groups")
+    above = groups.withColumn("__h", F.floor(F.col("__g") / group_rows).cast("bigint")).groupBy(*keys, "__h").agg(F.array_sort(F.collect_list(F.struct("__g", "__f"))).alias("__list"))
+    above = materialize(above.withColumn("__f", F.aggregate("__list", unit, lambda acc, x: compose(acc, x["__f"]))), f"{work}/scan_above")
+
+    def entries(parent: DataFrame, ids: str) -> DataFrame:
+        """Entry states of the elements of `__list`, from the list's own `__state`."""
+        none = F.array().cast(f"array<struct<i:bigint,s:{dict(parent.dtypes)['__state']}>>")
+        first = F.struct(F.col("__state").alias("at"), none.alias("out"))
+        walk = F.aggregate("__list", first, lambda acc, x: F.struct(apply(acc["at"], x["__f"]).alias("at"), F.array_append(acc["out"], F.struct(x[ids].alias("i"), acc["at"].alias("s"))).alias("out")))
+        return parent.select(*keys, F.explode(walk["out"]).alias("e")).select(*keys, F.col("e.i").alias(ids), F.col("e.s").alias("__state"))
+
+    top = above.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__h", "__f"))).alias("__list")).withColumn("__state", state)
+    middle = join_keys(above, entries(top, "__h"), [*keys, "__h"])
+    inside = join_keys(groups, entries(middle, "__g"), [*keys, "__g"])
+    kind = inside.select(step(F.col("__state"), F.col("__rows")[0])[1].alias("v")).dtypes[0][1]
+    blank = F.struct(F.col("__state").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        to, value = step(acc["at"], x)
+        return F.struct(to.alias("at"), F.array_append(acc["out"], value).alias("out"))
+    played = inside.select(*keys, F.explode(F.arrays_zip("__rows", F.aggregate("__rows", blank, one)["out"].alias("v"))).alias("e"))
+    return played.select(*keys, *[F.col(f"e.__rows.{c}").alias(c) for c in payload], F.col("e.v").alias(result))
+
+
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], path: str) -> DataFrame:
+    """`df` written in ranges of bounded size by (keys, order); `__cut` numbers them, so it grows with the order of each key.
+
+    Ranges follow the density of the rows: neither a key, nor a day, nor undated rows make one large range.
+    """
+    return materialize(df.repartitionByRange(*keys, *order).withColumn("__cut", F.spark_partition_id()), path)
+
+
 def consume_once(artifacts: DataFrame, executions: DataFrame, keys: list[str], exec_id: list[str],
-                 t: str, window_s: float, group_rows: int = 4096, work: str | None = None) -> DataFrame:
+                 t: str, window_s: float, group_rows: int = 512, work: str | None = None) -> DataFrame:
     """Credit executions with the earliest unused artifact of the last `window_s` seconds.
 
     Executions claim in time order and an artifact credits one execution.  With artifacts
@@ -245,64 +292,41 @@ def consume_once(artifacts: DataFrame, executions: DataFrame, keys: list[str], e
         h(n) = min(max(h(n-1), L) + 1, R)
 
     and k(n) = h(n) - n makes that k(n) = min(max(k(n-1), L + 1 - n), R - n): a clamp.
-    Clamps compose into clamps, so groups of at most `group_rows` executions are reduced to
-    one clamp each, the few group clamps are scanned per key, and every group is then
-    replayed from its own start value.
-
-    Each step reads its input more than once; with a work folder the steps are written.
+    Clamps compose into clamps, so `tree_scan` replays a key in many tasks. Artifacts and
+    executions are counted in ranges of rows, whatever day they fall on.
     """
-    keep = (lambda df, name: materialize(df, f"{work}/{name}")) if work else (lambda df, name: df)
-    big = 1e18
+    work = f"{work or work_dir(artifacts.sparkSession)}/credit"
     eid = F.struct(*[F.col(c) for c in exec_id])
     art = artifacts.select(*keys, F.col(t).cast("double").alias("__t"), F.lit(0).alias("__kind"),
                            F.lit(None).cast(executions.select(eid.alias("x")).schema["x"].dataType).alias("__id"))
     hi = executions.select(*keys, F.col(t).cast("double").alias("__t"), F.lit(1).alias("__kind"), eid.alias("__id"))
     lo = executions.select(*keys, (F.col(t).cast("double") - F.lit(float(window_s))).alias("__t"),
                            F.lit(-1).alias("__kind"), eid.alias("__id"))
-    seq = keep(art.unionByName(hi).unionByName(lo), "credit_rows")
-    day = F.when(F.col("__t") > big, F.lit(1 << 40)).otherwise(F.floor(F.col("__t") / 86400.0))
     order = ["__t", "__kind", "__id"]
-    seq = keep(running_sum(seq, keys, order, day, F.when(F.col("__kind") == 0, 1).otherwise(0), "__arts"), "credit_seen")
-    seq = running_sum(seq, keys, order, day, F.when(F.col("__kind") == 1, 1).otherwise(0), "__n")
-    ex = (seq.filter("__kind != 0").groupBy(*keys, "__id").agg(
-        F.max(F.when(F.col("__kind") == 1, F.col("__arts"))).alias("R"),
-        F.max(F.when(F.col("__kind") == -1, F.col("__arts"))).alias("L"),
-        F.max(F.when(F.col("__kind") == 1, F.col("__n"))).alias("n")))
-    ex = ex.select(*keys, "__id", "n", "L", "R", (F.col("L") + 1 - F.col("n")).alias("lo"),
-                   (F.col("R") - F.col("n")).alias("hi"), F.floor(F.col("n") / group_rows).alias("__g"))
-    ex = keep(ex, "credit_bounds")
-    # one clamp per group of executions
-    def clamp(acc: Column, x: Column) -> Column:
-        def f(v):
-            return F.least(F.greatest(v, x["lo"]), x["hi"])
-        return F.struct(f(acc["a"]).alias("a"), f(acc["b"]).alias("b"))
-    start = F.struct(F.lit(-(1 << 60)).cast("bigint").alias("a"), F.lit(1 << 60).cast("bigint").alias("b"))
-    groups = (ex.groupBy(*keys, "__g")
-              .agg(F.aggregate(F.array_sort(F.collect_list(F.struct("n", "lo", "hi"))), start, clamp).alias("c"))
-              .select(*keys, "__g", F.col("c.a").alias("a"), F.col("c.b").alias("b")))
-    key_type = {f.name: f.dataType.simpleString() for f in ex.schema.fields}
-    key_ddl = ", ".join(f"`{k}` {key_type[k]}" for k in keys)
-
-    def scan(pdf):
-        pdf = pdf.sort_values("__g")
-        k, out = 0, []
-        for a, b in zip(pdf["a"], pdf["b"]):
-            out.append(k)
-            k = min(max(k, a), b)
-        return pdf.assign(k0=out)[keys + ["__g", "k0"]]
-
-    entry = groups.groupBy(*keys).applyInPandas(scan, f"{key_ddl}, `__g` bigint, k0 bigint")
-    joined = join_keys(ex.drop("__id").withColumn("__g", F.col("__g").cast("bigint")), entry, keys + ["__g"])
-
-    def replay(pdf):
-        pdf = pdf.sort_values("n")
-        k, out = None, []
-        for n, L, R, k0 in zip(pdf["n"], pdf["L"], pdf["R"], pdf["k0"]):
-            h = (k0 if k is None else k) + (n - 1)
-            out.append(max(h, L) < R)
-            k = min(max(h, L) + 1, R) - n
-        return pdf.assign(credited=out)[keys + ["n", "credited"]]
-
-    verdict = joined.groupBy(*keys, "__g").applyInPandas(replay, f"{key_ddl}, n bigint, credited boolean")
-    done = join_keys(ex.select(*keys, "__id", "n"), verdict, keys + ["n"])
+    seq = in_ranges(art.unionByName(hi).unionByName(lo), keys, order, f"{work}/rows")
+    part = Window.partitionBy(*keys, "__cut")
+    upto = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_art, is_hi = (F.when(F.col("__kind") == k, 1).otherwise(0) for k in (0, 1))
+    before = Window.partitionBy(*keys).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = seq.groupBy(*keys, "__cut").agg(F.sum(is_art).alias("a"), F.sum(is_hi).alias("e"))
+    sums = sums.select(*keys, "__cut", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "ae"])
+    seen = join_keys(seq.withColumn("__a", F.sum(is_art).over(upto)).withColumn("__e", F.sum(is_hi).over(upto)), sums, [*keys, "__cut"])
+    arts = F.col("__a") + F.col("a0")
+    ex = seen.filter("__kind <> 0").groupBy(*keys, "__id").agg(
+        F.max(F.when(F.col("__kind") == 1, arts)).alias("R"), F.max(F.when(F.col("__kind") == -1, arts)).alias("L"),
+        F.max(F.when(F.col("__kind") == 1, F.col("__e") + F.col("e0"))).alias("n"))
+    ex = materialize(ex, f"{work}/bounds")
+
+    def clamp(v: Column, low: Column, high: Column) -> Column:
+        return F.least(F.greatest(v, low), high)
+
+    def step(k: Column, x: Column) -> tuple[Column, Column]:
+        h = F.greatest(k + x["n"] - 1, x["L"])
+        return F.least(h + 1, x["R"]) - x["n"], h < x["R"]
+
+    far = 1 << 60
+    unit = F.struct(F.lit(-far).cast("bigint").alias("a"), F.lit(far).cast("bigint").alias("b"))
+    rows = ex.withColumn("a", F.col("L") + 1 - F.col("n")).withColumn("b", F.col("R") - F.col("n"))
+    done = tree_scan(rows, keys, "n", ["a", "b", "L", "R", "__id"], unit, lambda acc, x: F.struct(clamp(acc["a"], x["a"], x["b"]).alias("a"), clamp(acc["b"], x["a"], x["b"]).alias("b")),
+                     F.lit(0).cast("bigint"), lambda k, f: clamp(k, f["a"], f["b"]), step, "credited", work, group_rows)
     return done.select(*keys, *[F.col(f"__id.{c}").alias(c) for c in exec_id], "credited")

@@ -5,6 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from loomtrace.plans import tables
 from loomtrace.operators import aggregates as A, joins as J, planning as P, sequence as S
 
 
@@ -88,6 +89,27 @@ def test_one_plan_credits_one_execution(spark):
     assert got == want
 
 
+def test_plan_credit_spreads_one_hot_day(spark):
+    """One directory, one second: groups of groups, and no range that holds the whole key."""
+    rnd = random.Random(5)
+    arts = [("a", float(rnd.randrange(40)) if rnd.random() < .9 else float("inf")) for _ in range(400)]
+    ex = [("a", i, float(rnd.randrange(40)) if rnd.random() < .9 else float("inf")) for i in range(500)]
+    got = {r.id: r.credited for r in S.consume_once(spark.createDataFrame(arts, "k string, t double"), spark.createDataFrame(ex, "k string, id long, t double"),
+                                                    ["k"], ["id"], "t", 7.0, group_rows=4).collect()}
+    free, want = sorted(t for _, t in arts), {}
+    for _, i, t in sorted(ex, key=lambda e: (e[2], e[1])):
+        c = [a for a in free if t - 7.0 <= a <= t]
+        want[i] = bool(c)
+        if c:
+            free.remove(c[0])
+    assert got == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    cut = S.in_ranges(spark.createDataFrame(ex, "k string, id long, t double"), ["k"], ["t", "id"], tables.work_dir(spark))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in cut.groupBy("__cut").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 300
+
+
 def test_nearest_rank_statistics(spark):
     rnd = random.Random(5)
     vals = [rnd.randrange(1, 30) for _ in range(101)]
