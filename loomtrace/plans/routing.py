@@ -1,12 +1,14 @@
 """Delegation links: which parent call started which child, with which models."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomtrace import dims
 from loomtrace.functions import text as X
 from loomtrace.operators import sequence as S
 from loomtrace.operators.aggregates import count_if
+from loomtrace.operators.components import components
+from loomtrace.plans.tables import materialize, work_dir
 from loomtrace.sources.files import non_empty
 
 PAIR = ["tenant_id", "source", "provider", "lead_model", "child_model", "completed", "substantive_calls", "writes"]
@@ -80,77 +82,157 @@ def attempt_pairs(b: DataFrame, calls: DataFrame, results: DataFrame, credits: D
     return pairs, broken.select("tenant_id", F.lit("claude").alias("source"), "incomplete")
 
 
-def linked_spawns(b: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Child turns matched to the parent calls that started them, one call per turn.
+PARENT = ["tenant_id", "parent"]
+_LINK = ["m", "completed", "known", "sub_n", "wr_n"]
+_MATCHED = "tenant_id string, lead string, cand int, m string, completed boolean, known boolean, sub_n bigint, wr_n bigint, spawn boolean"
 
-    An exact turn id wins; otherwise the one unmatched call of the same identity that is not
-    later than the turn.  Several candidates are never guessed between.  The rule consumes
-    calls in order, so it runs per parent session on dispatch rows only.
-    """
+
+def linked_spawns(b: DataFrame, calls: DataFrame, work: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Child turns matched to the parent calls that started them, one call per turn: (pairs, incomplete tenants)."""
     order = F.when(F.col("ts").isNotNull(), F.unix_micros("ts") / 1e6)
     spawns = calls.filter("source = 'codex' and dispatch and session_id is not null").select(
-        "tenant_id", F.col("session_id").alias("parent"), F.lit("spawn").alias("kind"), order.alias("t"), "ordinal", "sub", "block_pos", "file_path",
+        "tenant_id", F.col("session_id").alias("parent"), F.lit(True).alias("spawn"), order.alias("t"), "ordinal", "sub", "block_pos", "file_path",
         F.col("routing_identity").alias("identity"), F.col("routing_turn_id").alias("turn_id"), F.col("model").alias("m"))
     links = b.filter("type = 'routing_link' and source = 'codex'").select(
-        "tenant_id", F.col("routing.parent_session").alias("parent"), F.lit("link").alias("kind"), order.alias("t"), "ordinal", "sub", F.lit(0).alias("block_pos"), "file_path",
+        "tenant_id", F.col("routing.parent_session").alias("parent"), F.lit(False).alias("spawn"), order.alias("t"), "ordinal", "sub", F.lit(0).alias("block_pos"), "file_path",
         F.col("routing.delegation_identity").alias("identity"), F.col("routing.turn_id").alias("turn_id"), F.col("routing.child_model").alias("m"),
         F.col("routing.completed").alias("completed"), F.col("routing.lifecycle_known").alias("known"),
         F.col("routing.substantive_calls").alias("sub_n"), F.col("routing.writes").alias("wr_n"))
-    rows = links.unionByName(spawns, True)
-    out = ("tenant_id string, lead_model string, child_model string, completed boolean, known boolean, substantive_calls bigint, writes bigint, "
-           "is_link boolean, bad boolean")
+    done = match_links(links.unionByName(spawns, True), work or work_dir(b.sparkSession))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    no_lead = F.coalesce(F.col("lead"), F.lit("")) == ""
+    bad = F.col("spawn") | (F.col("cand") > 1) | ~flag(F.col("known")) | (flag(F.col("completed")) & no_lead)
+    pairs = done.filter(~F.col("spawn")).select(
+        "tenant_id", F.lit("codex").alias("source"), F.lit("openai").alias("provider"), F.col("lead").alias("lead_model"), F.col("m").alias("child_model"),
+        flag(F.col("completed")).alias("completed"), F.coalesce("sub_n", F.lit(0)).cast("bigint").alias("substantive_calls"), F.coalesce("wr_n", F.lit(0)).cast("bigint").alias("writes"))
+    broken = done.filter(bad).select("tenant_id").distinct().select("tenant_id", F.lit("codex").alias("source"), F.lit(True).alias("incomplete"))
+    return pairs, broken
+
+
+def match_links(rows: DataFrame, work: str) -> DataFrame:
+    """Links (spawn = false) matched one-to-one to spawns of their parent; columns of `_MATCHED`.
+
+    In order, a link takes the one free spawn of its turn id; without a free one of its turn, the one free spawn of
+    its identity that is not later. Several candidates (`cand` > 1) are never guessed between. Every link
+    comes out once with its lead model, and a row with `spawn` for spawns that no link took.
+
+    No parent is one task. A turn with one spawn and one link is a join, unless a link without such a turn
+    could take the spawn by identity first. Where an identity has no spawn or link with a shared turn, only the number of free
+    spawns counts - none, one or several - and a run of rows maps these three states to each other: maps
+    compose, so `tree_scan` replays the identity in many tasks. What is left, identities and turns that depend on each
+    other, is cut into the components of these ties and each is matched in order.
+    """
+    text = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    facts = ["completed", "known", "sub_n", "wr_n"]
+    rows = rows.select(*PARENT, "spawn", "t", "ordinal", "sub", "block_pos", "file_path", text("identity"), text("turn_id"), "m", *facts)
+    n = lambda c: F.count(F.when(c, 1))
+    turns = rows.filter("turn_id is not null").groupBy(*PARENT, "turn_id").agg(
+        n(F.col("spawn")).alias("t_spawns"), n(~F.col("spawn")).alias("t_links"), F.max(F.when(F.col("spawn"), F.col("identity"))).alias("t_identity"))
+    rows = S.join_keys(rows, turns, [*PARENT, "turn_id"]).na.fill(0, ["t_spawns", "t_links"])
+    shared = (F.col("t_spawns") > 0) & (F.col("t_links") > 0)
+    clean = (F.col("t_spawns") == 1) & (F.col("t_links") == 1)
+    rows = rows.withColumn("shared", shared).withColumn("clean", clean)
+    # links that may look for their identity: without a turn of their own, or if another link takes the spawn of another identity
+    loose = ~F.col("spawn") & (~F.col("clean") | (F.coalesce("t_identity", "identity") != F.col("identity")))
+    ids = rows.filter("identity is not null").groupBy(*PARENT, "identity").agg(
+        n(F.col("spawn")).alias("i_spawns"), F.max(loose).alias("contested"), F.max("shared").alias("i_shared"))
+    rows = S.join_keys(rows, ids, [*PARENT, "identity"]).na.fill(0, ["i_spawns"]).na.fill(False, ["contested", "i_shared"])
+    of_turn = rows.filter("clean and spawn").select(*PARENT, "turn_id", F.col("m").alias("turn_lead"), F.col("contested").alias("turn_contested"))
+    rows = materialize(S.join_keys(rows, of_turn, [*PARENT, "turn_id"]), f"{work}/spawn_links")
+    sure = F.col("clean") & ~F.col("turn_contested")
+    alone = F.when(F.col("spawn"), ~F.col("shared") & ~F.col("contested")).otherwise(~F.col("shared") & (F.col("i_spawns") == 0))
+    # an identity whose links never find a spawn by turn, nor its spawns a link
+    counted = F.col("contested") & ~F.col("i_shared") & ~alone
+    kind = F.when(sure, "sure").when(alone, "alone").when(counted, "counted").otherwise("tied")
+    rows = rows.withColumn("how", F.coalesce(kind, F.lit("tied")))
+    lead = F.when(F.col("how") == "sure", F.col("turn_lead"))
+    simple = rows.filter("how = 'alone' or (how = 'sure' and not spawn)").select("tenant_id", lead.alias("lead"), F.when(F.col("how") == "sure", 1).otherwise(0).alias("cand"), *_LINK, "spawn")
+    for how, rest in (("counted", _counted), ("tied", _tied)):
+        some = rows.filter(F.col("how") == how)
+        if not some.isEmpty():
+            simple = simple.unionByName(rest(some, work))
+    return simple
+
+
+def _counted(rows: DataFrame, work: str) -> DataFrame:
+    """Identities by the number of free spawns; the free one of one is the last spawn."""
+    keys = [*PARENT, "identity"]
+    undated = F.col("t").isNull()
+    phase = F.when(undated & F.col("spawn"), 0).when(undated, 2).otherwise(1)  # undated spawns are open to all links, undated links see all spawns
+    order = ["phase", "t", "ordinal", "late", "file_path", "sub", "block_pos"]
+    seq = S.in_ranges(rows.withColumn("phase", phase).withColumn("late", ~F.col("spawn")), keys, order, f"{work}/spawn_rows")
+    upto = Window.partitionBy(*keys, "__cut").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = seq.groupBy(*keys, "__cut").agg(F.count("*").alias("c")).select(*keys, "__cut", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
+    seq = S.join_keys(seq.withColumn("nth", F.row_number().over(upto)), sums, [*keys, "__cut"]).withColumn("nth", F.col("nth") + F.col("c0"))
+    to = lambda a, b: F.when(F.col("spawn"), a).otherwise(b)
+    seq = seq.withColumns({"s0": to(1, 0), "s1": to(2, 0), "s2": F.lit(2), "seen": F.col("spawn")})
+    pick = lambda f, s: F.when(s == 0, f["s0"]).when(s == 1, f["s1"]).otherwise(f["s2"])
+    model = lambda held, f: F.when(f["seen"], f["m"]).otherwise(held)
+
+    def compose(acc, f):
+        return F.struct(*[pick(f, acc[s]).alias(s) for s in ("s0", "s1", "s2")], (acc["seen"] | f["seen"]).alias("seen"), model(acc["m"], f).alias("m"))
+
+    unit = F.struct(F.lit(0).alias("s0"), F.lit(1).alias("s1"), F.lit(2).alias("s2"), F.lit(False).alias("seen"), F.lit(None).cast("string").alias("m"))
+    start = F.struct(F.lit(0).alias("free"), F.lit(None).cast("string").alias("m"))
+    moved = lambda state, f: F.struct(pick(f, state["free"]).alias("free"), model(state["m"], f).alias("m"))
+    step = lambda state, x: (moved(state, x), F.struct(state["free"].alias("cand"), F.when(state["free"] == 1, state["m"]).alias("lead")))
+    done = S.tree_scan(seq, keys, "nth", ["s0", "s1", "s2", "seen", "spawn", *_LINK], unit, compose, start, moved, step, "found", f"{work}/spawn_scan")
+    links = done.filter(~F.col("spawn")).select("tenant_id", F.col("found.lead").alias("lead"), F.col("found.cand").alias("cand"), *_LINK, "spawn")
+    left = done.groupBy(*keys).agg(F.count(F.when(F.col("spawn"), 1)).alias("n"), F.count(F.when(~F.col("spawn") & (F.col("found.cand") == 1), 1)).alias("taken")).filter("n > taken")
+    return links.unionByName(left.select("tenant_id", *[F.lit(None).cast(t).alias(c) for c, t in _TYPES.items()], F.lit(True).alias("spawn")))
+
+
+_TYPES = {"lead": "string", "cand": "int", "m": "string", "completed": "boolean", "known": "boolean", "sub_n": "bigint", "wr_n": "bigint"}
+
+
+def _tied(rows: DataFrame, work: str) -> DataFrame:
+    """The rest, one task for each component of turns and identities that share rows."""
+    key = lambda kind, c: F.concat_ws("\x00", "tenant_id", "parent", F.lit(kind), c)
+    rows = rows.withColumn("by_turn", F.when(F.col("shared"), key("turn", "turn_id"))).withColumn("by_id", F.when(F.col("identity").isNotNull(), key("identity", "identity")))
+    rows = materialize(rows, f"{work}/spawn_tied")
+    labels = components(rows.filter("by_turn is not null and by_id is not null").select(F.col("by_turn").alias("u"), F.col("by_id").alias("v")), f"{work}/spawn_ties")
+    named = rows.withColumn("node", F.coalesce("by_id", "by_turn", key("none", "file_path"))).join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    columns = ["tenant_id", "part", "spawn", "t", "ordinal", "file_path", "sub", "block_pos", "identity", "turn_id", *_LINK]
 
     def match(pdf):
         import pandas as pd
-        inf = float("inf")
-        def order_key(r):
-            return (r.t != r.t or r.t is None, r.t if r.t == r.t and r.t is not None else inf, r.ordinal, r.file_path, r["sub"], r.block_pos)
-        recs = [r for _, r in pdf.iterrows()]
-        links_ = sorted((r for r in recs if r.kind == "link"), key=order_key)
-        spawn_ = sorted((r for r in recs if r.kind == "spawn"), key=order_key)
-        by_turn, by_identity = {}, {}
-        for i, s in enumerate(spawn_):
-            if s.turn_id:
-                by_turn.setdefault(s.turn_id, []).append(i)
-            if s.identity:
-                by_identity.setdefault(s.identity, []).append(i)
-        free = [True] * len(spawn_)
-        start = {}                       # first possibly free position per identity
-        res = []
-        for l in links_:
-            exact = [i for i in by_turn.get(l.turn_id, []) if free[i]] if l.turn_id else []
-            cand = exact
-            if not exact and l.identity:
-                ids = by_identity.get(l.identity, [])
-                p = start.get(l.identity, 0)
-                while p < len(ids) and not free[ids[p]]:
-                    p += 1
-                start[l.identity] = p
-                cand = []
-                for i in ids[p:]:
-                    s = spawn_[i]
-                    if not free[i]:
-                        continue
-                    if s.t == s.t and l.t == l.t and s.t is not None and l.t is not None and (s.t, s.ordinal) > (l.t, l.ordinal):
-                        break
-                    cand.append(i)
-                    if len(cand) > 1:    # two candidates already mean ambiguous
+        far = float("inf")
+        pdf = pdf.assign(undated=pdf.t.isna(), t=pdf.t.fillna(far)).sort_values(["undated", "t", "ordinal", "file_path", "sub", "block_pos"])
+        spawns = [r for r in pdf.itertuples() if r.spawn]
+        free, of_turn, of_id, out = [True] * len(spawns), {}, {}, []
+        for i, s in enumerate(spawns):
+            for name, places in ((s.turn_id, of_turn), (s.identity, of_id)):
+                if isinstance(name, str):
+                    places.setdefault(name, []).append(i)
+
+        def two(places: list[int] | None, late=None) -> list[int]:
+            """Up to two free spawns; taken ones at the front are forgotten."""
+            found = []
+            while places and not free[places[0]]:
+                places.pop(0)
+            for i in places or ():
+                s = spawns[i]
+                if late is not None and not late.undated and not s.undated and (s.t, s.ordinal) > (late.t, late.ordinal):
+                    continue
+                if free[i]:
+                    found.append(i)
+                    if len(found) == 2:
                         break
-            lead, bad = None, len(cand) > 1
-            if len(cand) == 1:
-                free[cand[0]] = False
-                lead = spawn_[cand[0]].m
-            bad = bad or not l.known or bool(l.completed and not lead)
-            res.append((l.tenant_id, lead, l.m, bool(l.completed), bool(l.known), int(l.sub_n or 0), int(l.wr_n or 0), True, bool(bad)))
+            return found
+
+        for r in pdf.itertuples():
+            if r.spawn:
+                continue
+            found = two(of_turn.get(r.turn_id)) or two(of_id.get(r.identity), r)
+            if len(found) == 1:
+                free[found[0]] = False
+            out.append((r.tenant_id, spawns[found[0]].m if len(found) == 1 else None, len(found), r.m, r.completed, r.known, r.sub_n, r.wr_n, False))
         if any(free):
-            res.append((recs[0].tenant_id, None, None, False, False, 0, 0, False, True))
-        return pd.DataFrame(res, columns=["tenant_id", "lead_model", "child_model", "completed", "known", "substantive_calls", "writes", "is_link", "bad"])
+            out.append((pdf.tenant_id.iloc[0], None, None, None, None, None, None, None, True))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _MATCHED.split(", ")])
 
-    done = rows.groupBy("tenant_id", "parent").applyInPandas(match, out)
-    pairs = done.filter("is_link").select("tenant_id", F.lit("codex").alias("source"), F.lit("openai").alias("provider"), "lead_model", "child_model",
-                                          "completed", "substantive_calls", "writes")
-    broken = done.filter("bad").select("tenant_id").distinct().select("tenant_id", F.lit("codex").alias("source"), F.lit(True).alias("incomplete"))
-    return pairs, broken
+    return named.select(*columns).groupBy("part").applyInPandas(match, _MATCHED)
 
 
 def routing_measure(pairs: DataFrame, broken: DataFrame, sources: DataFrame) -> DataFrame:

@@ -276,7 +276,7 @@ def scoring_inputs(events: DataFrame, work: str, git: DataFrame | None = None) -
     sm = materialize(session_months(b, prompts, calls, results, FX.grounded(ground), ground, FX.recovered(calls, results), credits), f"{work}/session_months")
     names = materialize(name_counts(b, calls, FX.skill_uses(b, calls)), f"{work}/name_counts")
     p1, k1 = RT.attempt_pairs(b, calls, results, credits)
-    p2, k2 = RT.linked_spawns(b, calls)
+    p2, k2 = RT.linked_spawns(b, calls, work)
     routing = RT.routing_measure(p1.unionByName(p2), k1.unionByName(k2), sm.select("tenant_id", "source").distinct()).withColumn("g_month", F.lit("*"))
     parts = [counters(sm), name_measures(names_at_grains(names)), scoreable_models(names), session_types(calls), activity(b),
              depths(FX.edit_runs(calls)), prompt_lengths(prompts), days(b), ordered_counts(calls, results, sm, work), routing]

@@ -1,5 +1,6 @@
 """Fact tables, links and scores on small hand-made transcripts."""
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,42 @@ def test_stored_payload_replays_to_the_same_score(spark):
     assert (got.reject_reason, got.exactness, got.quotient, got.tier) == (None, "exact", want.quotient, want.tier)
     keep, big = payloads.split_by_budget(doc)
     assert keep.count() == 1 and big.count() == 0
+
+
+def _in_order(rows):
+    """The rule itself, one parent after the other, all candidates looked at."""
+    out = []
+    key = lambda r: (r[3] is None, r[3] or 0, r[4])
+    for parent in {r[1] for r in rows}:
+        spawns = sorted((r for r in rows if r[1] == parent and r[2]), key=key)
+        free = [True] * len(spawns)
+        for r in sorted((r for r in rows if r[1] == parent and not r[2]), key=key):
+            found = [i for i, s in enumerate(spawns) if free[i] and r[9] and s[9] == r[9]]
+            found = found or [i for i, s in enumerate(spawns) if free[i] and r[8] and s[8] == r[8] and (s[3] is None or r[3] is None or (s[3], s[4]) <= (r[3], r[4]))]
+            if len(found) == 1:
+                free[found[0]] = False
+            out.append((r[10], spawns[found[0]][10] if len(found) == 1 else None, min(len(found), 2)))
+        out += [("spawn", parent)] * any(free)
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spawn_links_equal_the_rule_in_order(spark, seed, tmp_path):
+    rnd, rows = random.Random(seed), []
+    for p in range(60):
+        turns, idents = rnd.choice([([None], ["a", "b"]), (["t1", "t2", "t3", None], ["a", None, "b"]), ([f"u{i}" for i in range(9)], ["a", "b", "c"]), (["t1", ""], ["a", ""])])
+        for i in range(rnd.randint(1, 14)):
+            rows.append(("x", f"p{p}", rnd.random() < .5, None if rnd.random() < .1 else float(rnd.randrange(6)), i, "f", 0, 0, rnd.choice(idents), rnd.choice(turns), f"m{p}_{i}", True, True, 1, 0))
+    for i in range(300):  # one identity of one parent, in many groups
+        rows.append(("x", "big", i % 3 != 1, float(i // 2), i, "f", 0, 0, "k", None, f"big{i}", True, True, 1, 0))
+    schema = ("tenant_id string, parent string, spawn boolean, t double, ordinal long, file_path string, sub int, block_pos int, identity string, turn_id string, m string, "
+              "completed boolean, known boolean, sub_n bigint, wr_n bigint")
+    got, left = [], 0
+    for r in RT.match_links(spark.createDataFrame(rows, schema).repartition(3), str(tmp_path)).collect():
+        if r.spawn:
+            left += 1
+        else:
+            got.append(repr((r.m, r.lead, min(r.cand, 2))))
+    want = _in_order(rows)
+    assert sorted(got) == [w for w in want if not w.startswith("('spawn'")]
+    assert (left > 0) == any(w.startswith("('spawn'") for w in want)
