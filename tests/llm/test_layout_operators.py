@@ -1,4 +1,5 @@
 """Token files, packing, shards, url rules and vector search, and the pipeline."""
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +122,31 @@ def test_shards_run_no_python_and_take_nothing(spark, docs):
     assert sharding.assign(spark.createDataFrame([], corpus.SCHEMA)).count() == 0
 
 
+def test_single_row_sources_and_one_source_are_spread(spark, tmp_path):
+    schema = "doc_id long, text string, source string, shard string, nth int, range int, key int"
+    rows = [(i, f"t{i}", f"only{i}", "x", 1, 2, 3) for i in range(900)] + [(1000 + i, "t", "hot", "x", 1, 2, 3) for i in range(900)] + [(None, None, None, "x", 1, 2, 3)] * 3
+    docs = spark.createDataFrame(rows, schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line = sharding.interleave(docs, 7, per_range=50)
+        got = line.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert line.columns == ["doc_id", "text", "source", "nth", "range", "key", "shard", "slot"]
+    assert Counter((r.doc_id, r.text, r.source, r.key) for r in got) == Counter((r[0], r[1], r[2], r[6]) for r in rows)
+    # the same law by sorting everything at once
+    of, ranked = Counter(r[2] for r in rows), defaultdict(list)
+    for r in rows:
+        ranked[r[2]].append((hashlib.md5(f"{sharding.SEED}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0]))
+    order = sorted(((2 * k + 1) / (2 * of[s]), "" if s is None else "=" + s, k, d) for s, v in ranked.items() for k, (_, d) in enumerate(sorted(v, key=lambda p: p[0])))
+    places = sorted(((r.shard, r.slot, r.doc_id) for r in got), key=lambda p: p[:2])
+    assert [p[2] for p in places] == [d for *_, d in order]
+    assert max(Counter(r.shard for r in got).values()) - min(Counter(r.shard for r in got).values()) <= 1
+    folder = str(tmp_path / "shards")
+    sharding.write_shards(docs, folder, 7, per_range=50)
+    assert Counter((r.shard, r.slot, r.doc_id) for r in spark.read.parquet(folder).collect()) == Counter((r.shard, r.slot, r.doc_id) for r in got)
+
+
 PAGES = [(1, "http://a.net/x", '<LINK rel="canonical" href="https://shop.com/de/1?utm_source=q">'), (2, "https://www.shop.com/de/1/", None), (3, "https://a.net/x/#top", ""), (4, "http://b.net/y", '<meta http-equiv="refresh" content="0; url=/z">'),
          (5, "http://b.net/z", "<p>"), (6, "http://c.org/k", '<link href="http://a.net/x" rel="canonical">'), (7, None, "<p>"), (8, "nourl", "x"), (9, "HTTP://Example.ORG/es/a?b#c", "x"), (10, "http://example.org/en/12", "x"),
          (11, "http://x.example.org/en/2", "x"), (12, "http://d.net/q/w", '<link rel="canonical" href="e">'), (13, "http://d.net/q/e", '<meta content="5;URL=http://example.org/es/" http-equiv="Refresh">'), (14, "http://q.com", "x"),
