@@ -150,7 +150,9 @@ def test_single_row_sources_and_one_source_are_spread(spark, tmp_path):
 PAGES = [(1, "http://a.net/x", '<LINK rel="canonical" href="https://shop.com/de/1?utm_source=q">'), (2, "https://www.shop.com/de/1/", None), (3, "https://a.net/x/#top", ""), (4, "http://b.net/y", '<meta http-equiv="refresh" content="0; url=/z">'),
          (5, "http://b.net/z", "<p>"), (6, "http://c.org/k", '<link href="http://a.net/x" rel="canonical">'), (7, None, "<p>"), (8, "nourl", "x"), (9, "HTTP://Example.ORG/es/a?b#c", "x"), (10, "http://example.org/en/12", "x"),
          (11, "http://x.example.org/en/2", "x"), (12, "http://d.net/q/w", '<link rel="canonical" href="e">'), (13, "http://d.net/q/e", '<meta content="5;URL=http://example.org/es/" http-equiv="Refresh">'), (14, "http://q.com", "x"),
-         (14, "http://q.com", "x"), (None, "http://q.com/fr/", "x"), (15, "http://notorg/", ""), (16, "", ""), (17, "http://myexample.org/es/", "")]
+         (14, "http://q.com", "x"), (None, "http://q.com/fr/", "x"), (15, "http://notorg/", ""), (20, "http://e.net/1", "<link href=https://shop.com/de/1 rel=canonical>"), (21, "http://e.net/2", """<meta http-equiv=refresh content="0; url='http://shop.com/de/2'">"""),
+         (22, "http://e.net/3", '<link rel="nofollow\n Canonical" data-x="a > b" href="https://shop.com/de/3"/>'), (23, "http://e.net/4", '<link rel=canonical href="http://e.net/t?x=1&amp;y=2">'), (24, "http://e.net/t?x=1&y=2", "<link rel=canonical href=//shop.com/de/4>"),
+         (25, "http://e.net/5", """<meta content='say rel="canonical" href="http://shop.com/de/5"'>"""), (26, "http://e.net/6", '<link rel="canonicalish" href="http://shop.com/de/6">'), (27, "http://example.org/es", "x"), (28, "http://e.net/7", "<link" + " data-k='v'" * 5000 + " rel=canonical href=http://shop.com/de/7>"), (16, "", ""), (17, "http://myexample.org/es/", "")]
 
 
 def test_url_filter_equals_its_sql(spark):
@@ -165,6 +167,7 @@ def test_url_filter_equals_its_sql(spark):
     assert corpus.ordered(rows) == corpus.ordered(con.sql(url_filter.SQL).fetchall())
     verdict = {r.page_id: (r.rule, r.verdict) for r in rows}
     assert verdict[1] == (None, "block") and verdict[6] == ("org/", "allow") and verdict[12] == (None, "block") and verdict[5] == (None, "allow") and verdict[10] == ("example.org/en/1", "block") and verdict[15] == (None, "allow")
+    assert all(verdict[i] == (None, "block") for i in (20, 21, 22, 23, 24, 28)) and all(verdict[i][1] == "allow" for i in (3, 25, 26, 27))
 
 
 def test_url_filter_of_nothing(spark):
