@@ -11,6 +11,7 @@ from loomtrace.plans.facts import SESSION
 from loomtrace.plans.tables import materialize
 
 C = dims.QUOTIENT_CONSTANTS
+PIECE_BITS = 12  # lines of a file that share a piece, as a power of two
 EVIDENCE = ["Read", "Grep", "Glob", "NotebookRead"]
 
 
@@ -24,8 +25,10 @@ def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None
     `extra` adds a scope column to the session key (the month, for month-scoped facts).
     Order is (time, file position); undated calls come last.  The first code write is a
     minimum, everything else a conditional aggregate against it, so no session is sorted.
-    With a work folder the marked calls (a few narrow columns) are written once and read by the
-    three reductions; without one each of them joins again.
+    A session is cut into pieces of some thousand lines of a file: each piece has its first write,
+    the minimum over the pieces of a session is one row a piece, and calls meet it by piece.
+    With a work folder the calls (a few narrow columns) are written once before and once after they
+    are marked; without one each reduction derives them again.
     """
     key = SESSION + (extra or [])
     t = F.when(F.col("ts").isNotNull(), F.unix_micros("ts") / 1e6).otherwise(_far())
@@ -35,15 +38,22 @@ def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None
     code = F.col("is_write") & (F.col("file_class") == "code")
     c = c.withColumn("t", t).withColumn("pos", F.struct("t", "ordinal", "file_path", "sub", "block_pos")).withColumn("code", code).withColumn(
         "path", P.normalize(F.col("abs_target"))).withColumn("evidence", F.col("name").isin(EVIDENCE))
-    first = c.groupBy(*key).agg(F.min(F.when(F.col("code"), F.col("pos"))).alias("cut"),
-                                F.min_by("cwd", F.when(F.col("code"), F.col("pos"))).alias("first_cwd"))
-    j = S.join_keys(c, first.select(*key, "cut"), key)
+    c = c.withColumn("piece", F.xxhash64("file_path", F.shiftright("ordinal", PIECE_BITS))).select(
+        *SESSION, *(extra or []), "piece", "path", "pos", "t", "cwd", "code", "substantive", "evidence", "category", "loc", "knowledge", "plan_skill",
+        "is_write", "plan_file", "runs_tests", "tool_use_id", F.when(F.col("name").isin(dims.STEP_TOOLS), F.col("steps")).alias("steps"))
+    if work:
+        c = materialize(c, f"{work}/calls_{'_'.join(extra or ['all'])}")
+    pieces = c.groupBy(*key, "piece").agg(F.min(F.when(F.col("code"), F.struct("pos", "cwd"))).alias("write"), F.min(F.when(F.col("plan_skill"), F.col("pos"))).alias("skill"))
+    whole = Window.partitionBy(*key)  # one row a piece
+    seen = pieces.select(*key, "piece", F.min("write").over(whole)["pos"].alias("cut"), F.min("skill").over(whole).alias("skill"))
+    first = pieces.groupBy(*key).agg(F.min("write").alias("write"))
+    j = S.join_keys(c, seen, [*key, "piece"])
     # outcomes matter for calls that ran tests only
     checked = S.join_keys(j.filter("runs_tests"), outcomes.withColumnRenamed("errored", "__err"), [*SESSION, "tool_use_id"])
     j = checked.unionByName(j.filter("not coalesce(runs_tests, false)").withColumn("__err", F.lit(None).cast("boolean")))
-    j = j.select(*key, "path", "pos", "t", "cwd", "code", "substantive", "evidence", "category", "loc", "knowledge", "plan_skill", "is_write", "plan_file",
-                 F.when(F.col("name").isin(dims.STEP_TOOLS), F.col("steps")).alias("steps"),
-                 (F.col("cut").isNull() | (F.col("pos") < F.col("cut"))).alias("before"),
+    before_cut = lambda pos: F.col("cut").isNull() | (F.col(pos) < F.col("cut"))
+    j = j.select(*key, "path", "pos", "t", "cwd", "code", "substantive", "evidence", "category", "loc", "knowledge", "plan_skill", "is_write", "plan_file", "steps",
+                 before_cut("pos").alias("before"), (F.col("skill").isNotNull() & before_cut("skill")).alias("skilled"),
                  F.coalesce(F.col("runs_tests") & (F.col("pos") > F.col("cut")) & (F.col("__err") == F.lit(False)), F.lit(False)).alias("tested"))
     if work:
         j = materialize(j, f"{work}/marked_calls_{'_'.join(extra or ['all'])}")
@@ -60,18 +70,17 @@ def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None
         count_if((F.col("code_n") > 0) & (F.col("path") != "")).alias("code_files"), F.sum("code_n").alias("code_writes"), F.sum("churn").alias("code_churn"),
         (F.sum("sub_n") + count_if(F.col("read"))).alias("substantive"), (F.sum("own_n") + count_if(F.col("read"))).alias("own_substantive"),
         F.max("ev").alias("evidence_before"), F.max("plan_skill").alias("plan_skill"), F.max("tested").alias("ran_test"))
-    s = S.join_keys(s, first.select(*key, F.col("cut.t").alias("first_write"), "first_cwd"), key)
+    s = S.join_keys(s, first.select(*key, F.col("write.pos.t").alias("first_write"), F.col("write.cwd").alias("first_cwd")), key)
     # third distinct step before the first code write
     steps = (j.filter(before & F.col("steps").isNotNull()).select(*key, "pos", "cwd", F.explode("steps").alias("step"))
              .groupBy(*key, "step").agg(F.min(F.struct("pos", "cwd")).alias("p")))
     w = Window.partitionBy(*key).orderBy("p", "step")
     third = (steps.withColumn("n", F.row_number().over(w)).filter(F.col("n") == C["PLAN_MIN_STEPS"])
              .select(*key, F.col("p.cwd").alias("cwd"), F.col("p.pos.t").alias("t")))
-    files = j.filter(before & F.col("is_write") & F.col("plan_file")).select(*key, "cwd", "t", "loc")
-    files = S.join_keys(files, s.select(*key, F.col("plan_skill").alias("__ps")), key)
-    files = files.filter(F.col("loc").isNull() | (F.col("loc") >= C["PLAN_MIN_LINES"]) | F.col("__ps")).select(*key, "cwd", "t")
+    files = j.filter(before & F.col("is_write") & F.col("plan_file")).filter(
+        F.col("loc").isNull() | (F.col("loc") >= C["PLAN_MIN_LINES"]) | F.col("skilled")).select(*key, "cwd", "t")
     artifacts = third.unionByName(files)
-    planned = artifacts.groupBy(*key).agg(F.count(F.lit(1)).alias("n_artifacts"), F.min("t").alias("own_first"))
+    planned = artifacts.groupBy(*key).agg(F.count(F.lit(1)).alias("n_artifacts"), F.min(F.struct("t", "cwd")).alias("own_plan"))
     s = S.join_keys(s, planned, key)
     has_code = F.col("code_files") > 0
     eligible = has_code & ((F.col("code_files") >= 2) | (F.col("code_churn") >= C["CHURN_MIN"]) | (F.col("substantive") >= dims.ELIGIBLE_SUBSTANTIVE))
@@ -89,10 +98,11 @@ def credit_plans(sessions: DataFrame, artifacts: DataFrame, scope: list[str], wo
     planned eligible session uses up its own earliest plan first.
     """
     key = scope + ["source", "session_id"]
-    used = sessions.filter("eligible and planned_intra and n_artifacts > 0").select(*key).withColumn("__used", F.lit(True))
-    w = Window.partitionBy(*key).orderBy("t", "cwd")
-    pool = S.join_keys(artifacts.withColumn("__i", F.row_number().over(w)), used, key)
-    pool = pool.filter(~(F.coalesce("__used", F.lit(False)) & (F.col("__i") == 1)))
+    # plans are counted by directory and time, and those in use taken off: no session's plans are numbered
+    place = [*scope, "cwd", "t"]
+    used = sessions.filter("eligible and planned_intra and n_artifacts > 0").select(*scope, F.col("own_plan.cwd").alias("cwd"), F.col("own_plan.t").alias("t"), F.lit(-1).alias("n"))
+    pool = artifacts.select(*place, F.lit(1).alias("n")).unionByName(used).groupBy(*place).agg(F.sum("n").alias("n")).filter("n > 0")
+    pool = pool.select(*place, F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("nth"))
     pending = sessions.filter("eligible and not planned_intra and first_write is not null")
     credit = S.consume_once(
         pool.select(*scope, "cwd", "t"),
