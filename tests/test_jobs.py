@@ -1,6 +1,8 @@
 """Fact tables, links and scores on small hand-made transcripts."""
+import datetime as dt
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +244,46 @@ def test_spawn_links_equal_the_rule_in_order(spark, seed, tmp_path):
     want = _in_order(rows)
     assert sorted(got) == [w for w in want if not w.startswith("('spawn'")]
     assert (left > 0) == any(w.startswith("('spawn'") for w in want)
+
+
+def test_hot_session_facts_and_plans_in_use(spark, tmp_path):
+    """One session over many pieces equals a plain walk; plans in use leave the pool one by one."""
+    r = random.Random(5)
+    rows = []
+    for sid, n, start in (("hot", 900, 300), ("cold", 12, 5), ("none", 40, 10 ** 9), (None, 3, 0)):
+        for k in range(n):
+            ordinal = k * 1500  # a few calls a piece
+            code = k >= start and r.random() < .2
+            rows.append(("t", "claude", f"f{k % 3}", ordinal, 0, 0, None if k % 50 == 49 else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k), sid, f"/repo{k % 2}", "Edit" if code else r.choice(["Read", "TodoWrite", "Bash"]),
+                         f"/r/{r.randrange(9)}.py", code, "code" if code else "other", True, "doing", r.randrange(90), False, k == 7, k % 60 == 3, r.random() < .1, f"id{k}", [r.choice("abcd")]))
+    schema = ("tenant_id string, source string, file_path string, ordinal bigint, sub int, block_pos int, ts timestamp, session_id string, cwd string, name string, abs_target string, is_write boolean, file_class string, "
+              "substantive boolean, category string, loc bigint, knowledge boolean, plan_skill boolean, plan_file boolean, runs_tests boolean, tool_use_id string, steps array<string>")
+    calls = spark.createDataFrame(rows, schema).withColumn("is_write", F.col("is_write") | F.col("plan_file"))
+    outcomes = calls.select("tenant_id", "source", "session_id", "tool_use_id", F.lit(False).alias("errored"))
+    plain, art = O.session_facts(calls, outcomes)
+    written, _ = O.session_facts(calls, outcomes, work=str(tmp_path))
+    got = {x.session_id: x for x in plain.collect()}
+    assert {k: v.asDict(True) for k, v in got.items()} == {x.session_id: x.asDict(True) for x in written.collect()}
+    have = Counter((x.session_id, x.cwd, x.t) for x in art.collect())
+    want = Counter()
+    for sid in ("hot", "cold", "none"):
+        at = lambda x: (x[6] is None, x[6] or dt.datetime.max, x[3], x[2])
+        mine = sorted((x for x in rows if x[7] == sid), key=at)
+        cut = next((i for i, x in enumerate(mine) if x[11] and x[12] == "code"), len(mine))
+        early, t = mine[:cut], lambda x: float("inf") if x[6] is None else x[6].timestamp()
+        skilled = any(x[17] for x in early)
+        assert bool(got[sid].plan_skill) == skilled and got[sid].code_writes == sum(x[11] and x[12] == "code" for x in mine)
+        assert got[sid].first_write == (t(mine[cut]) if cut < len(mine) else None) and got[sid].first_cwd == (mine[cut][8] if cut < len(mine) else None)
+        assert got[sid].ran_test == any(x[19] for x in mine[cut + 1:])
+        for x in early:
+            if x[18] and (x[15] >= O.C["PLAN_MIN_LINES"] or skilled):
+                want[sid, x[8], t(x)] += 1
+        steps = []
+        for x in early:
+            if x[9] == "TodoWrite" and x[21][0] not in steps:
+                steps.append(x[21][0])
+                if len(steps) == O.C["PLAN_MIN_STEPS"]:
+                    want[sid, x[8], t(x)] += 1
+        mine = [k for k in want if k[0] == sid]
+        assert (got[sid].own_plan is None) == (not mine) and (not mine or (got[sid].own_plan.t, got[sid].own_plan.cwd) == min((k[2], k[1]) for k in mine))
+    assert have == want
