@@ -244,8 +244,8 @@ def _(t: Tables):
     return commands(t).select(F.explode(X.cli_heads(F.col("cmd"))).alias("cli")).groupBy("cli").agg(F.count(F.lit(1)).alias("n"))
 
 
-_RUN = "(?i)" + dims.COMMAND_START + "(" + "|".join(dims.TEST_RUNNERS) + ")(" + dims.COMMAND_END + ")"
-_KNOW = "(?i)" + dims.COMMAND_START + "(" + dims.KNOWLEDGE_COMMANDS + ")(" + dims.COMMAND_END + ")"
+# no lookahead in SQL; the group after the command may take its character there
+_RUN, _KNOW = (p.replace("(?=", "(?:") for p in (dims.TEST_COMMAND, dims.KNOWLEDGE_COMMAND))
 
 
 @query("shell_tests", COMMANDS_SQL + f" SELECT doc_id, regexp_matches(cmd, {q(_RUN)}) AS tests, regexp_matches(cmd, {q(_KNOW)}) AS knowledge FROM c")

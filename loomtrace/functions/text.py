@@ -62,14 +62,11 @@ def argv_command(c: Column) -> Column:
 
 
 def runs_tests(c: Column) -> Column:
-    pattern = "(?i)" + dims.COMMAND_START + "(" + "|".join(dims.TEST_RUNNERS) + ")(?=" + dims.COMMAND_END + ")"
-    return F.coalesce(c.rlike(pattern), F.lit(False))
+    return F.coalesce(c.rlike(dims.TEST_COMMAND), F.lit(False))
 
 
 def runs_knowledge(c: Column) -> Column:
-    pattern = ("(?i)" + dims.COMMAND_START + "(" + dims.KNOWLEDGE_COMMANDS + ")(?="
-               + dims.COMMAND_END + ")")
-    return F.coalesce(c.rlike(pattern), F.lit(False))
+    return F.coalesce(c.rlike(dims.KNOWLEDGE_COMMAND), F.lit(False))
 
 
 def writes_file(c: Column) -> Column:
