@@ -6,7 +6,8 @@ punctuation (neither of its last two words
 ends with a closing mark), navigation (separators as a fifth or more of the words,
 three at least), symbols (more than half as many of `#*$%&|<>` as words), shouting (a third or
 more of three or more words end with `!!`), stutter (more than half the words repeat the one
-before) or a stock phrase. Lines without a word stay as they are and are never counted.
+before) or stock phrases (a fifth or more of its words, so that prose may mention one). Lines
+without a word stay as they are and are never counted.
 
 Defined results: a NULL or empty text has no words and fails the base rule; equal rows get equal
 results; every column but doc_id and text is passed through untouched.
@@ -29,7 +30,9 @@ MAX_LOST_PERCENT = 30
 SEPARATORS = ("|", "»", "›", "·", "•", ">", "::")
 PHRASES = ("all rights reserved", "enable javascript", "javascript is disabled", "cookie policy", "uses cookies", "privacy policy", "terms of use", "terms of service",
            "sign up for our newsletter", "subscribe to our", "click here to", "lorem ipsum", "share on facebook", "powered by wordpress", "skip to content")
-_END = re.compile("(?:[.!?]|…|。|！|？)(?:[\"')\\]]|”|’|»)*(?:[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+)?[\\x20\\x09-\\x0D]*\\Z".encode())
+#: Marks that end a sentence, of scripts beside Latin too (Armenian, Arabic, Urdu, Devanagari, Burmese, Ethiopic, Khmer, CJK).
+MARKS = (".", "!", "?", "…", "։", "؟", "۔", "।", "॥", "။", "።", "፧", "។", "。", "．", "！", "？", "｡")
+_END = re.compile(f"(?:{'|'.join(map(re.escape, MARKS))})(?:[\"')\\]]|”|’|»)*(?:[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+)?[\\x20\\x09-\\x0D]*\\Z".encode())
 _SEPARATORS = frozenset(s.encode() for s in SEPARATORS)
 _PHRASES = re.compile("|".join(PHRASES).encode())
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -50,7 +53,7 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
         return True
     if 2 * sum(map(bytes.__eq__, words, words[1:])) > n:
         return True
-    return bool(_PHRASES.search(line.lower()))
+    return 5 * sum(len(p.split()) for p in _PHRASES.findall(line.lower())) >= n
 
 
 def clean(text: bytes) -> tuple[bytes, int]:
@@ -142,12 +145,12 @@ t AS (SELECT r, unnest([p, p + 1, p + 2]) AS p FROM (SELECT r, p, count(*) OVER
 rep AS (SELECT r, count(DISTINCT p) AS n FROM t GROUP BY r),
 l AS (SELECT r, l, {_WORDS.format("l")} AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)),
 lw AS (SELECT r, l, ws, len(ws) AS n, len(list_filter(ws, lambda x: x IN ({", ".join(f"'{s}'" for s in SEPARATORS)}))) AS cut FROM l WHERE len(ws) > 0),
-f AS (SELECT r, l, n, NOT regexp_matches(l, '[.!?…。！？]["''”’)\]»]*([\x20\x09-\x0D]+[^\x20\x09-\x0D]+)?[\x20\x09-\x0D]*\z')
+f AS (SELECT r, l, n, NOT regexp_matches(l, '[{"".join(MARKS)}]["''”’)\]»]*([\x20\x09-\x0D]+[^\x20\x09-\x0D]+)?[\x20\x09-\x0D]*\z')
         OR cut >= 3 AND 5 * cut >= n
         OR 2 * len(regexp_extract_all(l, '[#*$%&|<>]')) > n
         OR n >= 3 AND 3 * len(list_filter(ws, lambda x: ends_with(x, '!!'))) >= n
         OR 2 * len(list_filter(range(1, n), lambda i: ws[i] = ws[i + 1])) > n
-        OR regexp_matches(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(PHRASES)}') AS bad FROM lw),
+        OR 5 * coalesce(list_sum(list_transform(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(PHRASES)}'), lambda x: len(string_split(x, ' ')))), 0) >= n AS bad FROM lw),
 ln AS (SELECT r, count(*) - count(DISTINCT l) AS dup, coalesce(sum(n) FILTER (WHERE bad), 0)::BIGINT AS lost FROM f GROUP BY r),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost

@@ -70,11 +70,18 @@ def test_quality_rules_equal_their_sql(docs, table):
 
 @pytest.mark.parametrize(("line", "fails"), [
     ("A plain sentence that ends well.", False), ("He said so.”", False), ("It ends. well", False), ("No mark at the end of it", True), ("Home | News | About | Login.", True),
-    ("Win!! Big!! Prize!! now.", True), ("so so so so so so end.", True), ("We use a Cookie Policy here.", True), ("a# b# c# d.", True), ("f(x) | y is a pipe in prose, once or twice | maybe, and it goes on and on.", False)])
+    ("Win!! Big!! Prize!! now.", True), ("so so so so so so end.", True), ("We use a Cookie Policy here.", True), ("Please read our privacy policy and terms of use before you go.", True),
+    ("The board read the privacy policy aloud, argued about it for an hour and voted to put it off until the spring.", False), ("यह एक वाक्य है।", False), ("هل هذا سؤال؟", False), ("Սա նախադասություն է։", False), ("a# b# c# d.", True), ("f(x) | y is a pipe in prose, once or twice | maybe, and it goes on and on.", False)])
 def test_line_rules(line, fails):
     assert quality_rules.line_fails(line.encode(), line.encode().split()) is fails
 
 
+def test_clean_one_line_document_that_mentions_a_phrase_stays(spark):
+    prose = " ".join(f"word{k}" for k in range(80)) + " about the privacy policy of the house."
+    rows = spark.createDataFrame([(1, prose), (2, "। ".join(f"शब्द{k} वाक्य" for k in range(60)) + "।")], "doc_id long, text string")
+    assert [(r.n_lost, r.kept) for r in quality_rules.digest(rows).orderBy("doc_id").collect()] == [(0, True), (0, True)]
+
+
 def test_quality_filter_drops_lines_and_documents(docs, table):
     kept = {repr(r.doc_id) for r in quality_rules.digest(docs).filter("kept").collect()}
     out = quality_rules.filter_documents(docs).collect()
