@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.catalog.registry import Tables, query
-from loomtrace.operators import aggregates as A, joins as J, sequence as S
+from loomtrace.operators import aggregates as A, intervals as I, joins as J, sequence as S
 
 
 def day():
@@ -288,3 +288,24 @@ def _(t: Tables):
     score = J.autonomy(F.col("calls"), F.col("prompts"), F.col("prompts"), F.col("delegate"), F.col("sessions"),
                        F.col("sched"), F.col("questions"))
     return a.select("user_id", F.round(score, 4).alias("autonomy"))
+
+
+@query("window_overlap", """
+WITH s AS (SELECT user_id % 7 AS owner, CASE WHEN event_type <> 'view' THEN min(ts) END AS first, CASE WHEN event_type <> 'signup' THEN max(ts) END AS last
+           FROM events GROUP BY user_id, event_type, epoch_us(ts) // 259200000000),
+     w AS (SELECT DISTINCT user_id % 7 AS owner, 'month' AS kind, date_trunc('month', ts) AS since, CAST(date_trunc('month', ts) + INTERVAL 1 MONTH AS TIMESTAMP) AS until FROM events
+           UNION SELECT DISTINCT user_id % 7, 'week', date_trunc('week', ts), CAST(date_trunc('week', ts) + INTERVAL 7 DAY AS TIMESTAMP) FROM events
+           UNION SELECT DISTINCT user_id % 7, 'from', date_trunc('month', ts), CAST(NULL AS TIMESTAMP) FROM events)
+SELECT w.owner, w.kind, epoch_us(w.since) AS since, count(s.owner) AS spans, epoch_us(min(s.first)) AS first, epoch_us(max(s.last)) AS last
+FROM w LEFT JOIN s ON s.owner = w.owner AND coalesce(s.first < w.until, true) AND coalesce(s.last >= w.since, true) GROUP BY ALL""")
+def _(t: Tables):
+    """Spells of three days per user and kind of event, some without a start or an end, against all weeks and months."""
+    ev = t.events.withColumn("owner", F.col("user_id") % 7).withColumn("ts", F.col("ts").cast("timestamp"))
+    s = ev.groupBy("owner", "user_id", "event_type", F.expr("unix_micros(ts) div 259200000000").alias("spell")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    s = s.select("owner", F.when(F.col("event_type") != "view", F.col("a")).alias("first"), F.when(F.col("event_type") != "signup", F.col("b")).alias("last"))
+    month, week = F.date_trunc("month", "ts"), F.date_trunc("week", "ts")
+    days = ev.select("owner", F.date_trunc("day", "ts").alias("ts")).distinct()
+    w = days.select("owner", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), a.alias("since"), b.cast("timestamp").alias("until")) for k, a, b in (
+        ("month", month, month + F.expr("INTERVAL 1 MONTH")), ("week", week, week + F.expr("INTERVAL 7 DAYS")), ("from", month, F.lit(None)))])).alias("w")).select("owner", "w.*").distinct()
+    out = I.overlaps(s, w, ["owner"], ["kind", "since"])
+    return out.select("owner", "kind", F.unix_micros("since").alias("since"), "spans", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))

@@ -324,3 +324,20 @@ def _(t: Tables):
 def _(t: Tables):
     i = inputs(t)
     return AU.saturation_threshold(i, ["owner", "g_source"], "cli_total")
+
+
+@query("pooled_names", f"""
+WITH j AS (SELECT {OWNER} AS owner, {SOURCE_SQL} AS g_source, 's' || (l_suppkey % 19) AS name, l_quantity < 40 AND o_custkey % 8 <> 3 AS named
+           FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_tax > 0.04),
+     b AS (SELECT owner, g_source, count(DISTINCT name) AS n, bool_or(named) AS listed FROM j GROUP BY 1, 2),
+     u AS (SELECT owner, count(DISTINCT name) FILTER (WHERE named) AS n FROM j GROUP BY 1)
+SELECT u.owner, CAST(u.n + coalesce(sum(b.n) FILTER (WHERE NOT b.listed), 0) AS BIGINT) AS servers FROM u JOIN b USING (owner) GROUP BY u.owner, u.n""")
+def _(t: Tables):
+    """Servers by name over all sources of a developer; one source gives counts only."""
+    src = F.element_at(F.array(*[F.lit(s) for s in dims.SOURCES]), (F.col("o_custkey") % 8 + 1).cast("int"))
+    j = t.lineitem.filter("l_tax > 0.04").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.expr(OWNER).alias("owner"), src.alias("g_source"), F.concat(F.lit("s"), F.col("l_suppkey") % 19).alias("name"), F.expr("l_quantity < 40 and o_custkey % 8 <> 3").alias("named"))
+    per = j.groupBy("owner", "g_source", "name").agg(F.max("named").alias("named"))
+    counts = per.groupBy("owner", "g_source").agg(F.count(F.lit(1)).alias("servers"))
+    names = per.filter("named").select("owner", "g_source", F.lit("knowledge").alias("kind"), "name")
+    return CB.united(counts, names, ["owner"], "knowledge", "servers")

@@ -11,9 +11,26 @@ from loomtrace.operators.aggregates import weighted_mean
 from loomtrace.plans import score as SC
 
 
-def pooled_inputs(per_source: DataFrame, owner: list[str]) -> DataFrame:
+def united(per_source: DataFrame, names: DataFrame, owner: list[str], kind: str, count: str) -> DataFrame:
+    """Distinct names of a kind per owner: a name that several sources share counts once.
+
+    names: owner, g_source, kind, name. A source that lists no name adds its bare `count`, which
+    cannot be compared with names. Names meet as distinct (owner, name) pairs, so an owner of any
+    size is spread over its names.
+    """
+    named = names.filter((F.col("kind") == kind) & (F.col("name") != "")).select(*owner, "g_source", "name")
+    union = named.select(*owner, "name").distinct().select(*owner, F.lit(1).cast("bigint").alias("n"))
+    listed = named.select(*owner, "g_source", F.lit(True).alias("listed"), F.lit(0).cast("bigint").alias("n"))
+    given = per_source.select(*owner, "g_source", F.lit(False).alias("listed"), F.coalesce(F.col(count), F.lit(0)).cast("bigint").alias("n"))
+    bare = listed.unionByName(given).groupBy(*owner, "g_source").agg(F.max("listed").alias("listed"), F.sum("n").alias("n")).filter("not listed")
+    return union.unionByName(bare.select(*owner, "n")).groupBy(*owner).agg(F.sum("n").alias(count))
+
+
+def pooled_inputs(per_source: DataFrame, owner: list[str], names: DataFrame | None = None) -> DataFrame:
     """One synthetic row per owner from its sources.
 
+    With `names` the knowledge servers of all sources are united by name instead.
+
     Counts add up, distinct counts take the largest source, ratios are weighted by tool
     calls, actions per prompt by its own denominator.  Planning is pooled over sources with
     sessions and is only valid when every one of them is valid.
@@ -41,6 +58,8 @@ def pooled_inputs(per_source: DataFrame, owner: list[str]) -> DataFrame:
         F.sum("routing_successful").alias("routing_successful"), F.sum("routing_eligible").alias("routing_eligible"), F.lit("unsupported").alias("routing"))
     for c in ("planning_sessions", "planning_eligible", "planning_unmeasured"):
         g = g.withColumn(c, F.when(F.col("__pe_ok"), F.col(c)).otherwise(0))
+    if names is not None:
+        g = g.drop("knowledge_server_distinct").join(united(per_source, names, owner, "knowledge", "knowledge_server_distinct"), owner, "left").fillna(0, ["knowledge_server_distinct"])
     e, u = F.col("planning_eligible"), F.col("planning_unmeasured")
     state = F.when((e > 0) & (u == 0), "measured").when(e > 0, "partial").otherwise("unmeasured")
     return g.withColumn("planning_state", state).withColumn("planning_share", F.when(e > 0, F.col("planning_sessions") / e)).withColumn(

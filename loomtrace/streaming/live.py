@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomtrace.schema import EVENTS
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New files of the canonical event table as they land."""
-    return spark.readStream.schema(", ".join(f"{k} {v}" for k, v in EVENTS.items())).parquet(path)
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """New files of the canonical event table as they land, at most `files_per_trigger` at once."""
+    new = spark.readStream if files_per_trigger is None else spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    return new.schema(", ".join(f"{k} {v}" for k, v in EVENTS.items())).parquet(path)
 
 
 def append_available(events: DataFrame, target: str, checkpoint: str) -> None:
