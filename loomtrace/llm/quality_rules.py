@@ -131,7 +131,8 @@ def filter_documents(docs: DataFrame) -> DataFrame:
         return pa.array(out, pa.string())
 
     new = base.fresh(docs, "cleaned")
-    judged = docs.withColumn(new, cleaned("text")).filter(F.col(new).isNotNull())
+    # taken as not deterministic: else the filter gets a second evaluation of its own
+    judged = docs.withColumn(new, cleaned.asNondeterministic()("text")).filter(F.col(new).isNotNull())
     return judged.select(*[F.col(new).alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
