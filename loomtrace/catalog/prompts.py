@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomtrace import dims
 from loomtrace.catalog.registry import Tables, query
+from loomtrace.functions import text as X
 from loomtrace.functions import paths as P, quotes as Q, text as X, tools as T
 from loomtrace.operators import aggregates as A, planning
 
@@ -320,3 +321,28 @@ def _(t: Tables):
     j = F.to_json(F.struct("doc_id", "text", "lang", "source"))
     d = t.documents.select("doc_id", F.octet_length(j).alias("bytes"), planning.over_budget(j, 8192).alias("rejected"))
     return d.groupBy("rejected").agg(F.count(F.lit(1)).alias("documents"), F.max("bytes").alias("largest"))
+
+
+@query("prompt_markers", """
+WITH c AS (SELECT role, turn, coalesce(text, '') AS text FROM conversations),
+     w AS (SELECT role, text, CASE turn % 5 WHEN 0 THEN '<command-name>' || text || '</command-name>' WHEN 1 THEN '  <local-command-stdout>' || text
+                  WHEN 2 THEN 'see http://LOCALHOST:80/ ' || text WHEN 3 THEN '<task> ' || text || ' </task><task>x</task>' ELSE text END AS t FROM c)
+SELECT role, count(*) AS turns, count(*) FILTER (WHERE contains(t, '<command-name>') OR starts_with(ltrim(t), '<local-command')) AS commands,
+       count(*) FILTER (WHERE regexp_matches(lower(t), 'localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0|\\[::1\\]')) AS local_urls,
+       count(*) FILTER (WHERE contains(t, '<task>')) AS tasks,
+       CAST(coalesce(sum(length(trim(regexp_extract(t, '(?s)<task>(.*?)</task>', 1)))), 0) AS BIGINT) AS task_chars,
+       CAST(sum(length(replace(text, ' ', ' && '))) AS BIGINT) AS argv_chars
+FROM w GROUP BY role""")
+def _(t: Tables):
+    """Command echoes, local addresses, tagged text and commands given as lists, in turns marked by their number."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.col("turn") % 5
+    marked = (F.when(n == 0, F.concat(F.lit("<command-name>"), text, F.lit("</command-name>"))).when(n == 1, F.concat(F.lit("  <local-command-stdout>"), text))
+              .when(n == 2, F.concat(F.lit("see http://LOCALHOST:80/ "), text)).when(n == 3, F.concat(F.lit("<task> "), text, F.lit(" </task><task>x</task>"))).otherwise(text))
+    c = t.conversations.select("role", text.alias("text"), marked.alias("t"))
+    task = X.tag_text(F.col("t"), "task")
+    some = lambda b: F.sum(F.when(b, 1).otherwise(0)).cast("bigint")
+    return c.groupBy("role").agg(
+        F.count(F.lit(1)).alias("turns"), some(X.is_command_text(F.col("t"))).alias("commands"), some(X.is_local_url(F.col("t"))).alias("local_urls"),
+        some(task.isNotNull()).alias("tasks"), F.coalesce(F.sum(F.length(task)), F.lit(0)).cast("bigint").alias("task_chars"),
+        F.sum(F.length(X.argv_command(F.to_json(F.split("text", " "))))).cast("bigint").alias("argv_chars"))

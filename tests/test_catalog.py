@@ -10,7 +10,7 @@ ROOT = "/root/testdata/sf0.001"
 QUICK = ["event_window", "tool_entropy", "active_time_union", "capped_gap_durations", "longest_burst", "error_recovery", "grounded_writes", "strict_recovery_classes", "edit_run_depth",
          "carry_forward", "timeline_sample", "depth_stats_nearest_rank", "fanout_stats", "cumulative_to_delta", "coverage_months", "backfill_plan", "nested_coverage", "server_prefix_names",
          "human_prompts", "safe_quotes", "cli_heads", "shell_writes", "span_dedup", "dedup_rank", "goto_phrase", "classify_targets", "scorecard_axes", "pooled_planning",
-         "reader_canonical", "reader_opencode", "reader_codex_usage", "report_months", "report_sources", "prompt_heat", "payload_budget", "window_overlap", "pooled_names"]
+         "reader_canonical", "reader_opencode", "reader_codex_usage", "report_months", "report_sources", "prompt_heat", "payload_budget", "window_overlap", "pooled_names", "prompt_markers"]
 
 
 @pytest.fixture(scope="module")
