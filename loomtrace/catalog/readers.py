@@ -90,7 +90,8 @@ def _(t: Tables):
         type=F.when(i % 2 == 0, "user").otherwise("gemini"), timestamp=stamp(i + 1_750_000_000), content=line, model=F.lit("g-2"), tokens=obj(input=i, output=F.lit(1)),
         toolCalls=F.when(i % 2 == 1, F.array(obj(name=F.lit("read_file"), status=F.when(i % 3 == 0, "error").otherwise("success"),
                                                  args=obj(file_path=F.concat(F.lit("/src/"), F.col("lang"), F.lit("/a.py"))))))))
-    docs = t.documents.select(F.concat(F.lit("/g/"), F.col("doc_id").cast("string")).alias("file_path"), F.to_json(obj(sessionId=F.concat(F.lit("d"), F.col("doc_id").cast("string")), messages=lines)).alias("value"))
+    # texts are dealt out before they are parsed: a file may hold few row groups
+    docs = t.documents.select("doc_id", "lang", "text").repartition("doc_id").select(F.concat(F.lit("/g/"), F.col("doc_id").cast("string")).alias("file_path"), F.to_json(obj(sessionId=F.concat(F.lit("d"), F.col("doc_id").cast("string")), messages=lines)).alias("value"))
     ev = gemini.normalize(docs, F.lit("local"))
     user, bot = (F.col("type") == "user") & F.col("text").isNotNull(), F.col("type") == "assistant"
     # a session without a reply has no tool call to learn its folder from
@@ -115,17 +116,25 @@ def _(t: Tables):
     parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", F.col("l_quantity").cast("bigint").alias("q"))))
     orders = t.lineitem.groupBy("l_orderkey").agg(parts.alias("ps")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     rows = orders.select("l_orderkey", "o_orderdate", "ps", F.posexplode("ps").alias("n", "p"))
+    n = F.col("n")
     # the counter of a line: quantities since the last start, at most seven lines an order
-    since = F.filter("ps", lambda x, j: (j <= F.col("n")) & ((j >= 3) == (F.col("n") >= 3)))
-    total = F.aggregate(since, F.lit(0).cast("bigint"), lambda s, x: s + x["q"])
-    when = F.date_format(F.col("o_orderdate").cast("timestamp") + F.make_dt_interval((F.col("n") + 1) * 20), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    path = F.concat(F.lit("/c/"), F.col("l_orderkey").cast("string"))
-    turn = as_lines(rows, path, F.col("n") * 2 + 2, F.to_json(obj(type=F.lit("turn_context"), timestamp=when, payload=obj(model=F.concat(F.lit("m-"), F.col("p.l_returnflag"))))))
-    count = as_lines(rows, path, F.col("n") * 2 + 3, F.to_json(obj(type=F.lit("event_msg"), timestamp=when, payload=obj(type=F.lit("token_count"), info=obj(
-        total_token_usage=obj(output_tokens=total, total_tokens=total))))))
-    head = as_lines(orders, path, F.lit(0), F.to_json(obj(type=F.lit("session_meta"), payload=obj(id=F.col("l_orderkey").cast("string"), cwd=F.lit("/r")))))
-    ask = as_lines(orders, path, F.lit(1), F.to_json(obj(type=F.lit("response_item"), payload=obj(type=F.lit("message"), role=F.lit("user"), content=F.array(obj(type=F.lit("input_text"), text=F.lit("go")))))))
-    ev = codex.normalize(head.unionByName(ask).unionByName(turn).unionByName(count), F.lit("local"), work=tables.work_dir(t.spark))
+    start = F.when(n >= 3, 4).otherwise(1)
+    total = F.aggregate(F.slice("ps", start, n - start + 2), F.lit(0).cast("bigint"), lambda s, x: s + x["q"])
+    when = F.date_format(F.col("o_orderdate").cast("timestamp") + F.make_dt_interval((n + 1) * 20), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = rows.select("l_orderkey", "n", "p", total.alias("total"), when.alias("when"))
+    when, total = F.col("when"), F.col("total")
+    turn = F.to_json(obj(type=F.lit("turn_context"), timestamp=when, payload=obj(model=F.concat(F.lit("m-"), F.col("p.l_returnflag")))))
+    count = F.to_json(obj(type=F.lit("event_msg"), timestamp=when, payload=obj(type=F.lit("token_count"), info=obj(
+        total_token_usage=obj(output_tokens=total, total_tokens=total)))))
+    head = F.to_json(obj(type=F.lit("session_meta"), payload=obj(id=F.col("l_orderkey").cast("string"), cwd=F.lit("/r"))))
+    ask = F.to_json(obj(type=F.lit("response_item"), payload=obj(type=F.lit("message"), role=F.lit("user"), content=F.array(obj(type=F.lit("input_text"), text=F.lit("go"))))))
+    # an order's head and request stand before its first line
+    line = lambda ordinal, value: obj(ordinal=ordinal.cast("bigint"), value=value)
+    own = [line(n * 2 + 2, turn), line(n * 2 + 3, count)]
+    parts = F.when(n == 0, F.array(line(F.lit(0), head), line(F.lit(1), ask), *own)).otherwise(F.array(*own))
+    lines = rows.select("l_orderkey", F.explode(parts).alias("x"))
+    lines = as_lines(lines, F.concat(F.lit("/c/"), F.col("l_orderkey").cast("string")), F.col("x.ordinal"), F.col("x.value"))
+    ev = codex.normalize(lines, F.lit("local"), work=tables.work_dir(t.spark))
     return ev.filter("is_usage_only").groupBy("model", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("usage.output").cast("bigint").alias("output"), F.count(F.lit(1)).alias("events"))
 
 

@@ -77,25 +77,40 @@ def _chunk_state(df: DataFrame, keys: list[str], order: list[str], value: str,
     return last.select(*keys, "__chunk", before["v"].alias("__in"))
 
 
+def _across(d: DataFrame, keys: list[str], order: list[str], value: str, ignore_nulls: bool, work: str) -> DataFrame:
+    """States of `_chunk_state` for keys that reach beyond chunk 0, written: other keys have one chunk and nothing to carry."""
+    beyond = materialize(d.filter("__chunk <> 0 or __chunk is null").select(*keys).distinct(), f"{work}/beyond")
+    narrow = d.select(*dict.fromkeys([*keys, *order, "__chunk", value]))
+    return materialize(_chunk_state(join_keys(narrow, beyond, keys, "left_semi"), keys, order, value, ignore_nulls), f"{work}/states")
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-                  value: str, out: str) -> DataFrame:
-    """Last non-null value so far, per key."""
+                  value: str, out: str, work: str | None = None) -> DataFrame:
+    """Last non-null value so far, per key.
+
+    With a work folder the rows are written once, after the step inside the chunks, and the states that cross chunks
+    beside them: with short keys those are few, and no row is sorted again to meet them.
+    """
     d = df.withColumn("__chunk", chunk)
     w = (Window.partitionBy(*keys, "__chunk").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("__loc", F.last(value, ignorenulls=True).over(w))
-    state = _chunk_state(df.withColumn("__chunk", chunk), keys, order, value, True)
+    if work:
+        d = materialize(d, f"{work}/rows")
+    state = _across(d, keys, order, value, True, work) if work else _chunk_state(df.withColumn("__chunk", chunk), keys, order, value, True)
     j = join_keys(d, state, keys + ["__chunk"])
     return j.withColumn(out, F.coalesce("__loc", "__in")).drop("__loc", "__in", "__chunk")
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-                   value: str, out: str) -> DataFrame:
-    """Value of the previous row, per key (NULL on the first row)."""
+                   value: str, out: str, work: str | None = None) -> DataFrame:
+    """Value of the previous row, per key (NULL on the first row). `work` as in `carry_forward`."""
     d = df.withColumn("__chunk", chunk)
     w = Window.partitionBy(*keys, "__chunk").orderBy(*order)
     d = d.withColumn("__loc", F.lag(F.struct(F.col(value).alias("v"))).over(w))
-    state = _chunk_state(df.withColumn("__chunk", chunk), keys, order, value, False)
+    if work:
+        d = materialize(d, f"{work}/rows")
+    state = _across(d, keys, order, value, False, work) if work else _chunk_state(df.withColumn("__chunk", chunk), keys, order, value, False)
     j = join_keys(d, state, keys + ["__chunk"])
     return (j.withColumn(out, F.when(F.col("__loc").isNotNull(), F.col("__loc.v")).otherwise(F.col("__in")))
             .drop("__loc", "__in", "__chunk"))

@@ -82,5 +82,5 @@ def emit(df: DataFrame, keep: list, *choices: tuple) -> DataFrame:
     names = [n for n in EVENTS if any(n in cols for _, cols in choices)]
     options = [F.when(F.coalesce(cond, F.lit(False)), F.struct(*[
         (cols[n] if n in cols else F.lit(None)).cast(EVENTS[n]).alias(n) for n in names])) for cond, cols in choices]
-    kept = F.filter(F.array(*options), lambda e: e.isNotNull())
-    return df.select(*keep, F.explode(kept).alias("__e")).select("*", "__e.*").drop("__e")
+    # not `F.filter` over the array: its argument would be evaluated without compiled code
+    return df.select(*keep, F.explode(F.array(*options)).alias("__e")).filter("__e is not null").select("*", "__e.*").drop("__e")

@@ -70,14 +70,25 @@ def call_name(p: Column, args: Column) -> Column:
             .when(name == "update_plan", "TodoWrite").when(name == "write_stdin", "BashOutput").otherwise(name))
 
 
+PAYLOAD_ROWS = ["response_item", "session_meta"]
+
+
 def rows_of(lines: DataFrame, tenant: Column, source: Column) -> DataFrame:
-    """Decodable object rows; everything else is dropped silently."""
-    r = lines.withColumn("v", F.try_parse_json("value")).filter(R.kind(F.col("v")).startswith("OBJECT"))
-    v = F.col("v")
+    """Decodable object rows; everything else is dropped silently.
+
+    Marks and counters become columns; the payload `p` stays with items and session heads only.
+    """
+    v, p, rtype = F.col("v"), F.col("p"), F.col("rtype")
+    r = lines.select("file_path", "ordinal", F.explode(R.object_of(F.col("value"))).alias("v")).select(
+        "file_path", "ordinal", R.get(v, "$.type").alias("rtype"), R.get(v, "$.timestamp").alias("raw_ts"), F.try_variant_get(v, "$.payload", "variant").alias("p"))
+    total = "$.info.total_token_usage"
+    is_turn, is_event = rtype == "turn_context", rtype == "event_msg"
+    spent = is_event & (R.get(p, "$.type") == "token_count") & R.truthy(p, f"{total}.total_tokens")
     return r.select(
-        tenant.alias("tenant_id"), source.alias("source"), "file_path", "ordinal", R.get(v, "$.type").alias("rtype"),
-        R.get(v, "$.timestamp").alias("raw_ts"), R.iso(R.get(v, "$.timestamp")).alias("ts"),
-        F.try_variant_get(v, "$.payload", "variant").alias("p"))
+        tenant.alias("tenant_id"), source.alias("source"), "file_path", "ordinal", "rtype", "raw_ts", R.iso(F.col("raw_ts")).alias("ts"),
+        F.when(rtype.isin(PAYLOAD_ROWS), p).alias("p"), F.when(is_event, R.get(p, "$.type")).alias("event"),
+        F.when(is_turn, R.non_empty(R.get(p, "$.model"))).alias("turn_model"), F.when(is_turn | is_event, R.non_empty(R.get(p, "$.turn_id"))).alias("turn_id"),
+        F.when(spent, F.struct(*[R.count_int(R.get(p, f"{total}.{f}")).alias(f) for f in TOKEN_FIELDS])).alias("spent"))
 
 
 def file_meta(rows: DataFrame) -> DataFrame:
@@ -85,63 +96,56 @@ def file_meta(rows: DataFrame) -> DataFrame:
     p, o = F.col("p"), F.col("ordinal")
     meta = F.col("rtype") == "session_meta"
     has_sub = meta & R.kind(p, "$.source.subagent").isNotNull()
-    parent = F.when(F.trim(R.get(p, "$.source.subagent.thread_spawn.parent_thread_id")) != "",
-                    R.get(p, "$.source.subagent.thread_spawn.parent_thread_id"))
-    guardian = R.get(p, "$.source.subagent.other") == "guardian"
-    args = F.try_parse_json(R.get(p, "$.arguments"))
-
-    def last(c: Column, cond: Column) -> Column:
-        return F.max_by(F.when(cond, c), F.when(cond & R.non_empty(c).isNotNull(), o))
-
-    workdir = R.non_empty(R.get(args, "$.workdir"))
+    thread = R.get(p, "$.source.subagent.thread_spawn.parent_thread_id")
     is_call = (F.col("rtype") == "response_item") & (R.get(p, "$.type") == "function_call")
-    turn = F.col("rtype") == "turn_context"
-    g = rows.groupBy("tenant_id", "source", "file_path").agg(
-        last(R.get(p, "$.id"), meta).alias("sid"), last(R.get(p, "$.cwd"), meta).alias("meta_cwd"),
-        F.min_by(F.when(is_call, workdir), F.when(is_call & workdir.isNotNull(), o)).alias("workdir"),
-        last(parent, has_sub).alias("parent"),
-        last(R.get(p, "$.source.subagent.thread_spawn.agent_path"), has_sub & parent.isNotNull()).alias("agent_path"),
-        F.max(F.coalesce(has_sub & parent.isNull() & guardian, F.lit(False))).alias("guardian"),
-        F.max(F.coalesce(has_sub & parent.isNull() & ~F.coalesce(guardian, F.lit(False)), F.lit(False))).alias("invalid"),
-        F.min_by("raw_ts", F.when(R.non_empty(F.col("raw_ts")).isNotNull(), o)).alias("child_ts"),
-        last(R.get(p, "$.model"), turn).alias("last_model"))
+    # narrow columns first: the payloads do not travel
+    n = rows.select(
+        "tenant_id", "source", "file_path", "ordinal", "turn_model", R.non_empty(F.col("raw_ts")).alias("raw_ts"),
+        F.when(meta, R.non_empty(R.get(p, "$.id"))).alias("sid"), F.when(meta, R.non_empty(R.get(p, "$.cwd"))).alias("meta_cwd"),
+        F.when(is_call, R.non_empty(R.get(F.try_parse_json(R.get(p, "$.arguments")), "$.workdir"))).alias("workdir"),
+        F.when(has_sub & (F.trim(thread) != ""), thread).alias("parent"),
+        F.when(has_sub & (F.trim(thread) != ""), R.non_empty(R.get(p, "$.source.subagent.thread_spawn.agent_path"))).alias("agent_path"),
+        F.when(has_sub & F.coalesce(F.trim(thread) == "", F.lit(True)), F.coalesce(R.get(p, "$.source.subagent.other") == "guardian", F.lit(False))).alias("guardian"))
+
+    def at(c: str, pick=F.max_by) -> Column:
+        return pick(c, F.when(F.col(c).isNotNull(), o)).alias(c)
+
+    g = n.groupBy("tenant_id", "source", "file_path").agg(
+        at("sid"), at("meta_cwd"), at("workdir", F.min_by), at("parent"), at("agent_path"), F.coalesce(F.max("guardian"), F.lit(False)).alias("guardian"),
+        F.coalesce(~F.min("guardian"), F.lit(False)).alias("invalid"), at("raw_ts", F.min_by), at("turn_model"))
     return g.select(
         "tenant_id", "source", "file_path", F.coalesce("sid", R.base_id(F.col("file_path"))).alias("session_id"),
-        F.coalesce("meta_cwd", "workdir").alias("cwd"), "parent", "agent_path", "child_ts", "last_model",
+        F.coalesce("meta_cwd", "workdir").alias("cwd"), "parent", "agent_path", F.col("raw_ts").alias("child_ts"), F.col("turn_model").alias("last_model"),
         F.when(~F.col("invalid"), F.col("parent").isNotNull() | F.col("guardian")).alias("is_sidechain"))
 
 
 FILE = ["tenant_id", "source", "file_path"]
 
 
-def with_model(rows: DataFrame) -> DataFrame:
+def with_model(rows: DataFrame, work: str | None = None) -> DataFrame:
     """Active model of every row: the last turn context before it."""
-    own = F.when(F.col("rtype") == "turn_context", R.non_empty(R.get(F.col("p"), "$.model")))
-    return S.carry_forward(rows.withColumn("__m", own), FILE, ["ordinal"], R.chunk(), "__m", "model").drop("__m")
+    return S.carry_forward(rows, FILE, ["ordinal"], R.chunk(), "turn_model", "model", work)
 
 
-def usage_events(rows: DataFrame, meta: DataFrame) -> DataFrame:
+def usage_events(rows: DataFrame, meta: DataFrame, work: str | None = None) -> DataFrame:
     """Cumulative totals to deltas per (model, month), one usage-only event each.
 
     A total is settled when the model or the calendar month changes, and at the end; the
     delta is taken against the previously settled total and never negative.
     """
-    p = F.col("p")
-    total = "$.info.total_token_usage"
-    snap = rows.filter((F.col("rtype") == "event_msg") & (R.get(p, "$.type") == "token_count")
-                       & R.truthy(p, f"{total}.total_tokens")).select(
-        *FILE, "ordinal", "ts", "model", F.date_format("ts", "yyyy-MM").alias("month"),
-        *[R.count_int(R.get(p, f"{total}.{f}")).alias(f) for f in TOKEN_FIELDS])
+    snap = rows.filter("spent is not null").select(*FILE, "ordinal", "ts", "model", F.date_format("ts", "yyyy-MM").alias("month"), "spent.*")
     back = snap.withColumn("neg", -F.col("ordinal")).withColumn("__nx", F.struct("model", "month"))
-    nx = S.previous_value(back, FILE, ["neg"], F.shiftright(F.col("neg"), 16), "__nx", "nxt").drop("__nx", "neg")
-    nx = S.join_keys(nx, meta.select(*FILE, "last_model"), FILE)
+    nx = S.previous_value(back, FILE, ["neg"], -R.chunk(), "__nx", "nxt", work and f"{work}/usage_next").drop("__nx", "neg")
+    # a file's last model matters where its last total has none yet
+    late = F.col("nxt").isNull() & F.col("model").isNull()
+    nx = nx.filter(~late).withColumn("last_model", F.lit(None).cast("string")).unionByName(S.join_keys(nx.filter(late), meta.select(*FILE, "last_model"), FILE))
     is_last = F.col("nxt").isNull()
     moved = ~F.col("nxt.month").eqNullSafe(F.col("month"))
     switched = F.col("model").isNotNull() & ~F.col("nxt.model").eqNullSafe(F.col("model"))
     owner = F.when(F.col("model").isNotNull(), F.col("model")).when(is_last, F.col("last_model")).otherwise(F.col("nxt.model"))
     settled = nx.withColumn("owner", owner).filter((is_last | moved | switched) & F.col("owner").isNotNull())
     settled = settled.withColumn("__t", F.struct(*TOKEN_FIELDS))
-    d = S.previous_value(settled, FILE, ["ordinal"], R.chunk(), "__t", "base")
+    d = S.previous_value(settled, FILE, ["ordinal"], R.chunk(), "__t", "base", work and f"{work}/usage_settled")
     delta = [F.greatest(F.col(f) - F.coalesce(F.col(f"base.{f}"), F.lit(0)), F.lit(0)).alias(f) for f in TOKEN_FIELDS]
     g = d.select(*FILE, "ordinal", "ts", "month", "owner", *delta).groupBy(*FILE, "owner", "month").agg(
         *[F.sum(f).alias(f) for f in TOKEN_FIELDS], F.max_by("ts", "ordinal").alias("ts"), F.max("ordinal").alias("last"))
@@ -157,14 +161,14 @@ def usage_events(rows: DataFrame, meta: DataFrame) -> DataFrame:
 
 def routing_links(rows: DataFrame, meta: DataFrame, calls: DataFrame) -> DataFrame:
     """One link per turn of a spawned child, plus one unknown link when a turn has no id."""
-    p = F.col("p")
-    child = S.join_keys(rows, meta.filter("parent is not null").select(*FILE, "session_id", "parent", "agent_path", "child_ts"), FILE, "inner")
     is_turn = F.col("rtype") == "turn_context"
-    life = (F.col("rtype") == "event_msg") & R.get(p, "$.type").isin("task_complete", "turn_aborted")
-    tid = R.non_empty(R.get(p, "$.turn_id"))
-    marks = child.filter(is_turn | life).select(
-        *FILE, "ordinal", "raw_ts", tid.alias("turn_id"), F.when(is_turn, R.non_empty(R.get(p, "$.model"))).alias("m"),
-        F.when(life, F.when(R.get(p, "$.type") == "task_complete", "completed").otherwise("aborted")).alias("life"),
+    life = (F.col("rtype") == "event_msg") & F.col("event").isin("task_complete", "turn_aborted")
+    narrow = rows.filter(is_turn | life).select(*FILE, "ordinal", "raw_ts", "rtype", "event", "turn_id", "turn_model")
+    child = S.join_keys(narrow, meta.filter("parent is not null").select(*FILE, "session_id", "parent", "agent_path", "child_ts"), FILE, "inner")
+    tid = F.col("turn_id")
+    marks = child.select(
+        *FILE, "ordinal", "raw_ts", "turn_id", F.col("turn_model").alias("m"),
+        F.when(life, F.when(F.col("event") == "task_complete", "completed").otherwise("aborted")).alias("life"),
         F.lit(0).cast("bigint").alias("sub"), F.lit(0).cast("bigint").alias("wr"))
     # calls belong to the turn context in force, which may carry no id
     seq = child.filter(is_turn).select(*FILE, "ordinal", F.struct(tid.alias("t")).alias("__turn"), F.lit(None).cast("string").alias("name"))
@@ -231,16 +235,13 @@ def normalize(lines: DataFrame, tenant: Column, source: Column | None = None, wo
     """Rollout lines to events.
 
     Model, usage, links and calls each read the parsed rows; with a work folder the rows
-    are parsed once, written, and read back by column.
+    are parsed once, written with the model in force, and read back by column, and so is a row for each file.
     """
     source = F.lit("codex") if source is None else source
-    raw = rows_of(lines, tenant, source)
-    if work:
-        raw = materialize(raw, f"{work}/rollout_rows")
-    meta = file_meta(raw)
-    rows = with_model(raw)
+    rows = with_model(rows_of(lines, tenant, source), work and f"{work}/rollout_rows")
+    meta = file_meta(rows)
     if work:
-        rows = materialize(rows, f"{work}/rollout_rows_with_model")
+        meta = materialize(meta, f"{work}/rollout_files")
     p = F.col("p")
     item = rows.filter("rtype = 'response_item'").withColumn("pt", R.get(p, "$.type"))
     # the output of a call is an object or the JSON text of one
@@ -274,7 +275,7 @@ def normalize(lines: DataFrame, tenant: Column, source: Column | None = None, wo
         *FILE, "ordinal", F.col("part").alias("sub"), "ts",
         F.lit("assistant").alias("type"), "model", F.array(tool_block(F.col("name"), F.col("input"), F.col("call_id"))).alias("content"))
     ev = plain
-    for part in (used, usage_events(rows, meta), routing_links(rows, meta, calls)):
+    for part in (used, usage_events(rows, meta, work), routing_links(rows, meta, calls)):
         ev = ev.unionByName(part, allowMissingColumns=True)
     # a file without a human prompt is an empty seed and contributes nothing
     seeded = plain.filter("type = 'user' and trim(text) <> ''").select(*FILE).distinct()

@@ -64,6 +64,14 @@ def kind(v: Column, path: str = "$") -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
+def object_of(value: Column) -> Column:
+    """The JSON object a text holds, as an array of one; no element for any other text.
+
+    Meant for `explode`: a filter on the parsed value would be pushed below it and parse the text once more.
+    """
+    return F.filter(F.array(F.try_parse_json(value)), lambda v: is_object(v, "$"))
+
+
 def truthy(v: Column, path: str) -> Column:
     s = get(v, path)
     return F.coalesce(~s.isin("", "false", "0", "0.0", "{}", "[]"), F.lit(False))
@@ -84,7 +92,8 @@ def count_int(c: Column) -> Column:
 
 
 def is_object(v: Column, path: str) -> Column:
-    return F.coalesce(kind(v, path).startswith("OBJECT"), F.lit(False))
+    # only an object casts to a map; its schema is not needed
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
 
 
 def object_json(v: Column, path: str) -> Column:

@@ -152,3 +152,16 @@ def test_clones_count_once(spark):
 def test_month_windows(spark):
     w = {r.month: (str(r.since), str(r.until)) for r in P.trailing_window(P.month_spine(spark, "2026-03-15", 3), "2026-03-15").collect()}
     assert w == {"2026-01": ("2026-01-01", "2026-02-01"), "2026-02": ("2026-02-01", "2026-03-01"), "2026-03": ("2026-02-13", "2026-03-16")}
+
+
+def test_written_chunks_carry_across(spark, tmp_path):
+    """With a work folder only keys beyond chunk 0 have states; results are those without one."""
+    rows = [("a", 1, None), ("a", 2, "x"), ("a", 12, None), ("a", 25, None), ("a", 31, "y"), ("b", 3, "z"), ("b", 4, None), ("c", 17, None), ("c", 18, "w"), (None, 5, "n"), (None, 41, None)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v string")
+    chunk = F.floor(F.col("o") / 10)
+    for f, out in ((S.carry_forward, "c"), (S.previous_value, "c")):
+        want = {(r.k, r.o): r.c for r in f(df, ["k"], ["o"], chunk, "v", out).collect()}
+        work = str(tmp_path / f.__name__)
+        got = {(r.k, r.o): r.c for r in f(df, ["k"], ["o"], chunk, "v", out, work).collect()}
+        assert got == want and len(got) == len(rows)
+        assert {r.k for r in spark.read.parquet(f"{work}/states").collect()} == {"a", "c", None}
