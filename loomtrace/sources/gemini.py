@@ -22,7 +22,7 @@ def _cwd_hint(tc: Column) -> Column:
 
 def normalize(docs: DataFrame, tenant: Column, source: Column | None = None) -> DataFrame:
     source = F.lit("gemini") if source is None else source
-    d = docs.withColumn("v", F.try_parse_json("value")).filter(R.kind(F.col("v")).startswith("OBJECT"))
+    d = docs.select("file_path", F.explode(R.object_of(F.col("value"))).alias("v"))
     v = F.col("v")
     msgs = F.coalesce(F.try_variant_get(v, "$.messages", "array<variant>"), F.array().cast("array<variant>"))
     calls = lambda m: F.coalesce(F.try_variant_get(m, "$.toolCalls", "array<variant>"), F.array().cast("array<variant>"))
@@ -44,10 +44,11 @@ def normalize(docs: DataFrame, tenant: Column, source: Column | None = None) ->
 
     thoughts = F.filter(F.transform(F.coalesce(F.try_variant_get(m, "$.thoughts", "array<variant>"), F.array().cast("array<variant>")), thought),
                         lambda t: t != "")
-    objects = F.filter(calls(m), lambda c: R.kind(c).startswith("OBJECT"))
-
-    named = F.transform(objects, lambda c: F.struct(
-        T.canonical(R.first_of(R.get(c, "$.name"), F.lit("tool"))).alias("name"), R.object_json(c, "$.args").alias("obj")))
+    # a message's calls, and the raw name of each, are read once: nothing inside a lambda is shared
+    e = e.withColumn("all_calls", calls(m)).withColumn("objects", F.filter("all_calls", lambda c: R.is_object(c, "$")))
+    objects = F.col("objects")
+    raw = F.transform(objects, lambda c: F.struct(R.first_of(R.get(c, "$.name"), F.lit("tool")).alias("name"), R.object_json(c, "$.args").alias("obj")))
+    named = F.transform(raw, lambda c: F.struct(T.canonical(c["name"]).alias("name"), c["obj"].alias("obj")))
     content = F.concat(F.transform(thoughts, thinking_block),
                        F.when(F.col("txt") != "", F.array(text_block(F.col("txt")))).otherwise(
                            F.array().cast(f"array<{BLOCK}>")),
@@ -64,7 +65,7 @@ def normalize(docs: DataFrame, tenant: Column, source: Column | None = None) ->
         e, keep,
         (is_user, {"type": F.lit("user"), "text": F.col("txt")}),
         (is_bot, {"type": F.lit("assistant"), "model": R.non_empty(R.get(m, "$.model")), "content": content, "usage": usage}),
-        (is_bot & (F.size(calls(m)) > 0), {"sub": F.lit(1), "type": F.lit("user"), "content": results})))
+        (is_bot & (F.size("all_calls") > 0), {"sub": F.lit(1), "type": F.lit("user"), "content": results})))
 
 
 def read(spark: SparkSession, paths, tenant: str = "local", since: str | None = None) -> DataFrame:
