@@ -259,5 +259,5 @@ def _good(text):
 
 def test_registered_queries():
     from loomtrace.llm import queries
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.SQL) <= set(queries.QUERIES)
