@@ -19,8 +19,8 @@ MODELS = ["claude-opus-4-7", "claude-sonnet-4-5", "gpt-5.4", "gpt-5-mini"]
 
 
 def transcripts(t: Tables) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    et, u = F.col("event_type"), F.col("user_id")
+    """One transcript event per row of the event table. A file has few row groups: its rows are dealt out before text is built."""
+    k, et, u = F.col("k"), F.col("event_type"), F.col("user_id")
     pick = lambda vals, i: F.element_at(F.array(*[F.lit(v) for v in vals]), (i % len(vals) + 1).cast("int"))
     src = pick(SOURCES, u)
     path = F.concat(F.lit("src/m"), (k % 20).cast("string"), F.lit(".py"))
@@ -34,10 +34,11 @@ def transcripts(t: Tables) -> DataFrame:
     click = F.when(k % 10 == 0, test).when(k % 10 == 1, todo).otherwise(read)
     dispatch = (et == "signup") & (k % 4 == 0)
     tool = F.when(et == "click", click).when(et == "view", ask).when(et == "purchase", edit).when(dispatch, agent)
-    is_error = et == "error"
-    content = F.when(is_error, F.array(result_block(F.lit(True)))).when(tool.isNotNull(), F.array(tool))
+    is_error, called = et == "error", et.isin("click", "view", "purchase") | dispatch  # a tool block is built where it is written only
+    content = F.when(is_error, F.array(result_block(F.lit(True)))).when(called, F.array(tool))
     # a third of the users each live one and two months later, so months differ
-    events = t.events.withColumn("ts", F.expr("ts + make_ym_interval(0, cast(user_id % 3 as int))"))
+    events = t.events.select("event_id", "user_id", "event_type", F.expr("ts + make_ym_interval(0, cast(user_id % 3 as int))").alias("ts"),
+                             F.get_json_object("props", "$.k").cast("int").alias("k")).repartition("event_id")
     used = F.struct(k.cast("bigint").alias("input"), F.lit(1).cast("bigint").alias("output"), (k % 7).cast("bigint").alias("cache_read"), F.lit(0).cast("bigint").alias("cache_creation"))
     return canonical(events.select(
         F.concat(F.lit("dev"), (u % 5).cast("string")).alias("tenant_id"), src.alias("source"),
@@ -45,7 +46,7 @@ def transcripts(t: Tables) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), u.cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
         F.concat(F.lit("/repo"), (u % 3).cast("string")).alias("cwd"), F.lit(False).alias("is_sidechain"),
         F.when(is_error | ((et == "signup") & ~dispatch), "user").otherwise("assistant").alias("type"),
-        F.when(tool.isNotNull(), pick(MODELS, k)).alias("model"), F.when(tool.isNotNull(), used).alias("usage"),
+        F.when(called, pick(MODELS, k)).alias("model"), F.when(called, used).alias("usage"),
         F.when((et == "signup") & ~dispatch, F.concat(F.lit("please build item "), k.cast("string"))).alias("text"), content.cast(f"array<{BLOCK}>").alias("content")))
 
 
@@ -58,11 +59,12 @@ WITH t AS (SELECT event_id AS o, ts, strftime(ts, '%Y-%m') AS month, 'dev' || (u
     WHEN et = 'view' THEN 'mcp' WHEN et = 'purchase' THEN 'Edit' WHEN et = 'signup' AND k % 4 = 0 THEN 'Agent' WHEN et = 'error' THEN 'error' ELSE 'prompt' END AS tool FROM t)"""
 
 
-def prepared(t: Tables):
-    """Events as they are derived (never written again) and the call facts, written once."""
+def prepared(t: Tables, facts: list[str] | None = None):
+    """Events as they are derived (never written again) and the call facts (all, or the named ones), written once."""
     w = work_dir(t.spark)
     b = FX.base(transcripts(t))
-    return b, materialize(FX.tool_calls(b), f"{w}/tool_calls"), FX.tool_results(b)
+    calls = FX.tool_calls(b)
+    return b, materialize(calls.select(*facts) if facts else calls, f"{w}/tool_calls"), FX.tool_results(b)
 
 
 @query("monthly_habits", T + """,
@@ -73,7 +75,7 @@ SELECT month, CAST(count(*) FILTER (tool NOT IN ('error', 'prompt')) AS BIGINT)
   round((SELECT count(*) FROM p WHERE p.month = c.month AND prev = 'error' AND tool <> 'error') / count(*) FILTER (tool = 'error'), 6) AS error_recovery
 FROM c GROUP BY 1""")
 def _(t: Tables):
-    b, calls, results = prepared(t)
+    b, calls, results = prepared(t, [*FX.THREAD, *FX.ORDER, "month", "category", "plan_dispatch"])
     rec = FX.recovered(calls, results)
     n = lambda **kw: [kw.get(c, F.lit(0)).cast("bigint").alias(c) for c in ("calls", "explore", "raw", "dispatch", "prompts", "errors", "recovered")]
     one, cat = F.lit(1), F.col("category")
