@@ -37,6 +37,11 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def led(keys: list[str], *more: str):
+    """Window over the keys. A hash of them leads, so the sort below compares one number, not strings that mostly agree."""
+    return Window.partitionBy(F.xxhash64(*keys), *keys, *more)
+
+
 def fires_after(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
                 armed: Column, firing: Column) -> DataFrame:
     """Rows of `firing` whose previous armed-or-firing row of the same key is `armed`.
@@ -48,12 +53,12 @@ def fires_after(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
              .withColumn("__fire", F.coalesce(firing, F.lit(False)))
              .filter("__arm or __fire")
              .withColumn("__chunk", chunk))
-    local = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    local = led(keys, "__chunk").orderBy(*order)
     seq = (seq.withColumn("__prev", F.lag("__arm").over(local))
               .withColumn("__next", F.lead("__arm").over(local)))
     inside = seq.filter("__fire and __prev")
     # first and last row of every chunk: at most two rows per chunk cross to the next stage
-    across = Window.partitionBy(*keys).orderBy("__chunk", *order)
+    across = led(keys).orderBy("__chunk", *order)
     edges = seq.filter("__prev is null or __next is null")
     edge_hits = (edges.withColumn("__carry", F.lag("__arm").over(across))
                  .filter("__fire and __prev is null and __carry").drop("__carry"))
@@ -143,7 +148,7 @@ def edit_runs(df: DataFrame, keys: list[str], order: list[str], chunk: Column, c
     The month of a run is the month of its last dated edit.
     """
     d = df.withColumn("__chunk", chunk).withColumn("__cut", F.coalesce(cut, F.lit(False)).cast("int"))
-    w = (Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    w = (led(keys, "__chunk").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("__ep", F.sum("__cut").over(w))
     dated = F.max(F.when(F.col(month).isNotNull(), F.struct(F.struct("__chunk", *order).alias("o"),
@@ -152,7 +157,7 @@ def edit_runs(df: DataFrame, keys: list[str], order: list[str], chunk: Column, c
     counts = (d.filter((F.col("__cut") == 0) & F.col(item).isNotNull())
               .groupBy(*keys, "__chunk", "__ep", item).agg(F.count(F.lit(1)).alias("__n"), dated))
     cuts = d.groupBy(*keys, "__chunk").agg(F.sum("__cut").alias("__c"))
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = led(keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offset = cuts.select(*keys, "__chunk", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
     j = join_keys(counts, offset, keys + ["__chunk"])
     month_out = F.max("__m")["m"].alias("month") if month else F.lit(None).cast("string").alias("month")
@@ -185,7 +190,7 @@ def with_tail(buckets: DataFrame, keys: list[str], cap_s: int) -> DataFrame:
 
     (`least` skips NULL, so the last bucket needs its own case.)
     """
-    w = Window.partitionBy(*keys).orderBy("__b")
+    w = led(keys).orderBy("__b")
     gap = F.lead("__lo").over(w) - F.col("__hi")
     return buckets.withColumn("__tail", F.when(gap.isNull(), 0).otherwise(F.least(gap, F.lit(cap_s * US))))
 
@@ -217,7 +222,7 @@ def union_of_buckets(buckets: DataFrame, owner: list[str], session: list[str], c
            .select(*owner, "slot", F.greatest("s", F.col("slot") * slot).alias("s"),
                    F.least("e", (F.col("slot") + 1) * slot).alias("e"))
            .groupBy(*owner, "slot", "s").agg(F.max("e").alias("e")))
-    w = (Window.partitionBy(*owner, "slot").orderBy("s")
+    w = (led([*owner, "slot"]).orderBy("s")
          .rowsBetween(Window.unboundedPreceding, -1))
     covered = F.coalesce(F.max("e").over(w), F.col("s"))
     piece = F.greatest(F.col("e") - F.greatest("s", covered), F.lit(0))
@@ -233,11 +238,12 @@ def longest_burst(df: DataFrame, owner: list[str], session: list[str], ts: str,
 
 def burst_of_buckets(buckets: DataFrame, owner: list[str], session: list[str], gap_s: int = 1800) -> DataFrame:
     keys = owner + session
-    w = Window.partitionBy(*keys).orderBy("__b")
-    b = buckets.withColumn("__new", F.when(F.col("__lo") - F.lag("__hi").over(w) > gap_s * US, 1).otherwise(0))
-    b = b.withColumn("__run", F.sum("__new").over(w))
-    runs = b.groupBy(*keys, "__run").agg((F.max("__hi") - F.min("__lo")).alias("__len"))
-    return runs.groupBy(*owner).agg((F.max("__len") / F.lit(float(US))).alias("longest_s"))
+    w = led(keys).orderBy("__b")
+    # the start of a run goes along with its buckets, so runs need no grouping of their own
+    last = F.lag("__hi").over(w)
+    b = buckets.withColumn("__start", F.when(last.isNull() | (F.col("__lo") - last > gap_s * US), F.col("__lo")))
+    b = b.withColumn("__start", F.last("__start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return b.groupBy(*owner).agg((F.max(F.col("__hi") - F.col("__start")) / F.lit(float(US))).alias("longest_s"))
 
 
 # ---- pairing -----------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Ordered session facts: what happened before and after the first code write."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtrace import dims
 from loomtrace.functions import paths as P
@@ -43,11 +43,12 @@ def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None
         "is_write", "plan_file", "runs_tests", "tool_use_id", F.when(F.col("name").isin(dims.STEP_TOOLS), F.col("steps")).alias("steps"))
     if work:
         c = materialize(c, f"{work}/calls_{'_'.join(extra or ['all'])}")
-    pieces = c.groupBy(*key, "piece").agg(F.min(F.when(F.col("code"), F.struct("pos", "cwd"))).alias("write"), F.min(F.when(F.col("plan_skill"), F.col("pos"))).alias("skill"))
-    whole = Window.partitionBy(*key)  # one row a piece
+    # the piece leads: it is a hash, the other keys are strings that mostly agree
+    pieces = c.groupBy("piece", *key).agg(F.min(F.when(F.col("code"), F.struct("pos", "cwd"))).alias("write"), F.min(F.when(F.col("plan_skill"), F.col("pos"))).alias("skill"))
+    whole = S.led(key)  # one row a piece
     seen = pieces.select(*key, "piece", F.min("write").over(whole)["pos"].alias("cut"), F.min("skill").over(whole).alias("skill"))
     first = pieces.groupBy(*key).agg(F.min("write").alias("write"))
-    j = S.join_keys(c, seen, [*key, "piece"])
+    j = S.join_keys(c, seen, ["piece", *key])
     # outcomes matter for calls that ran tests only
     checked = S.join_keys(j.filter("runs_tests"), outcomes.withColumnRenamed("errored", "__err"), [*SESSION, "tool_use_id"])
     j = checked.unionByName(j.filter("not coalesce(runs_tests, false)").withColumn("__err", F.lit(None).cast("boolean")))
@@ -74,7 +75,7 @@ def session_facts(calls: DataFrame, outcomes: DataFrame, extra: list[str] | None
     # third distinct step before the first code write
     steps = (j.filter(before & F.col("steps").isNotNull()).select(*key, "pos", "cwd", F.explode("steps").alias("step"))
              .groupBy(*key, "step").agg(F.min(F.struct("pos", "cwd")).alias("p")))
-    w = Window.partitionBy(*key).orderBy("p", "step")
+    w = S.led(key).orderBy("p", "step")
     third = (steps.withColumn("n", F.row_number().over(w)).filter(F.col("n") == C["PLAN_MIN_STEPS"])
              .select(*key, F.col("p.cwd").alias("cwd"), F.col("p.pos.t").alias("t")))
     files = j.filter(before & F.col("is_write") & F.col("plan_file")).filter(

@@ -28,12 +28,20 @@ def at_grains(df: DataFrame, month: str | None = "month") -> DataFrame:
             .drop("__g").filter("g_month is not null"))
 
 
+def _plan_event() -> Column:
+    """The event names a planning skill: by its attribution or by an injected skill."""
+    turn = T.is_plan_skill(F.col("attribution_skill")) & (F.col("type") == "assistant")
+    injected = F.exists(F.coalesce("injected_skills", F.array().cast("array<string>")), lambda s: T.is_plan_skill(s))
+    return F.coalesce(turn | injected, F.lit(False))
+
+
 def session_months(b: DataFrame, prompts: DataFrame, calls: DataFrame, results: DataFrame, grounded: DataFrame,
                    grounding: DataFrame, recovered: DataFrame, credits: DataFrame) -> DataFrame:
-    """Additive counters and flags per (tenant, source, session, month), built by one union.
+    """Additive counters per (tenant, source, session, month), built by one union.
 
     Every contribution is partially aggregated where it is read, so a hot session or tenant
-    sends a handful of rows into the shuffle, not its events.
+    sends a handful of rows into the shuffle, not its events. All columns are plain sums: they are
+    aggregated by hash, no wide row is sorted (positions of plan credits: `late_credits`).
     """
     key = ["tenant_id", "source", "session_id", "month"]
     n = lambda c: A.count_if(c)
@@ -41,10 +49,7 @@ def session_months(b: DataFrame, prompts: DataFrame, calls: DataFrame, results:
     assistant = F.col("type") == "assistant"
     errors = F.coalesce(F.size(F.filter("content", lambda x: (x["type"] == "tool_result") & F.coalesce(x["error_flag"], F.lit(False)))), F.lit(0))
     dispatches = F.coalesce(F.size(F.filter("content", lambda x: (x["type"] == "tool_use") & x["name"].isin(dims.DELEGATE_TOOLS))), F.lit(0))
-    turn_plan = T.is_plan_skill(F.col("attribution_skill")) & assistant
-    injected_plan = F.exists(F.coalesce("injected_skills", F.array().cast("array<string>")), lambda s: T.is_plan_skill(s))
-    at = F.struct("file_path", "ordinal")
-    plan_event = F.coalesce(turn_plan | injected_plan, F.lit(False))
+    plan_event = _plan_event()
     ev = b.groupBy(*key).agg(
         F.count(F.lit(1)).alias("events"), n(assistant & ~F.col("is_usage_only")).alias("assistant_turns"),
         F.sum(F.when(assistant, blocks("thinking")).otherwise(0)).alias("thinking_blocks"),
@@ -53,9 +58,7 @@ def session_months(b: DataFrame, prompts: DataFrame, calls: DataFrame, results:
         n(assistant & (dispatches >= 2)).alias("parallel_turns"),
         n(F.col("ts").isNotNull()).alias("dated"), n(F.col("ts").isNotNull() & ~F.col("synth_ts")).alias("dated_real"),
         n(F.col("plan_eligible")).alias("plan_eligible"), n(F.col("plan_unmeasured")).alias("plan_unmeasured"),
-        F.min(F.when(F.col("plan_eligible"), at)).alias("eligible_at"), n(plan_event).alias("plan_marks"),
-        n(plan_event & F.col("plan_creditable") & ~F.col("synth_ts")).alias("plan_credit"),
-        F.max(F.when(plan_event & F.col("plan_creditable") & F.col("synth_ts"), at)).alias("synth_credit_at"))
+        n(plan_event).alias("plan_marks"), n(plan_event & F.col("plan_creditable") & ~F.col("synth_ts")).alias("plan_credit"))
     pr = prompts.groupBy(*key).agg(n(~F.col("bare_command")).alias("prompts"), n(F.col("bare_command")).alias("commands_only"),
                                    n(F.col("is_command")).alias("commands"), n(F.col("polite")).alias("polite_prompts"))
     cl = calls.groupBy(*key).agg(
@@ -69,8 +72,7 @@ def session_months(b: DataFrame, prompts: DataFrame, calls: DataFrame, results:
         n(F.col("name").isin(dims.SCHEDULE_TOOLS)).alias("scheduled"), n(F.col("is_write")).alias("writes"),
         n(F.col("dispatch") & ~F.col("name").isin(dims.TRANSCRIPT_FANOUT_TOOLS)).alias("dispatches"),
         n((F.col("category") == "delegate") & T.cannot_label(F.col("source"))).alias("unlabelled"), n(F.col("ts").isNull()).alias("undated_calls"),
-        n(F.col("plan_signal")).alias("plan_marks"), n(F.col("plan_strong") & F.col("plan_creditable") & ~F.col("synth_ts")).alias("plan_credit"),
-        F.max(F.when(F.col("plan_strong") & F.col("plan_creditable") & F.col("synth_ts"), at)).alias("synth_credit_at"))
+        n(F.col("plan_signal")).alias("plan_marks"), n(F.col("plan_strong") & F.col("plan_creditable") & ~F.col("synth_ts")).alias("plan_credit"))
     gr = grounded.groupBy(*key).agg(F.count(F.lit(1)).alias("grounded"))
     rc = recovered.groupBy(*key).agg(F.count(F.lit(1)).alias("recovered"))
     wf = credits.groupBy(*key).agg(F.count(F.lit(1)).alias("dispatches"))
@@ -84,9 +86,26 @@ def session_months(b: DataFrame, prompts: DataFrame, calls: DataFrame, results:
             if c not in key:
                 names.setdefault(c, c)
     union = reduce(lambda a, c: a.unionByName(c, allowMissingColumns=True), parts)
-    agg = [F.min(c).alias(c) if c == "eligible_at" else F.max(c).alias(c) if c == "synth_credit_at" else F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
-           for c in names]
-    return union.groupBy(*key).agg(*agg)
+    return union.groupBy(*key).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names])
+
+
+def late_credits(b: DataFrame, calls: DataFrame, sm: DataFrame, work: str) -> DataFrame:
+    """Eligible sessions per grain that only a plan mark with a synthetic time credits: one after the first eligible event.
+
+    Marks with synthetic times are written first; positions are compared in their sessions alone.
+    """
+    key = ["tenant_id", "source", "session_id", "month"]
+    at = F.struct("file_path", "ordinal")
+    synth = F.col("plan_creditable") & F.col("synth_ts") & F.col("session_id").isNotNull()
+    marks = b.filter(_plan_event() & synth).select(*key, at.alias("mark")).unionByName(calls.filter(F.col("plan_strong") & synth).select(*key, at.alias("mark")))
+    marks = materialize(marks.groupBy(*key).agg(F.max("mark").alias("mark")), f"{work}/late_marks")
+    owners = marks.select(*FX.SESSION).distinct()
+    first = S.join_keys(b.filter("plan_eligible").select(*key, at.alias("first")), owners, FX.SESSION, "left_semi")
+    credit = S.join_keys(sm.select(*key, "plan_credit"), owners, FX.SESSION, "left_semi")
+    rows = marks.unionByName(first, True).unionByName(credit, True)
+    per = rows.groupBy(*key).agg(F.max("mark").alias("mark"), F.min("first").alias("first"), F.sum("plan_credit").alias("plan_credit"))
+    p = at_grains(per.repartition("tenant_id", "session_id")).groupBy(*GRAIN, "source", "session_id").agg(F.max("mark").alias("mark"), F.min("first").alias("first"), F.sum("plan_credit").alias("c"))
+    return p.filter("coalesce(c, 0) = 0 and mark > first").groupBy(*GRAIN).agg(F.count(F.lit(1)).alias("late_sessions"))
 
 
 SUMS = (["events", "assistant_turns", "thinking_blocks", "tool_errors", "recovered", "api_errors", "parallel_turns", "prompts", "commands_only", "commands",
@@ -95,13 +114,25 @@ SUMS = (["events", "assistant_turns", "thinking_blocks", "tool_errors", "recover
         + [f"cat_{c}" for c in CATEGORIES])
 
 
-def counters(sm: DataFrame) -> DataFrame:
-    """Sums, session counts and planning sets at every grain."""
-    g = at_grains(sm)
-    sums = g.groupBy(*GRAIN).agg(*[F.sum(c).cast("bigint").alias(c) for c in SUMS], F.sort_array(F.collect_set("source")).alias("sources"))
+def counters(sm: DataFrame, late: DataFrame) -> DataFrame:
+    """Sums, session counts and planning sets at every grain; `late` are the rows of `late_credits`.
+
+    Sums are taken per (tenant, source, month) before they go to the grains. Sessions are dealt out by
+    (tenant, session) once, as single rows: the rows of all four grains stay where they are made.
+    """
+    per = sm.groupBy("tenant_id", "source", "month").agg(*[F.sum(c).cast("bigint").alias(c) for c in SUMS])
+    sums = at_grains(per).groupBy(*GRAIN).agg(*[F.sum(c).cast("bigint").alias(c) for c in SUMS], F.sort_array(F.collect_set("source")).alias("sources"))
+    held = ["dated", "dated_real", "plan_marks", "grounded", "writes", "dispatches", "plan_eligible", "plan_unmeasured", "plan_credit"]
+    own = sm.filter("session_id is not null").select("tenant_id", "source", "session_id", "month", *held)
+    g = at_grains(own.repartition("tenant_id", "session_id"))
+    # planning sets are keyed by (source, session)
+    p = g.groupBy(*GRAIN, "source", "session_id").agg(*[F.sum(c).alias(c) for c in held])
+    plan = p.groupBy(*GRAIN).agg(A.count_if((F.col("plan_eligible") > 0) & (F.col("plan_credit") > 0)).alias("planning_sessions"),
+                                 A.count_if(F.col("plan_eligible") > 0).alias("planning_eligible"),
+                                 A.count_if((F.col("plan_unmeasured") > 0) & (F.col("plan_eligible") == 0)).alias("planning_unmeasured"))
+    plan = S.join_keys(plan, late, GRAIN).withColumn("planning_sessions", F.col("planning_sessions") + F.coalesce("late_sessions", F.lit(0))).drop("late_sessions")
     # sets of bare session ids
-    s = g.filter("session_id is not null").groupBy(*GRAIN, "session_id").agg(
-        *[F.sum(c).alias(c) for c in ("dated", "dated_real", "plan_marks", "grounded", "writes", "dispatches")])
+    s = p.groupBy(*GRAIN, "session_id").agg(*[F.sum(c).alias(c) for c in held[:6]])
     window = F.col("g_month") == "*"
     counted = F.when(window, F.col("dated_real") > 0).otherwise(F.col("dated") > 0)
     s = s.withColumn("counted", counted)
@@ -115,13 +146,6 @@ def counters(sm: DataFrame) -> DataFrame:
                        pick("plan_marks", "plan_sessions"), pick("grounded", "grounded_sessions"), pick("writes", "write_sessions"),
                        fallback.alias("plan_sessions_degraded"))
     fan = A.fanout_stats(s.filter("dispatches > 0"), GRAIN, ["session_id"], F.col("dispatches"))
-    # planning sets are keyed by (source, session)
-    p = g.filter("session_id is not null").groupBy(*GRAIN, "source", "session_id").agg(
-        F.sum("plan_eligible").alias("e"), F.sum("plan_unmeasured").alias("u"), F.sum("plan_credit").alias("c"),
-        F.min("eligible_at").alias("ea"), F.max("synth_credit_at").alias("sa"))
-    credited = (F.col("c") > 0) | F.coalesce(F.col("sa") > F.col("ea"), F.lit(False))
-    plan = p.groupBy(*GRAIN).agg(A.count_if((F.col("e") > 0) & credited).alias("planning_sessions"), A.count_if(F.col("e") > 0).alias("planning_eligible"),
-                                 A.count_if((F.col("u") > 0) & (F.col("e") == 0)).alias("planning_unmeasured"))
     out = sums
     for part in (sess, fan, plan):
         out = S.join_keys(out, part, GRAIN)
@@ -196,7 +220,8 @@ def activity(b: DataFrame) -> DataFrame:
     """Active hours, longest run, mean and median session minutes per grain."""
     real = b.filter("ts is not null and not synth_ts and session_id is not null")
     base = S.activity_buckets(real, ["tenant_id", "source", "month", "session_id"], "ts", dims.GAP_CAP_S)
-    g = S.merge_buckets(at_grains(base), GRAIN + ["session_id"])
+    # dealt out once, as single rows: a session's buckets at all grains are merged and walked in one place
+    g = S.merge_buckets(at_grains(base.repartition("tenant_id", "session_id")), GRAIN + ["session_id"])
     union = S.union_of_buckets(g, GRAIN, ["session_id"], dims.GAP_CAP_S).select(*GRAIN, (F.col("active_s") / 3600.0).alias("active_hours"))
     burst = S.burst_of_buckets(g, GRAIN, ["session_id"], dims.BURST_GAP_S).select(*GRAIN, (F.col("longest_s") / 60.0).alias("longest_run_min"))
     per = S.duration_of_buckets(g.filter("g_month = '*'"), GRAIN + ["session_id"], dims.GAP_CAP_S)
@@ -278,7 +303,7 @@ def scoring_inputs(events: DataFrame, work: str, git: DataFrame | None = None) -
     p1, k1 = RT.attempt_pairs(b, calls, results, credits)
     p2, k2 = RT.linked_spawns(b, calls, work)
     routing = RT.routing_measure(p1.unionByName(p2), k1.unionByName(k2), sm.select("tenant_id", "source").distinct()).withColumn("g_month", F.lit("*"))
-    parts = [counters(sm), name_measures(names_at_grains(names)), scoreable_models(names), session_types(calls), activity(b),
+    parts = [counters(sm, late_credits(b, calls, sm, work)), name_measures(names_at_grains(names)), scoreable_models(names), session_types(calls), activity(b),
              depths(FX.edit_runs(calls)), prompt_lengths(prompts), days(b), ordered_counts(calls, results, sm, work), routing]
     if git is not None:
         parts.append(git_at_grains(git))

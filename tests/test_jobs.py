@@ -287,3 +287,42 @@ def test_hot_session_facts_and_plans_in_use(spark, tmp_path):
         mine = [k for k in want if k[0] == sid]
         assert (got[sid].own_plan is None) == (not mine) and (not mine or (got[sid].own_plan.t, got[sid].own_plan.cwd) == min((k[2], k[1]) for k in mine))
     assert have == want
+
+
+def test_rows_of_all_grains_stay_where_they_are_made(spark, tmp_path):
+    """Buckets and sessions are dealt out as single rows; nothing is shuffled by session after it went to four grains."""
+    b = materialize(FX.base(make(spark, [{"tools": [edit("/r/a.py")]}, {"tools": [("Read", {})], "session_id": "s2"}])), f"{tmp_path}/base")
+    calls, res = FX.tool_calls(b), FX.tool_results(b)
+    ground = FX.grounding_rows(b, calls)
+    sm = materialize(ST.session_months(b, FX.prompts(b), calls, res, FX.grounded(ground), ground, FX.recovered(calls, res), FX.workflow_credits(b)), f"{tmp_path}/sm")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString().splitlines()
+    for d in (ST.activity(b), ST.counters(sm, ST.late_credits(b, calls, sm, str(tmp_path)))):
+        assert not [x for x in plan(d) if "Exchange hashpartitioning" in x and "session_id" in x and "g_source" in x]
+
+
+def test_late_marks_credit_sessions_that_were_eligible_before(spark, tmp_path):
+    plan, read = [("TodoWrite", {}), ("ExitPlanMode", {})], [("Read", {})]
+    rows = [{"session_id": "after", "tools": read}, {"session_id": "after", "tools": plan, "synth_ts": True},
+            {"session_id": "before", "tools": plan, "synth_ts": True}, {"session_id": "before", "tools": read},
+            {"session_id": "both", "tools": plan}, {"session_id": "both", "tools": plan, "synth_ts": True},
+            {"session_id": "only", "tools": plan, "synth_ts": True}, {"session_id": "none", "tools": read},
+            {"session_id": "next", "tools": read, "timestamp": "2026-02-01 10:00:00"}, {"session_id": "next", "tools": plan, "synth_ts": True}]
+    b = materialize(FX.base(make(spark, [{"source": "codex", **r} for r in rows])), f"{tmp_path}/base")
+    calls, res = materialize(FX.tool_calls(b), f"{tmp_path}/calls"), FX.tool_results(b)
+    ground = FX.grounding_rows(b, calls)
+    sm = materialize(ST.session_months(b, FX.prompts(b), calls, res, FX.grounded(ground), ground, FX.recovered(calls, res), FX.workflow_credits(b)), f"{tmp_path}/sm")
+    c = {(r.g_source, r.g_month): (r.planning_sessions, r.planning_eligible) for r in ST.counters(sm, ST.late_credits(b, calls, sm, f"{tmp_path}/w")).collect()}
+    assert c[("*", "*")] == c[("codex", "*")] == (3, 5)             # after, both and next
+    assert c[("*", "2026-01")] == (2, 4) and c[("*", "2026-02")] == (0, 1)
+
+
+def test_derived_transcripts_are_dealt_out_and_parsed_once(spark, tmp_path):
+    from loomtrace.catalog.registry import Tables
+    from loomtrace.catalog.transcripts import transcripts
+    rows = [(i, dt.datetime(2026, 1, 1, 0, i), i % 7, ["click", "view", "purchase", "signup", "error", None][i % 6], '{"k": %d}' % i) for i in range(40)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    t = transcripts(Tables(spark, str(tmp_path)))
+    plan = t.select("model", "usage", "content")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [event_id" in plan and plan.count("get_json_object") == 1
+    called = {r.ordinal: r for r in t.collect()}
+    assert len(called) == 40 and all((r.model is None) == (not r.content or r.content[0].type != "tool_use") for r in called.values())
